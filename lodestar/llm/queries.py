@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import decontaminate, minhash, packing, pseudonyms, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +29,32 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents", "doc_id", "text")
     packed = packing.pack(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@query
+def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=2, percent=80)
+
+
+@query
+def op6_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = _read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.leaks(documents, benchmark).select("doc_id", "item_id", "covered", "item_words", "coverage")
+
+
+@query
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(_read(spark, sf_dir, "documents", "doc_id", "text"), key="lodestar")
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """Toxicity labels of the rows that are not held out."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", F.col("toxic").alias("label"))
+
+
+@query
+def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text")
+    machine = toxicity.fit(documents, learnable(_read(spark, sf_dir, "labels", "doc_id", "toxic")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return toxicity.score(documents, machine).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

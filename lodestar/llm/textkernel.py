@@ -146,3 +146,12 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def by_row(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each row's entries begin, for ``rows`` in order; one more for the end."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def prefixes(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the first ``length`` bytes, lower-cased, of each word that is longer."""
+    longer = np.flatnonzero(w.end - w.start > length)
+    h = np.full(len(longer), length, np.uint64)
+    for j in range(length):
+        h = mix(h ^ _LOWER[w.data[w.start[longer] + j]])
+    return w.row[longer], h
