@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import own_columns
 from .textkernel import PUNCT, by_row, combine, pieces, words
 
 
@@ -138,4 +139,4 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list[str]]]
 def remove(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that leak no test item; all columns."""
     bad = leaks(documents, benchmark, **options).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(bad, "doc_id", "left_anti").select(*own_columns(documents))

@@ -100,8 +100,8 @@ def _digits(value: Column) -> Column:
 def _card(value: Column, key: str) -> Column:
     digits = _digits(value)
     payload = permute_string(digits.substr(F.lit(1), F.length(digits) - 1), key, "card")
-    checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(payload, d.cast("string"))), lambda n: F.luhn_check(n))
-    return F.when(F.luhn_check(digits), _with_digits(value, F.element_at(checked, 1))).otherwise(value)
+    checked = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(payload, d.cast("string"))), lambda n: F.call_function("luhn_check", n))
+    return F.when(F.call_function("luhn_check", digits), _with_digits(value, F.element_at(checked, 1))).otherwise(value)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -139,7 +139,7 @@ def _date(value: Column, key: str) -> Column:
     plain = as_date(_walk(number, once("date"), lambda n: n < days, 8))
     month_first = as_date(_walk(number, once("month-first date"), lambda n: (n < days) & (F.day(as_date(n)) > 12), 64))
     written = (
-        F.when(year_first, F.concat_ws(sign, F.date_format(plain, "yyyy"), F.date_format(plain, "MM"), F.date_format(plain, "dd")))
+        F.when(year_first, F.concat(F.date_format(plain, "yyyy"), sign, F.date_format(plain, "MM"), sign, F.date_format(plain, "dd")))
         .when(day_first, F.concat(F.date_format(plain, "dd"), sign, F.date_format(plain, "MM"), sign, F.date_format(plain, "yyyy")))
         .otherwise(F.concat(F.date_format(month_first, "MM"), sign, F.date_format(month_first, "dd"), sign, F.date_format(month_first, "yyyy")))
     )

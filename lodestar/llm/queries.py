@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, pseudonyms, toxicity
+from . import decontaminate, histogram_sort, language, minhash, packing, pseudonyms, redirects, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,34 @@ def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(documents, learnable(_read(spark, sf_dir, "labels", "doc_id", "toxic")))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return toxicity.score(documents, machine).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("text_crc32", crc)
+    assigned = histogram_sort.assign(documents, shards=40)
+    return assigned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_error_correcting_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    codes = language.fit(documents.where(~held_out))
+    return language.predict(documents.select("doc_id", "text"), codes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+#: The filter list of the query.
+URL_RULES = [
+    redirects.Rule("net", "/", "block"),
+    redirects.Rule("example.net", "/en/", "allow"),
+    redirects.Rule("example.com", "/de/", "block"),
+    redirects.Rule("org", "/fr/", "allow"),
+]
+
+
+@query
+def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = redirects.filter_urls(_read(spark, sf_dir, "pages", "page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -30,6 +31,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, also where a name holds a dot."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def drop(saved: DataFrame) -> None:
     """Delete what :func:`save` wrote, once no plan reads it any more."""
     spark = saved.sparkSession

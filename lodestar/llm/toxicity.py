@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import own_columns
 from .textkernel import PUNCT, pieces, prefixes, words
 
 BITS = 24
@@ -76,7 +77,7 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
     return [flat[at[i] : at[i + 1]] for i in range(len(y))], y, stands
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 5.0) -> Machine:
+def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 4.0) -> Machine:
     """``labels``: ``doc_id``, ``label`` (above 0: toxic), already without the rows that must not be learned from."""
     lists, y, stands = _sample(documents, labels, positives, negatives)
     empty = np.zeros(0, np.int64)
@@ -158,4 +159,4 @@ def score(documents: DataFrame, machine: Machine, column: str = "score") -> Data
 def not_toxic(documents: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """The rows of ``documents`` that score below ``threshold``; all columns, whole rows."""
     bad = score(documents, machine).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(bad, "doc_id", "left_anti").select(*own_columns(documents))
