@@ -1 +1,4 @@
+"""The library's queries over the driver's tables."""
 
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
