@@ -1,0 +1,184 @@
+"""Rules over entities as expressions and aggregates: claims, classes, maturity, confidence, eligibility, priority,
+recommendations. Every lexicon is a parameter."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodestar.functions.text import contains_any, long_sentences, starts_word, vetoed_by_third_party
+
+#: Ordinal scales, low to high.
+CONFIDENCE = ("baixa", "media", "alta")
+RECENT_MONTHS = 24
+MOST_YEARS = 10
+DEEP_MARKERS = 3
+RECOMMENDATIONS = EVIDENCES = 3
+SPAN_MIN, SPAN_MAX = 80, 320
+
+
+def claims(documents: DataFrame, lexicons: dict[str, list[str]], entity: str, most: dict[str, int] | int = 3) -> DataFrame:
+    """``entity``, ``kind``, ``doc_id``, ``span``, ``place``: the first long sentence of each document with a term of the
+    kind, 400 characters at most, and the first documents of each entity."""
+    def first(terms: list[str]) -> Column:
+        return F.try_element_at(F.filter(long_sentences(F.col("text")), lambda s: contains_any(F.lower(s), terms)), F.lit(1))
+
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), first(terms).alias("span")) for k, terms in lexicons.items()))
+    found = documents.select(entity, "doc_id", F.explode(parts).alias("x")).select(entity, "doc_id", "x.kind", F.substring("x.span", 1, 400).alias("span")).where("span is not null")
+    place = F.row_number().over(W.partitionBy(entity, "kind").orderBy("doc_id"))
+    limit = F.lit(most) if isinstance(most, int) else reduce(lambda c, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(c), most.items(), F.lit(3))
+    return found.withColumn("place", place.cast("long")).where(F.col("place") <= limit)
+
+
+def class_points(autopilot: Column, data: Column, technical: Column) -> Column:
+    return (2 * autopilot.cast("int") + 2 * data.cast("int") + technical.cast("int")).cast("long")
+
+
+def class_of(points: Column) -> Column:
+    return F.when(points >= 4, "AI-native").when(points >= 1, "AI-enabled").otherwise("non-AI")
+
+
+def class_stepped(any_signal: Column, deep: Column, autopilot: Column, data: Column) -> Column:
+    return F.when(~any_signal, "non-AI").when((deep >= DEEP_MARKERS) | (autopilot & data), "AI-native").otherwise("AI-enabled")
+
+
+def maturity(deep: Column) -> Column:
+    return F.when(deep >= DEEP_MARKERS, "alta").when(deep >= 1, "media").otherwise("baixa")
+
+
+def quadrant(kind: Column, level: Column, verified: Column) -> Column:
+    """The published matrix; a class that was only not refuted stays in the funnel."""
+    return (
+        F.when((kind == "non-AI") & ~verified, "prospect-de-evolucao").when(kind == "non-AI", "fora-do-funil")
+        .when(kind != "AI-native", "prospect-de-evolucao").when(level == "alta", "ja-otimizada").otherwise("sweet-spot")
+    )
+
+
+def priority(cell: Column, confidence: Column, verified: Column) -> Column:
+    base = F.when(cell == "sweet-spot", "alta").when(cell == "prospect-de-evolucao", "media").otherwise("baixa")
+    return F.when(~verified, "baixa").when((confidence == "baixa") & (base == "alta"), "media").otherwise(base)
+
+
+def delivery(auto: Column, copilot: Column) -> Column:
+    """More evidence wins, a tie goes to the copilot, none is null."""
+    return F.when((auto == 0) & (copilot == 0), None).when(auto > copilot, "autopilot").otherwise("copilot")
+
+
+def months_between(as_of: Column, day: Column) -> Column:
+    """Difference of calendar months; the day does not matter."""
+    return (F.year(as_of) - F.year(day)) * 12 + F.month(as_of) - F.month(day)
+
+
+def recent(day: Column, as_of: Column) -> Column:
+    return F.coalesce(months_between(as_of, day) < RECENT_MONTHS, F.lit(False))
+
+
+def confidence(kinds: Column, recent_ones: Column, evidences: Column) -> Column:
+    return (
+        F.when(evidences == 0, None).when((kinds >= 2) & (recent_ones >= 1), "alta").when((kinds >= 2) | (recent_ones >= 1), "media").otherwise("baixa")
+    )
+
+
+def ordinal(scale: tuple[str, ...], value: Column) -> Column:
+    return F.array_position(F.array(*(F.lit(s) for s in scale)), value)
+
+
+def lowest(scale: tuple[str, ...], value: Column) -> Column:
+    """Aggregate: the least on the scale; the scale's first where there is none."""
+    return F.element_at(F.array(*(F.lit(s) for s in scale)), F.coalesce(F.min(ordinal(scale, value)), F.lit(1)).cast("int"))
+
+
+def exclusions(documents: DataFrame, terms: dict[str, list[str]], markers: list[str], entity: str) -> DataFrame:
+    """``entity``, ``label``, ``term``, ``doc_id``: for each label the first term in the label's order, and its first
+    document, that is not about a third party."""
+    listed = [(i, label, j, term) for i, (label, own) in enumerate(terms.items()) for j, term in enumerate(own)]
+    low = F.lower("text")
+    hits = F.array_compact(
+        F.array(
+            *(
+                F.when(
+                    low.contains(term) & starts_word(low, term) & ~vetoed_by_third_party(F.col("text"), term, markers),
+                    F.struct(F.lit(i).alias("label_at"), F.lit(label).alias("label"), F.lit(j).alias("term_at"), F.lit(term).alias("term")),
+                )
+                for i, label, j, term in listed
+            )
+        )
+    )
+    found = documents.select(entity, "doc_id", F.explode(hits).alias("h")).select(entity, "doc_id", "h.*")
+    best = found.groupBy(entity, "label").agg(F.min(F.struct("term_at", "doc_id", "term")).alias("b"))
+    return best.select(entity, "label", "b.term", "b.doc_id")
+
+
+def age_outcome(founded: Column, as_of_year: Column) -> Column:
+    age = as_of_year - founded
+    return F.when(founded.isNull(), "unverified").when(age > MOST_YEARS, "excluded").when(age == MOST_YEARS, "pending").otherwise("eligible")
+
+
+def relative_age(text: Column, verb: str = "founded|created|started") -> Column:
+    """The largest number of years that a phrase of foundation names; null without one."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?:{verb})[^.!?\n]{{0,40}}?(\d{{1,3}}) years ago"), 1)
+    return F.array_max(F.transform(found, lambda x: x.cast("int")))
+
+
+def best_text_per_group(rows: DataFrame, group: str, url: str) -> DataFrame:
+    """Per page the best-scored text, at the place where the page was first seen."""
+    return rows.groupBy(group, url).agg(F.min("position").alias("position"), F.max_by("text", F.struct("score", -F.col("position"))).alias("text"), F.max("score").alias("score"))
+
+
+def interleave(rows: DataFrame, owner: str, url: str) -> DataFrame:
+    """Lists of an owner dealt in turn (first of each, second of each), each url once, at its first place."""
+    order = W.partitionBy(owner).orderBy("rank", "list_at")
+    turn = rows.withColumn("turn", F.row_number().over(order))
+    first = turn.withColumn("again", F.row_number().over(W.partitionBy(owner, url).orderBy("turn"))).where("again = 1").drop("again")
+    return first.withColumn("position", F.row_number().over(W.partitionBy(owner).orderBy("turn"))).drop("turn")
+
+
+def by_list(rows: DataFrame, column: str, wanted: list[str], owner: str, position: str) -> DataFrame:
+    """Stable order by place in a list, unlisted last."""
+    place = F.array_position(F.array(*(F.lit(w) for w in wanted)).cast("array<string>"), F.col(column))
+    order = W.partitionBy(owner).orderBy(F.when(place == 0, len(wanted) + 1).otherwise(place), position)
+    return rows.withColumn("new_position", F.row_number().over(order))
+
+
+def span_score(text: Column, technical: list[str], showcase: list[str], invitation: list[str]) -> Column:
+    """Technical markers and numbers with a unit, less penalties, for each 100 characters; null for an empty text."""
+    low = F.lower(text)
+    count = lambda terms: reduce(lambda a, b: a + b, (low.contains(t).cast("int") for t in terms), F.lit(0))
+    numbers = F.regexp_count(low, F.lit(r"\d+(?:\.\d+)?\s?(?:x|%|gb|tb|ms|tokens)"))
+    return F.try_divide((count(technical) + 2 * numbers - 3 * count(showcase) - count(invitation)).cast("double"), F.length(text) / 100)
+
+
+def spans(documents: DataFrame, key: str) -> DataFrame:
+    """All blocks of consecutive non-empty lines with ``SPAN_MIN`` to ``SPAN_MAX`` characters: ``i``, ``j``, ``span``."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = documents.select(key, lines.alias("lines")).select(key, "lines", F.explode(F.sequence(F.lit(1), F.greatest(F.size("lines"), F.lit(1)))).alias("i"))
+    # a block has a line end for each further line, so no block holds over SPAN_MAX / 2 + 1 lines
+    ends = F.sequence(F.col("i"), F.least(F.size("lines"), F.col("i") + SPAN_MAX // 2))
+    blocks = rows.where("size(lines) > 0").withColumn("j", F.explode(ends)).withColumn("span", F.array_join(F.slice("lines", F.col("i"), F.col("j") - F.col("i") + 1), "\n"))
+    return blocks.where(F.length("span").between(SPAN_MIN, SPAN_MAX)).select(key, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "span")
+
+
+def with_fallback(citations: DataFrame, needs: DataFrame, entity: str) -> DataFrame:
+    """Evidence of a citation: the validated needs it came from, else all validated needs of the entity."""
+    valid = needs.where("validated").groupBy(entity).agg(F.array_sort(F.collect_list("need")).alias("valid"))
+    joined = citations.join(valid, entity, "left")
+    own = F.filter("valid", lambda n: n == F.col("origin"))
+    return joined.withColumn("evidence", F.when(F.size(own) > 0, own).otherwise(F.coalesce("valid", F.array().cast("array<string>")))).drop("valid")
+
+
+def lookup(rows: DataFrame, exact: DataFrame, template: DataFrame, fallback: str) -> DataFrame:
+    """Text of (technology, need), else the need's template with the technology filled in, else a fixed one. The two
+    tables are lexicons of a few rows."""
+    joined = rows.join(F.broadcast(exact), ["technology", "need"], "left").join(F.broadcast(template), "need", "left")
+    filled = F.replace("template", F.lit("{technology}"), F.col("technology"))
+    return joined.withColumn("business", F.coalesce("exact_text", filled, F.lit(fallback))).drop("exact_text", "template")
+
+
+def recommend(citations: DataFrame, entity: str) -> DataFrame:
+    """The first citations of an entity; one without evidence is dropped after the cut, so nothing takes its place."""
+    place = F.row_number().over(W.partitionBy(entity).orderBy("position"))
+    first = citations.withColumn("place", place.cast("long")).where(F.col("place") <= RECOMMENDATIONS)
+    return first.where(F.size("evidence") > 0).withColumn("evidence", F.slice("evidence", 1, EVIDENCES))
