@@ -1,0 +1,203 @@
+"""Sections and structural chunks of HTML and Markdown: a document is walked once, in one Arrow-backed function."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+from typing import NamedTuple
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from lodestar.functions.text import NOISE_TAGS
+
+#: Elements that begin a line.
+BLOCK_TAGS = frozenset("address article blockquote br dd div dl dt figcaption figure h4 h5 h6 hr li ol p pre section table td tr ul".split())
+FLOOR, CEILING = 120, 450
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class Section(NamedTuple):
+    level: int
+    title: str
+    body: str
+
+
+class Piece(NamedTuple):
+    path: tuple[str, ...]
+    text: str
+
+
+def count_tokens(text: str) -> int:
+    """Words and single signs; a stand-in for a model's own counter, which may be passed instead."""
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+class _Walker(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.noise, self.heading, self.buffer = 0, 0, []
+        self.sections: list[list] = [[0, "", []]]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in NOISE_TAGS:
+            self.noise += 1
+        elif tag in ("h1", "h2", "h3"):
+            self.heading, self.buffer = int(tag[1]), []
+        elif tag in BLOCK_TAGS:
+            self.sections[-1][2].append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in NOISE_TAGS:
+            self.noise = max(0, self.noise - 1)
+        elif tag in ("h1", "h2", "h3") and self.heading:
+            self.sections.append([self.heading, " ".join("".join(self.buffer).split()), []])
+            self.heading = 0
+        elif tag in BLOCK_TAGS and tag not in _VOID:
+            self.sections[-1][2].append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.noise:
+            (self.buffer if self.heading else self.sections[-1][2]).append(data)
+
+
+def _tidy(text: str) -> str:
+    lines = [" ".join(line.split()) for line in text.split("\n")]
+    kept = [line for line in lines if not line or len(line.split()) > 2 or line[-1] in ".!?:"]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
+
+
+def html_sections(html: str) -> list[Section]:
+    """Sections that h1 to h3 open, from the longest of main, article and body."""
+    bodies = [m.group(2) for tag in ("main", "article", "body") for m in re.finditer(rf"(?is)<({tag})\b[^>]*>(.*?)</\1\s*>", html)]
+    walker = _Walker()
+    walker.feed(max(bodies, key=len, default=html))
+    walker.close()
+    found = [Section(level, title, _tidy("".join(body))) for level, title, body in walker.sections]
+    return [s for s in found if s.title or s.body]
+
+
+def markdown_sections(text: str) -> list[Section]:
+    """Levels 1 to 3, in either heading style, open sections; deeper ones are body; nothing inside a fence is a heading."""
+    sections: list[list] = [[0, "", []]]
+    fenced, lines = False, text.split("\n")
+    for i, line in enumerate(lines):
+        if re.match(r"\s*(```|~~~)", line):
+            fenced = not fenced
+        if not fenced:
+            if m := re.match(r"(#{1,3})\s+(.+?)\s*#*\s*$", line):
+                sections.append([len(m.group(1)), m.group(2), []])
+                continue
+            if line.strip() and i + 1 < len(lines) and re.match(r"\s*(=+|-{3,})\s*$", lines[i + 1]) and not line.startswith("#"):
+                sections.append([1 if "=" in lines[i + 1] else 2, line.strip(), []])
+                continue
+            if i and re.match(r"\s*(=+|-{3,})\s*$", line) and sections[-1][1] == lines[i - 1].strip() and not sections[-1][2]:
+                continue
+        sections[-1][2].append(line)
+    found = [Section(level, title, "\n".join(body).strip()) for level, title, body in sections]
+    return [s for s in found if s.title or s.body]
+
+
+def with_paths(name: str, sections: list[Section]) -> list[Piece]:
+    """Breadcrumbs; the document's name always comes first."""
+    stack: list[tuple[int, str]] = []
+    out = []
+    for s in sections:
+        while stack and s.level and stack[-1][0] >= s.level:
+            stack.pop()
+        if s.title:
+            stack.append((s.level, s.title))
+        out.append(Piece((name, *(t for _, t in stack)), s.body))
+    return out
+
+
+def merge(pieces: list[Piece], count: Callable[[str], int], floor: int = FLOOR, ceiling: int = CEILING) -> list[Piece]:
+    """Neighbours together until the floor is reached; not beyond the ceiling, nor over a change of parent once half the
+    floor is there. The merged path is the common one; titles that it loses stay in the text."""
+    out: list[Piece] = []
+    held: list[Piece] = []
+
+    def text_of(group: list[Piece]) -> Piece:
+        path = group[0].path
+        for p in group[1:]:
+            n = next((i for i, (a, b) in enumerate(zip(path, p.path, strict=False)) if a != b), min(len(path), len(p.path)))
+            path = path[:n]
+        parts = [("\n".join(p.path[len(path) :]) + "\n" + p.text).strip() for p in group]
+        return Piece(path, "\n\n".join(x for x in parts if x))
+
+    for piece in pieces:
+        size = count(text_of(held).text) if held else 0
+        if held and (size >= floor or size + count(piece.text) > ceiling or (piece.path[:-1] != held[-1].path[:-1] and 2 * size >= floor)):
+            out.append(text_of(held))
+            held = []
+        held.append(piece)
+    if held:
+        out.append(text_of(held))
+    return [p for p in out if p.text]
+
+
+def split(text: str, count: Callable[[str], int], ceiling: int = CEILING) -> list[str]:
+    """Paragraphs filled up to the ceiling, each part beginning with the last paragraph of the one before where both fit.
+    A paragraph that is too long is cut at lines, and a line at words. No part is over the ceiling."""
+    units: list[str] = []
+    for paragraph in (p.strip() for p in re.split(r"\n\s*\n", text)):
+        if count(paragraph) <= ceiling:
+            units += [paragraph] if paragraph else []
+            continue
+        for line in paragraph.split("\n"):
+            words: list[str] = []
+            for word in line.split():
+                if words and count(" ".join([*words, word])) > ceiling:
+                    units.append(" ".join(words))
+                    words = []
+                words.append(word)
+            units += [" ".join(words)] if words else []
+    parts: list[list[str]] = []
+    for unit in units:
+        if parts and count("\n\n".join([*parts[-1], unit])) <= ceiling:
+            parts[-1].append(unit)
+        elif parts and count("\n\n".join([parts[-1][-1], unit])) <= ceiling:
+            parts.append([parts[-1][-1], unit])
+        else:
+            parts.append([unit])
+    return ["\n\n".join(p) for p in parts]
+
+
+def structural_chunks(name: str, sections: list[Section], count: Callable[[str], int] = count_tokens, ceiling: int = CEILING) -> list[Piece]:
+    """Merged and split pieces; the ceiling holds for the breadcrumb and the text together."""
+    out = []
+    for piece in merge(with_paths(name, sections), count, ceiling=ceiling):
+        room = max(1, ceiling - count(" > ".join(piece.path)) - 2)
+        out += [Piece(piece.path, part) for part in split(piece.text, count, room)]
+    return out
+
+
+def chunk(documents: DataFrame, key: str, text: str, kind: str, name: str, count: Callable[[str], int] = count_tokens) -> DataFrame:
+    """``key``, ``ordinal`` (no gaps), ``path``, ``text`` (to be cited), ``indexed`` (breadcrumb and text) and ``n_tokens``.
+    ``kind``: ``html`` or ``markdown``. Null and empty documents have no chunks."""
+    parse = {"html": html_sections, "markdown": markdown_sections}[kind]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, title, body in zip(frame[key], frame[name], frame[text], strict=True):
+                for i, p in enumerate(structural_chunks(title or "", parse(body), count) if body else []):
+                    path = " > ".join(p.path)
+                    rows.append((k, i, path, p.text, f"{path}\n\n{p.text}", count(p.text)))
+            yield pd.DataFrame(rows, columns=[key, "ordinal", "path", "text", "indexed", "n_tokens"])
+
+    columns = list(dict.fromkeys([key, name, text]))
+    return documents.select(*columns).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, path string, text string, indexed string, n_tokens long")
+
+
+def sections(documents: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """``key``, ``ordinal``, ``level``, ``title``, ``body``."""
+    parse = {"html": html_sections, "markdown": markdown_sections}[kind]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, i, s.level, s.title, s.body) for k, body in zip(frame[key], frame[text], strict=True) for i, s in enumerate(parse(body) if body else [])]
+            yield pd.DataFrame(rows, columns=[key, "ordinal", "level", "title", "body"])
+
+    return documents.select(key, text).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, level long, title string, body string")
