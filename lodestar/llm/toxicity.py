@@ -89,16 +89,16 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negative
     size = np.array([len(x) for x in lists])
     row, ids = np.repeat(np.arange(len(lists)), size), np.concatenate(lists).astype(np.int64)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    with_label = [np.bincount(ids[y[row] == k], minlength=1 << BITS) for k in (0, 1)]
+    found, at = np.unique(ids, return_inverse=True)
+    with_label = [np.bincount(at[y[row] == k], minlength=len(found)) for k in (0, 1)]
     # a term is kept if its shares among the two kinds differ by `strength` standard errors
     p = (with_label[1] + with_label[0]) / (n1 + n0)
     z = (with_label[1] / n1 - with_label[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((with_label[0] + with_label[1] >= least) & (np.abs(z) >= strength))
+    chosen = (with_label[0] + with_label[1] >= least) & (np.abs(z) >= strength)
+    kept, place = found[chosen], np.cumsum(chosen) - 1
     if not len(kept):
         return none
-    place = np.full(1 << BITS, -1, np.int64)
-    place[kept] = np.arange(len(kept))
-    row, col = row[place[ids] >= 0], place[ids][place[ids] >= 0]
+    row, col = row[chosen[at]], place[at[chosen[at]]]
     return _train(row, col, y, stands, bias, kept, factors, rounds)
 
 
