@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import own_columns
 from .textkernel import PUNCT, by_row, combine, pieces, words
 
 
@@ -73,40 +72,32 @@ class _Block:
         self.place = np.concatenate([np.arange(len(x)) for x in windows])[order] if windows else order
 
 
-def _search(block: _Block, least: int, share: float) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            w = words(batch.column("text"), PUNCT)
-            window = combine(w.hash, least)
-            low = np.searchsorted(block.hash, window)
-            hit = np.flatnonzero((block.hash[np.minimum(low, max(0, len(block.hash) - 1))] == window) & (w.row[: len(window)] == w.row[least - 1 :][: len(window)])) if len(window) and len(block.hash) else np.zeros(0, np.int64)
-            found: dict[str, list] = {k: [] for k in ("row", "item", "covered", "words", "coverage", "spans")}
-            at = by_row(w.row, batch.num_rows)
-            rows = w.row[hit]
-            for row in np.unique(rows):
-                seeds = hit[np.searchsorted(rows, row) : np.searchsorted(rows, row, "right")]
-                first, last = low[seeds], np.searchsorted(block.hash, window[seeds], "right")
-                each = last - first
-                which = np.repeat(first, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                place, item, begin = np.repeat(seeds, each) - at[row], block.item[which], block.place[which]
-                for i in np.unique(item):
-                    own, text = block.words[i], w.hash[at[row] : at[row + 1]]
-                    marks = tiles(own, text, begin[item == i], place[item == i], least)
-                    covered = sum(n for _, _, n in marks)
-                    if covered >= share * len(own):
-                        span = sorted((int(w.start[at[row] + t] - w.offsets[row]), int(w.end[at[row] + t + n - 1] - w.offsets[row])) for _, t, n in marks)
-                        for k, v in zip(found, (int(row), block.ids[i], covered, len(own), covered / len(own), [{"start": a, "end": b} for a, b in span]), strict=True):
-                            found[k].append(v)
-            if found["row"]:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(found["row"])), pa.array(found["item"]), pa.array(found["covered"], pa.int64()), pa.array(found["words"], pa.int64()),
-                        pa.array(found["coverage"], pa.float64()), pa.array(found["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    ],
-                    ["doc_id", "item_id", "covered", "item_words", "coverage", "spans"],
-                )
-
-    return run
+def _leaked(batch: pa.RecordBatch, block: _Block, least: int, share: float) -> dict[str, list]:
+    """Columns of the pairs found: row, item, covered, words, coverage, spans."""
+    found: dict[str, list] = {k: [] for k in ("row", "item", "covered", "words", "coverage", "spans")}
+    w = words(batch.column("text"), PUNCT)
+    window = combine(w.hash, least)
+    if not len(window) or not len(block.hash):
+        return found
+    low = np.searchsorted(block.hash, window)
+    hit = np.flatnonzero((block.hash[np.minimum(low, len(block.hash) - 1)] == window) & (w.row[: len(window)] == w.row[least - 1 :]))
+    at = by_row(w.row, batch.num_rows)
+    rows = w.row[hit]
+    for row in np.unique(rows):
+        seeds = hit[np.searchsorted(rows, row) : np.searchsorted(rows, row, "right")]
+        first, last = low[seeds], np.searchsorted(block.hash, window[seeds], "right")
+        each = last - first
+        which = np.repeat(first, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        place, item, begin = np.repeat(seeds, each) - at[row], block.item[which], block.place[which]
+        for i in np.unique(item):
+            own, text = block.words[i], w.hash[at[row] : at[row + 1]]
+            marks = tiles(own, text, begin[item == i], place[item == i], least)
+            covered = sum(n for _, _, n in marks)
+            if covered >= share * len(own):
+                span = sorted((int(w.start[at[row] + t] - w.offsets[row]), int(w.end[at[row] + t + n - 1] - w.offsets[row])) for _, t, n in marks)
+                for k, v in zip(found, (int(row), block.ids[i], covered, len(own), covered / len(own), [{"start": a, "end": b} for a, b in span]), strict=True):
+                    found[k].append(v)
+    return found
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, seed_words: int = 5, share: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
@@ -115,9 +106,21 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed_words: int = 5, share
     kinds = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, covered long, item_words long, coverage double, spans array<struct<start:long,end:long>>"
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def search(block: _Block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                found = _leaked(batch, block, seed_words, share)
+                if found["row"]:
+                    columns = [pa.array(found["item"]), pa.array(found["covered"], pa.int64()), pa.array(found["words"], pa.int64()), pa.array(found["coverage"], pa.float64()), pa.array(found["spans"], span)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(found["row"])), *columns], ["doc_id", "item_id", "covered", "item_words", "coverage", "spans"])
+
+        return texts.mapInArrow(run, schema)
+
     out = None
     for ids, items in _blocks(benchmark, block_bytes):
-        part = texts.mapInArrow(_search(_Block(ids, items, seed_words), seed_words, share), schema)
+        part = search(_Block(ids, items, seed_words))
         out = part if out is None else out.union(part)
     return documents.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -136,7 +139,18 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list[str]]]
         yield ids, texts
 
 
-def remove(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that leak no test item; all columns."""
-    bad = leaks(documents, benchmark, **options).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*own_columns(documents))
+def remove(documents: DataFrame, benchmark: DataFrame, seed_words: int = 5, share: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``documents`` that leak no test item; all columns, whole rows, no shuffle."""
+
+    def clean(docs: DataFrame, block: _Block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                keep = np.ones(batch.num_rows, bool)
+                keep[_leaked(batch, block, seed_words, share)["row"]] = False
+                yield batch.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, documents.schema)
+
+    for ids, items in _blocks(benchmark, block_bytes):
+        documents = clean(documents, _Block(ids, items, seed_words))
+    return documents

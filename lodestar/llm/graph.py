@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, save
+from .scratch import drop
+from .scratch import save as _save
+
+EDGES_A_TASK = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +19,10 @@ def components(edges: DataFrame) -> DataFrame:
     split, and in minima, which are combined before the shuffle. Edges with a null end are left out; no edges, no rows.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
-    both = save(edges.union(edges.select("b", "a")).distinct(), "edges")
+    both = _save(edges.union(edges.select("b", "a")).distinct(), "edges")
+    parts = both.count() // EDGES_A_TASK + 1
+    both = both.coalesce(parts)
+    save = lambda df, name: _save(df.coalesce(parts), name)  # noqa: E731  small graphs in few files
     labels = save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
     while True:
         told = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("told")).agg(F.min("component").alias("low"))

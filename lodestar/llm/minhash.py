@@ -5,8 +5,13 @@ leading zeros of the smallest other part of the hash and a few bits of its manti
 64-bit minimum. Compressed registers are banded; pairs that share a band pass a size bound and a Jaccard estimate from
 their registers, corrected for chance collisions, and are then verified on the full sets.
 
+In a bucket of near copies all pairs would be too many, so each member is first verified against the smallest member of
+its buckets; then members that stayed outside the bucket's main component against the two rows of the bucket with the
+highest estimates; and what an estimate still leaves open is compared exactly, in blocks that send out no pairs but
+links. Pairs inside one component need no test.
+
 Defined results. A null text or one without words has an empty set and links with nothing; a text with fewer words than
-a shingle is one shingle. Equal sets form a class whatever the texts' order of shingles, and only its smallest id is
+a shingle is one shingle. Equal sets form a class, known by a 64-bit sum over its members, and only one document of it is
 compared. Repeated rows are members of their class. Nulls in other columns are not looked at, and only ``doc_id`` and
 ``text`` are read, so clashing names of other columns are of no effect. A null ``doc_id`` is kept as a row that links
 with nothing. An empty table gives an empty result.
@@ -14,19 +19,24 @@ with nothing. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .banding import linked
-from .scratch import drop, save
+from .banding import exact_links, exact_pairs, open_rows, shared_buckets, sized, star_pairs
+from .blocks import together
+from .bloom import build, may_hold
+from .graph import components
+from .scratch import drop, own_columns, save
 from .textkernel import SPACE, by_row, mix, pieces, shingles, words
 
 REGISTERS, BANDS = 128, 32
 MANTISSA = 8
+BROADCAST_IDS = 500_000  # ids that may be sent to every task; more are joined by a shuffle
+SLACK = 0.16  # over four standard errors of an estimate from 128 registers
 _PROBES = np.random.default_rng(7).integers(0, REGISTERS, (REGISTERS, 256))
 
 
@@ -106,20 +116,49 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, n long, c1 long, c2 long, bands array<long>, registers binary")
 
 
-def _likely(pairs: DataFrame, percent: int, slack: float = 0.2) -> DataFrame:
-    """Pairs whose estimate is not more than ``slack`` (over five standard errors) below the threshold."""
+class _Group:
+    """A group of ``blocks.together`` with registers: estimates of one row against all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                j = estimate(a, b, *(batch.column(c).to_numpy() for c in ("na", "nb")))
-                small = np.maximum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()) < 4 * REGISTERS
-                keep = pa.array((j >= percent / 100 - slack) | small & (j >= percent / 100 - 2 * slack))
-                yield batch.select(["a", "b"]).filter(keep)
+    def __init__(self, group: pa.Table):
+        self.ids, self.component, self.n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
+        self.regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        self.outside = np.flatnonzero(group.column("outside").to_numpy(zero_copy_only=False))
+
+    def likely(self, i: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of other components that the estimate does not rule out for row ``i``, and the estimates."""
+        other = np.flatnonzero((self.component != self.component[i]) & (100 * np.minimum(self.n, self.n[i]) >= percent * np.maximum(self.n, self.n[i])))
+        j = estimate(np.broadcast_to(self.regs[i], (len(other), REGISTERS)), self.regs[other], np.full(len(other), self.n[i]), self.n[other])
+        keep = j >= percent / 100 - np.where(np.minimum(self.n[other], self.n[i]) < 2 * REGISTERS, 2 * SLACK, SLACK)
+        return other[keep], j[keep]
+
+
+def _best(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
+    """For each row outside its bucket's main component, the two others with the highest estimates."""
+
+    def fn(group: pa.Table) -> pa.RecordBatch:
+        g, a, b = _Group(group), [], []
+        for i in g.outside:
+            other, j = g.likely(i, percent)
+            for k in other[np.argsort(-j, kind="stable")[:2]]:
+                a.append(min(g.ids[i], g.ids[k]))
+                b.append(max(g.ids[i], g.ids[k]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return fn
 
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+
+def _open_cases(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
+    """Rows that may still link to another component, and that component."""
+
+    def fn(group: pa.Table) -> pa.RecordBatch:
+        g, cases = _Group(group), set()
+        for i in g.outside:
+            other, _ = g.likely(i, percent)
+            cases.update((int(c), int(g.ids[i])) for c in np.unique(g.component[other]))
+        to, ids = zip(*cases, strict=True) if cases else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ids, pa.int64())], ["to", "id"])
+
+    return fn
 
 
 def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -127,46 +166,63 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
 
     Two documents link if ``100 * intersection >= percent * union`` of their sets.
     """
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     signed = save(signatures(documents, shingle_words), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    copies = save(classes.where("copies > 1").select("c1", "c2", F.col("n").alias("class_n"), F.col("id").alias("class")), "classes")
-    of_class = (signed.c1 == copies.c1) & (signed.c2 == copies.c2) & (signed.n == copies.class_n) & signed.doc_id.isNotNull()
-    mine = save(signed.join(copies, of_class, "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class")), "members")
-    # an id that occurs twice, with equal or other sets, is one node; its first row stands for it
-    reps = save(
-        signed.where("n > 0 and doc_id is not null").join(mine.where("class != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"),
-        "reps",
-    )
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}")) for k in "ab")
-        sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        likely = save(_likely(sized, percent), "likely")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        full = save(_full_sets(documents.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi"), shingle_words), "sets")
-        one, other = (full.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return likely.join(one, "a").join(other, "b").withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
-
-    found = linked(reps.select("id", "bands"), verify)
-    drop(reps)
-    out = mine.join(found, mine["class"] == found.id, "left")
-    component = F.coalesce("component", "class")
+    buckets = save(shared_buckets(known.select(F.col("c1").alias("id"), F.explode("bands").alias("band"))), "buckets")
+    # classes that share a band with another one; one document of a class stands for it
+    ids = buckets.select("id").distinct()
+    some = save(known.withColumnRenamed("c1", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "n", "registers")).alias("x")).select("id", "x.*"), "candidates")
+    full = save(_full_sets(texts, some.select("doc_id", "id"), shingle_words), "sets")
+    small = some.select("id", "n", "registers")
+    verify = lambda pairs: exact_pairs(sized(pairs, small.select("id", "n"), percent), full, percent)
+
+    links = save(verify(star_pairs(buckets)), "links")
+    found = components(links)
+    best = together(open_rows(buckets, found), [F.col("band")], _best(percent), "a long, b long", small).distinct()
+    more = save(verify(best), "links")
+    if more.limit(1).count():
+        found = components(links.union(more))
+    cases = save(together(open_rows(buckets, found), [F.col("band")], _open_cases(percent), "to long, id long", small).distinct(), "cases")
+    if cases.limit(1).count():
+        placed = some.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        outside = cases.join(placed, "id").select("to", "id", "component", F.lit(True).alias("outside"))
+        inside = placed.join(cases.select("to").distinct(), F.col("component") == F.col("to")).select("to", "id", "component", F.lit(False).alias("outside"))
+        last = save(exact_links(outside.union(inside), full, [F.col("to")], percent, "long"), "links")
+        if last.limit(1).count():
+            found = components(links.union(more).union(last))
+
+    classes = save(known.groupBy("c1").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).join(found, F.col("c1") == F.col("id"), "left"), "classes")
+    grouped = classes.where("component is not null").groupBy(F.col("component").alias("group")).agg(F.min("first").alias("lowest"))
+    named = classes.join(grouped, F.col("component") == F.col("group"), "left").where("copies > 1 or lowest is not null").select(F.col("c1").alias("class"), F.coalesce("lowest", "first").alias("named"))
+    named = save(named, "named")
+    for old in (buckets, some, full, links, more, cases, classes):
+        drop(old)
+    out = signed.select("doc_id", "n", "c1").join(named, (signed.c1 == named["class"]) & (signed.n > 0) & signed.doc_id.isNotNull(), "left")
+    component = F.coalesce("named", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _full_sets(documents: DataFrame, size: int) -> DataFrame:
+def _full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``id`` and ``shingles`` of the documents in ``wanted`` (``doc_id``, ``id``). A Bloom filter drops the others before
+    their sets are made, so no text is shuffled."""
+    held = texts.sparkSession.sparkContext.broadcast(build(wanted.select(F.xxhash64("doc_id").alias("key")), "key"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = _sets(batch, size)
-            at = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(np.concatenate(sets)))], ["doc_id", "shingles"])
+        for batch in batches:
+            keep = may_hold(held.value, batch.column("key").to_numpy().view(np.uint64))
+            for part in pieces(iter([batch.filter(pa.array(keep))])):
+                sets = _sets(part, size)
+                at = np.cumsum([0, *map(len, sets)])
+                ids = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([_signed(ids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(np.concatenate(sets)))], ["id", "shingles"])
 
-    return documents.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, shingles array<long>").dropDuplicates(["doc_id"])
+    keyed = texts.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
+    return keyed.select("key", "text").mapInArrow(run, "id long, shingles array<long>").join(wanted.select("id"), "id").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
 def keep_one(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``documents`` less those that near-duplicate one with a smaller id; all columns."""
-    gone = near_duplicates(documents, shingle_words, percent).where("not kept").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    gone = save(near_duplicates(documents, shingle_words, percent).where("not kept").select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*own_columns(documents))

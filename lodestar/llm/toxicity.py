@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import own_columns
 from .textkernel import PUNCT, pieces, prefixes, words
 
 BITS = 24
@@ -139,24 +138,38 @@ def _forward(row: np.ndarray, col: np.ndarray, n: int, bias: float, w: np.ndarra
     return bias + _sum_by(row, w[col], n) + 0.5 * (sums**2 - _sum_by(row, v[col] ** 2, n)).sum(axis=1), sums
 
 
+def _scores(batch: pa.RecordBatch, machine: Machine, place: np.ndarray) -> np.ndarray:
+    rows, ids = _terms(batch)
+    col = place[ids]
+    rows, col = _distinct(rows[col >= 0], col[col >= 0].astype(np.int64))
+    s, _ = _forward(rows, col, batch.num_rows, machine.bias, machine.weights, machine.vectors)
+    return 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+
+
+def _places(machine: Machine) -> np.ndarray:
+    place = np.full(1 << BITS, -1, np.int32)
+    place[machine.terms] = np.arange(len(machine.terms))
+    return place
+
+
 def score(documents: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
     """``doc_id`` and the chance that label 1 holds, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << BITS, -1, np.int32)
-        place[machine.terms] = np.arange(len(machine.terms))
+        place = _places(machine)
         for batch in pieces(batches):
-            rows, ids = _terms(batch)
-            col = place[ids]
-            rows, col = _distinct(rows[col >= 0], col[col >= 0].astype(np.int64))
-            s, _ = _forward(rows, col, batch.num_rows, machine.bias, machine.weights, machine.vectors)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(s, -500, 500))))], ["doc_id", column])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch, machine, place))], ["doc_id", column])
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, {column} double")
 
 
 def not_toxic(documents: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``documents`` that score below ``threshold``; all columns, whole rows."""
-    bad = score(documents, machine).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(*own_columns(documents))
+    """The rows of ``documents`` that score below ``threshold``; all columns, whole rows, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _places(machine)
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(_scores(batch, machine, place) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
