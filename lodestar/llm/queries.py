@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, histogram_sort, language, minhash, packing, pseudonyms, redirects, toxicity
+from . import decontaminate, histogram_sort, language, minhash, nndescent, packing, paragraphs, pseudonyms, redirects, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,6 +60,16 @@ def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, machine).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 @query
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
@@ -89,3 +99,31 @@ URL_RULES = [
 def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = redirects.filter_urls(_read(spark, sf_dir, "pages", "page_id", "url", "html"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op4_nn_descent"] = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS node FROM v UNION SELECT r.id, l.b FROM reach r JOIN l ON r.node = l.a),
+c AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(DISTINCT b) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
+def _judged_sql(host: str, path: str, what: str) -> str:
+    whens = [
+        f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{r.text if what == 'rule' else r.verdict}'"
+        for r in sorted(URL_RULES, key=lambda r: -len(r.text))
+    ]
+    return "CASE " + " ".join(whens) + " END"
+
+
+_HOST_SQL = r"coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH_SQL = r"coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_ADDRESS_SQL = r"CASE WHEN contains({0}, '://') THEN lower(regexp_extract({0}, '(?s)^(.*?)://', 1)) || '://' || " + _HOST_SQL + r" || regexp_extract(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) END"
+ORACLES["op8_redirect_equivalence"] = rf"""WITH RECURSIVE p AS (SELECT page_id, url, {_ADDRESS_SQL.format('url')} AS node, {_HOST_SQL.format('url')} AS host, {_PATH_SQL.format('url')} AS path FROM pages),
+t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+h AS (SELECT url, replace(CASE WHEN starts_with(lower(tag), '<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) END, '&amp;', '&') AS target FROM t),
+d AS (SELECT {_ADDRESS_SQL.format('url')} AS a, {_ADDRESS_SQL.format('target')} AS b FROM h WHERE contains(target, '://')), e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
+reach AS (SELECT DISTINCT node AS id, node FROM p WHERE node IS NOT NULL UNION SELECT r.id, e.b FROM reach r JOIN e ON r.node = e.a),
+told AS (SELECT id, max(CASE said WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS told FROM (SELECT id, {_judged_sql(_HOST_SQL.format('node'), _PATH_SQL.format('node'), 'verdict')} AS said FROM reach WHERE id IN (SELECT a FROM e)) GROUP BY id)
+SELECT page_id, host, path, {_judged_sql('host', 'path', 'rule')} AS rule, coalesce({_judged_sql('host', 'path', 'verdict')}, CASE WHEN told = 1 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN told ON told.id = p.node"""
