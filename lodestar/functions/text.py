@@ -78,6 +78,11 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<[^>]+>", "\n")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean_lines(text: Column) -> Column:
     """Lines of over two words or with a sentence's end; three line ends or more become two."""
     trimmed = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
@@ -102,7 +107,7 @@ def clean_markdown(text: Column) -> Column:
     t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
     t = F.regexp_replace(t, r"<[^>]+>", "")
     lines = F.filter(F.split(t, "\n"), lambda line: ~line.rlike(r"^\s*[|·\-][|·\-\s]*$"))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
 def fixed_windows(text: Column, size: int = 800, overlap: float = 0.15) -> Column:

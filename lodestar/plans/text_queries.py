@@ -141,7 +141,7 @@ def clean_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH m AS (SELECT doc_id, '<h2>Title</h2>' || chr(10) || '[![b](u)](v) ![i](u) [link text](http://x)' || chr(10) || '| - |' || chr(10) || '<!-- c -->' || substr(text, 1, 2000) AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?is)<h2[^>]*>\s*(.*?)\s*</h2>', chr(10) || '## \1' || chr(10), 'g') AS t FROM m),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', '', 'g') AS t FROM a),
-c AS (SELECT doc_id, trim(regexp_replace(array_to_string([l for l in string_split(t, chr(10)) if not regexp_matches(l, '^\s*[|·\-][|·\-\s]*$')], chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS t FROM b)
+c AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string([l for l in string_split(t, chr(10)) if not regexp_matches(l, '^\s*[|·\-][|·\-\s]*$')], chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b)
 SELECT doc_id, md5(t) AS digest FROM c""")
 def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "<h2>Title</h2>\n[![b](u)](v) ![i](u) [link text](http://x)\n| - |\n<!-- c -->"
