@@ -25,12 +25,12 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def open_rows(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """``band``, ``id``, ``component`` and ``outside`` of the buckets that hold several components; ``outside``: not of
-    the bucket's largest one. Two rows of which neither is outside are of one component."""
+    """``band``, ``id``, ``component``, ``main`` and ``outside`` of the buckets that hold several components; ``main`` is
+    the bucket's largest one, and ``outside`` says that a row is not of it. Two rows of which neither is outside are of one component."""
     placed = save(buckets.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
     sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "main")
-    return placed.join(save(mixed, "bands"), "band").select("band", "id", "component", (F.col("component") != F.col("main")).alias("outside"))
+    return placed.join(save(mixed, "bands"), "band").select("band", "id", "component", "main", (F.col("component") != F.col("main")).alias("outside"))
 
 
 def sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:

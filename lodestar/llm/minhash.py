@@ -148,15 +148,12 @@ def _best(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
 
 
 def _open_cases(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
-    """Rows that may still link to another component, and that component."""
+    """Rows that may still link to another component, each with its bucket's main component."""
 
     def fn(group: pa.Table) -> pa.RecordBatch:
-        g, cases = _Group(group), set()
-        for i in g.outside:
-            other, _ = g.likely(i, percent)
-            cases.update((int(c), int(g.ids[i])) for c in np.unique(g.component[other]))
-        to, ids = zip(*cases, strict=True) if cases else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ids, pa.int64())], ["to", "id"])
+        g, main = _Group(group), group.column("main").to_numpy()
+        rows = np.array([i for i in g.outside if len(g.likely(i, percent)[0])], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(main[rows]), pa.array(g.ids[rows])], ["to", "id"])
 
     return fn
 
@@ -185,6 +182,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
         found = components(links.union(more))
     cases = save(together(open_rows(buckets, found), [F.col("band")], _open_cases(percent), "to long, id long", small).distinct(), "cases")
     if cases.limit(1).count():
+        # all open rows of a main component's buckets meet one another and that component's members
         placed = some.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         outside = cases.join(placed, "id").select("to", "id", "component", F.lit(True).alias("outside"))
         inside = placed.join(cases.select("to").distinct(), F.col("component") == F.col("to")).select("to", "id", "component", F.lit(False).alias("outside"))
