@@ -68,7 +68,7 @@ def exact_links(rows: DataFrame, sets: DataFrame, key: list[Column], percent: in
                 b.append(max(ids[i], ids[k]))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if a else None
 
-    return together(rows, key, fn, f"a {kind}, b {kind}", sets).distinct()
+    return together(rows, key, fn, f"a {kind}, b {kind}", sets, F.col("outside")).distinct()
 
 
 def linked_sets(classes: DataFrame, buckets: DataFrame, percent: int, components: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -31,23 +31,29 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def together(rows: DataFrame, key: list[Column], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, payload: DataFrame | None = None) -> DataFrame:
+def together(rows: DataFrame, key: list[Column], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, payload: DataFrame | None = None, active: Column | None = None) -> DataFrame:
     """Run ``fn`` over the rows (``id``, ...) of each key. Of a key of over ``BLOCK`` rows every two half blocks meet in
     one group; ``a`` and ``b`` are true for rows of the first and of the second, and both where a block meets itself.
-    ``payload`` (``id``, ...) has the wide columns; they are joined once the narrow rows are dealt."""
-    keyed = rows.withColumn("key", F.xxhash64(*key))
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK)
-    parts = F.ceil(F.col("__n") / (BLOCK / 2)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "id"), parts).cast("int")
+    Where ``active`` is given, two rows of which neither is active need not meet: a block of such rows is dealt out to
+    the blocks of active ones only. ``payload`` (``id``, ...) has the wide columns; they are joined once the narrow rows
+    are dealt."""
+    asks = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
+    keyed = rows.withColumn("key", F.xxhash64(*key)).withColumn("__asks", asks)
+    blocks = lambda n: F.ceil(n / (BLOCK / 2)).cast("int")
+    asking = F.sum(F.col("__asks").cast("int"))
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), blocks(asking).alias("__p"), blocks(F.count(F.lit(1)) - asking).alias("__q")).where(F.col("__n") > BLOCK)
+    spread = F.xxhash64(F.lit(3), "id")
+    own = F.when(F.col("__asks"), F.pmod(spread, F.col("__p"))).otherwise(F.col("__p") + F.pmod(spread, F.col("__q"))).cast("int")
     dealt = (
         keyed.join(large, "key", "left")
-        .withColumn("parts", F.coalesce(parts, F.lit(1)))
+        .where("__p is null or __p > 0")
+        .withColumn("parts", F.when(F.col("__p").isNull(), 1).when(F.col("__asks"), F.col("__p") + F.col("__q")).otherwise(F.col("__p")))
         .withColumn("own", F.coalesce(own, F.lit(0)))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("a", F.col("own") <= F.col("other"))
         .withColumn("b", F.col("own") >= F.col("other"))
         .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        .drop("__n", "parts", "own", "other")
+        .drop("__n", "__p", "__q", "__asks", "parts", "own", "other")
     )
     if payload is not None:
         dealt = dealt.join(payload, "id")

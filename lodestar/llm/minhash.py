@@ -133,16 +133,18 @@ class _Group:
 
 
 def _best(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
-    """For each row outside its bucket's main component, the two others with the highest estimates."""
+    """For each row outside its bucket's main component, the two others with the highest estimates, and the bucket."""
 
     def fn(group: pa.Table) -> pa.RecordBatch:
-        g, a, b = _Group(group), [], []
+        g, band, a, b = _Group(group), group.column("band").to_numpy(), [], []
+        at = []
         for i in g.outside:
             other, j = g.likely(i, percent)
             for k in other[np.argsort(-j, kind="stable")[:2]]:
+                at.append(i)
                 a.append(min(g.ids[i], g.ids[k]))
                 b.append(max(g.ids[i], g.ids[k]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(band[np.array(at, np.int64)]), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["band", "a", "b"])
 
     return fn
 
@@ -176,11 +178,13 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
 
     links = save(verify(star_pairs(buckets)), "links")
     found = components(links)
-    best = together(open_rows(buckets, found), [F.col("band")], _best(percent), "a long, b long", small).distinct()
-    more = save(verify(best), "links")
+    best = save(together(open_rows(buckets, found), [F.col("band")], _best(percent), "band long, a long, b long", small, F.col("outside")), "best")
+    more = save(verify(best.select("a", "b").distinct()), "links")
     if more.limit(1).count():
         found = components(links.union(more))
-    cases = save(together(open_rows(buckets, found), [F.col("band")], _open_cases(percent), "to long, id long", small).distinct(), "cases")
+    # a bucket without a likely pair has none later, as components only grow together
+    still = buckets.join(best.select("band").distinct(), "band", "left_semi")
+    cases = save(together(open_rows(still, found), [F.col("band")], _open_cases(percent), "to long, id long", small, F.col("outside")).distinct(), "cases")
     if cases.limit(1).count():
         # all open rows of a main component's buckets meet one another and that component's members
         placed = some.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -194,7 +198,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     grouped = classes.where("component is not null").groupBy(F.col("component").alias("group")).agg(F.min("first").alias("lowest"))
     named = classes.join(grouped, F.col("component") == F.col("group"), "left").where("copies > 1 or lowest is not null").select(F.col("c1").alias("class"), F.coalesce("lowest", "first").alias("named"))
     named = save(named, "named")
-    for old in (buckets, some, full, links, more, cases, classes):
+    for old in (buckets, some, full, links, best, more, cases, classes):
         drop(old)
     out = signed.select("doc_id", "n", "c1").join(named, (signed.c1 == named["class"]) & (signed.n > 0) & signed.doc_id.isNotNull(), "left")
     component = F.coalesce("named", "doc_id")
