@@ -2,19 +2,24 @@
 
 A paragraph is a sentence of eight words or more, or the shorter sentences between two such; one of over 64 words is cut
 after words whose hash says so. Where a paragraph begins and ends thus depends on its own words only, so a passage has
-the same paragraphs wherever it stands, in the middle of a line too. Its shingles of five words are MinHashed.
+the same paragraphs wherever it stands, as long as sentences end at its borders. Its shingles of five words are MinHashed.
 
-The bands of all paragraphs are counted once; those met in two documents or more go into a Bloom filter of fixed size.
-A second pass over the texts keeps the paragraphs that the filter lets through, with their shingles. Equal paragraphs
-form a class; classes that share a band are compared by exact Jaccard similarity, and components of the links are the
-groups. A paragraph of a group that reaches two documents is repeated; neighbouring ones form a passage, which is
-reported from ``least_words`` words on. The first paragraph of a group by document and place is kept.
+Beside the paragraphs stand stretches, which need no sentence ends. An anchor is the shingle of the smallest hash among
+``ANCHOR`` neighbouring ones, and a stretch goes from the first word of an anchor to the last of the next one: 6 to 13
+words, overlapping their neighbours. Two texts that share n words in a row share stretches of n - 2 * ANCHOR + 2 of them,
+wherever the words stand and whatever surrounds them; stretches count as repeated only if they are equal.
+
+The bands of all paragraphs and the hashes of all stretches are counted once; those met in two documents or more go into
+a Bloom filter of fixed size. A second pass over the texts keeps what the filter lets through, paragraphs with their
+shingles. Equal paragraphs form a class; classes that share a band are compared by exact Jaccard similarity, and
+components of the links are the groups. What is of a group that reaches two documents is repeated; repeated paragraphs
+and stretches with at most ``GAP`` words between them, which is what one edited word may cost, form a passage. It is
+reported if they cover ``least_words`` words of it. The first of a group by document and place is kept.
 
 Bands: with one row a band, ``bands`` of them find a pair of similarity s with a chance of 1 - (1 - s) ** bands; three
 give 0.992 at 0.8 and 0.9999 at 0.95, and five-word shingles are rare enough that one row does not bring chance pairs.
 
-Defined results. Null and empty texts, and paragraphs of fewer than five words, repeat nothing; such a short paragraph
-does not part a passage. Repeats inside one document alone are no finding. A null ``doc_id`` is left out. Repeated rows
+Defined results. Null and empty texts, and paragraphs of fewer than five words, repeat nothing. Repeats inside one document alone are no finding. A null ``doc_id`` is left out. Repeated rows
 of one ``doc_id`` count as one document. Only ``doc_id`` and ``text`` are read; :func:`remove_repeats` carries all columns.
 """
 
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,10 +38,12 @@ from .banding import linked_sets, shared_buckets
 from .bloom import build, may_hold
 from .graph import components
 from .scratch import drop, own_columns, save
-from .textkernel import SPACE, combine, mix, pieces, words
+from .textkernel import SPACE, Words, combine, mix, pieces, words
 
 SHINGLE = 5
 LONG, TOO_LONG = 8, 64
+ANCHOR = 8
+GAP = 2 * ANCHOR - 1
 
 
 def bands_for(similarity: float, recall: float) -> int:
@@ -43,13 +51,39 @@ def bands_for(similarity: float, recall: float) -> int:
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - similarity))))
 
 
+class _Stretches:
+    """Stretches from anchor to anchor of a batch: row, first word's number in the row, first byte, end, words, hash."""
+
+    def __init__(self, w: Words, window: np.ndarray):
+        reach = ANCHOR + SHINGLE - 1
+        a = b = np.zeros(0, np.int64)
+        if len(w.hash) >= reach:
+            least = sliding_window_view(mix(window ^ np.uint64(0x5EED)), ANCHOR).argmin(axis=1)
+            inside = np.flatnonzero(w.row[: len(least)] == w.row[reach - 1 :])
+            anchors = np.unique(inside + least[inside])
+            a, b = anchors[:-1], anchors[1:]
+            same = w.row[a] == w.row[b]
+            a, b = a[same], b[same]
+        each = b - a + 1
+        at = np.cumsum(each) - each
+        place = np.arange(each.sum()) - np.repeat(at, each)
+        h = window[np.repeat(a, each) + place]
+        with np.errstate(over="ignore"):
+            self.hash = mix(np.add.reduceat(mix(h * np.uint64(3) + place.astype(np.uint64)), at) + np.uint64(0x57)) if len(at) else h
+        self.row, self.words = w.row[a], b + SHINGLE - a
+        self.no = a - np.searchsorted(w.row, self.row)
+        self.start = w.start[a] - w.offsets[self.row]
+        self.end = w.end[b + SHINGLE - 1] - w.offsets[self.row]
+
+
 class _Units:
-    """Paragraphs of a batch: row, number among those of the row, first byte, end, words, shingle places."""
+    """Paragraphs of a batch: row, first word's number in the row, first byte, end, words, shingle places. And its stretches."""
 
     def __init__(self, texts: pa.Array):
         w = words(texts, SPACE)
         n = len(w.hash)
         self.window = combine(w.hash, SHINGLE)
+        self.stretches = _Stretches(w, self.window)
         if not n:
             self.row = self.no = self.start = self.end = self.words = self.first = np.zeros(0, np.int64)
             return
@@ -70,7 +104,7 @@ class _Units:
         size = np.diff(np.append(begin, n))
         begin, size = begin[size >= SHINGLE], size[size >= SHINGLE]
         self.row, self.words, self.first = w.row[begin], size, begin
-        self.no = np.arange(len(begin)) - np.searchsorted(self.row, self.row)
+        self.no = begin - np.searchsorted(w.row, self.row)
         self.start = w.start[begin] - w.offsets[self.row]
         self.end = w.end[begin + size - 1] - w.offsets[self.row]
 
@@ -99,7 +133,8 @@ def _all_bands(documents: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20):
             units = _Units(batch.column("text"))
-            row, band = np.repeat(units.row, bands), units.bands(bands).ravel()
+            row = np.concatenate([np.repeat(units.row, bands), units.stretches.row])
+            band = np.concatenate([units.bands(bands).ravel(), units.stretches.hash])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), _signed(band)], ["doc_id", "band"])
 
     return _texts(documents).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, band long")
@@ -107,6 +142,7 @@ def _all_bands(documents: DataFrame, bands: int) -> DataFrame:
 
 def _candidates(documents: DataFrame, bands: int, table: np.ndarray) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(table)
+    fields = ["doc_id", "no", "start", "end", "words", "id", "bands", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20):
@@ -116,6 +152,11 @@ def _candidates(documents: DataFrame, bands: int, table: np.ndarray) -> DataFram
             h, at = units.shingles(keep) if len(keep) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             with np.errstate(over="ignore"):
                 c = [np.add.reduceat(mix(h * np.uint64(2 * k + 1) + (np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))).astype(np.uint64)), at) if len(at) else h for k in (1, 2)]
+            more = units.stretches
+            also = np.flatnonzero(may_hold(held.value, more.hash))
+            none = pa.array([[]] * len(also), pa.list_(pa.int64()))
+            places = (pa.array(getattr(more, c)[also], pa.int64()) for c in ("no", "start", "end", "words"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(more.row[also])), *places, pa.array([f"{x:016x}" for x in more.hash[also].tolist()], pa.string()), none, none], fields)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(units.row[keep])), *(pa.array(x[keep], pa.int64()) for x in (units.no, units.start, units.end, units.words)),
@@ -123,14 +164,14 @@ def _candidates(documents: DataFrame, bands: int, table: np.ndarray) -> DataFram
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), _signed(np.ascontiguousarray(band[keep]).ravel())),
                     pa.ListArray.from_arrays(pa.array(np.append(at, len(h)), pa.int32()), _signed(h)),
                 ],
-                ["doc_id", "no", "start", "end", "words", "id", "bands", "shingles"],
+                fields,
             )
 
     return _texts(documents).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, no long, start long, end long, words long, id string, bands array<long>, shingles array<long>")
 
 
 def repeats(documents: DataFrame, similarity: int = 80, least_words: int = 20, recall: float = 0.99) -> DataFrame:
-    """A row for each repeated paragraph: ``doc_id``, ``start`` and ``end`` (UTF-8 bytes of the text), ``words``,
+    """A row for each repeated paragraph or stretch: ``doc_id``, ``start`` and ``end`` (UTF-8 bytes of the text), ``words``,
     ``component_doc`` and ``component_start`` (the group's first paragraph), ``passage_words`` and ``kept``."""
     bands = bands_for(similarity / 100, recall)
     met = _all_bands(documents, bands).groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -147,11 +188,14 @@ def repeats(documents: DataFrame, similarity: int = 80, least_words: int = 20, r
         drop(old)
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("keeper"), F.max("doc_id").alias("last")).where("keeper.doc_id < last").drop("last")
     groups = save(first, "groups")
-    repeated = placed.join(groups, "component").dropDuplicates(["doc_id", "no", "start", "component"])
-    by_doc = W.partitionBy("doc_id")
-    runs = repeated.withColumn("run", F.col("no") - F.row_number().over(by_doc.orderBy("no", "start")))
+    repeated = placed.join(groups, "component").dropDuplicates(["doc_id", "no", "start", "words", "component"])
+    in_order = W.partitionBy("doc_id").orderBy("no", "start", "words", "component")
+    reached = F.coalesce(F.max(F.col("no") + F.col("words")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.col("no") - GAP - 1)
+    placed_in = repeated.withColumn("reached", reached)
+    runs = placed_in.withColumn("run", F.sum((F.col("no") - F.col("reached") > GAP).cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    new = F.greatest(F.lit(0), F.col("no") + F.col("words") - F.greatest("no", "reached"))
     return (
-        runs.withColumn("passage_words", F.sum("words").over(W.partitionBy("doc_id", "run")))
+        runs.withColumn("passage_words", F.sum(new).over(W.partitionBy("doc_id", "run")))
         .where(F.col("passage_words") >= least_words)
         .select(
             "doc_id", "start", "end", "words", F.col("keeper.doc_id").alias("component_doc"), F.col("keeper.start").alias("component_start"), "passage_words",
@@ -161,7 +205,7 @@ def repeats(documents: DataFrame, similarity: int = 80, least_words: int = 20, r
 
 
 def remove_repeats(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` without the paragraphs that :func:`repeats` finds and does not keep; all columns and rows."""
+    """``documents`` without the paragraphs and stretches that :func:`repeats` finds and does not keep; all columns and rows."""
     gone = repeats(documents, **options).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
     cut = "__gone"
     joined = documents.join(gone.withColumnRenamed("gone", cut), "doc_id", "left")
@@ -174,7 +218,7 @@ def remove_repeats(documents: DataFrame, **options) -> DataFrame:
                     raw, at, left = text.encode(), 0, []
                     for s in spans:
                         left.append(raw[at : s["start"]])
-                        at = s["end"]
+                        at = max(at, s["end"])
                     text = b"".join([*left, raw[at:]]).decode()
                 out.append(text)
             names = [c for c in batch.schema.names if c != cut]

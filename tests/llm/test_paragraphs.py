@@ -38,6 +38,27 @@ def test_finds_passages_and_leaves_clean(spark):
     assert len(left[21]) < len(texts[21])
 
 
+def test_passages_inside_text_without_sentence_ends(spark):
+    """Passages of 51 to 80 words, exact or with one word edited, at random places between words of the host."""
+    r = random.Random(7)
+    plain = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i, n in enumerate([51, 55, 60, 66, 80] * 12):
+        passage = plain(n)
+        edited = list(passage)
+        if i % 2:
+            edited[r.randrange(n)] = "edited"
+        for k, words in enumerate((passage, edited)):
+            host = plain(160)
+            at = r.randrange(20, 140)
+            rows.append((2 * i + k, " ".join(host[:at] + words + host[at:])))
+    rows += [(1000 + i, " ".join(plain(200))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in G.repeats(df).select("doc_id").distinct().collect()} == set(range(120))
+    left = {x.doc_id: x.text for x in G.remove_repeats(df).collect()}
+    assert all(left[i] == text for i, text in rows if i >= 1000 or i % 2 == 0) and all(len(left[i]) < len(text) for i, text in rows if i < 120 and i % 2)
+
+
 def test_edges(spark):
     assert G.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = [(1, "a b c d e f g h i j k l m n o p q r s t u v w. x"), (1, "a b c d e f g h i j k l m n o p q r s t u v w. x"), (None, "x")]
