@@ -4,11 +4,14 @@
    those within half the threshold's angle join its ball. Two members of a ball always link, so a group of near copies
    becomes a few balls whose inner links are counted, not listed.
 2. First lists. Balls' centres that share a bucket of one of several coarse sign hashes are compared; each keeps its
-   nearest ones and everything that may link.
+   nearest ones and everything that may link. A label has as many hashes as a pair at the threshold needs to meet with a
+   chance of ``MEET``: the finer the buckets, the more.
 3. NN-descent. Each centre joins its neighbours and reverse neighbours with one another and offers what it finds to both
    ends. A list whose places are all links is saturated and doubles. Rounds end when few links are new.
-4. Audit. For a bounded sample of vectors, links are counted by brute force against all rows. While the recall is below
-   ``recall``, more hashes are added and the descent is repeated.
+4. Audit. For a bounded sample, half of all vectors and half of the balls' centres, links are counted by brute force
+   against all rows. The recall is a mean over vectors, not links, and the least one of the strata by number of links, so
+   a hot group does not hide the small ones. While it is below ``recall``, more hashes are added and the descent is
+   repeated; after ``attempts``, as long as that raises it. A recall that is not reached is told in a warning.
 5. Links. Two balls link wholly if their radii allow no exception; otherwise their members are compared in double
    precision, in blocks, and only counts leave the block.
 
@@ -21,6 +24,7 @@ by value. Other columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +37,7 @@ from .graph import components
 from .scratch import drop, save
 
 BUCKET = 24  # vectors that a bucket of the first lists should hold
+MEET = 0.99  # chance that two vectors at the threshold share a bucket of the first lists
 FINE_BITS, FINE_ROUNDS = 14, 3
 EPS = 1e-7
 
@@ -140,10 +145,17 @@ def _angles(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"id {kind}, leader {kind}, radius double, angle double")
 
 
+def _tables_for(bits: int, theta: float, least: int) -> int:
+    """Hashes of that many bits that two vectors at an angle of ``theta`` need to share a bucket with a chance of ``MEET``."""
+    return max(least, int(np.ceil(np.log(1 - MEET) / np.log(1 - (1 - theta / np.pi) ** min(bits, 31)))))
+
+
 def _first_lists(balls: DataFrame, theta: float, tables: int, seed: int) -> DataFrame:
     size = balls.groupBy(F.col("label").alias("of_label")).agg(F.greatest(F.lit(1.0), F.ceil(F.log2(F.count(F.lit(1)) / BUCKET))).cast("int").alias("bits"))
-    coded = _codes(balls, tables, seed).join(size, F.col("label") == F.col("of_label"))
-    spread = coded.select("id", "of_label", F.size("vec").alias("dim"), "bits", F.posexplode("codes").alias("t", "code"))
+    finest = size.agg(F.max("bits")).first()[0] or 1
+    needed = F.element_at(F.array(*(F.lit(_tables_for(b, theta, tables)) for b in range(1, finest + 1))), F.col("bits"))
+    coded = _codes(balls, _tables_for(finest, theta, tables), seed).join(size, F.col("label") == F.col("of_label"))
+    spread = coded.withColumn("codes", F.slice("codes", F.lit(1), needed)).select("id", "of_label", F.size("vec").alias("dim"), "bits", F.posexplode("codes").alias("t", "code"))
     key = [F.col("of_label"), F.col("dim"), F.col("t"), F.expr("code & (shiftleft(1L, least(bits, 31)) - 1)")]
     kind = dict(balls.dtypes)["id"]
     return together(spread, key, _near(theta, 2), f"u {kind}, v {kind}, cos double, link boolean", balls.select("id", "label", "vec", "radius"))
@@ -188,9 +200,11 @@ def _members_between(balls: DataFrame, home: DataFrame, vectors: DataFrame, pair
     return together(sides.join(inside, "ball"), [F.col("u"), F.col("v")], fn, f"x {kind}, n long, u {kind}, v {kind}", vectors.select(F.col("vec_id").alias("id"), "vec"))
 
 
-def _audit(vectors: DataFrame, counted: DataFrame, cosine: float, sample: int) -> float:
-    """Share of the sample's true links that were counted. ``sample`` rows at most are broadcast."""
-    asked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "label", "vec").collect()
+def _audit(vectors: DataFrame, centres: DataFrame, counted: DataFrame, cosine: float, sample: int) -> float:
+    """Share of a vector's true links that were counted: the mean over the sample's vectors, in the stratum (powers of two
+    of links) where it is least. ``sample`` rows at most are broadcast, half of them centres of balls."""
+    drawn = (x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("vec_id", "label", "vec").collect() for x, n in ((vectors, sample - sample // 2), (centres, sample // 2)))
+    asked = list({r.vec_id: r for rows in drawn for r in rows}.values())
     if not asked:
         return 1.0
     by_key: dict = {}
@@ -211,8 +225,10 @@ def _audit(vectors: DataFrame, counted: DataFrame, cosine: float, sample: int) -
 
     kind = dict(vectors.dtypes)["vec_id"]
     truth = vectors.mapInArrow(run, f"vec_id {kind}, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    got = truth.join(counted, "vec_id", "left").agg(F.sum(F.least("n", F.coalesce("n_links", F.lit(0)))).alias("got"), F.sum("n").alias("all")).first()
-    return got["got"] / got["all"] if got["all"] else 1.0
+    share = F.least("n", F.coalesce("n_links", F.lit(0))) / F.col("n")
+    strata = truth.where("n > 0").join(counted, "vec_id", "left").groupBy(F.floor(F.log2("n")).alias("stratum")).agg(F.avg(share).alias("share"))
+    least = strata.agg(F.min("share")).first()[0]
+    return 1.0 if least is None else least
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = 0.93, k: int = 8, tables: int = 16, rounds: int = 3, recall: float = 0.99, audit: int = 256, attempts: int = 3) -> DataFrame:
@@ -222,13 +238,18 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93, k: int = 8, tables
     rows = embeddings.select("vec_id", F.col("embedding").alias("vec"), "label")
     vectors = save(rows.where("vec_id is not null and label is not null and vec is not null").where(whole).groupBy("vec_id").agg(F.min(F.struct("label", "vec")).alias("x")).select("vec_id", "x.label", "x.vec"), "vectors")
     balls, home = _balls(vectors, theta)
-    found, counted, linked = None, None, None
-    for attempt in range(attempts):
+    centres = balls.select(F.col("id").alias("vec_id"), "label", "vec")
+    found, counted, linked, attempt, reached = None, None, None, 0, -1.0
+    while True:
         start = _first_lists(balls, theta, tables, 10 + attempt)
         lists = _descend(balls, start if found is None else found.union(start), theta, k, rounds)
         found = lists
         counted, linked = _count(vectors, balls, home, lists.where("link"), theta, cosine)
-        if _audit(vectors, counted, cosine, audit) >= recall:
+        attempt, before, reached = attempt + 1, reached, _audit(vectors, centres, counted, cosine, audit)
+        if reached >= recall:
+            break
+        if attempt >= attempts and reached <= before:
+            warnings.warn(f"near_vectors: recall {reached:.4f} of the audit after {attempt} attempts, {recall} asked", stacklevel=2)
             break
     group = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")))
     of = home.join(group, "id", "left").select("vec_id", F.coalesce("component", "id").alias("component_id"))

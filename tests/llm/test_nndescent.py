@@ -59,3 +59,30 @@ def test_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], 2)]
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in N.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_hot_group_does_not_hide_lost_pairs(spark):
+    r = np.random.default_rng(5)
+    hot = r.normal(size=16)
+    vectors, found = [], []
+    for i in range(100):
+        vectors.append((i, 0, (hot + r.normal(size=16) * 1e-3).tolist()))
+        found.append((i, 99))
+    for i in range(100, 200, 2):  # pairs of which no link is counted
+        a = r.normal(size=16)
+        vectors += [(i, 0, a.tolist()), (i + 1, 0, (a + 1e-3).tolist())]
+        found += [(i, 0), (i + 1, 0)]
+    rows = spark.createDataFrame(vectors, "vec_id long, label int, vec array<double>")
+    counted = spark.createDataFrame(found, "vec_id long, n_links long")
+    centres = rows.where("vec_id = 0 or vec_id >= 100")
+    assert N._audit(rows, centres, counted, 0.93, 64) < 0.5
+    right = spark.createDataFrame([(i, 99 if i < 100 else 1) for i in range(200)], "vec_id long, n_links long")
+    assert N._audit(rows, centres, right, 0.93, 64) == 1.0
+
+
+def test_tables_follow_the_bits():
+    theta = float(np.arccos(0.93))
+    for rows in (48, 100_000, 3_000_000, 30_000_000):
+        bits = int(np.ceil(np.log2(rows / N.BUCKET)))
+        n = N._tables_for(bits, theta, 16)
+        assert n >= 16 and 1 - (1 - (1 - theta / np.pi) ** bits) ** n >= 0.99
