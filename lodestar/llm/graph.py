@@ -11,28 +11,42 @@ from .scratch import save as _save
 EDGES_A_TASK = 200_000
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``id`` and ``component`` (its smallest reachable id) of each node that ``edges`` (``a``, ``b``) names.
+def stars(edges: DataFrame) -> tuple[DataFrame, int]:
+    """``a``, ``b``: every node that ``edges`` (``a``, ``b``) names, but the smallest of its component, with that
+    smallest one; and the number of rounds.
 
-    Each round takes the smallest label of the neighbours and then the label's own label, so paths shorten by half and
-    the rounds grow with the logarithm of the longest one. A hub's rows meet only in joins, which adaptive execution can
-    split, and in minima, which are combined before the shuffle. Edges with a null end are left out; no edges, no rows.
+    A round hangs first the larger neighbours of each node and then the smaller ones below the smallest of them, so whole
+    subtrees move at once and the rounds grow with the logarithm of the longest path: on paths of any numbering at most
+    ``2 * log2(n) + 3``. The number of edges never grows. A hub's edges meet only in joins, which adaptive execution can
+    split, and in minima, which are combined before the shuffle.
     """
-    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
-    both = _save(edges.union(edges.select("b", "a")).distinct(), "edges")
-    parts = both.count() // EDGES_A_TASK + 1
-    both = both.coalesce(parts)
+    down = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    held = _save(down.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    n = held.count()
+    parts = n // EDGES_A_TASK + 1
     save = lambda df, name: _save(df.coalesce(parts), name)  # noqa: E731  small graphs in few files
-    labels = save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component")), "labels")
-    while True:
-        told = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("told")).agg(F.min("component").alias("low"))
-        near = save(labels.join(told, labels.id == F.col("told"), "left").select("id", "component", F.least("component", "low").alias("low")), "labels")
-        root = near.select(F.col("id").alias("root"), F.col("low").alias("root_low"))
-        after = save(near.join(root, near.low == root.root, "left").select("id", "component", F.least("low", "root_low").alias("low")), "labels")
-        moved = after.where("low != component").limit(1).count()
-        for old in (labels, near):
+    done, rounds = n == 0, 0
+    while not done:
+        rounds += 1
+        ends = held.select(F.col("a").alias("node"), F.col("b").alias("other")).union(held.select("b", "a"))
+        # only nodes with a smaller neighbour hand their larger ones on
+        low = save(ends.groupBy("node").agg(F.min("other").alias("low")).where("low < node"), "low")
+        large = save(held.join(low, F.col("b") == F.col("node"), "left").select("a", F.coalesce("low", "b").alias("b")).distinct(), "edges")
+        least = save(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")), "low")
+        moved = large.join(least.where("n > 1"), F.col("a") == F.col("node")).where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        after = save(least.select(F.col("node").alias("a"), F.col("low").alias("b")).union(moved).distinct(), "edges")
+        # stars: no node has two edges upwards, or one upwards and one downwards
+        sides = after.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("b", F.lit(0), F.lit(1)))
+        open_nodes = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        done = not open_nodes.limit(1).count()
+        for old in (held, low, large, least):
             drop(old)
-        if not moved:
-            drop(both)
-            return after.select("id", "component")
-        labels = after.select("id", F.col("low").alias("component"))
+        held = after
+    return held, rounds
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``id`` and ``component`` (its smallest reachable id) of each node that ``edges`` (``a``, ``b``) names. Edges with a
+    null end or two equal ends are left out; no edges, no rows."""
+    told, _ = stars(edges)
+    return told.select(F.col("a").alias("id"), F.col("b").alias("component")).union(told.select("b", "b").distinct())

@@ -6,9 +6,9 @@ leading zeros of the smallest other part of the hash and a few bits of its manti
 their registers, corrected for chance collisions, and are then verified on the full sets.
 
 In a bucket of near copies all pairs would be too many, so each member is first verified against the smallest member of
-its buckets; then members that stayed outside the bucket's main component against the two rows of the bucket with the
-highest estimates; and what an estimate still leaves open is compared exactly, in blocks that send out no pairs but
-links. Pairs inside one component need no test.
+its buckets; then a member that stayed outside the main component of any bucket against two rows in all, those with the
+highest estimates over its buckets; and what an estimate still leaves open is compared exactly, in blocks that send out
+no pairs but links. Pairs inside one component need no test.
 
 Defined results. A null text or one without words has an empty set and links with nothing; a text with fewer words than
 a shingle is one shingle. Equal sets form a class, known by a 64-bit sum over its members, and only one document of it is
@@ -92,7 +92,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def signatures(documents: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, ``n`` (size of the set), ``c1``, ``c2`` (equal for equal sets), ``bands`` and ``registers``."""
+    """``doc_id``, ``text_hash``, ``n`` (size of the set), ``c1`` (equal for equal sets), ``bands`` and ``registers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -102,18 +102,20 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
             regs = registers(np.repeat(np.arange(len(sets)), n), flat, len(sets))
             key = bands(regs)
             with np.errstate(over="ignore"):
-                c1, c2 = (np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64) for f in (mix, lambda s: mix(s ^ np.uint64(0x5DEECE66D))))
+                c1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(n), _signed(c1), _signed(c2),
+                    batch.column("doc_id"), batch.column("text_hash"), pa.array(n), _signed(c1),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), _signed(key.ravel())),
                     pa.array([r.tobytes() for r in regs.astype("<u2")], pa.binary()),
                 ],
-                ["doc_id", "n", "c1", "c2", "bands", "registers"],
+                ["doc_id", "text_hash", "n", "c1", "bands", "registers"],
             )
 
     key = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, n long, c1 long, c2 long, bands array<long>, registers binary")
+    text = F.col("text").cast("string")
+    rows = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {key}, text_hash long, n long, c1 long, bands array<long>, registers binary")
 
 
 class _Group:
@@ -133,18 +135,22 @@ class _Group:
 
 
 def _best(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
-    """For each row outside its bucket's main component, the two others with the highest estimates, and the bucket."""
+    """For each row outside its bucket's main component, the other with the highest estimate among even and odd ids."""
 
     def fn(group: pa.Table) -> pa.RecordBatch:
-        g, band, a, b = _Group(group), group.column("band").to_numpy(), [], []
-        at = []
+        g, band = _Group(group), group.column("band").to_numpy()
+        bands, rows, others, estimates = [], [], [], []
         for i in g.outside:
             other, j = g.likely(i, percent)
-            for k in other[np.argsort(-j, kind="stable")[:2]]:
-                at.append(i)
-                a.append(min(g.ids[i], g.ids[k]))
-                b.append(max(g.ids[i], g.ids[k]))
-        return pa.RecordBatch.from_arrays([pa.array(band[np.array(at, np.int64)]), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["band", "a", "b"])
+            for odd in (0, 1):
+                some = np.flatnonzero(g.ids[other] & 1 == odd)
+                if len(some):
+                    at = some[j[some].argmax()]
+                    bands.append(band[i])
+                    rows.append(g.ids[i])
+                    others.append(g.ids[other[at]])
+                    estimates.append(j[at])
+        return pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(rows, pa.int64()), pa.array(others, pa.int64()), pa.array(estimates, pa.float64())], ["band", "id", "other", "j"])
 
     return fn
 
@@ -165,6 +171,15 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
 
     Two documents link if ``100 * intersection >= percent * union`` of their sets.
     """
+    placed = _grouped(documents, shingle_words, percent)
+    component = F.coalesce("keeper.doc_id", "doc_id")
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def _grouped(documents: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n``, ``class`` and ``keeper`` (id and class of the component's first row; null for a
+    row that is alone) of every row."""
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     signed = save(signatures(documents, shingle_words), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
@@ -178,12 +193,16 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
 
     links = save(verify(star_pairs(buckets)), "links")
     found = components(links)
-    best = save(together(open_rows(buckets, found), [F.col("band")], _best(percent), "band long, a long, b long", small, F.col("outside")), "best")
-    more = save(verify(best.select("a", "b").distinct()), "links")
+    named = together(open_rows(buckets, found), [F.col("band")], _best(percent), "band long, id long, other long, j double", small, F.col("outside"))
+    named = save(named, "named")
+    # two partners a row over all its buckets
+    best = named.groupBy("id", F.pmod("other", F.lit(2)).alias("odd")).agg(F.max_by("other", F.struct("j", "other")).alias("other"))
+    pairs = save(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "best")
+    more = save(exact_pairs(pairs, full, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
-    # a bucket without a likely pair has none later, as components only grow together
-    still = buckets.join(best.select("band").distinct(), "band", "left_semi")
+    # only buckets that held a likely pair can hold one now, as components only grow together
+    still = buckets.join(named.select("band").distinct(), "band", "left_semi")
     cases = save(together(open_rows(still, found), [F.col("band")], _open_cases(percent), "to long, id long", small, F.col("outside")).distinct(), "cases")
     if cases.limit(1).count():
         # all open rows of a main component's buckets meet one another and that component's members
@@ -194,15 +213,16 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
         if last.limit(1).count():
             found = components(links.union(more).union(last))
 
-    classes = save(known.groupBy("c1").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).join(found, F.col("c1") == F.col("id"), "left"), "classes")
-    grouped = classes.where("component is not null").groupBy(F.col("component").alias("group")).agg(F.min("first").alias("lowest"))
-    named = classes.join(grouped, F.col("component") == F.col("group"), "left").where("copies > 1 or lowest is not null").select(F.col("c1").alias("class"), F.coalesce("lowest", "first").alias("named"))
-    named = save(named, "named")
-    for old in (buckets, some, full, links, best, more, cases, classes):
+    classes = known.groupBy("c1").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).join(found, F.col("c1") == F.col("id"), "left")
+    classes = save(classes.withColumn("keeper", F.struct(F.col("first").alias("doc_id"), F.col("c1").alias("class"))), "classes")
+    lowest = classes.where("component is not null").groupBy(F.col("component").alias("group")).agg(F.min("keeper").alias("lowest"))
+    of = classes.join(lowest, F.col("component") == F.col("group"), "left").where("copies > 1 or lowest is not null")
+    of = save(of.select(F.col("c1").alias("of"), F.coalesce("lowest", "keeper").alias("keeper")), "keepers")
+    for old in (buckets, some, full, links, named, pairs, more, cases, classes):
         drop(old)
-    out = signed.select("doc_id", "n", "c1").join(named, (signed.c1 == named["class"]) & (signed.n > 0) & signed.doc_id.isNotNull(), "left")
-    component = F.coalesce("named", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows = signed.select("doc_id", "text_hash", "n", F.col("c1").alias("class"))
+    mine = (F.col("class") == F.col("of")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return rows.join(of, mine, "left").drop("of")
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -224,7 +244,12 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` less those that near-duplicate one with a smaller id; all columns."""
-    gone = save(near_duplicates(documents, shingle_words, percent).where("not kept").select("doc_id").distinct(), "gone")
+    """The rows of ``documents`` less those that near-duplicate the first row, by ``doc_id`` and then by set, of their
+    component; all columns. A row is known by its id and its text, so an id that other texts share loses none of them; rows
+    that repeat both stay or go together."""
+    placed = _grouped(documents, shingle_words, percent)
+    other = (F.col("keeper.doc_id") != F.col("doc_id")) | (F.col("keeper.class") != F.col("class"))
+    gone = save(placed.where(other).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*own_columns(documents))
+    same = (documents["doc_id"] == gone["__gone_id"]) & (F.xxhash64(documents["text"].cast("string")) == gone["__gone_text"])
+    return documents.join(F.broadcast(gone) if few else gone, same, "left_anti").select(*own_columns(documents))

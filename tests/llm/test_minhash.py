@@ -75,6 +75,12 @@ def test_keep_one_carries_columns(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_keep_one_knows_rows_by_text(spark):
+    rows = [(1, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "other words of its own"), (5, None), (7, "k l m n o p q"), (7, "K L M N O P Q"), (7, "k l m n o p q")]
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[3], rows[4], rows[5], rows[6]], key=str)
+
+
 def test_estimate_is_near():
     r = np.random.default_rng(1)
     shared, a, b = (r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (4000, 500, 500))
