@@ -25,20 +25,19 @@ def stars(edges: DataFrame) -> tuple[DataFrame, int]:
     n = held.count()
     parts = n // EDGES_A_TASK + 1
     save = lambda df, name: _save(df.coalesce(parts), name)  # noqa: E731  small graphs in few files
-    done, rounds = n == 0, 0
-    while not done:
-        rounds += 1
+    rounds = 0
+    while n:
         ends = held.select(F.col("a").alias("node"), F.col("b").alias("other")).union(held.select("b", "a"))
-        # only nodes with a smaller neighbour hand their larger ones on
-        low = save(ends.groupBy("node").agg(F.min("other").alias("low")).where("low < node"), "low")
-        large = save(held.join(low, F.col("b") == F.col("node"), "left").select("a", F.coalesce("low", "b").alias("b")).distinct(), "edges")
-        least = save(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")), "low")
-        moved = large.join(least.where("n > 1"), F.col("a") == F.col("node")).where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = save(ends.groupBy("node").agg(F.min("other").alias("low"), F.count(F.lit(1)).alias("n")).where("low < node"), "low")
+        # stars: a node with a smaller neighbour has no other one
+        if not low.where("n > 1").limit(1).count():
+            drop(low)
+            break
+        rounds += 1
+        large = save(held.join(low, F.col("b") == F.col("node"), "left").select("a", F.coalesce("low", "b").alias("b")), "large")
+        least = save(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")), "least")
+        moved = large.join(least, F.col("a") == F.col("node")).where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         after = save(least.select(F.col("node").alias("a"), F.col("low").alias("b")).union(moved).distinct(), "edges")
-        # stars: no node has two edges upwards, or one upwards and one downwards
-        sides = after.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("b", F.lit(0), F.lit(1)))
-        open_nodes = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
-        done = not open_nodes.limit(1).count()
         for old in (held, low, large, least):
             drop(old)
         held = after

@@ -7,8 +7,8 @@ their registers, corrected for chance collisions, and are then verified on the f
 
 In a bucket of near copies all pairs would be too many, so each member is first verified against the smallest member of
 its buckets; then a member that stayed outside the main component of any bucket against two rows in all, those with the
-highest estimates over its buckets; and what an estimate still leaves open is compared exactly, in blocks that send out
-no pairs but links. Pairs inside one component need no test.
+highest estimates over its buckets, of which large ones are cut for that; and what an estimate still leaves open is
+compared exactly, in blocks that send out no pairs but links. Pairs inside one component need no test.
 
 Defined results. A null text or one without words has an empty set and links with nothing; a text with fewer words than
 a shingle is one shingle. Equal sets form a class, known by a 64-bit sum over its members, and only one document of it is
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import exact_links, exact_pairs, open_rows, shared_buckets, sized, star_pairs
-from .blocks import together
+from .blocks import BLOCK, together
 from .bloom import build, may_hold
 from .graph import components
 from .scratch import drop, own_columns, save
@@ -135,22 +135,18 @@ class _Group:
 
 
 def _best(percent: int) -> Callable[[pa.Table], pa.RecordBatch]:
-    """For each row outside its bucket's main component, the other with the highest estimate among even and odd ids."""
+    """For each row outside its bucket's main component, the other with the highest estimate."""
 
     def fn(group: pa.Table) -> pa.RecordBatch:
-        g, band = _Group(group), group.column("band").to_numpy()
-        bands, rows, others, estimates = [], [], [], []
+        g, band, rows, others, estimates = _Group(group), group.column("band").to_numpy(), [], [], []
         for i in g.outside:
             other, j = g.likely(i, percent)
-            for odd in (0, 1):
-                some = np.flatnonzero(g.ids[other] & 1 == odd)
-                if len(some):
-                    at = some[j[some].argmax()]
-                    bands.append(band[i])
-                    rows.append(g.ids[i])
-                    others.append(g.ids[other[at]])
-                    estimates.append(j[at])
-        return pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(rows, pa.int64()), pa.array(others, pa.int64()), pa.array(estimates, pa.float64())], ["band", "id", "other", "j"])
+            if len(other):
+                rows.append(i)
+                others.append(g.ids[other[j.argmax()]])
+                estimates.append(j.max())
+        rows = np.array(rows, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(band[rows]), pa.array(g.ids[rows]), pa.array(others, pa.int64()), pa.array(estimates, pa.float64())], ["band", "id", "other", "j"])
 
     return fn
 
@@ -193,16 +189,17 @@ def _grouped(documents: DataFrame, shingle_words: int, percent: int) -> DataFram
 
     links = save(verify(star_pairs(buckets)), "links")
     found = components(links)
-    named = together(open_rows(buckets, found), [F.col("band")], _best(percent), "band long, id long, other long, j double", small, F.col("outside"))
+    named = together(open_rows(buckets, found), [F.col("band")], _best(percent), "band long, id long, other long, j double", small, F.col("outside"), whole=False)
     named = save(named, "named")
-    # two partners a row over all its buckets
+    # two partners a row over all its buckets, the best of even and of odd ids
     best = named.groupBy("id", F.pmod("other", F.lit(2)).alias("odd")).agg(F.max_by("other", F.struct("j", "other")).alias("other"))
     pairs = save(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "best")
     more = save(exact_pairs(pairs, full, percent), "links")
     if more.limit(1).count():
         found = components(links.union(more))
-    # only buckets that held a likely pair can hold one now, as components only grow together
-    still = buckets.join(named.select("band").distinct(), "band", "left_semi")
+    # of buckets that were compared whole only those that held a likely pair can hold one now, as components only grow together
+    large = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("band")
+    still = buckets.join(named.select("band").union(large).distinct(), "band", "left_semi")
     cases = save(together(open_rows(still, found), [F.col("band")], _open_cases(percent), "to long, id long", small, F.col("outside")).distinct(), "cases")
     if cases.limit(1).count():
         # all open rows of a main component's buckets meet one another and that component's members
