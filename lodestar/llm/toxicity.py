@@ -4,13 +4,18 @@ Terms are the lower-cased words of a text and the beginnings of longer ones, has
 and a short vector; two terms that occur in one text add the product of their vectors, so a pair such as an insult beside
 a group's name counts where neither does alone.
 
-Learning uses a sample of labelled rows whose bound is a parameter (``positives``, ``negatives``); their terms are
-gathered by Spark over whole texts. Rare and uninformative terms are left out by a fixed test on that sample. Scores are
-computed where the texts are.
+Learning uses a sample of labelled rows; ``positives``, ``negatives`` and ``row_terms`` bound what comes to the driver (a
+row with more distinct terms than that gives those of the smallest hashes); terms are gathered by Spark over whole texts.
+A term enters the machine in one of two ways: its shares among toxic and clean texts differ by ``strength`` standard
+errors; or it interacts, i.e. what the machine of the former terms leaves unexplained goes along with the term's meeting
+others. For that the leading directions of the sample's co-occurrences, weighted by what is left, are found by subspace
+iteration on one half of the sample and each term is tested against them on the other half. A term that says nothing by
+itself is thus kept if its pairs do. Scores are computed where the texts are.
 
 Defined results. A null or empty text has no terms and gets the machine's bias as score. Labels that are null are left
-out; of several labels of one document the highest counts. With no labelled rows of both kinds, every score is the
-share of the positive labels (0 with none). Repeated rows are scored each. Only ``doc_id`` and ``text`` are read.
+out; of several labels of one document the highest counts; of several texts of one labelled ``doc_id`` the one with the
+smallest hash is learned from. With no labelled rows of both kinds, every score is the share of the positive labels (0
+with none). Repeated rows are scored each. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import PUNCT, pieces, prefixes, words
+from .textkernel import PUNCT, mix, pieces, prefixes, words
 
 BITS = 24
 PREFIXES = (4, 5, 6)
@@ -52,20 +57,27 @@ def _distinct(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives: int, row_terms: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Terms of each sampled text, its label, and how many labelled rows it stands for."""
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = {r.label: r.n for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [known.where(F.col("label") > 0 if y else F.col("label") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(y).alias("label")) for y, n in ((1, positives), (0, negatives))]
-    chosen = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")  # positives + negatives rows at most
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    chosen = texts.join(F.broadcast(some[0].union(some[1])), "doc_id")  # positives + negatives rows at most
+    key = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows, ids = _distinct(*_terms(batch))
             at = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], ["label", "terms"])
-
-    table = chosen.mapInArrow(run, "label int, terms array<int>").toArrow()
+            own = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            own = [x if len(x) <= row_terms else x[np.argpartition(mix(x.astype(np.uint64)), row_terms)[:row_terms]] for x in own]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("label"), terms], ["doc_id", "hash", "label", "terms"])
+
+    found = chosen.withColumn("hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {key}, hash long, label int, terms array<int>")
+    table = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "terms"), "hash").alias("x")).select("x.*").toArrow()
     y = table.column("label").to_numpy().astype(np.int64)
     lists = table.column("terms").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -76,29 +88,66 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
     return [flat[at[i] : at[i + 1]] for i in range(len(y))], y, stands
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 4.0) -> Machine:
-    """``labels``: ``doc_id``, ``label`` (above 0: toxic), already without the rows that must not be learned from."""
-    lists, y, stands = _sample(documents, labels, positives, negatives)
+def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, row_terms: int = 2048, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 4.0) -> Machine:
+    """``labels``: ``doc_id``, ``label`` (above 0: toxic), already without the rows that must not be learned from. The
+    driver holds at most ``(positives + negatives) * row_terms`` terms of 4 bytes."""
+    lists, y, stands = _sample(documents, labels, positives, negatives, row_terms)
     empty = np.zeros(0, np.int64)
     share = float((stands * y).sum() / stands.sum()) if len(y) else 0.0
     bias = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))
-    none = Machine(empty, bias, np.zeros(0), np.zeros((0, factors)))
+    machine = Machine(empty, bias, np.zeros(0), np.zeros((0, factors)))
     if not len(y) or y.min() == y.max():
-        return none
-    size = np.array([len(x) for x in lists])
-    row, ids = np.repeat(np.arange(len(lists)), size), np.concatenate(lists).astype(np.int64)
+        return machine
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    found, at = np.unique(np.concatenate(lists), return_inverse=True)
+    at = at.astype(np.int32)
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    found, at = np.unique(ids, return_inverse=True)
-    with_label = [np.bincount(at[y[row] == k], minlength=len(found)) for k in (0, 1)]
-    # a term is kept if its shares among the two kinds differ by `strength` standard errors
-    p = (with_label[1] + with_label[0]) / (n1 + n0)
+    with_label = [np.bincount(at[(y == k)[row]], minlength=len(found)) for k in (0, 1)]
+    often = with_label[0] + with_label[1]
+    p = often / (n1 + n0)
     z = (with_label[1] / n1 - with_label[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    chosen = (with_label[0] + with_label[1] >= least) & (np.abs(z) >= strength)
-    kept, place = found[chosen], np.cumsum(chosen) - 1
-    if not len(kept):
-        return none
-    row, col = row[chosen[at]], place[at[chosen[at]]]
-    return _train(row, col, y, stands, bias, kept, factors, rounds)
+    chosen = (often >= least) & (np.abs(z) >= strength)
+
+    def trained(chosen: np.ndarray) -> tuple[Machine, np.ndarray]:
+        place, mine = np.cumsum(chosen) - 1, chosen[at]
+        machine = _train(row[mine], place[at[mine]], y, stands, bias, found[chosen].astype(np.int64), factors, rounds)
+        score, _ = _forward(row[mine], place[at[mine]], len(y), machine.bias, machine.weights, machine.vectors)
+        return machine, 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+
+    chance = np.full(len(y), n1 / (n1 + n0))
+    if chosen.any():
+        machine, chance = trained(chosen)
+    candidates = ~chosen & (often >= 4 * least) & (p <= 0.8)
+    more = _interacting(row, at, candidates, y - chance, strength)
+    return trained(chosen | more)[0] if more.any() else machine
+
+
+def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left: np.ndarray, strength: float, directions: int = 4, steps: int = 12) -> np.ndarray:
+    """Which of the candidate terms meet others where ``left``, a row's unexplained label, has a sign. One half of the rows
+    gives the leading directions of the centred co-occurrences that ``left`` weights, the other half tests each term
+    against them."""
+    out = np.zeros(len(candidates), bool)
+    mine = candidates[col]
+    place = np.cumsum(candidates) - 1
+    row, col, d, n = row[mine], place[col[mine]], int(candidates.sum()), len(left)
+    if d < 2:
+        return out
+    mean = np.bincount(col, minlength=d) / n
+    half = mix(np.arange(n, dtype=np.uint64)) & np.uint64(1) == 1
+    along = lambda u: np.stack([np.bincount(row, weights=x[col], minlength=n) - mean @ x for x in u.T], axis=1)
+    across = lambda c: np.stack([np.bincount(col, weights=x[row], minlength=d) - mean * x.sum() for x in c.T], axis=1)
+    hits = np.zeros(d, bool)
+    for learn in (half, ~half):
+        weight = np.where(learn, left - left[learn].mean(), 0)[:, None]
+        u = np.linalg.qr(np.random.default_rng(13).normal(size=(d, min(directions, d))))[0]
+        for _ in range(steps):
+            u = np.linalg.qr(across(weight * along(u)))[0]
+        told = np.where(~learn, left - left[~learn].mean(), 0)[:, None] * along(u)
+        told -= np.where(~learn[:, None], told.sum(axis=0) / max(1, (~learn).sum()), 0)
+        spread = np.sqrt(np.maximum(np.stack([np.bincount(col, weights=(x * x)[row], minlength=d) for x in told.T], axis=1) * (1 - 2 * mean[:, None]) + mean[:, None] ** 2 * (told * told).sum(axis=0), 1e-12))
+        hits |= (np.abs(across(told)) >= strength * spread).any(axis=1)
+    out[np.flatnonzero(candidates)[hits]] = True
+    return out
 
 
 def _train(row: np.ndarray, col: np.ndarray, y: np.ndarray, stands: np.ndarray, bias: float, kept: np.ndarray, factors: int, rounds: int) -> Machine:

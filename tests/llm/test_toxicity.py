@@ -25,7 +25,7 @@ def test_learns_pairs(spark):
     docs, labels = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string, label int")
     known = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, label int")
-    machine = X.fit(d, known, strength=3.0)
+    machine = X.fit(d, known)
     scores = {r.doc_id: r.score for r in X.score(d, machine).collect()}
     held = [(scores[i], y) for i, y in labels if i % 5 == 0]
     assert min(s for s, y in held if y) > max(s for s, y in held if not y)
@@ -33,6 +33,33 @@ def test_learns_pairs(spark):
     assert all((i in kept) == (not y) for i, y in labels)
 
 
+def test_learns_a_label_that_only_a_pair_decides(spark):
+    r = random.Random(2)
+    words = [f"word{i}" for i in range(900)]
+    docs, labels = [], []
+    for i in range(2000):  # either term is as common among toxic texts as among clean ones
+        own = [r.choice(words) for _ in range(40)]
+        a, b = r.random() < 0.5, r.random() < 0.5
+        own += ["grumble"] * a + ["martians"] * b
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(a == b)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    machine = X.fit(d, spark.createDataFrame([x for x in labels if x[0] % 4], "doc_id long, label int"))
+    scores = {x.doc_id: x.score for x in X.score(d, machine).collect()}
+    held = [(scores[i] >= 0.5) == bool(y) for i, y in labels if i % 4 == 0]
+    assert sum(held) / len(held) > 0.9
+
+
+def test_sample_is_bounded(spark):
+    long_text = " ".join(f"w{i}" for i in range(30_000))
+    docs = spark.range(4000).selectExpr("cast(1 as long) as doc_id", "concat('text ', id) as text").union(spark.createDataFrame([(2, long_text), (3, "x y")], "doc_id long, text string"))
+    known = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    lists, y, _ = X._sample(docs, known, 3, 3, 2048)
+    assert sorted(y) == [0, 0, 1] and max(map(len, lists)) == 2048
+    machine = X.fit(docs, known)
+    assert X.score(docs, machine).where("score between 0 and 1").count() == 4002
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, label int")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x"), (3, "x"), (None, "x")], "doc_id long, text string")
