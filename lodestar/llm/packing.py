@@ -25,34 +25,38 @@ def decompose(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << i for i in range(rest.bit_length() - 1, -1, -1) if rest >> i & 1]
 
 
+#: Fixed value: the added token of ``byte_bpe_50k.json``, which stands for its string wherever a text holds it.
+ADDED = {"<|endoftext|>": 50256}
+
+
 class Encoder:
-    """Ids of whole texts, special tokens' strings being ordinary text.
+    """Ids of whole texts as ``encode(text, add_special_tokens=False)`` of the ``tokenizers`` library gives them; an added
+    token's string is that token.
 
-    ``path`` is a ``.json`` file of the ``tokenizers`` library, or a ``.tiktoken`` file with the ranks of the same
-    byte-level vocabulary, whose ids are equal and which is encoded about five times as fast; that one needs ``pattern``,
-    the expression that splits a text into words.
+    ``path`` is a ``.json`` file of that library, or a ``.tiktoken`` file with the ranks of the same byte-level vocabulary,
+    whose ids are equal and which is encoded about five times as fast; that one needs ``pattern``, the expression that
+    splits a text into words, and ``added``, the added tokens.
     """
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, added: dict[str, int] = ADDED):
         if path.endswith(".tiktoken"):
             import tiktoken
 
             with open(path, "rb") as file:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-            encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self._all = lambda texts: [encoding.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+            self._all = lambda texts: [encoding.encode_to_numpy(t, allowed_special="all") for t in texts]
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             self._all = lambda texts: [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         return self._all([t or "" for t in texts])
 
 
-def pack(documents: DataFrame, tokenizer: str, pattern: str | None = None, longest: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, pattern: str | None = None, longest: int = 2048, end_id: int = 1, with_ids: bool = True, added: dict[str, int] = ADDED) -> DataFrame:
     """Pieces of all documents (``doc_id``, ``text``): one row a piece, which is one sequence.
 
     ``doc_id``, ``start`` (the document's ids before it), ``length``, ``bucket`` (log2 of the length), ``ids`` (only
@@ -65,7 +69,7 @@ def pack(documents: DataFrame, tokenizer: str, pattern: str | None = None, longe
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, pattern)
+        encode = Encoder(tokenizer, pattern, added)
         for batch in pieces(batches):
             row, start, length, crc, tokens, values = [], [], [], [], [], []
             for i, ids in enumerate(encode(batch.column("text").to_pylist())):
@@ -93,4 +97,3 @@ def pack(documents: DataFrame, tokenizer: str, pattern: str | None = None, longe
 def write_buckets(packed: DataFrame, path: str) -> None:
     """One folder a length: a training job reads batches of equal shape. No shuffle; each task adds a file to each folder it has rows for."""
     packed.write.partitionBy("bucket").parquet(path)
-
