@@ -5,8 +5,9 @@ of the lower-cased text, letters only) predicts that bit. Decoding is loss-weigh
 the bits of the logistic loss of the margin, weighted by how well that bit's classifier did on the language in training;
 the nearest codeword wins. Where the second one is nearly as near, the prediction is flagged ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows (``sample_rows``, dealt evenly over the languages); the
-rows' n-grams are counted by Spark over whole texts.
+The classifiers are fitted on a bounded sample of labelled rows: of each language the same number, ``sample_rows`` in all,
+and of a language with fewer rows all of them; every language that occurs has one at least, so with more languages than
+``sample_rows`` the bound is one row a language. The rows' n-grams are counted by Spark over whole texts.
 
 Defined results. A null text or one without a letter is ``und`` with score 0. Without any labelled row every prediction
 is ``und``; with one language every lettered text is that language. Ties go to the language that is first in order.
@@ -21,6 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .textkernel import _flat, pieces
@@ -52,7 +54,7 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     length = int(np.ceil(12 * np.log2(n)))
     for _ in range(200):
         code = random.choice([-1.0, 1.0], (n, length))
-        apart = (code[:, None, :] != code[None, :, :]).sum(axis=2) + length * np.eye(n)
+        apart = (length - code @ code.T) / 2 + length * np.eye(n)
         if (np.abs(code.sum(axis=0)) < n).all() and apart.min() > far:
             best, far = code, apart.min()
     return best
@@ -89,21 +91,26 @@ def _count(b: np.ndarray, row: np.ndarray, n: int, out: np.ndarray) -> None:
 
 
 def _sample(documents: DataFrame, rows: int) -> tuple[np.ndarray, list[str]]:
-    known = documents.where("lang is not null and text is not null and doc_id is not null")
-    total = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    known = documents.where("lang is not null and text is not null and doc_id is not null").select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id", "text").alias("h"))
+    total = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row a language
     if not total:
         return np.zeros((0, DIM)), []
     each = max(1, rows // len(total))
-    share = F.create_map(*(x for lang, n in total.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))))
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.where(chance < share[F.col("lang")]).select(F.col("text").cast("string").alias("text"), "lang")
+    # a cut that leaves about four times as many as are wanted; then the first by hash, repeated rows once
+    cuts = known.sparkSession.createDataFrame([(lang, min(1.0, 4 * max(each, 25) / n)) for lang, n in total.items()], "lang string, share double")
+    chance = F.pmod("h", F.lit(1 << 40)) / (1 << 40)
+    some = known.select("lang", "h").join(F.broadcast(cuts), "lang").where(chance <= F.col("share")).select("lang", "h").distinct()
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    wanted = some.withColumn("no", first).where(F.col("no") <= each).select(F.col("lang").alias("of"), F.col("h").alias("wanted"))
+    chosen = known.join(F.broadcast(wanted), (F.col("h") == F.col("wanted")) & (F.col("lang") == F.col("of")))  # max(rows, languages) rows at most
+    chosen = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    table = chosen.mapInArrow(run, "lang string, x binary").limit(2 * rows + len(total)).toArrow()
+    table = chosen.mapInArrow(run, "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, DIM)
     return x, table.column("lang").to_pylist()
 

@@ -33,6 +33,33 @@ def test_held_out_accuracy_and_edges(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_decode_equals_a_plain_loop():
+    r = np.random.default_rng(3)
+    code = L.codewords(9)
+    trust = r.random(code.shape)
+    codes = L.Codes([f"l{i}" for i in range(9)], code, trust / trust.sum(axis=1, keepdims=True), np.zeros((1, 1)), np.zeros(1))
+    margins = r.normal(size=(50, code.shape[1])) * 3
+    margins[0] = 0  # a tie of the losses goes by trust, then to the first
+    best, share, gap = L.decode(margins, codes)
+    for i, m in enumerate(margins):
+        far = [sum(codes.trust[k, b] * np.log1p(np.exp(-m[b] * code[k, b])) for b in range(len(m))) for k in range(9)]
+        order = sorted(range(9), key=lambda k: (round(far[k], 12), k))
+        assert best[i] == order[0] or abs(far[best[i]] - far[order[0]]) < 1e-12
+        assert abs(gap[i] - (far[order[1]] - far[order[0]])) < 1e-9
+        likely = [np.exp(-len(m) * (x - far[order[0]])) for x in far]
+        assert abs(share[i] - 1 / sum(likely)) < 1e-9
+
+
+def test_rare_and_many_languages(spark):
+    rows = [(i, f"{chr(97 + i % 7)}{i} common words of a text", "aa", "s") for i in range(3000)] + [(5000 + i, "zzz xqx zxq", "rare", "s") for i in range(2)]
+    rows += [(6000 + i, "one row again and again", "copied", "s") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    x, lang = L._sample(df, 60)
+    assert len(x) == len(lang) <= 60 + 3 and set(lang) == {"aa", "rare", "copied"} and lang.count("aa") == 20
+    many = spark.range(1500).selectExpr("id as doc_id", "concat('text', id) as text", "concat('l', id) as lang")
+    assert len(set(L._sample(many, 100)[1])) == 1500
+
+
 def test_no_rows_and_one_language(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert L.fit(docs) is None
