@@ -11,7 +11,7 @@ splitters inside that cell, so the full rows are exchanged once, when the shards
 
 Defined results. A null text has no bytes, only the fixed size of a row; its checksum is 0. Rows with equal keys are in
 any order, each with a slot of its own. Fewer rows than shards leave shards empty; an empty table gives an empty result.
-All columns of the input are carried by :func:`assign`, but for any called ``size``, ``shard`` or ``slot``, which are
+The columns of the input are carried by :func:`assign`, but for any called ``size``, ``shard`` or ``slot``, which are
 replaced; names that begin with ``__`` are reserved.
 """
 
@@ -117,20 +117,22 @@ def _place(cuts: list[tuple[int, ...]]) -> Column:
     return shard
 
 
-def assign(documents: DataFrame, shards: int, tolerance: float = 0.001) -> DataFrame:
-    """``documents`` (all columns) with ``size``, ``shard`` and ``slot``, which has no gaps within a shard."""
-    keys = _keys(documents)
-    narrow = save(keys.select("__k0", "__k1", "__k2", "__size"), "keys")
-    cuts = splitters(narrow, shards, tolerance)
+def assign(documents: DataFrame, shards: int, tolerance: float = 0.001, carry: list[str] | None = None) -> DataFrame:
+    """``documents`` (the columns in ``carry``, or all) with ``size``, ``shard`` and ``slot``, which has no gaps within a
+    shard. What is carried is saved once with its keys, so that histogram, counts and rows are of one table even where the
+    input's rows come in another order when a task is run again."""
+    kept = set(documents.columns if carry is None else carry) - {"size", "shard", "slot"}
+    own = [c for c, name in zip(own_columns(documents), documents.columns, strict=True) if name in kept]
+    keys = save(_keys(documents).select(*own, "__k0", "__k1", "__k2", "__size"), "keys")
+    cuts = splitters(keys, shards, tolerance)
     # slots are counted by shard and cell, so that no task sorts a whole shard; a hot text spreads over 16 cells
-    placed = lambda df: df.withColumns({"shard": _place(cuts).cast("int"), "__cell": (_digit(0) * 16 + F.shiftrightunsigned("__k1", 60)).cast("int")})
-    filled = placed(narrow).groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    placed = keys.withColumns({"shard": _place(cuts).cast("int"), "__cell": (_digit(0) * 16 + F.shiftrightunsigned("__k1", 60)).cast("int")})
+    filled = placed.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = filled.select(F.col("shard").alias("__shard"), F.col("__cell").alias("__of"), (F.sum("__n").over(W.partitionBy("shard").orderBy("__cell")) - F.col("__n")).alias("__before"))
     # at most 16 * (shards + 4096) rows
     in_cell = F.row_number().over(W.partitionBy("shard", "__cell").orderBy("__k0", "__k1", "__k2"))
-    slotted = placed(keys).withColumn("__in_cell", in_cell).join(F.broadcast(before), (F.col("shard") == F.col("__shard")) & (F.col("__cell") == F.col("__of")))
-    carried = [c for c, name in zip(own_columns(documents), documents.columns, strict=True) if name not in ("size", "shard", "slot")]
-    return slotted.select(*carried, F.col("__size").alias("size"), "shard", (F.col("__before") + F.col("__in_cell") - 1).cast("long").alias("slot"))
+    slotted = placed.withColumn("__in_cell", in_cell).join(F.broadcast(before), (F.col("shard") == F.col("__shard")) & (F.col("__cell") == F.col("__of")))
+    return slotted.select(*own, F.col("__size").alias("size"), "shard", (F.col("__before") + F.col("__in_cell") - 1).cast("long").alias("slot"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

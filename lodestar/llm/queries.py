@@ -74,7 +74,7 @@ def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
     documents = _read(spark, sf_dir, "documents", "doc_id", "text").withColumn("text_crc32", crc)
-    assigned = histogram_sort.assign(documents, shards=40)
+    assigned = histogram_sort.assign(documents, shards=40, carry=["doc_id", "text_crc32"])
     return assigned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
