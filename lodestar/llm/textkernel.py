@@ -73,7 +73,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
+def power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
         p = np.full(max(n, _BLOCK) + 1, base, np.uint64)
         p[0] = 1
@@ -109,8 +109,8 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = True) -
         s, e = np.flatnonzero(first & ~sep), np.flatnonzero(final & ~sep) + 1
         with np.errstate(over="ignore"):
             sums = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(table[b] * _power("p", _P, len(b))[: len(b)], out=sums[1:])
-            h = mix((sums[e] - sums[s]) * _power("inverse", _PINV, len(b))[s] + (e - s).astype(np.uint64))
+            np.cumsum(table[b] * power("p", _P, len(b))[: len(b)], out=sums[1:])
+            h = mix((sums[e] - sums[s]) * power("inverse", _PINV, len(b))[s] + (e - s).astype(np.uint64))
         out.append((h, s + at, e + at))
         at = to
     h, s, e = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind) for i, kind in enumerate((np.uint64, np.int64, np.int64)))
