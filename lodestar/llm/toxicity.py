@@ -83,6 +83,7 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    del table
     seen = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     stands = np.array([total.get(int(k), 0) / seen[int(k)] for k in y], np.float64)
     return [flat[at[i] : at[i + 1]] for i in range(len(y))], y, stands
@@ -99,8 +100,12 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negative
     if not len(y) or y.min() == y.max():
         return machine
     row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    found, at = np.unique(np.concatenate(lists), return_inverse=True)
-    at = at.astype(np.int32)
+    flat = np.concatenate(lists)
+    del lists
+    found = np.unique(flat)
+    at = flat  # each term's place among those found, written over it part by part
+    for part in _parts(len(flat)):
+        at[part] = np.searchsorted(found, flat[part])
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     with_label = [np.bincount(at[(y == k)[row]], minlength=len(found)) for k in (0, 1)]
     often = with_label[0] + with_label[1]
@@ -122,30 +127,53 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negative
     return trained(chosen | more)[0] if more.any() else machine
 
 
-def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left: np.ndarray, strength: float, directions: int = 4, steps: int = 12) -> np.ndarray:
+def _parts(n: int) -> list[slice]:
+    """Slices that keep what numpy makes on the way small."""
+    return [slice(i, i + (1 << 19)) for i in range(0, n, 1 << 19)]
+
+
+def _sum_at(keys: np.ndarray, of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """For each key the sum of ``values[of]``."""
+    out = np.zeros(n)
+    for part in _parts(len(keys)):
+        out += np.bincount(keys[part], weights=values[of[part]], minlength=n)
+    return out
+
+
+def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left: np.ndarray, strength: float, directions: int = 4, steps: int = 8) -> np.ndarray:
     """Which of the candidate terms meet others where ``left``, a row's unexplained label, has a sign. One half of the rows
     gives the leading directions of the centred co-occurrences that ``left`` weights, the other half tests each term
     against them."""
     out = np.zeros(len(candidates), bool)
-    mine = candidates[col]
-    place = np.cumsum(candidates) - 1
-    row, col, d, n = row[mine], place[col[mine]], int(candidates.sum()), len(left)
+    place, d, n = np.cumsum(candidates, dtype=np.int32) - 1, int(candidates.sum()), len(left)
     if d < 2:
         return out
-    mean = np.bincount(col, minlength=d) / n
-    half = mix(np.arange(n, dtype=np.uint64)) & np.uint64(1) == 1
-    along = lambda u: np.stack([np.bincount(row, weights=x[col], minlength=n) - mean @ x for x in u.T], axis=1)
-    across = lambda c: np.stack([np.bincount(col, weights=x[row], minlength=d) - mean * x.sum() for x in c.T], axis=1)
+    second = mix(np.arange(n, dtype=np.uint64)) & np.uint64(1) == 1
+    halves = []
+    for own in (~second, second):
+        mine = candidates[col] & own[row]
+        halves.append((own, row[mine], place[col[mine]]))
+    mean = sum(np.bincount(c, minlength=d) for _, _, c in halves) / n
+
+    def along(half: tuple, u: np.ndarray) -> np.ndarray:
+        own, r, c = half
+        return np.stack([np.where(own, _sum_at(r, c, x, n) - mean @ x, 0) for x in u.T], axis=1)
+
+    def across(half: tuple, told: np.ndarray) -> np.ndarray:
+        return np.stack([_sum_at(half[2], half[1], x, d) - mean * x.sum() for x in told.T], axis=1)
+
     hits = np.zeros(d, bool)
-    for learn in (half, ~half):
-        weight = np.where(learn, left - left[learn].mean(), 0)[:, None]
+    for learn, test in (halves, halves[::-1]):
+        weight = np.where(learn[0], left - left[learn[0]].mean(), 0)[:, None]
         u = np.linalg.qr(np.random.default_rng(13).normal(size=(d, min(directions, d))))[0]
         for _ in range(steps):
-            u = np.linalg.qr(across(weight * along(u)))[0]
-        told = np.where(~learn, left - left[~learn].mean(), 0)[:, None] * along(u)
-        told -= np.where(~learn[:, None], told.sum(axis=0) / max(1, (~learn).sum()), 0)
-        spread = np.sqrt(np.maximum(np.stack([np.bincount(col, weights=(x * x)[row], minlength=d) for x in told.T], axis=1) * (1 - 2 * mean[:, None]) + mean[:, None] ** 2 * (told * told).sum(axis=0), 1e-12))
-        hits |= (np.abs(across(told)) >= strength * spread).any(axis=1)
+            u = np.linalg.qr(across(learn, weight * along(learn, u)))[0]
+        own = test[0]
+        told = np.where(own, left - left[own].mean(), 0)[:, None] * along(test, u)
+        told -= np.where(own[:, None], told.sum(axis=0) / max(1, own.sum()), 0)
+        squares = np.stack([_sum_at(test[2], test[1], x * x, d) for x in told.T], axis=1)
+        spread = np.sqrt(np.maximum(squares * (1 - 2 * mean[:, None]) + mean[:, None] ** 2 * (told * told).sum(axis=0), 1e-12))
+        hits |= (np.abs(across(test, told)) >= strength * spread).any(axis=1)
     out[np.flatnonzero(candidates)[hits]] = True
     return out
 
