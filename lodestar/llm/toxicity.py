@@ -9,8 +9,9 @@ row with more distinct terms than that gives those of the smallest hashes); term
 A term enters the machine in one of two ways: its shares among toxic and clean texts differ by ``strength`` standard
 errors; or it interacts, i.e. what the machine of the former terms leaves unexplained goes along with the term's meeting
 others. For that the leading directions of the sample's co-occurrences, weighted by what is left, are found by subspace
-iteration on one half of the sample and each term is tested against them on the other half. A term that says nothing by
-itself is thus kept if its pairs do. Scores are computed where the texts are.
+iteration on one half of the sample and each term is tested against them on the other half; the ``MOST_INTERACTING``
+clearest enter. A term that says nothing by itself is thus kept if its pairs do. Where the first machine leaves less than
+``EXPLAINED`` of the labels' variance, there is nothing to look for. Scores are computed where the texts are.
 
 Defined results. A null or empty text has no terms and gets the machine's bias as score. Labels that are null are left
 out; of several labels of one document the highest counts; of several texts of one labelled ``doc_id`` the one with the
@@ -32,6 +33,8 @@ from .textkernel import PUNCT, mix, pieces, prefixes, words
 
 BITS = 24
 PREFIXES = (4, 5, 6)
+EXPLAINED = 0.02  # share of the labels' variance that may be left before interactions are looked for
+MOST_INTERACTING = 512  # terms that enter by their interactions, the clearest first
 
 
 class Machine(NamedTuple):
@@ -122,6 +125,8 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negative
     chance = np.full(len(y), n1 / (n1 + n0))
     if chosen.any():
         machine, chance = trained(chosen)
+    if np.mean((y - chance) ** 2) < EXPLAINED * n1 * n0 / len(y) ** 2:
+        return machine
     candidates = ~chosen & (often >= 4 * least) & (p <= 0.8)
     more = _interacting(row, at, candidates, y - chance, strength)
     return trained(chosen | more)[0] if more.any() else machine
@@ -162,7 +167,7 @@ def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left:
     def across(half: tuple, told: np.ndarray) -> np.ndarray:
         return np.stack([_sum_at(half[2], half[1], x, d) - mean * x.sum() for x in told.T], axis=1)
 
-    hits = np.zeros(d, bool)
+    clear = np.zeros(d)
     for learn, test in (halves, halves[::-1]):
         weight = np.where(learn[0], left - left[learn[0]].mean(), 0)[:, None]
         u = np.linalg.qr(np.random.default_rng(13).normal(size=(d, min(directions, d))))[0]
@@ -173,8 +178,9 @@ def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left:
         told -= np.where(own[:, None], told.sum(axis=0) / max(1, own.sum()), 0)
         squares = np.stack([_sum_at(test[2], test[1], x * x, d) for x in told.T], axis=1)
         spread = np.sqrt(np.maximum(squares * (1 - 2 * mean[:, None]) + mean[:, None] ** 2 * (told * told).sum(axis=0), 1e-12))
-        hits |= (np.abs(across(test, told)) >= strength * spread).any(axis=1)
-    out[np.flatnonzero(candidates)[hits]] = True
+        clear = np.maximum(clear, (np.abs(across(test, told)) / spread).max(axis=1))
+    best = np.argsort(-clear, kind="stable")[:MOST_INTERACTING]
+    out[np.flatnonzero(candidates)[best[clear[best] >= strength]]] = True
     return out
 
 
