@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import raw_tokens
+
+
+SEED = 3  # tokens of an anchor that a document must hold in a row to be looked at
+
+
+def _seeds(tokens: Column) -> Column:
+    """A hash for each ``SEED`` tokens in a row."""
+    at = F.sequence(F.lit(1), F.size(tokens) - SEED + 1)
+    each = F.transform(at, lambda i: F.xxhash64(*(F.get(tokens, i - 1 + k) for k in range(SEED))))
+    return F.when(F.size(tokens) >= SEED, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
 
 def anchored(documents: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:
-    """Documents that hold a query's ``anchor`` word for word. ``asked`` is a stated, bounded query set, compared with all
-    rows as a broadcast side."""
-    return documents.join(F.broadcast(asked), F.col("text").contains(F.col("anchor"))).select(query_key, key)
+    """Documents (``key``, ``text``) that hold a query's ``anchor`` word for word: ``query_key``, ``key``.
+
+    An anchor's inner tokens stand in any text that holds it, so only documents that share a hash of the first ``SEED`` of
+    them are compared; the texts are joined to those pairs. Anchors with fewer inner tokens are compared with all rows, a
+    broadcast side or not as the planner chooses."""
+    inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
+    cut = asked.where("anchor is not null").select(query_key, "anchor", raw_tokens(F.col("anchor")).alias("tokens")).select(query_key, "anchor", inner.alias("inner"))
+    long = cut.where(F.size("inner") >= SEED).select(query_key, F.get(_seeds(F.slice("inner", 1, SEED)), F.lit(0)).alias("seed"))
+    held = documents.select(key, raw_tokens(F.col("text")).alias("tokens")).select(key, F.explode(_seeds(F.col("tokens"))).alias("seed"))
+    pairs = held.join(long, "seed").select(query_key, key).distinct()
+    texts = pairs.join(asked.select(query_key, "anchor"), query_key).join(documents.select(key, "text"), key)
+    found = texts.where(F.col("text").contains(F.col("anchor"))).select(query_key, key)
+    short = cut.where(F.size("inner") < SEED).select(query_key, "anchor")
+    return found.union(documents.select(key, "text").join(short, F.col("text").contains(F.col("anchor"))).select(query_key, key)).distinct()
 
 
 def recall_at(ranked: DataFrame, truth: DataFrame, key: str, query_key: str, ks: tuple[int, ...]) -> DataFrame:
@@ -21,6 +46,15 @@ def recall_at(ranked: DataFrame, truth: DataFrame, key: str, query_key: str, ks:
     return each.groupBy(F.col("k").cast("long").alias("k")).agg(F.round(F.avg(hit), 6).alias("recall"), F.count(F.lit(1)).alias("answerable"))
 
 
+def recall_by(ranked: DataFrame, truth: DataFrame, key: str, query_key: str, arm: str, arms: list[str], ks: tuple[int, ...]) -> DataFrame:
+    """:func:`recall_at` for each arm of ``ranked``; an arm that finds nothing has a recall of 0."""
+    first = ranked.join(truth, [query_key, key]).groupBy(arm, query_key).agg(F.min("rank").alias("first"))
+    every = truth.select(query_key).distinct().withColumn(arm, F.explode(F.array(*map(F.lit, arms)))).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    hit = F.when(F.col("first") <= F.col("k"), 1.0).otherwise(0.0)
+    joined = every.join(first, [arm, query_key], "left")
+    return joined.groupBy(arm, F.col("k").cast("long").alias("k")).agg(F.round(F.avg(hit), 6).alias("recall"), F.count(F.lit(1)).alias("answerable"))
+
+
 def abstention_margin(ranked: DataFrame, truth: DataFrame, key: str, query_key: str) -> DataFrame:
     """The worst answerable query's best right score, less the best score of any unanswerable query."""
     low = ranked.join(truth, [query_key, key]).groupBy(query_key).agg(F.max("score").alias("m")).agg(F.min("m").alias("lowest_answer"))
@@ -73,3 +107,54 @@ def rule_coverage(entities: DataFrame, rules: DataFrame, emitted: DataFrame, con
     joined = pairs.join(answers, entity, "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
     trivial = F.array(*(F.lit(c) for c in constant))
     return joined.groupBy("rule_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.arrays_overlap("values", "expected")).alias("hits"), F.count_if(F.arrays_overlap(trivial, F.col("expected"))).alias("trivial_hits"))
+
+
+def strict_recall_at(ranked: DataFrame, truth: DataFrame, key: str, query_key: str, ks: tuple[int, ...]) -> DataFrame:
+    """Loose and strict recall from one ranking: a document of the right group among the first k, and one of those that
+    holds the anchor itself. ``ranked`` has ``group``; ``truth`` (``query_key``, ``key``, ``group``) the anchored documents."""
+    groups = truth.select(query_key, "group").distinct()
+    near = ranked.join(groups, [query_key, "group"]).join(truth.select(query_key, key, F.lit(True).alias("anchored")), [query_key, key], "left")
+    first = near.groupBy(query_key).agg(F.min("rank").alias("loose"), F.min(F.when(F.col("anchored"), F.col("rank"))).alias("strict"))
+    each = truth.select(query_key).distinct().join(first, query_key, "left").withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks))))
+    share = lambda c: F.round(F.avg(F.when(F.col(c) <= F.col("k"), 1.0).otherwise(0.0)), 6)
+    return each.groupBy(F.col("k").cast("long").alias("k")).agg(share("loose").alias("loose"), share("strict").alias("strict"), F.count(F.lit(1)).alias("answerable"))
+
+
+def first_places(hits: DataFrame, engines: list[str]) -> DataFrame:
+    """``hits`` (a column of ranks an engine): how often each engine has a right document first, and is better or worse than
+    the first engine of the list."""
+    far = lambda c: F.coalesce(F.col(c), F.lit(1 << 30))
+    base = far(engines[0])
+    parts = [F.struct(F.lit(e).alias("engine"), (far(e) == 1).cast("int").alias("first"), (far(e) < base).cast("int").alias("better"), (far(e) > base).cast("int").alias("worse")) for e in engines]
+    return hits.select(F.explode(F.array(*parts)).alias("x")).select("x.*").groupBy("engine").agg(*(F.sum(c).cast("long").alias(c) for c in ("first", "better", "worse")))
+
+
+def accuracy_by(pairs: DataFrame, flag: str, right: Column) -> DataFrame:
+    """Right answers and their share on either side of a flag."""
+    return pairs.groupBy(flag).agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("right"), F.round(F.avg(right.cast("double")), 6).alias("share"))
+
+
+def partition_problems(sets: DataFrame, key: str, parts: list[str], vocabulary: list[str]) -> DataFrame:
+    """``key``, ``reason``, ``labels``: lists that should be disjoint and cover a vocabulary, and where they don't."""
+    listed = {p: F.coalesce(p, F.array().cast("array<string>")) for p in parts}
+    whole = F.array(*map(F.lit, vocabulary))
+    said = [F.struct(F.lit(f"unknown in {p}").alias("reason"), F.array_sort(F.array_except(c, whole)).alias("labels")) for p, c in listed.items()]
+    pairs = [(a, b) for i, a in enumerate(parts) for b in parts[i + 1 :]]
+    said += [F.struct(F.lit(f"in {a} and {b}").alias("reason"), F.array_sort(F.array_intersect(listed[a], listed[b])).alias("labels")) for a, b in pairs]
+    every = F.flatten(F.array(*listed.values()))
+    said.append(F.struct(F.lit("in none").alias("reason"), F.array_sort(F.array_except(whole, every)).alias("labels")))
+    return sets.select(key, F.explode(F.array(*said)).alias("x")).select(key, "x.*").where(F.size("labels") > 0)
+
+
+def ceiling(sets: DataFrame, candidates: str, expected: str) -> DataFrame:
+    """The most that any choice among the candidates could find: expected labels that are candidates at all."""
+    reached = F.size(F.array_intersect(candidates, expected))
+    return sets.agg(F.sum(reached).cast("long").alias("reachable"), F.sum(F.size(expected)).cast("long").alias("total"), F.count_if(reached < F.size(expected)).alias("short"))
+
+
+def anchors_hit(rows: DataFrame, chosen: str, anchors: list[str], head: int = 150) -> DataFrame:
+    """A chosen span against the plain beginning of the text: how often each holds an anchor, of texts that have one."""
+    has = lambda c: reduce(Column.__or__, (c.contains(a) for a in anchors))
+    aimed = rows.where(has(F.col("text")))
+    counted = aimed.agg(F.count(F.lit(1)).alias("n"), F.count_if(has(F.substring("text", 1, head))).alias("head"), F.count_if(has(F.col(chosen))).alias("chosen"))
+    return counted

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 Embedder = Callable[[list[str]], list[list[float]]]
 Reranker = Callable[[str, list[str]], list[float]]
 Generator = Callable[[str, list[str]], tuple[str, list[int]] | None]
+Judge = Callable[[str, list[str]], list[int]]
 
 _RERANKERS: dict[str, Reranker | None] = {"none": None}
 _GENERATORS: dict[str, Generator | None] = {"none": None}
@@ -60,6 +61,34 @@ def rerank_scores(pairs: DataFrame, key: str, query_key: str, model: Reranker |
     return pairs.groupBy(query_key).applyInPandas(run, f"{query_key} {kinds[query_key]}, {key} {kinds[key]}, rerank_score double")
 
 
+def judged(found: DataFrame, entity: str, question: str, judge: Judge | None) -> DataFrame:
+    """Evidence (``entity``, ``kind``, ``span``) that a judge approves, by its places in the entity's and kind's list, which
+    is a few spans long. Without a judge, or where it fails, all of it stays; places out of range are dropped."""
+    if judge is None:
+        return found
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return group.iloc[sorted({i for i in judge(question, group["span"].tolist()) if 0 <= i < len(group)})]
+        except Exception:  # the judge is remote and optional
+            return group
+
+    return found.groupBy(entity, "kind").applyInPandas(run, found.schema)
+
+
+def sustained(claims: DataFrame, judge: Judge | None) -> DataFrame:
+    """Adds ``sustained``: whether a judge holds that a claim's ``span`` sustains its ``text``; null without a judge."""
+    if judge is None:
+        return claims.withColumn("sustained", F.lit(None).cast("boolean"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(sustained=[bool(judge(t, [s])) for t, s in zip(frame["text"], frame["span"], strict=True)])
+
+    fields = ", ".join(f"`{n}` {k}" for n, k in claims.dtypes)
+    return claims.mapInPandas(run, f"{fields}, sustained boolean")
+
+
 def context(passages: list[tuple[str, str]]) -> str:
     """Numbered blocks for a prompt."""
     return "\n\n".join(f"[{i}] ({name}) {text}" for i, (name, text) in enumerate(passages))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import contains_any, raw_tokens, tokens
-from lodestar.functions.vectors import cosine
 
 
 @dataclass
@@ -66,26 +71,36 @@ def search_entities(entities: DataFrame, documents: DataFrame, terms: list[str],
     return ranked.orderBy(F.desc("score"), entity).limit(limit)
 
 
-def postings(documents: DataFrame, key: str, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, ``term``, ``tf`` and ``dl`` (tokens of the document)."""
-    own = documents.select(key, tokens(F.col("text"), stopwords).alias("tokens"))
+class Index(NamedTuple):
+    """What BM25 needs of a corpus: ``postings`` (``term``, key, ``tf``, ``dl``), ``frequencies`` (``term``, ``df``) and
+    ``stats`` (one row: ``n``, ``avgdl``)."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    stats: DataFrame
+
+
+def index(documents: DataFrame, key: str, stopwords: tuple[str, ...] = (), keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
+    """The index of ``documents`` (``key``, ``text``). ``keep(table, name)`` stores a table and reads it back, so that the
+    corpus is tokenized once; postings are stored in order of their terms, so a search reads few row groups."""
+    store = keep or (lambda df, name: df)
+    own = store(documents.select(key, tokens(F.col("text"), stopwords).alias("tokens")), "tokens")
+    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens").cast("long")).alias("avgdl"))
     each = own.select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = each.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = store(postings.sortWithinPartitions("term") if keep else postings, "postings")
+    return Index(postings, store(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), store(stats, "stats"))
 
 
-def bm25(documents: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, stopwords: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(corpus: DataFrame | Index, queries: DataFrame, key: str, query_key: str, k: int, stopwords: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Top ``k`` documents of each query: ``query_key``, ``key``, ``score``, ``rank``. A repeated query token counts again;
     scores of zero are left out; a query without tokens has no rows. Only postings of the queries' terms are shuffled."""
-    sized = documents.select(key, tokens(F.col("text"), stopwords).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    held = corpus if isinstance(corpus, Index) else index(corpus, key, stopwords)
     asked = queries.select(query_key, F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = asked.select("term").distinct()
-    tf = sized.select(key, "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighed = asked.join(df, "term").join(tf, "term").crossJoin(F.broadcast(stats))  # one row
-    scored = weighed.groupBy(query_key, key).agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
+    weight = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighed = asked.join(held.frequencies, "term").crossJoin(F.broadcast(held.stats)).withColumn("idf", idf)  # one row
+    scored = weighed.join(held.postings, "term").groupBy(query_key, key).agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
     return top(scored, query_key, "score", key, k)
 
 
@@ -95,11 +110,47 @@ def top(scored: DataFrame, partition: str, score: str, tie: str, k: int) -> Data
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding") -> DataFrame:
-    """Exact top ``k`` by cosine. ``queries`` is a stated, bounded set of rows that is sent to every task."""
-    q = queries.select(query_key, F.col(vector).alias("query_vector"))
-    scored = vectors.select(key, vector).crossJoin(F.broadcast(q)).select(query_key, key, F.round(cosine(F.col(vector), F.col("query_vector")), 6).alias("score"))
-    return top(scored.where("score is not null"), query_key, "score", key, k)
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one in double precision, and where they stand. Left out are nulls, zeros, values that are not finite,
+    and vectors shorter than the longest."""
+    listed = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+    size = int(sizes.max()) if len(sizes) else 0
+    at = np.flatnonzero((sizes == size) & (size > 0))
+    m = pc.list_flatten(listed.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    good = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
+    return m[good] / norm[good], at[good]
+
+
+def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """Exact top ``k`` by cosine of each query against all rows but the one of its own id. A stated query set is sent out in
+    blocks of about ``block`` rows; a task keeps the ``k`` best of what it reads, so few rows are shuffled."""
+    kinds = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {dict(vectors.dtypes)[key]}, score double"
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select(query_key, vector, F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("block"))
+
+    def found(asked: pa.Table) -> DataFrame:
+        q, at = _matrix(asked.column(vector))
+        names = asked.column(query_key).to_numpy()[at]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m, rows = _matrix(batch.column(vector))
+                if not len(rows) or not len(q) or m.shape[1] != q.shape[1]:
+                    continue
+                own = batch.column(key).to_numpy(zero_copy_only=False)[rows]
+                scores = np.round(q @ m.T, 6)
+                for name, line in zip(names, scores, strict=True):
+                    line[own == name] = -2
+                    best = np.lexsort((own, -line))[:k]
+                    best = best[line[best] > -2]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), name)), pa.array(own[best]), pa.array(line[best])], [query_key, key, "score"])
+
+        return vectors.select(key, vector).mapInArrow(run, kinds)
+
+    parts = [found(dealt.where(F.col("block") == b).select(query_key, vector).toArrow()) for b in range(blocks)]
+    return top(reduce(DataFrame.union, parts), query_key, "score", key, k)
 
 
 def fuse_rrf(arms: list[tuple[DataFrame, float]], key: str, query_key: str, k: int) -> DataFrame:
@@ -131,6 +182,13 @@ def _fuse(arms: list[tuple[DataFrame, float]], key: str, query_key: str) -> Data
     return fused.withColumn("position", F.row_number().over(order)).drop("seen")
 
 
+def overlap(pairs: DataFrame, key: str, query_key: str) -> DataFrame:
+    """A stand-in for a rerank model: the share of a question's distinct tokens that the text has. ``pairs``: ``question``, ``text``."""
+    asked = F.array_distinct(tokens(F.col("question")))
+    share = F.try_divide(F.size(F.array_intersect(asked, tokens(F.col("text")))).cast("double"), F.size(asked))
+    return pairs.select(query_key, key, F.round(F.coalesce(share, F.lit(0.0)), 6).alias("rerank_score"))
+
+
 def rerank(fused: DataFrame, key: str, query_key: str, scores: DataFrame | None, k: int) -> DataFrame:
     """The whole union in the order of ``scores`` (``query_key``, ``key``, ``rerank_score``), then cut to ``k``; ties keep
     the fused order. Without scores the fused order stays and ``rerank_score`` is null."""

@@ -7,14 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import rules
+from lodestar.operators import evaluate, rules, tables
 
 from .registry import query, table
-from .retrieval_queries import _BOTH_SQL, ASKED, BM25_SQL, RRF_SQL, _truth, dense, hybrid, lexical
-from .rule_queries import _CLASS, _CONF_SQL, _DEEP_SQL, _LEVEL, _PRIORITY, _QUADRANT, CLAIMS_SQL, _graded, claims, facts
-
-_TRUTH_SQL = f"truth AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE item_id < {ASKED})"
-
+from .retrieval_queries import _ITEMS, ENGINES, ENGINES_SQL, TRUTH_SQL, bm25_sql, engine_rows, lexical, truth
+from .rule_queries import _CLASS, _CONF_SQL, _DEEP_SQL, _LEVEL, _PRIORITY, _QUADRANT, CLAIMS_SQL, _graded, claims, claims_sql, facts
 
 @query("SELECT lang, n, place FROM (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS place FROM documents GROUP BY lang) WHERE place <= 3")
 def most_common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,28 +37,44 @@ def entity_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = c.join(low, "source", "left").select("source", "verified", rules.quadrant(F.col("class"), F.col("level"), F.col("verified")).alias("quadrant"), F.coalesce("confidence", F.lit("baixa")).alias("confidence"))
     p = q.select("source", "quadrant", "confidence", rules.priority(q.quadrant, q.confidence, q.verified).alias("priority"))
     rank = F.when(F.col("priority") == "alta", 0).when(F.col("priority") == "media", 1).otherwise(2)
-    return p.withColumn("place", F.row_number().over(W.orderBy(rank, "source")).cast("long"))  # a row an entity of the report
+    return tables.placed(p, rank, "source", F.substring("source", 1, 2))
+
+
+_HITS_SQL = f"{ENGINES_SQL}, h AS (SELECT engine, query_id, min(rank) AS rank FROM e JOIN truth USING (query_id, doc_id) GROUP BY 1, 2)"
+_POSITIONS_SQL = ", ".join(f"max(rank) FILTER (engine = '{n}') AS {n}" for n in ENGINES)
+
 
+def engine_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rank of a right document for each test item and engine; null where an engine finds none."""
+    right = truth(spark, sf_dir)
+    hits = engine_rows(spark, sf_dir).join(right, ["query_id", "doc_id"]).groupBy("query_id").pivot("engine", ENGINES).agg(F.min("rank").cast("long"))
+    return right.select("query_id").distinct().join(hits, "query_id", "left")
 
-@query(f"""{_BOTH_SQL}, {RRF_SQL}, {_TRUTH_SQL}, e AS (SELECT 'dense' AS engine, query_id, doc_id, rank FROM dense UNION ALL SELECT 'lexical', query_id, doc_id, rank FROM lexical UNION ALL SELECT 'hybrid', query_id, doc_id, position FROM fused),
-h AS (SELECT engine, query_id, min(rank) AS rank FROM e JOIN truth USING (query_id, doc_id) GROUP BY 1, 2)
-SELECT query_id, max(rank) FILTER (engine = 'dense') AS dense, max(rank) FILTER (engine = 'lexical') AS lexical, max(rank) FILTER (engine = 'hybrid') AS hybrid FROM h GROUP BY query_id""")
+
+@query(f"{_HITS_SQL} SELECT t.query_id, {_POSITIONS_SQL} FROM (SELECT DISTINCT query_id FROM truth) t LEFT JOIN h ON h.query_id = t.query_id GROUP BY t.query_id")
 def rank_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engines = {"dense": dense(spark, sf_dir), "lexical": lexical(spark, sf_dir), "hybrid": hybrid(spark, sf_dir).withColumnRenamed("position", "rank")}
-    rows = None
-    for name, ranked in engines.items():
-        own = ranked.select(F.lit(name).alias("engine"), "query_id", "doc_id", "rank")
-        rows = own if rows is None else rows.union(own)
-    hits = rows.join(_truth(spark, sf_dir), ["query_id", "doc_id"])
-    return hits.groupBy("query_id").pivot("engine", list(engines)).agg(F.min("rank").cast("long"))
+    return engine_hits(spark, sf_dir)
+
+
+_FAR_SQL = "coalesce({0}, 1 << 30)"
+_FIRST_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS engine, count(*) FILTER ({_FAR_SQL.format(n)} = 1) AS first, count(*) FILTER ({_FAR_SQL.format(n)} < {_FAR_SQL.format('dense')}) AS better, count(*) FILTER ({_FAR_SQL.format(n)} > {_FAR_SQL.format('dense')}) AS worse FROM w HAVING count(*) > 0"
+    for n in ENGINES
+)
+
+
+@query(f"{_HITS_SQL}, w AS (SELECT t.query_id, {_POSITIONS_SQL} FROM (SELECT DISTINCT query_id FROM truth) t LEFT JOIN h ON h.query_id = t.query_id GROUP BY t.query_id) {_FIRST_SQL}")
+def first_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each engine comes first, and against the plain dense one."""
+    return evaluate.first_places(engine_hits(spark, sf_dir), ENGINES)
 
 
-@query(f"""WITH {BM25_SQL}, {_TRUTH_SQL}, all_asked AS (SELECT item_id AS query_id FROM benchmark WHERE item_id < {ASKED}), m AS (SELECT query_id, max(score) AS top FROM lexical GROUP BY 1)
-SELECT (query_id IN (SELECT query_id FROM truth)) AS answerable, count(*) AS n, count(*) FILTER (coalesce(top, 0) >= 100) AS answered FROM all_asked LEFT JOIN m USING (query_id) GROUP BY 1""")
+@query(f"""WITH {bm25_sql(_ITEMS)}, {TRUTH_SQL}, m AS (SELECT query_id, max(score) AS top FROM lexical GROUP BY 1)
+SELECT (query_id IN (SELECT query_id FROM truth)) AS answerable, count(*) AS n, count(*) FILTER (coalesce(top, 0) >= 100) AS answered FROM (SELECT item_id AS query_id FROM benchmark) LEFT JOIN m USING (query_id) GROUP BY 1""")
 def abstention_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = lexical(spark, sf_dir).groupBy("query_id").agg(F.max("score").alias("top"))
-    known = _truth(spark, sf_dir).select("query_id").distinct().withColumn("answerable", F.lit(True))
-    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") < ASKED).select(F.col("item_id").alias("query_id"))
+    top = lexical(spark, sf_dir, items=True).groupBy("query_id").agg(F.max("score").alias("top"))
+    known = truth(spark, sf_dir).select("query_id").distinct().withColumn("answerable", F.lit(True))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     joined = asked.join(top, "query_id", "left").join(known, "query_id", "left")
     return joined.groupBy(F.coalesce("answerable", F.lit(False)).alias("answerable")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("top", F.lit(0.0)) >= 100).alias("answered"))
 
@@ -73,18 +86,37 @@ def undated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("o_orderdate").isNull()).alias("undated"))
 
 
-@query(f"WITH {CLAIMS_SQL} SELECT source, CASE WHEN a = 0 AND c = 0 THEN NULL WHEN a > c THEN 'autopilot' ELSE 'copilot' END AS delivery FROM (SELECT source, count(*) FILTER (kind = 'autopilot') AS a, count(*) FILTER (kind = 'data') AS c FROM claims GROUP BY source)")
+DELIVERY = {"autopilot": ["therou"], "copilot": ["nthe", "license"]}
+_DELIVERY_SQL = claims_sql(DELIVERY)
+
+
+@query(f"WITH {_DELIVERY_SQL} SELECT source, CASE WHEN a = 0 AND c = 0 THEN NULL WHEN a > c THEN 'autopilot' ELSE 'copilot' END AS delivery FROM (SELECT s.source, count(*) FILTER (kind = 'autopilot') AS a, count(*) FILTER (kind = 'copilot') AS c FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN claims c ON s.source = c.source GROUP BY s.source)")
 def delivery_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = claims(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("kind") == "autopilot").alias("a"), F.count_if(F.col("kind") == "data").alias("c"))
+    documents = table(spark, sf_dir, "documents")
+    found = rules.claims(documents, DELIVERY, "source")
+    counted = documents.select("source").distinct().join(found, "source", "left").groupBy("source").agg(F.count_if(F.col("kind") == "autopilot").alias("a"), F.count_if(F.col("kind") == "copilot").alias("c"))
     return counted.select("source", rules.delivery(F.col("a"), F.col("c")).alias("delivery"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, 'Founded about ' || (doc_id % 30) || ' years ago. ' || substr(text, 1, 100) || '. Started ' || (doc_id % 7) || ' years ago.' AS t FROM documents)
-SELECT doc_id, list_max([x::INT for x in regexp_extract_all(lower(t), '(?:founded|created|started)[^.!?\n]{0,40}?(\d{1,3}) years ago', 1)]) AS years FROM d""")
-def relative_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+_AGED_SQL = "'Founded about ' || (doc_id % 30) || ' years ago. ' || text || '. Started ' || (doc_id % 7) || ' years ago.'"
+_YEARS_SQL = rf"list_max([x::INT for x in regexp_extract_all(lower({_AGED_SQL}), '(?:founded|created|started)[^.!?\n]{{0,40}}?(\d{{1,3}}) years ago', 1)])"
+
+
+def aged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose whole text says how old its source is."""
     old, new = (F.concat(F.lit(head), (F.col("doc_id") % n).cast("string"), F.lit(" years ago.")) for head, n in (("Founded about ", 30), ("Started ", 7)))
-    text = F.concat(old, F.lit(" "), F.substring("text", 1, 100), F.lit(". "), new)
-    return table(spark, sf_dir, "documents").select("doc_id", rules.relative_age(text).alias("years"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat(old, F.lit(" "), F.col("text"), F.lit(". "), new))
+
+
+@query(f"SELECT doc_id, {_YEARS_SQL} AS years FROM documents")
+def relative_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aged(spark, sf_dir).select("doc_id", rules.relative_age(F.col("text")).alias("years"))
+
+
+@query(f"""WITH y AS (SELECT source, doc_id, {_YEARS_SQL} AS years FROM documents) SELECT source, years, doc_id FROM y WHERE years IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY years DESC, doc_id) = 1""")
+def declared_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest age that any document of a source declares, and the first that does."""
+    return rules.declared_age(aged(spark, sf_dir), "source")
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(text) <= 130 THEN text ELSE CASE WHEN regexp_extract(substr(text, 1, 129), '(?s)^(.*)\s', 1) <> '' THEN rtrim(regexp_extract(substr(text, 1, 129), '(?s)^(.*)\s', 1), ' ') ELSE substr(text, 1, 129) END || '…' END AS short FROM documents""")
@@ -92,12 +124,11 @@ def shortened_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 130).alias("short"))
 
 
-@query("SELECT conv_id, array_to_string(list('[' || (turn - first) || '] (' || role || ') ' || text ORDER BY turn), chr(10) || chr(10)) AS context FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, turn - first AS place, '[' || (turn - first) || '] (' || role || ') ' || text AS block FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)")
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    kept = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("p"))
-    block = lambda x: F.concat(F.lit("["), (x["turn"] - F.col("p")[0]["turn"]).cast("string"), F.lit("] ("), x["role"], F.lit(") "), x["text"])
-    return kept.select("conv_id", F.array_join(F.transform("p", block), "\n\n").alias("context"))
+    """Numbered blocks of a prompt, a row each; the few that a prompt takes are joined where it is made."""
+    kept = tables.appended(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return kept.select("conv_id", "place", F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] ("), "role", F.lit(") "), "text").alias("block"))
 
 
 @query("""WITH s AS (SELECT source, list_sort(list_distinct(list(lang))) AS a, list_sort(list_distinct(list(lang) FILTER (n_chars > 3000))) AS b FROM documents GROUP BY source)

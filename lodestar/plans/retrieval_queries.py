@@ -1,4 +1,7 @@
-"""Queries over ranked lists: BM25, vectors, fusion, rerank order, traces, recall and abstention."""
+"""Queries over ranked lists: BM25, vectors, fusion, rerank order, traces, recall and abstention.
+
+Ranked lists answer the rows whose id is divisible by 100, against all rows; measures ask every test item.
+"""
 
 from __future__ import annotations
 
@@ -6,48 +9,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import truncate
-from lodestar.operators import evaluate, search
+from lodestar.operators import evaluate, rules, search
+from lodestar.sources.shared import keep
 
 from .registry import query, table
 from .text_queries import TOKENS_SQL
 
-ASKED = 10  # stated query set: benchmark items, and vectors, with a number below this
 POOL = 20
+ENGINES = ["dense", "lexical", "hybrid", "rerank_dense", "rerank_hybrid"]
+_STATED, _ITEMS = "{0} % 100 = 0", "{0} IN (SELECT item_id FROM benchmark)"
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The corpus's index, made and stored once an application and folder."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        _indexes[at] = search.index(table(spark, sf_dir, "documents"), "doc_id", keep=keep)
+    return _indexes[at]
 
-BM25_SQL = f"""tok AS (SELECT doc_id, [x for x in {TOKENS_SQL} if length(x) > 1] AS k FROM documents),
+
+def bm25_sql(asked: str = _STATED) -> str:
+    return f"""tok AS (SELECT doc_id, [x for x in {TOKENS_SQL} if length(x) > 1] AS k FROM documents),
 dl AS (SELECT doc_id, len(k) AS dl, k FROM tok), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, dl, unnest(k) AS term FROM dl) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest([x for x in {TOKENS_SQL} if length(x) > 1]) AS term FROM benchmark WHERE item_id < {ASKED}) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest([x for x in {TOKENS_SQL} if length(x) > 1]) AS term FROM benchmark WHERE {asked.format("item_id")}) GROUP BY ALL),
 raw AS (SELECT item_id AS query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term), stats GROUP BY 1, 2),
 lexical AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM raw WHERE score > 0 QUALIFY rank <= {POOL})"""
 
 
-def dense_sql(size: int = 64, name: str = "dense") -> str:
+def dense_sql(size: int = 64, name: str = "dense", asked: str = _STATED) -> str:
     v = "list_transform(embedding, lambda x: x::DOUBLE)"
     v = v if size == 64 else f"list_transform(embedding[1:{size}], lambda x: x::DOUBLE)"
     return f"""{name}_v AS (SELECT vec_id, {v} AS v FROM embeddings),
 {name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
-(SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM {name}_v q, {name}_v d WHERE q.vec_id < {ASKED} AND d.vec_id >= {ASKED}) QUALIFY rank <= {POOL})"""
+(SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM {name}_v q, {name}_v d WHERE {asked.format("q.vec_id")} AND d.vec_id <> q.vec_id) QUALIFY rank <= {POOL})"""
+
 
+def _asked(spark: SparkSession, sf_dir: str, name: str, key: str, items: bool) -> DataFrame:
+    rows = table(spark, sf_dir, name)
+    if not items:
+        return rows.where(F.col(key) % 100 == 0)
+    return rows.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(key)), key, "left_semi")
 
-def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") < ASKED).withColumnRenamed("item_id", "query_id")
-    return search.bm25(table(spark, sf_dir, "documents"), asked, "doc_id", "query_id", POOL)
 
+def lexical(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame:
+    asked = _asked(spark, sf_dir, "benchmark", "item_id", items).withColumnRenamed("item_id", "query_id")
+    return search.bm25(corpus_index(spark, sf_dir), asked, "doc_id", "query_id", POOL)
 
-def dense(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+
+def dense(spark: SparkSession, sf_dir: str, size: int | None = None, items: bool = False) -> DataFrame:
+    vectors, asked = table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, "embeddings", "vec_id", items)
     if size:
-        vectors = vectors.withColumn("embedding", truncate(F.col("embedding"), size))
-    asked = vectors.where(F.col("doc_id") < ASKED).withColumnRenamed("doc_id", "query_id")
-    return search.dense(vectors.where(F.col("doc_id") >= ASKED), asked, "doc_id", "query_id", POOL)
+        vectors, asked = (x.withColumn("embedding", truncate(F.col("embedding"), size)) for x in (vectors, asked))
+    return search.dense(vectors.withColumnRenamed("vec_id", "doc_id"), asked.withColumnRenamed("vec_id", "query_id"), "doc_id", "query_id", POOL)
 
 
 def _ranks(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM lexical")
+@query(f"WITH {bm25_sql()} SELECT query_id, doc_id, score, rank FROM lexical")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(lexical(spark, sf_dir), "rank")
 
@@ -57,7 +79,11 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(dense(spark, sf_dir), "rank")
 
 
-@query("WITH " + ", ".join(dense_sql(n, f"d{n}") for n in (64, 32, 16)) + " " + " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, query_id, doc_id, score, rank FROM d{n} WHERE rank <= 5" for n in (64, 32, 16)))
+_SIZES_SQL = "WITH " + ", ".join(dense_sql(n, f"d{n}") for n in (64, 32, 16))
+_SIZES_SQL += " " + " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, query_id, doc_id, score, rank FROM d{n} WHERE rank <= 5" for n in (64, 32, 16))
+
+
+@query(_SIZES_SQL)
 def matryoshka_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for n in (64, 32, 16):
@@ -66,7 +92,9 @@ def matryoshka_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(out, "rank")
 
 
-_BOTH_SQL = f"WITH {BM25_SQL}, {dense_sql()}, arms AS (SELECT 0 AS arm, * FROM dense UNION ALL SELECT 1 AS arm, * FROM lexical)"
+_ARMS_SQL = "arms AS (SELECT 0 AS arm, * FROM dense UNION ALL SELECT 1 AS arm, * FROM lexical)"
+_BOTH_SQL = f"WITH {bm25_sql()}, {dense_sql()}, {_ARMS_SQL}"
+ITEMS_SQL = f"WITH {bm25_sql(_ITEMS)}, {dense_sql(asked=_ITEMS)}, {_ARMS_SQL}"
 
 
 def _fused_sql(part: str, arms: str = "arms") -> str:
@@ -77,14 +105,15 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC
 
 _W = "(PARTITION BY query_id, arm)"
 RRF_SQL = _fused_sql("CASE arm WHEN 0 THEN 1.0 ELSE 0.3 END::DOUBLE / (10 + rank)")
-MINMAX_SQL = _fused_sql(f"CASE arm WHEN 0 THEN 1.0 ELSE 0.3 END::DOUBLE * CASE WHEN max(score) OVER {_W} - min(score) OVER {_W} < 1e-12 THEN 0.5 ELSE (score - min(score) OVER {_W}) / (max(score) OVER {_W} - min(score) OVER {_W}) END")
+_RANGE_SQL = f"max(score) OVER {_W} - min(score) OVER {_W}"
+MINMAX_SQL = _fused_sql(f"CASE arm WHEN 0 THEN 1.0 ELSE 0.3 END::DOUBLE * CASE WHEN {_RANGE_SQL} < 1e-12 THEN 0.5 ELSE (score - min(score) OVER {_W}) / ({_RANGE_SQL}) END")
 SUM_SQL = _fused_sql(f"CASE arm WHEN 0 THEN 1.0 ELSE 0.3 END::DOUBLE * score / sum(score) OVER {_W}")
 _COLUMNS = "query_id, doc_id, fused, score_0, score_1, position"
 
 
-def hybrid(spark: SparkSession, sf_dir: str, weight: float = 0.3, k: int = 10) -> DataFrame:
+def hybrid(spark: SparkSession, sf_dir: str, weight: float = 0.3, k: int = 10, items: bool = False) -> DataFrame:
     """Both arms by reciprocal ranks; an arm of weight 0 is not read."""
-    arms = [(dense(spark, sf_dir), 1.0)] + ([(lexical(spark, sf_dir), weight)] if weight else [])
+    arms = [(dense(spark, sf_dir, items=items), 1.0)] + ([(lexical(spark, sf_dir, items), weight)] if weight else [])
     return search.fuse_rrf(arms, "doc_id", "query_id", k)
 
 
@@ -134,42 +163,131 @@ def fusion_grid_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.fusion_grid(dense(spark, sf_dir), lexical(spark, sf_dir), "doc_id", "query_id", (10, 20, 60), (0.3, 0.5, 0.7, 1.0), 3)
 
 
-_HITS_SQL = f"""WITH {BM25_SQL}, truth AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE item_id < {ASKED}),
+_SCALED_SQL = f"""scaled AS (SELECT *, CASE WHEN {_RANGE_SQL} < 1e-12 THEN 0.5 ELSE (score - min(score) OVER {_W}) / ({_RANGE_SQL}) END AS minmax, score / sum(score) OVER {_W} AS total FROM arms),
+n AS (SELECT how, w, query_id, doc_id, round(sum(CASE arm WHEN 0 THEN 1.0 ELSE w END::DOUBLE * CASE how WHEN 'minmax' THEN minmax ELSE total END), 6) AS fused, min(arm * 1000 + rank) AS seen
+FROM scaled, (VALUES ('minmax'), ('sum')) a(how), (VALUES (0.3), (0.5), (0.7), (1.0)) b(w) GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"{_BOTH_SQL}, {_SCALED_SQL} SELECT how, w::DOUBLE AS weight, query_id, doc_id, fused, row_number() OVER (PARTITION BY how, w, query_id ORDER BY fused DESC, seen) AS position FROM n QUALIFY position <= 3")
+def fusion_grid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two arms that bring scores to one scale, under every weight."""
+    d, x, out = keep(dense(spark, sf_dir), "dense"), keep(lexical(spark, sf_dir), "lexical"), None
+    for how in ("minmax", "sum"):
+        for weight in (0.3, 0.5, 0.7, 1.0):
+            own = search.fuse_scores([(d, 1.0), (x, weight)], "doc_id", "query_id", how).where("position <= 3")
+            own = own.select(F.lit(how).alias("how"), F.lit(weight).alias("weight"), "query_id", "doc_id", "fused", "position")
+            out = own if out is None else out.union(own)
+    return _ranks(out, "position")
+
+
+TRUTH_SQL = "truth AS (SELECT item_id AS query_id, doc_id, source FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
+_HITS_SQL = f"""WITH {bm25_sql(_ITEMS)}, {TRUTH_SQL},
 best AS (SELECT query_id, min(rank) AS loose FROM lexical JOIN truth USING (query_id, doc_id) GROUP BY 1), asked AS (SELECT DISTINCT query_id FROM truth)"""
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") < ASKED).select(F.col("item_id").alias("query_id"), F.col("text").alias("anchor"))
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("anchor"))
     return evaluate.anchored(table(spark, sf_dir, "documents"), asked, "doc_id", "query_id")
 
 
 @query(f"{_HITS_SQL} SELECT k::BIGINT AS k, round(avg(CASE WHEN loose <= k THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS answerable FROM asked LEFT JOIN best USING (query_id), (VALUES (1), (3), (5)) v(k) GROUP BY k")
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.recall_at(lexical(spark, sf_dir), _truth(spark, sf_dir), "doc_id", "query_id", (1, 3, 5))
+    return evaluate.recall_at(lexical(spark, sf_dir, items=True), truth(spark, sf_dir), "doc_id", "query_id", (1, 3, 5))
+
+
+@query(f"""WITH {bm25_sql(_ITEMS)}, {TRUTH_SQL}, g AS (SELECT DISTINCT query_id, source FROM truth), near AS (SELECT l.query_id, l.rank, t.doc_id IS NOT NULL AS anchored
+FROM lexical l JOIN documents d USING (doc_id) JOIN g ON g.query_id = l.query_id AND g.source = d.source LEFT JOIN truth t ON t.query_id = l.query_id AND t.doc_id = l.doc_id),
+f AS (SELECT query_id, min(rank) AS loose, min(rank) FILTER (anchored) AS strict FROM near GROUP BY 1)
+SELECT k::BIGINT AS k, round(avg(CASE WHEN loose <= k THEN 1.0 ELSE 0.0 END), 6) AS loose, round(avg(CASE WHEN strict <= k THEN 1.0 ELSE 0.0 END), 6) AS strict, count(*) AS answerable
+FROM (SELECT DISTINCT query_id FROM truth) LEFT JOIN f USING (query_id), (VALUES (1), (3), (5)) v(k) GROUP BY k""")
+def recall_loose_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loose: a document of the right source; strict: one that holds the anchor."""
+    group = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("group"))
+    ranked, right = (x.join(group, "doc_id") for x in (lexical(spark, sf_dir, items=True), truth(spark, sf_dir)))
+    return evaluate.strict_recall_at(ranked, right, "doc_id", "query_id", (1, 3, 5))
 
 
 @query(f"""{_HITS_SQL}, low AS (SELECT min(m) AS m FROM (SELECT query_id, max(score) AS m FROM lexical JOIN truth USING (query_id, doc_id) GROUP BY 1)),
 high AS (SELECT max(score) AS m FROM lexical WHERE query_id NOT IN (SELECT query_id FROM asked))
 SELECT low.m AS lowest_answer, high.m AS highest_unanswerable, round(low.m - high.m, 6) AS margin FROM low, high""")
 def abstention_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.abstention_margin(lexical(spark, sf_dir), _truth(spark, sf_dir), "doc_id", "query_id")
+    return evaluate.abstention_margin(lexical(spark, sf_dir, items=True), truth(spark, sf_dir), "doc_id", "query_id")
 
 
-@query("""SELECT item_id, count(doc_id) AS documents, CASE WHEN count(doc_id) = 0 THEN 'absent' WHEN count(doc_id) = 1 THEN 'unique' ELSE 'several' END AS outcome
-FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY item_id""")
-def anchor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.lower("text").alias("anchor"))
-    found = evaluate.anchored(table(spark, sf_dir, "documents").withColumn("text", F.lower("text")), asked, "doc_id", "item_id")
-    n = F.count("doc_id")
-    return asked.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(n.alias("documents"), F.when(n == 0, "absent").when(n == 1, "unique").otherwise("several").alias("outcome"))
+ABSENT = ["zeppelin", "license"]
 
 
-@query(f"{_BOTH_SQL}, {RRF_SQL}, e AS (SELECT 'dense' AS engine, query_id, doc_id, rank FROM dense UNION ALL SELECT 'lexical', query_id, doc_id, rank FROM lexical UNION ALL SELECT 'hybrid', query_id, doc_id, position FROM fused) SELECT engine, count(*) AS rows, count(DISTINCT query_id) AS queries, max(rank)::BIGINT AS deepest FROM e GROUP BY engine")
+@query(f"""WITH a AS (SELECT item_id, count(doc_id) AS documents, count(DISTINCT source) AS sources FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY item_id),
+t AS (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, '(?i)\\b' || w || '\\b'))) AS present FROM (VALUES {", ".join(f"('{w}')" for w in ABSENT)}) v(w))
+SELECT item_id, documents, sources, CASE WHEN documents = 0 THEN 'absent' WHEN sources = 1 THEN 'unique' ELSE 'several' END AS outcome, CASE WHEN documents = 0 THEN present END AS absence_terms_found FROM a, t""")
+def anchor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an item's anchor stands, and how many of the terms that should be absent are found after all."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.lower("text").alias("anchor"))
+    documents = table(spark, sf_dir, "documents")
+    found = evaluate.anchored(documents.select("doc_id", F.lower("text").alias("text")), asked, "doc_id", "item_id").join(documents.select("doc_id", "source"), "doc_id")
+    n, sources = F.count("doc_id"), F.count_distinct("source")
+    there = documents.agg(*(F.max(F.col("text").rlike(rf"(?i)\b{w}\b").cast("long")).alias(w) for w in ABSENT)).select(sum((F.col(w) for w in ABSENT), F.lit(0)).alias("present"))
+    own = asked.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(n.alias("documents"), sources.alias("sources"))
+    outcome = F.when(F.col("documents") == 0, "absent").when(F.col("sources") == 1, "unique").otherwise("several")
+    return own.crossJoin(F.broadcast(there)).select("item_id", "documents", "sources", outcome.alias("outcome"), F.when(F.col("documents") == 0, F.col("present")).alias("absence_terms_found"))  # one row
+
+
+def engine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five engines' rankings of the test items: ``engine``, ``query_id``, ``doc_id``, ``rank``."""
+    d, x = keep(dense(spark, sf_dir, items=True), "dense"), keep(lexical(spark, sf_dir, items=True), "lexical")  # each is read several times
+    h = search.fuse_rrf([(d, 1.0), (x, 0.3)], "doc_id", "query_id", 10)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def reranked(found: DataFrame) -> DataFrame:
+        scores = search.overlap(found.select("query_id", "doc_id").join(asked, "query_id").join(texts, "doc_id"), "doc_id", "query_id")
+        return search.rerank(found, "doc_id", "query_id", scores, 2 * POOL).select("query_id", "doc_id", F.col("final_position").alias("rank"))
+
+    lists = [d, x, h.withColumnRenamed("position", "rank"), reranked(d.withColumnRenamed("rank", "position")), reranked(h)]
+    named = [e.select(F.lit(n).alias("engine"), "query_id", "doc_id", F.col("rank").cast("long").alias("rank")) for n, e in zip(ENGINES, lists, strict=True)]
+    out = named[0]
+    for e in named[1:]:
+        out = out.union(e)
+    return keep(out, "engines")
+
+
+_SHARE_SQL = f"""qt AS (SELECT item_id AS query_id, list_distinct([x for x in {TOKENS_SQL} if length(x) > 1]) AS q FROM benchmark),
+sh AS (SELECT f.query_id, f.doc_id, coalesce(round(len(list_intersect(q, k))::DOUBLE / nullif(len(q), 0), 6), 0.0) AS share FROM (SELECT DISTINCT query_id, doc_id FROM arms) f JOIN qt USING (query_id) JOIN tok USING (doc_id))"""
+ENGINES_SQL = f"""{ITEMS_SQL}, {RRF_SQL}, {_SHARE_SQL},
+e AS (SELECT 'dense' AS engine, query_id, doc_id, rank FROM dense UNION ALL SELECT 'lexical', query_id, doc_id, rank FROM lexical UNION ALL SELECT 'hybrid', query_id, doc_id, position FROM fused
+UNION ALL SELECT 'rerank_dense', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY share DESC NULLS LAST, rank) FROM dense LEFT JOIN sh USING (query_id, doc_id)
+UNION ALL SELECT 'rerank_hybrid', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY share DESC NULLS LAST, position) FROM fused LEFT JOIN sh USING (query_id, doc_id)), {TRUTH_SQL}"""
+_NAMES_SQL = "(VALUES " + ", ".join(f"('{n}')" for n in ENGINES) + ") g(engine)"
+
+
+@query(f"""{ENGINES_SQL}, f AS (SELECT engine, query_id, min(rank) AS first FROM e JOIN truth USING (query_id, doc_id) GROUP BY 1, 2)
+SELECT g.engine, k::BIGINT AS k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS answerable
+FROM (SELECT DISTINCT query_id FROM truth) t CROSS JOIN {_NAMES_SQL} CROSS JOIN (VALUES (1), (3), (5)) v(k) LEFT JOIN f ON f.query_id = t.query_id AND f.engine = g.engine GROUP BY 1, 2""")
 def engine_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, x = dense(spark, sf_dir), lexical(spark, sf_dir)
-    h = search.fuse_rrf([(d, 1.0), (x, 0.3)], "doc_id", "query_id", 10).withColumnRenamed("position", "rank")
-    rows = [e.select(F.lit(n).alias("engine"), "query_id", "doc_id", "rank") for n, e in (("dense", d), ("lexical", x), ("hybrid", h))]
-    return rows[0].union(rows[1]).union(rows[2]).groupBy("engine").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("queries"), F.max("rank").cast("long").alias("deepest"))
+    """Recall of the five engines; the constant baseline beside them is ``trivial_engine``."""
+    return evaluate.recall_by(engine_rows(spark, sf_dir), truth(spark, sf_dir), "doc_id", "query_id", "engine", ENGINES, (1, 3, 5))
+
+
+@query(f"""WITH {TRUTH_SQL}, c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5), f AS (SELECT query_id, min(rank) AS first FROM truth JOIN c USING (doc_id) GROUP BY 1)
+SELECT k::BIGINT AS k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS answerable FROM (SELECT DISTINCT query_id FROM truth) LEFT JOIN f USING (query_id), (VALUES (1), (3), (5)) v(k) GROUP BY k""")
+def trivial_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline of every table of recalls: the five longest documents, whatever is asked."""
+    longest = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(5)
+    ranked = search.top(longest.withColumn("all", F.lit(1)), "all", "n_chars", "doc_id", 5).select("doc_id", "rank")
+    right = truth(spark, sf_dir)
+    return evaluate.recall_at(right.select("query_id").distinct().crossJoin(F.broadcast(ranked)), right, "doc_id", "query_id", (1, 3, 5))  # five rows
+
+
+@query("""WITH r AS (SELECT lang AS list, source AS url, doc_id, n_chars AS score, text, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS own, doc_id % 7 AS owner FROM documents),
+b AS (SELECT owner, list, url, arg_max(doc_id, (score, -doc_id)) AS doc_id, max(score) AS score FROM r WHERE url <> 'src1' GROUP BY 1, 2, 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY owner, list ORDER BY score DESC, doc_id) AS rank, CASE list WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS list_at FROM b),
+t AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY rank, list_at) AS turn FROM p), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY owner, url ORDER BY turn) = 1)
+SELECT owner, list, url, doc_id, row_number() OVER (PARTITION BY owner ORDER BY turn) AS position FROM f""")
+def cited_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed retrieval: per need the best text of each page, pages of a role left out, the needs' lists dealt in turn."""
+    place = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3)
+    found = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("owner"), F.col("lang").alias("list"), place.alias("list_at"), F.col("source").alias("url"), "doc_id", F.col("n_chars").alias("score"))
+    return rules.cited(found, ["src1"]).select("owner", "list", "url", "doc_id", F.col("position").cast("long").alias("position"))
 
 
 @query("SELECT item_id, true AS abstained, 'no provider' AS reason, 0::BIGINT AS cited FROM benchmark")

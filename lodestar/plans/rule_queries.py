@@ -16,9 +16,15 @@ _list = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"  # noqa: E7
 LEXICONS = {"autopilot": ["therou"], "data": ["license", "password"], "technical": ["token", "nthe"]}
 DEEP = ["thtion", "attion", "ertion", "eriner", "apache"]
 _any = lambda x, terms: "(" + " OR ".join(f"contains(lower({x}), '{t}')" for t in terms) + ")"
-CLAIMS_SQL = "claims_all AS (" + " UNION ALL ".join(
-    f"SELECT source, '{k}' AS kind, doc_id, substr(list_filter({SENTENCES_SQL}, lambda s: length(s) > 40 AND {_any('s', t)})[1], 1, 400) AS span FROM documents" for k, t in LEXICONS.items()
-) + "), claims AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id) AS place FROM claims_all WHERE span IS NOT NULL QUALIFY place <= 3)"
+
+
+def claims_sql(lexicons: dict[str, list[str]], most: str = "3", name: str = "claims") -> str:
+    sentence = "substr(list_filter({0}, lambda s: length(s) > 40 AND {1})[1], 1, 400)"
+    each = (f"SELECT source, '{k}' AS kind, doc_id, {sentence.format(SENTENCES_SQL, _any('s', t))} AS span FROM documents" for k, t in lexicons.items())
+    return f"{name}_all AS ({' UNION ALL '.join(each)}), {name} AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id) AS place FROM {name}_all WHERE span IS NOT NULL QUALIFY place <= {most})"
+
+
+CLAIMS_SQL = claims_sql(LEXICONS)
 _DEEP_SQL = f"""deep AS (SELECT source, len(list_filter({_list(DEEP)}, lambda m: contains(string_agg(lower(span), ' ' ORDER BY doc_id), m))) AS deep FROM claims WHERE kind = 'technical' GROUP BY source),
 facts AS (SELECT s.source, count(*) FILTER (kind = 'autopilot') > 0 AS autopilot, count(*) FILTER (kind = 'data') > 0 AS data, count(*) FILTER (kind = 'technical') > 0 AS technical, coalesce(any_value(deep), 0)::BIGINT AS deep
 FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN claims c ON s.source = c.source LEFT JOIN deep d ON s.source = d.source GROUP BY s.source)"""
@@ -139,43 +145,49 @@ def eligibility_term_major(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.exclusions(table(spark, sf_dir, "documents"), EXCLUDED, _VETO, "source")
 
 
-@query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN y IS NULL THEN 'unverified' WHEN 2004 - y > 10 THEN 'excluded' WHEN 2004 - y = 10 THEN 'pending' ELSE 'eligible' END AS outcome
-FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE year(o_orderdate) END AS y FROM orders)) GROUP BY outcome""")
+@query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN y IS NULL THEN CASE WHEN declared > 10 THEN 'excluded' ELSE 'unverified' END WHEN 2004 - y > 10 THEN 'excluded' WHEN 2004 - y = 10 THEN 'pending' ELSE 'eligible' END AS outcome
+FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE year(o_orderdate) END AS y, o_orderkey % 23 AS declared FROM orders)) GROUP BY outcome""")
 def eligibility_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.when(F.col("o_orderkey") % 11 == 0, None).otherwise(F.year("o_orderdate"))
-    return table(spark, sf_dir, "orders").select(rules.age_outcome(year, F.lit(2004)).alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    outcome = rules.age_outcome(year, F.lit(2004), F.col("o_orderkey") % 23)
+    return table(spark, sf_dir, "orders").select(outcome.alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SPANS_SQL = """l AS (SELECT doc_id, [x for x in [trim(y, ' ') for y in string_split(text, chr(10))] if x <> ''] AS lines FROM documents),
-p AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l), b AS (SELECT doc_id, i, unnest(range(i, least(len(lines), i + 160) + 1)) AS j, lines FROM p),
-s AS (SELECT doc_id, i, j, array_to_string(lines[i:j], chr(10)) AS span FROM b)"""
-TECHNICAL, SHOWCASE, INVITE = ["license", "version", "token", "thtion"], ["our", "customers"], ["the", "click"]
-_count = lambda terms: " + ".join(f"contains(lower(span), '{t}')::INT" for t in terms)
-_SCORE_SQL = rf"({_count(TECHNICAL)} + 2 * len(regexp_extract_all(lower(span), '\d+(?:\.\d+)?\s?(?:x|%|gb|tb|ms|tokens)')) - 3 * ({_count(SHOWCASE)}) - ({_count(INVITE)}))::DOUBLE / (length(span) / 100.0::DOUBLE)"
+# a line begins within 320 characters of the block's first one, so no block holds over 161 lines
+_LINES_SQL = r"[x for x in [trim(y, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) for y in string_split(text, chr(10))] if x <> '']"
+_SPANS_SQL = f"""l AS (SELECT doc_id, text, {_LINES_SQL} AS lines FROM documents),
+n AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l), b AS (SELECT doc_id, i, unnest(range(i, least(len(lines), i + 160) + 1)) AS j, lines[i:i + 160] AS near FROM n),
+s AS (SELECT doc_id, i, j, array_to_string(near[1:j - i + 1], chr(10)) AS span FROM b WHERE list_sum([length(x) + 1 for x in near[1:j - i + 1]]) - 1 BETWEEN 80 AND 320)"""
+MARKERS = {"technical": ["license", "version", "token", "thtion"], "showcase": ["our", "customers"], "invitation": ["the", "click"]}
+_count = lambda terms: "(" + " + ".join(f"contains(lower(span), '{t}')::INT" for t in terms) + ")"
+_times = lambda pattern: f"len(regexp_extract_all(span, '{pattern}'))"
+_SCORE_SQL = f"""({_count(MARKERS["technical"])} + 2 * {_times(rules.NUMBER)} - 3 * ({_count(MARKERS["showcase"])} + {_times(rules.STORY_HEAD)} + {_times(rules.FEED_ENTRY)})
+- 2 * {_times(rules.EMOJI)} - {_count(MARKERS["invitation"])})::DOUBLE / (length(span) / 100.0::DOUBLE)"""
+BEST_SQL = f"""{_SPANS_SQL}, k AS (SELECT doc_id, i, j, span, round({_SCORE_SQL}, 6) AS score FROM s), b1 AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, j) = 1),
+best AS (SELECT l.doc_id, text, i, j, score, coalesce(span, substr(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 320)) AS span FROM l LEFT JOIN b1 USING (doc_id))"""
 
 
-@query(f"WITH {_SPANS_SQL}, k AS (SELECT doc_id, i, j, round({_SCORE_SQL}, 6) AS score FROM s WHERE length(span) BETWEEN 80 AND 320) SELECT doc_id, i, j, score FROM k QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, j) = 1")
+@query(f"WITH {BEST_SQL} SELECT doc_id, i, j, score, md5(span) AS digest FROM best")
 def span_blocks_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = rules.spans(table(spark, sf_dir, "documents"), "doc_id").withColumn("score", F.round(rules.span_score(F.col("span"), TECHNICAL, SHOWCASE, INVITE), 6))
-    best = scored.groupBy("doc_id").agg(F.max_by(F.struct("i", "j"), F.struct("score", -F.col("i"), -F.col("j"))).alias("b"), F.max("score").alias("score"))
-    return best.select("doc_id", "b.i", "b.j", "score")
+    best = rules.best_spans(table(spark, sf_dir, "documents"), "doc_id", **MARKERS)
+    return best.select("doc_id", "i", "j", "score", F.md5(F.col("span").cast("binary")).alias("digest"))
 
 
-@query("""WITH r AS (SELECT source AS owner, lang AS list, substr(text, 1, 12) AS url, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rank, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS list_at FROM documents),
+@query("""WITH r AS (SELECT source AS owner, lang AS list, md5(text) AS url, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rank, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS list_at FROM documents),
 t AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY rank, list_at) AS turn FROM r WHERE rank <= 8), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY owner, url ORDER BY turn) = 1)
 SELECT owner, list, url, rank, row_number() OVER (PARTITION BY owner ORDER BY turn) AS position FROM f""")
 def interleave_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id"))
     place = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3)
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("owner"), F.col("lang").alias("list"), F.substring("text", 1, 12).alias("url"), rank.alias("rank"), place.alias("list_at")).where("rank <= 8")
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("owner"), F.col("lang").alias("list"), F.md5(F.col("text").cast("binary")).alias("url"), rank.alias("rank"), place.alias("list_at")).where("rank <= 8")
     return rules.interleave(rows, "owner", "url").select("owner", "list", "url", F.col("rank").cast("long").alias("rank"), F.col("position").cast("long").alias("position"))
 
 
-@query("""WITH r AS (SELECT source, lang, doc_id AS position, n_chars AS score, substr(text, 1, 40) AS t FROM documents)
-SELECT source, lang, min(position) AS position, arg_max(t, (score, -position)) AS text, max(score) AS score FROM r GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT source, lang, doc_id AS position, n_chars AS score, text AS t FROM documents)
+SELECT source, lang, min(position) AS position, md5(arg_max(t, (score, -position))) AS text, max(score) AS score FROM r GROUP BY 1, 2""")
 def best_text_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").alias("position"), F.col("n_chars").alias("score"), F.substring("text", 1, 40).alias("text"))
-    return rules.best_text_per_group(rows, "source", "lang")
+    rows = table(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").alias("position"), F.col("n_chars").alias("score"), "text")
+    return rules.best_text_per_group(rows, "source", "lang").withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 @query("SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'es' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, doc_id) AS new_position FROM documents")
@@ -196,13 +208,13 @@ def lookup_three_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looked.select("technology", "need", "business", F.coalesce("complexity", F.lit("media")).alias("complexity"))
 
 
-_NEEDS_SQL = "n AS (SELECT source, lang AS need, (count(*) > 6) AS validated FROM documents GROUP BY 1, 2), c AS (SELECT source, lang AS origin, doc_id AS position FROM documents WHERE doc_id % 9 = 0), v AS (SELECT source, list(need ORDER BY need) AS valid FROM n WHERE validated GROUP BY source), f AS (SELECT c.*, CASE WHEN list_contains(valid, origin) THEN [origin] ELSE coalesce(valid, []) END AS evidence FROM c LEFT JOIN v USING (source))"
+_NEEDS_SQL = "n AS (SELECT source, lang AS need, (count(*) > 6) AS validated FROM documents GROUP BY 1, 2), c AS (SELECT source, lang AS origin, doc_id AS position FROM documents), v AS (SELECT source, list(need ORDER BY need) AS valid FROM n WHERE validated GROUP BY source), f AS (SELECT c.*, CASE WHEN list_contains(valid, origin) THEN [origin] ELSE coalesce(valid, []) END AS evidence FROM c LEFT JOIN v USING (source))"
 
 
 def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     needs = documents.groupBy("source", F.col("lang").alias("need")).agg((F.count(F.lit(1)) > 6).alias("validated"))
-    cited = documents.where("doc_id % 9 = 0").select("source", F.col("lang").alias("origin"), F.col("doc_id").alias("position"))
+    cited = documents.select("source", F.col("lang").alias("origin"), F.col("doc_id").alias("position"))
     return rules.with_fallback(cited, needs, "source")
 
 
@@ -229,11 +241,15 @@ def rule_coverage_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rule_coverage(entities, listed, part.select("p_partkey", F.col("p_brand").alias("value")), ["Brand#13", "Brand#12"], "p_partkey")
 
 
-@query(r"""SELECT w AS name, count(DISTINCT source) AS entities, count(*) AS documents FROM (VALUES ('license'), ('apache'), ('is'), ('de')) v(w) JOIN documents ON regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '($|[^a-z0-9])') GROUP BY w""")
+NAMES = ["license", "licensed", "apache", "src1", "is", "de"]
+_NAMES_SQL = "(VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") v(w)"
+
+
+@query(rf"""SELECT w AS name, count(DISTINCT source) AS entities, count(*) AS documents FROM {_NAMES_SQL} JOIN documents ON NOT contains(lower(source), w) AND NOT contains(w, lower(source))
+AND regexp_matches(text, '(^|[^\w.-])' || w || '($|[^\w-])') GROUP BY w""")
 def cross_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.broadcast(spark.createDataFrame([("license",), ("apache",), ("is",), ("de",)], "name string"))  # a lexicon
-    found = table(spark, sf_dir, "documents").join(names, F.rlike(F.lower("text"), F.concat(F.lit("(^|[^a-z0-9])"), F.col("name"), F.lit("($|[^a-z0-9])"))))
-    return found.groupBy("name").agg(F.count_distinct("source").alias("entities"), F.count(F.lit(1)).alias("documents"))
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    return rules.cross_mentions(table(spark, sf_dir, "documents"), names, "source").groupBy("name").agg(F.count_distinct("source").alias("entities"), F.count(F.lit(1)).alias("documents"))
 
 
 _SETS_SQL = """e AS (SELECT source, list_distinct(list(CASE WHEN contains(lower(text), 'license') THEN 'license' END) || list(CASE WHEN contains(lower(text), 'password') THEN 'password' END) || list(CASE WHEN contains(lower(text), 'idiot') THEN 'idiot' END)) AS raw FROM documents GROUP BY source),
@@ -281,11 +297,14 @@ def median_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("lang").agg(F.min("n").cast("long").alias("least"), F.floor(F.percentile("n", 0.5)).cast("long").alias("middle"), F.max("n").cast("long").alias("most"))
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice * 2, 'N' FROM orders WHERE o_orderkey % 3 = 0")
+@query("""SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 2 = 0)
+UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -o_orderkey END, o_totalprice * 2, 'N' FROM orders WHERE o_orderstatus = 'F'""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of one status come again: those with an even key replace their row, the others are new."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    new = orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
-    return tables.upsert(orders.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
+    key = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey"))
+    new = orders.where("o_orderstatus = 'F'").select(key.alias("o_orderkey"), (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("N").alias("o_orderstatus"))
+    return tables.upsert(orders, new, ["o_orderkey"])
 
 
 @query("""WITH n AS (SELECT l_orderkey, count(*) AS parts FROM lineitem WHERE l_quantity < 25 GROUP BY 1)
@@ -295,18 +314,19 @@ def delete_stale_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.without_stale(rows, rows.where("l_quantity < 25"), ["l_orderkey"], "ordinal").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT conv_id, array_to_string(list(role ORDER BY turn), '>') AS roles, count(*) AS turns FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, turn, role, turn - min(turn) OVER (PARTITION BY conv_id) AS place FROM conversations")
 def thread_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = tables.appended(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role"))
-    return kept.select("conv_id", F.array_join("values", ">").alias("roles"), F.size("values").cast("long").alias("turns"))
+    return tables.appended(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
 def thread_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.last_value(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return tables.last_value(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
 
 
-@query()
+@query("SELECT source, 0 AS part, array_to_string(list(doc_id || ' ' || lang ORDER BY doc_id), ',') AS documents, count(*) AS n FROM documents GROUP BY source")
 def payload_drop_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "lang", "text"))).alias("documents"))
-    return tables.without_text(nested)
+    """Documents under their source, without the texts, which are dropped before anything is gathered."""
+    payload = tables.nested(tables.without_text(table(spark, sf_dir, "documents")), "source", "doc_id", ["lang"], most=100_000)
+    listed = F.transform("documents", lambda d: F.concat_ws(" ", d["doc_id"].cast("string"), d["lang"]))
+    return payload.select("source", "part", F.array_join(listed, ",").alias("documents"), F.size("documents").cast("long").alias("n"))

@@ -110,7 +110,10 @@ def third_party_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NOISE_SQL = "regexp_replace(html, '<!--(?s:.*?)-->', '', 'g')"
 _NOISE_SQL = "regexp_replace(" + _NOISE_SQL + ", '(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in T.NOISE_TAGS) + "', '', 'g')"
 _PAGE_SQL = f"regexp_replace({_NOISE_SQL}, '<[^>]+>', chr(10), 'g')"
-_CLEAN_SQL = f"""trim(regexp_replace(array_to_string([l for l in [trim(y, ' ') for y in string_split({_PAGE_SQL}, chr(10))] if l = '' or len([w for w in regexp_split_to_array(l, '\\s+') if w <> '']) > 2 or regexp_matches(l, '[.!?:]$')], chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ')"""
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_GAP_SQL = "trim(regexp_replace(array_to_string({0}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), " + _WS + ")"
+_KEPT_SQL = rf"[l for l in [trim(y, {_WS}) for y in string_split({{0}}, chr(10))] if regexp_matches(l, '\S\s+\S+\s+\S') or regexp_matches(l, '[.!?:]$')]"
+_CLEAN_SQL = _GAP_SQL.format(_KEPT_SQL.format(_PAGE_SQL))
 
 
 @query(f"SELECT page_id, md5({_NOISE_SQL}) AS digest, length({_NOISE_SQL})::BIGINT AS n FROM pages")
@@ -129,23 +132,28 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("page_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").cast("long").alias("n"))
 
 
-_BOILER_SQL = r"""array_to_string([l for l in string_split(text, chr(10)) if not (contains(lower(l), 'licensed under') or contains(lower(l), 'all rights') or regexp_matches(l, '={8,}|^\s*\*|(?i)\b(class|style|href)="'))], chr(10))"""
+PHRASES = ["licensed under", "all rights"]
+_BOILER_SQL = _GAP_SQL.format(rf"""[l for l in string_split(text, chr(10)) if not ({" or ".join(f"contains(lower(l), '{p}')" for p in PHRASES)} or regexp_matches(lower(l), '={{8}}|^\s*\*|<a href|<center|class="'))]""")
 
 
 @query(f"SELECT doc_id, md5({_BOILER_SQL}) AS digest, (length(text) - length({_BOILER_SQL}))::BIGINT AS dropped FROM documents")
 def clean_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = T.drop_boilerplate(F.col("text"), ["licensed under", "all rights"])
+    kept = T.drop_boilerplate(F.col("text"), PHRASES)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(kept.cast("binary")).alias("digest"), (F.length("text") - F.length(kept)).cast("long").alias("dropped"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, '<h2>Title</h2>' || chr(10) || '[![b](u)](v) ![i](u) [link text](http://x)' || chr(10) || '| - |' || chr(10) || '<!-- c -->' || substr(text, 1, 2000) AS t FROM documents),
-a AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?is)<h2[^>]*>\s*(.*?)\s*</h2>', chr(10) || '## \1' || chr(10), 'g') AS t FROM m),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', '', 'g') AS t FROM a),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string([l for l in string_split(t, chr(10)) if not regexp_matches(l, '^\s*[|·\-][|·\-\s]*$')], chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b)
-SELECT doc_id, md5(t) AS digest FROM c""")
+_MARKED = "<h2>Title</h2>\n[![b](u)](v) ![i](u) [link text](http://x)\n| - |\n |\n---\n<!-- c -->"
+_HEADS_SQL = "t"
+for _n in range(1, 7):
+    _HEADS_SQL = rf"regexp_replace({_HEADS_SQL}, '(?is)<h{_n}[^>]*>\s*(.*?)\s*</h{_n}>', chr(10) || '{'#' * _n} \1' || chr(10), 'g')"
+_LINES_SQL = r"[regexp_replace(l, '\s+$', '') for l in string_split(t, chr(10)) if not regexp_matches(l, '^\s*[|\-·]\s*$|^\s+$')]"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, replace('{_MARKED}', '\n', chr(10)) || text AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(t, '(?s)<!--.*?-->|\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)|!\[[^\]]*\]\([^)]*\)', '', 'g') AS t FROM m), b AS (SELECT doc_id, {_HEADS_SQL} AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', '', 'g') AS t FROM b) SELECT doc_id, md5({_GAP_SQL.format(_LINES_SQL)}) AS digest FROM c""")
 def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = "<h2>Title</h2>\n[![b](u)](v) ![i](u) [link text](http://x)\n| - |\n<!-- c -->"
-    marked = F.concat(F.lit(head), F.substring("text", 1, 2000))
+    marked = F.concat(F.lit(_MARKED), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_markdown(marked).cast("binary")).alias("digest"))
 
 
@@ -157,28 +165,60 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.md5(F.col("c").cast("binary")).alias("digest"), F.length("c").cast("long").alias("n"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(translate(lower(substr(text, 1, 60)), '%s', '%s'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), '%s', '%s'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
 sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash FROM documents""" % (T.MARKED, T.PLAIN))
 def slug_and_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"), F.sha2(T.normalise_newlines(F.col("text")), 256).alias("content_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), F.sha2(T.normalise_newlines(F.col("text")), 256).alias("content_hash"))
+
 
+_NEW_ID, _NEW_TEXT = "CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000000 ELSE doc_id END", "CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END"
 
-@query("""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0)
+
+@query(f"""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents), n AS (SELECT {_NEW_ID} AS doc_id, sha256({_NEW_TEXT}) AS h FROM documents)
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'gone' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS outcome FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def hash_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of all documents: some texts change, some documents are numbered anew."""
     documents = table(spark, sf_dir, "documents")
-    old = documents.where("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("old"))
-    new = documents.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("new"))
+    old = documents.select("doc_id", F.sha2("text", 256).alias("old"))
+    new = documents.select(F.expr(_NEW_ID).alias("doc_id"), F.sha2(F.expr(_NEW_TEXT), 256).alias("new"))
     outcome = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old") == F.col("new"), "same").otherwise("changed")
     return old.join(new, "doc_id", "full").select("doc_id", outcome.alias("outcome"))
 
 
-@query(r"""SELECT page_id, length(html)::BIGINT AS n, len(regexp_extract_all(html, '(?i)<h[1-3][ >]'))::BIGINT AS headings, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
-(length(html) >= 3000 AND len(regexp_extract_all(html, '(?i)<h[1-3][ >]')) >= 1) AS accepted FROM pages""")
+LEAST_CHARS, LEAST_HEADINGS = 3000, 3  # fixed values: what a source needs
+_TITLE_SQL = r"coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>\s*(.*?)\s*</title>', 1), ''), url)"
+_CONTENT_SQL = rf"trim(regexp_replace({_PAGE_SQL}, '\s+', ' ', 'g'))"
+
+
+@query(rf"""SELECT page_id, length({_CONTENT_SQL})::BIGINT AS n, len(regexp_extract_all(html, '(?i)<h[1-3][ >]'))::BIGINT AS headings, {_TITLE_SQL} AS title,
+(length({_CONTENT_SQL}) >= {LEAST_CHARS} AND len(regexp_extract_all(html, '(?i)<h[1-3][ >]')) >= {LEAST_HEADINGS}) AS accepted FROM pages""")
 def quality_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of enough content and headings; the others are told apart, not dropped."""
+    n = F.length(F.trim(F.regexp_replace(page_text(), r"\s+", " ")))
     headings = F.regexp_count("html", F.lit("(?i)<h[1-3][ >]"))
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("n"), headings.cast("long").alias("headings"), title.alias("title"), ((F.length("html") >= 3000) & (headings >= 1)).alias("accepted"))
+    title = T.title_of(F.col("html"), "html", F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", n.cast("long").alias("n"), headings.cast("long").alias("headings"), title.alias("title"), ((n >= LEAST_CHARS) & (headings >= LEAST_HEADINGS)).alias("accepted"))
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?m)^[ \t]*#[# \t]*(.*?)[ \t]*$', 1), ''), source) AS title FROM documents""")
+def markdown_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.title_of(F.col("text"), "markdown", F.col("source")).alias("title"))
+
+
+@query(r"""SELECT doc_id, len([l for l in [trim(y, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) for y in string_split(text, chr(10))] if length(l) BETWEEN 1 AND 3 and not regexp_matches(l, '[\p{L}\p{N}]')])::BIGINT AS orphans,
+len(regexp_extract_all(text, '(?m)^[-*] '))::BIGINT AS list_items, len(regexp_extract_all(text, '[\x{1F300}-\x{1FAFF}\x{2190}-\x{21FF}\x{2600}-\x{27BF}]'))::BIGINT AS ornaments FROM documents""")
+def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan lines, lines that begin an item of a list, and ornamental signs of each document."""
+    counted = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
+    orphans = F.size(T.orphan_lines(F.col("text"))).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", orphans.alias("orphans"), counted("(?m)^[-*] ").alias("list_items"), counted(r"[\x{1F300}-\x{1FAFF}\x{2190}-\x{21FF}\x{2600}-\x{27BF}]").alias("ornaments"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, length(to_json({'id': event_id, 'kind': event_type}))::BIGINT AS n FROM events")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field out of a JSON text, and a row written as one."""
+    written = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind")))
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.length(written).cast("long").alias("n"))
 
 
 @query(r"""SELECT source, 'short text' AS reason, count(*) AS n FROM documents WHERE length(text) < 200 GROUP BY source

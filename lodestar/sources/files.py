@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions.text import orphan_lines
+
 #: Closed vocabularies of the data model.
 VOCABULARIES = {
     "tipo": ("site", "noticia", "blog", "vaga", "release", "outro"),
@@ -24,21 +27,58 @@ DOCUMENT = T.StructType([T.StructField(n, k) for n, k in (
 )])
 
 
-def seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a YAML file of a folder: ``file`` and the parsed ``seed``. Files are read and parsed by the tasks; curated
-    labels are no part of the schema and so are never loaded."""
-    nested = T.StructType([*ENTITY.fields, T.StructField("documentos", T.ArrayType(T.StructType(DOCUMENT.fields[1:])))])
-    files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("yaml"))
+#: Schemas of the curated lists: where each page of the corpus is fetched and cited, questions with their anchors, sentences
+#: that exclude or don't, spans of texts that are good evidence, and rules that cover entities.
+MANIFEST = "tecnologia string, url_fetch string, url_citacao string, formato string, chars_medidos int, nota string"
+QUESTIONS = "id string, pergunta string, idioma string, tipo string, tecnologia_esperada string, url_esperada string, frase_ancora string, regime string, termos_ausentes array<string>, justificativa_ausencia string"
+EXCLUSIONS = "rotulo string, exclui boolean, frase string, origem string, nota string"
+SPAN_LABELS = "chunk int, tecnologia string, ancoras array<string>, nota string"
+RULES = "id string, casa_setor array<string>, casa_dor string, tecnologias_esperadas array<string>, origem string, nota string"
+
+
+def _to_json(texts: pd.Series) -> pd.Series:
+    import json
+
+    import yaml
+
+    return texts.map(lambda t: json.dumps(yaml.safe_load(t), default=str))
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``json`` of each YAML file; files are read and parsed by the tasks."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("yaml"))
+    return files.select("file", F.pandas_udf(_to_json, T.StringType())("yaml").alias("json"))
 
-    @F.udf("string")
-    def to_json(text: str) -> str:
-        import json
 
-        import yaml
+def curated(spark: SparkSession, path: str, schema: str, root: str | None = None) -> DataFrame:
+    """The rows of a curated YAML list, in the file's order (``place``): the list itself, or the one under ``root``."""
+    kind = f"array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in schema.split(','))}>>"
+    rows = F.from_json("json", f"{root} {kind}")[root] if root else F.from_json("json", kind)
+    return _parsed(spark, path).select("file", F.posexplode(rows).alias("place", "x")).select("file", "place", "x.*")
 
-        return json.dumps(yaml.safe_load(text), default=str)
 
-    return files.select("file", F.from_json(to_json("yaml"), nested).alias("seed")).orderBy("file")
+def question_checks(kind: str = "tipo") -> dict[str, Column]:
+    """What a question must have: an address and an anchor if it has an answer, else a reason and no address."""
+    answerable = F.col(kind) != "sem_resposta"
+    return {
+        "no address or anchor": ~answerable | (F.col("url_esperada").isNotNull() & F.col("frase_ancora").isNotNull()),
+        "unanswerable with an address": answerable | F.col("url_esperada").isNull(),
+        "unanswerable without a reason": answerable | F.col("justificativa_ausencia").isNotNull(),
+    }
+
+
+def exclusion_problems(cases: DataFrame, labels: list[str]) -> DataFrame:
+    """``rotulo``, ``reason``: labels that are unknown, or of which only one side is there."""
+    sides = cases.groupBy("rotulo").agg(F.count_distinct("exclui").alias("sides"))
+    reason = F.when(~F.col("rotulo").isin(*labels), "unknown label").when(F.col("sides") < 2, "one side only")
+    return sides.select("rotulo", reason.alias("reason")).where("reason is not null")
+
+
+def seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a YAML file of a folder, by file name: ``file`` and the parsed ``seed``. Curated labels are no part of the
+    schema and so are never loaded."""
+    nested = T.StructType([*ENTITY.fields, T.StructField("documentos", T.ArrayType(T.StructType(DOCUMENT.fields[1:])))])
+    return _parsed(spark, folder).select("file", F.from_json("json", nested).alias("seed")).orderBy("file")
 
 
 def entities(seeded: DataFrame) -> DataFrame:
@@ -76,4 +116,5 @@ def seed_checks() -> dict[str, Column]:
         "fewer than 2 kinds": F.size(F.array_distinct(F.transform(d, lambda x: x["tipo"]))) >= 2,
         "no web address": F.forall(d, lambda x: x["url_fonte"].startswith("http")),
         "short text": F.forall(d, lambda x: F.length(x["conteudo_texto"]) >= 200),
+        "page furniture or orphan punctuation": F.forall(d, lambda x: F.size(orphan_lines(x["conteudo_texto"])) == 0),
     }

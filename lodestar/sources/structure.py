@@ -9,11 +9,15 @@ from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestar.functions.text import NOISE_TAGS
+from lodestar.functions.text import BOILERPLATE, NOISE_TAGS, clean_markdown
 
 #: Elements that begin a line.
-BLOCK_TAGS = frozenset("address article blockquote br dd div dl dt figcaption figure h4 h5 h6 hr li ol p pre section table td tr ul".split())
+BLOCK_TAGS = {
+    "address", "article", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "h4", "h5", "h6", "hr", "li",
+    "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+}
 FLOOR, CEILING = 120, 450
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -62,79 +66,91 @@ class _Walker(HTMLParser):
             (self.buffer if self.heading else self.sections[-1][2]).append(data)
 
 
-def _tidy(text: str) -> str:
-    lines = [" ".join(line.split()) for line in text.split("\n")]
-    kept = [line for line in lines if not line or len(line.split()) > 2 or line[-1] in ".!?:"]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
+def _tidy(text: str, phrases: tuple[str, ...]) -> str:
+    """Lines of over two words or with a sentence's end that are no boilerplate."""
+    kept = []
+    for line in (" ".join(x.split()) for x in text.split("\n")):
+        low = line.lower()
+        noise = low.startswith("*") or any(p in low for p in (*phrases, "=" * 8, "<a href", "<center", 'class="'))
+        if not noise and (line.count(" ") > 1 or line.endswith((".", "!", "?", ":"))):
+            kept.append(line)
+    return "\n".join(kept)
 
 
-def html_sections(html: str) -> list[Section]:
-    """Sections that h1 to h3 open, from the longest of main, article and body."""
-    bodies = [m.group(2) for tag in ("main", "article", "body") for m in re.finditer(rf"(?is)<({tag})\b[^>]*>(.*?)</\1\s*>", html)]
+def html_sections(html: str, phrases: tuple[str, ...] = BOILERPLATE) -> list[Section]:
+    """Sections that h1 to h3 open, from the page's main part: main, else article, else body, else all."""
+    parts = (re.search(rf"(?is)<({tag})\b[^>]*>(.*?)</\1\s*>", html) for tag in ("main", "article", "body"))
     walker = _Walker()
-    walker.feed(max(bodies, key=len, default=html))
+    walker.feed(next((m.group(2) for m in parts if m), html))
     walker.close()
-    found = [Section(level, title, _tidy("".join(body))) for level, title, body in walker.sections]
+    found = [Section(level, title, _tidy("".join(body), phrases)) for level, title, body in walker.sections]
     return [s for s in found if s.title or s.body]
 
 
 def markdown_sections(text: str) -> list[Section]:
-    """Levels 1 to 3, in either heading style, open sections; deeper ones are body; nothing inside a fence is a heading."""
+    """Levels 1 to 3, in either heading style, open sections; deeper ones are body without their signs; nothing inside a
+    fence is a heading."""
     sections: list[list] = [[0, "", []]]
-    fenced, lines = False, text.split("\n")
+    fenced, ruler, lines = False, False, text.split("\n")
     for i, line in enumerate(lines):
-        if re.match(r"\s*(```|~~~)", line):
-            fenced = not fenced
-        if not fenced:
-            if m := re.match(r"(#{1,3})\s+(.+?)\s*#*\s*$", line):
-                sections.append([len(m.group(1)), m.group(2), []])
-                continue
-            if line.strip() and i + 1 < len(lines) and re.match(r"\s*(=+|-{3,})\s*$", lines[i + 1]) and not line.startswith("#"):
-                sections.append([1 if "=" in lines[i + 1] else 2, line.strip(), []])
-                continue
-            if i and re.match(r"\s*(=+|-{3,})\s*$", line) and sections[-1][1] == lines[i - 1].strip() and not sections[-1][2]:
-                continue
-        sections[-1][2].append(line)
+        fence = re.match(r"\s*(```|~~~)", line)
+        fenced ^= bool(fence)
+        heading = None if fenced or fence else re.match(r"(#{1,6})\s+(.+?)\s*#*\s*$", line)
+        under = None if fenced or fence or heading or i + 1 == len(lines) else re.match(r"(=+|-{3,})\s*$", lines[i + 1])
+        if ruler:  # the line under a title
+            ruler = False
+        elif heading and len(heading.group(1)) <= 3:
+            sections.append([len(heading.group(1)), heading.group(2), []])
+        elif under and line.strip():
+            sections.append([1 if lines[i + 1].startswith("=") else 2, line.strip(), []])
+            ruler = True
+        else:
+            sections[-1][2].append(heading.group(2) if heading else line)
     found = [Section(level, title, "\n".join(body).strip()) for level, title, body in sections]
     return [s for s in found if s.title or s.body]
 
 
 def with_paths(name: str, sections: list[Section]) -> list[Piece]:
-    """Breadcrumbs; the document's name always comes first."""
+    """Breadcrumbs, the document's name always first, of the sections that have a body."""
     stack: list[tuple[int, str]] = []
     out = []
     for s in sections:
-        while stack and s.level and stack[-1][0] >= s.level:
-            stack.pop()
         if s.title:
-            stack.append((s.level, s.title))
-        out.append(Piece((name, *(t for _, t in stack)), s.body))
+            stack = [(level, title) for level, title in stack if level < s.level] + [(s.level, s.title)]
+        if s.body.strip():
+            out.append(Piece((name, *(t for _, t in stack)), s.body.strip()))
     return out
 
 
+def _common(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def merge(pieces: list[Piece], count: Callable[[str], int], floor: int = FLOOR, ceiling: int = CEILING) -> list[Piece]:
     """Neighbours together until the floor is reached; not beyond the ceiling, nor over a change of parent once half the
-    floor is there. The merged path is the common one; titles that it loses stay in the text."""
+    floor is there. A section below the last one, or beside it, changes no parent. The merged path is the common one;
+    titles that it loses stay in the text."""
     out: list[Piece] = []
     held: list[Piece] = []
 
-    def text_of(group: list[Piece]) -> Piece:
-        path = group[0].path
-        for p in group[1:]:
-            n = next((i for i, (a, b) in enumerate(zip(path, p.path, strict=False)) if a != b), min(len(path), len(p.path)))
-            path = path[:n]
-        parts = [("\n".join(p.path[len(path) :]) + "\n" + p.text).strip() for p in group]
-        return Piece(path, "\n\n".join(x for x in parts if x))
+    def flush() -> None:
+        path = held[0].path
+        for p in held[1:]:
+            path = path[: _common(path, p.path)]
+        lines = [x for p in held for x in (" / ".join(p.path[len(path) :]) if len(held) > 1 else "", p.text) if x]
+        out.append(Piece(path, "\n".join(lines)))
+        held.clear()
 
     for piece in pieces:
-        size = count(text_of(held).text) if held else 0
-        if held and (size >= floor or size + count(piece.text) > ceiling or (piece.path[:-1] != held[-1].path[:-1] and 2 * size >= floor)):
-            out.append(text_of(held))
-            held = []
+        if held:
+            size = count("\n".join(p.text for p in held))
+            moved = _common(held[-1].path, piece.path) < len(held[-1].path) - 1
+            if size >= floor or size + count(piece.text) > ceiling or (moved and size >= floor // 2):
+                flush()
         held.append(piece)
     if held:
-        out.append(text_of(held))
-    return [p for p in out if p.text]
+        flush()
+    return out
 
 
 def split(text: str, count: Callable[[str], int], ceiling: int = CEILING) -> list[str]:
@@ -173,9 +189,13 @@ def structural_chunks(name: str, sections: list[Section], count: Callable[[str],
     return out
 
 
+def _cleaned(documents: DataFrame, text: str, kind: str) -> DataFrame:
+    return documents.withColumn(text, clean_markdown(F.col(text))) if kind == "markdown" else documents
+
+
 def chunk(documents: DataFrame, key: str, text: str, kind: str, name: str, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """``key``, ``ordinal`` (no gaps), ``path``, ``text`` (to be cited), ``indexed`` (breadcrumb and text) and ``n_tokens``.
-    ``kind``: ``html`` or ``markdown``. Null and empty documents have no chunks."""
+    """``key``, ``ordinal`` (no gaps), ``path``, ``text`` (to be cited), ``indexed`` (breadcrumb and text) and ``n_tokens`` of
+    what is indexed. ``kind``: ``html`` or ``markdown``, which is cleaned first. Null and empty documents have no chunks."""
     parse = {"html": html_sections, "markdown": markdown_sections}[kind]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,11 +204,12 @@ def chunk(documents: DataFrame, key: str, text: str, kind: str, name: str, count
             for k, title, body in zip(frame[key], frame[name], frame[text], strict=True):
                 for i, p in enumerate(structural_chunks(title or "", parse(body), count) if body else []):
                     path = " > ".join(p.path)
-                    rows.append((k, i, path, p.text, f"{path}\n\n{p.text}", count(p.text)))
+                    indexed = f"{path}\n\n{p.text}"
+                    rows.append((k, i, path, p.text, indexed, count(indexed)))
             yield pd.DataFrame(rows, columns=[key, "ordinal", "path", "text", "indexed", "n_tokens"])
 
     columns = list(dict.fromkeys([key, name, text]))
-    return documents.select(*columns).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, path string, text string, indexed string, n_tokens long")
+    return _cleaned(documents.select(*columns), text, kind).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, path string, text string, indexed string, n_tokens long")
 
 
 def sections(documents: DataFrame, key: str, text: str, kind: str) -> DataFrame:
@@ -200,4 +221,4 @@ def sections(documents: DataFrame, key: str, text: str, kind: str) -> DataFrame:
             rows = [(k, i, s.level, s.title, s.body) for k, body in zip(frame[key], frame[text], strict=True) for i, s in enumerate(parse(body) if body else [])]
             yield pd.DataFrame(rows, columns=[key, "ordinal", "level", "title", "body"])
 
-    return documents.select(key, text).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, level long, title string, body string")
+    return _cleaned(documents.select(key, text), text, kind).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, level long, title string, body string")

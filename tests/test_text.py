@@ -32,9 +32,13 @@ def test_veto_needs_all_sentences(spark):
 
 def test_cleaning(spark):
     t = F.col("text")
-    assert one(spark, "Menu\nA line of words\n\n\n\nDone.", T.clean_lines(t)) == "A line of words\n\nDone."
-    assert one(spark, "keep\n* star\n=========\nsee Cookies here", T.drop_boilerplate(t, ["cookies"])) == "keep"
-    assert one(spark, "<h2> T </h2>[a](b) ![i](j)\n| - |\n<!-- x -->z", T.clean_markdown(t)) == "## T\na \nz"
+    assert one(spark, "Menu\nA line of words\n\n\n\nDone.", T.clean_lines(t)) == "A line of words\nDone."
+    assert one(spark, "keep\n\n\n\n * star\n=========\nsee Cookies here\n<center>x\nlast", T.drop_boilerplate(t, ["cookies"])) == "keep\n\nlast"
+    assert one(spark, "Log out here\nok", T.drop_boilerplate(t)) == "ok"
+    assert one(spark, "<h2> T </h2>[a](b) ![i](j)\n|\n - \n \n---\n| - |\n<!-- x -->z", T.clean_markdown(t)) == "## T\na\n---\n| - |\nz"
+    assert one(spark, "x\n  ## Head #\ny", T.title_of(t, "markdown", F.lit("d"))) == "Head #" and one(spark, "none", T.title_of(t, "markdown", F.lit("d"))) == "d"
+    assert one(spark, "<title> T </title>", T.title_of(t, "html", F.lit("d"))) == "T"
+    assert one(spark, "a.\n.\n \nTags:\n’.", T.orphan_lines(t)) == [".", "Tags:", "’."]
     assert one(spark, "<nav>x</nav>a<script>if(1<2){}</script>b<!-- c -->", T.strip_noise_tags(t)) == "ab"
 
 
