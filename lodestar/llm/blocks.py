@@ -31,22 +31,23 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def together(rows: DataFrame, key: list[Column], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, payload: DataFrame | None = None, active: Column | None = None, whole: bool = True) -> DataFrame:
-    """Run ``fn`` over the rows (``id``, ...) of each key. Of a key of over ``BLOCK`` rows every two half blocks meet in
+def together(rows: DataFrame, key: list[Column], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str, payload: DataFrame | None = None, active: Column | None = None, whole: bool = True, block: int | None = None) -> DataFrame:
+    """Run ``fn`` over the rows (``id``, ...) of each key. Of a key of over ``block`` (``BLOCK``) rows every two half blocks meet in
     one group; ``a`` and ``b`` are true for rows of the first and of the second, and both where a block meets itself.
     Where ``active`` is given, two rows of which neither is active need not meet: a block of such rows is dealt out to
     the blocks of active ones only. Where ``whole`` is false, a large key is only cut into blocks, so that each row is in
     one group and not all pairs meet. ``payload`` (``id``, ...) has the wide columns; they are joined once the narrow rows
     are dealt."""
+    block = block or BLOCK
     asks = F.lit(True) if active is None else F.coalesce(active, F.lit(False))
     keyed = rows.withColumn("key", F.xxhash64(*key)).withColumn("__asks", asks)
-    blocks = lambda n: F.ceil(n / (BLOCK / 2)).cast("int")
+    blocks = lambda n: F.ceil(n / (block / 2)).cast("int")
     asking = F.sum(F.col("__asks").cast("int"))
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), blocks(asking).alias("__p"), blocks(F.count(F.lit(1)) - asking).alias("__q")).where(F.col("__n") > BLOCK)
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), blocks(asking).alias("__p"), blocks(F.count(F.lit(1)) - asking).alias("__q")).where(F.col("__n") > block)
     spread = F.xxhash64(F.lit(3), "id")
     if not whole:
         n = F.count(F.lit(1))
-        large = keyed.groupBy("key").agg(n.alias("__n"), F.ceil(n / BLOCK).cast("int").alias("__p")).where(F.col("__n") > BLOCK)
+        large = keyed.groupBy("key").agg(n.alias("__n"), F.ceil(n / block).cast("int").alias("__p")).where(F.col("__n") > block)
         part = F.coalesce(F.pmod(spread, F.col("__p")).cast("int"), F.lit(0))
         dealt = keyed.join(large, "key", "left").withColumn("key", F.xxhash64("key", part)).withColumns({"a": F.lit(True), "b": F.lit(True)}).drop("__n", "__p", "__asks")
         return _run(dealt, fn, schema, payload)

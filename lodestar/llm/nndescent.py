@@ -4,18 +4,20 @@
    those within half the threshold's angle join its ball. Two members of a ball always link, so a group of near copies
    becomes a few balls whose inner links are counted, not listed.
 2. First lists. Balls' centres that share a bucket of one of several coarse sign hashes are compared; each keeps its
-   nearest ones and everything that may link. A label has as many hashes as a pair at the threshold needs to meet with a
-   chance of ``MEET``: the finer the buckets, the more.
+   nearest ones. A label has as many hashes as a pair at the threshold needs to meet with a chance of ``MEET``: the finer
+   the buckets, the more. Large buckets are cut, so a centre offers a bounded number of pairs.
 3. NN-descent. Each centre joins its neighbours and reverse neighbours with one another and offers what it finds to both
-   ends. A list whose places are all links is saturated and doubles. Rounds end when few links are new.
-4. Audit. For a bounded sample, half of all vectors and half of the balls' centres, links are counted by brute force
-   against all rows. The recall is a mean over vectors, not links, and the least one of the strata by number of links, so
-   a hot group does not hide the small ones. While it is below ``recall``, more hashes are added and the descent is
-   repeated; after ``attempts``, as long as that raises it. A recall that is not reached is told in a warning.
+   ends. A list whose places are all links is enlarged, up to ``PLACES``. Rounds end when few links are new.
+4. Dense regions. A list of ``PLACES`` links is saturated: its centre may have any number of others. The component of
+   found links that it is in is counted whole, block against block; what leaves a block is a count for each centre, pairs
+   of balls that their radii leave open, and one link between parts that were not yet known to be linked.
 5. Links. Two balls link wholly if their radii allow no exception; otherwise their members are compared in double
    precision, in blocks, and only counts leave the block.
-
-A bucket or list of over ``blocks.BLOCK`` vectors is dealt out as pairs of blocks, so no task holds a hot group.
+6. Audit. For a bounded sample, half of all vectors and half of the balls' centres, links are counted by brute force
+   against all rows; the sample grows until enough of its vectors have links. The recall is a mean over vectors, not
+   links, and the least one of the strata by number of links, so a hot group does not hide the small ones. While it is
+   below ``recall``, more hashes are added and the descent is repeated; after ``attempts``, as long as that raises it. A
+   recall that is not reached, or that no sampled link could measure, is told in a warning, or raised where ``strict``.
 
 Defined results. Vectors that are null, of length zero, or hold nulls or non-finite components, and rows without a label,
 have no links; vectors of different lengths don't link. Rows that repeat an id get that id's result, from its first row
@@ -30,6 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import together
@@ -40,6 +43,8 @@ BUCKET = 24  # vectors that a bucket of the first lists should hold
 MEET = 0.99  # chance that two vectors at the threshold share a bucket of the first lists
 FINE_BITS, FINE_ROUNDS = 14, 3
 EPS = 1e-7
+PLACES = 64  # of a list; one with as many links is saturated
+WHOLE_BLOCK = 2048  # centres of a dense component that meet in one group
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -74,38 +79,39 @@ def _codes(vectors: DataFrame, tables: int, seed: int) -> DataFrame:
     return vectors.mapInArrow(run, f"{fields}, codes array<long>")
 
 
+def _limits(theta: float, radius: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least cosine of two centres at which members of their balls may still link."""
+    return np.cos(np.minimum(np.pi, theta + radius[a][:, None] + radius[b][None, :])) - EPS
+
+
 def _near(theta: float, keep: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
-    """Compare the centres of a group: all pairs that may link, and the ``keep`` nearest of each."""
+    """Compare the centres of a group: the ``keep`` nearest of each, and what may link, ``PLACES`` in all at most."""
 
     def fn(group: pa.Table) -> pa.RecordBatch | None:
         if group.num_rows < 2:
             return None
         ids, radius = group.column("id").to_numpy(), group.column("radius").to_numpy()
-        a, b = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in "ab")
-        m = _matrix(group.column("vec"))
-        cos = np.clip(m[a] @ m[b].T, -1, 1)
-        label = group.column("label").to_numpy(zero_copy_only=False)
-        cos[(ids[a][:, None] == ids[b][None, :]) | (label[a][:, None] != label[b][None, :])] = -2
-        limit = np.cos(np.minimum(np.pi, theta + radius[a][:, None] + radius[b][None, :])) - EPS
-        take = cos >= limit
-        k = min(keep, cos.shape[1])
+        m, label = _matrix(group.column("vec")), group.column("label").to_numpy(zero_copy_only=False)
+        every = np.arange(len(ids))
+        cos = np.clip(m @ m.T, -1, 1)
+        cos[(ids[:, None] == ids[None, :]) | (label[:, None] != label[None, :])] = -2
+        k = min(PLACES, len(ids))
         best = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        take[np.arange(len(a))[:, None], best] = True
-        take &= cos > -1.5
-        x, y = np.nonzero(take)
-        out = [pa.array(ids[a][x]), pa.array(ids[b][y]), pa.array(cos[x, y]), pa.array(cos[x, y] >= limit[x, y])]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable"), 1)
+        value = np.take_along_axis(cos, best, 1)
+        link = value >= np.take_along_axis(_limits(theta, radius, every, every), best, 1)
+        x, y = np.nonzero((link | (np.arange(k) < keep)) & (value > -1.5))
+        out = [pa.array(ids[x]), pa.array(ids[best[x, y]]), pa.array(value[x, y]), pa.array(link[x, y])]
         return pa.RecordBatch.from_arrays(out, ["u", "v", "cos", "link"])
 
     return fn
 
 
 def _lists(found: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each list; all links and as many places again where the links fill it."""
-    both = found.union(found.select("v", "u", "cos", "link"))
-    listed = both.groupBy("u").agg(F.collect_set(F.struct("link", "cos", "v")).alias("all"))
-    links = F.size(F.filter("all", lambda x: x["link"]))
-    places = F.when(links >= k, links * 2).otherwise(F.lit(k)).cast("int")
-    return listed.select("u", F.explode(F.slice(F.sort_array("all", asc=False), 1, places)).alias("x")).select("u", F.col("x.v").alias("v"), F.col("x.cos").alias("cos"), F.col("x.link").alias("link"))
+    """Of each list the best ``k``, and links up to ``PLACES``."""
+    both = found.union(found.select("v", "u", "cos", "link")).groupBy("u", "v").agg(F.max("cos").alias("cos"), F.max("link").alias("link"))
+    rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("link"), F.desc("cos"), "v"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= PLACES).where(F.col("link") | (F.col("rank") <= k)).drop("rank")
 
 
 def _balls(vectors: DataFrame, theta: float) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +164,7 @@ def _first_lists(balls: DataFrame, theta: float, tables: int, seed: int) -> Data
     spread = coded.withColumn("codes", F.slice("codes", F.lit(1), needed)).select("id", "of_label", F.size("vec").alias("dim"), "bits", F.posexplode("codes").alias("t", "code"))
     key = [F.col("of_label"), F.col("dim"), F.col("t"), F.expr("code & (shiftleft(1L, least(bits, 31)) - 1)")]
     kind = dict(balls.dtypes)["id"]
-    return together(spread, key, _near(theta, 2), f"u {kind}, v {kind}, cos double, link boolean", balls.select("id", "label", "vec", "radius"))
+    return together(spread, key, _near(theta, 2), f"u {kind}, v {kind}, cos double, link boolean", balls.select("id", "label", "vec", "radius"), whole=False)
 
 
 def _descend(balls: DataFrame, found: DataFrame, theta: float, k: int, rounds: int) -> DataFrame:
@@ -168,7 +174,7 @@ def _descend(balls: DataFrame, found: DataFrame, theta: float, k: int, rounds: i
     for _ in range(rounds):
         edges = lists.select("u", "v").union(lists.select(F.col("v").alias("u"), F.col("u").alias("v")))
         members = edges.union(lists.select("u", F.col("u").alias("v"))).distinct()
-        offered = together(members.withColumnRenamed("v", "id"), [F.col("u")], _near(theta, 2), f"u {kind}, v {kind}, cos double, link boolean", balls.select("id", "label", "vec", "radius"))
+        offered = together(members.withColumnRenamed("v", "id"), [F.col("u")], _near(theta, 2), f"u {kind}, v {kind}, cos double, link boolean", balls.select("id", "label", "vec", "radius"), whole=False)
         better = save(_lists(lists.union(offered), k), "lists")
         now = better.where("link").count()
         drop(lists)
@@ -200,13 +206,25 @@ def _members_between(balls: DataFrame, home: DataFrame, vectors: DataFrame, pair
     return together(sides.join(inside, "ball"), [F.col("u"), F.col("v")], fn, f"x {kind}, n long, u {kind}, v {kind}", vectors.select(F.col("vec_id").alias("id"), "vec"))
 
 
-def _audit(vectors: DataFrame, centres: DataFrame, counted: DataFrame, cosine: float, sample: int) -> float:
+def _audit(vectors: DataFrame, centres: DataFrame, counted: DataFrame, cosine: float, sample: int, linked: int = 32, most: int = 4096) -> float | None:
     """Share of a vector's true links that were counted: the mean over the sample's vectors, in the stratum (powers of two
-    of links) where it is least. ``sample`` rows at most are broadcast, half of them centres of balls."""
-    drawn = (x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("vec_id", "label", "vec").collect() for x, n in ((vectors, sample - sample // 2), (centres, sample // 2)))
-    asked = list({r.vec_id: r for rows in drawn for r in rows}.values())
-    if not asked:
-        return 1.0
+    of links) where it is least. The sample, half of it centres of balls, grows by four until ``linked`` of its vectors have
+    links, it has ``most`` rows, or it is all rows. None if it is not and holds no link."""
+    kind, rows = dict(vectors.dtypes)["vec_id"], vectors.count()
+    while True:
+        drawn = [r for x, n in ((vectors, sample - sample // 2), (centres, sample // 2)) for r in x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).select("vec_id", "label", "vec").collect()]
+        truth = vectors.mapInArrow(_true_links(list({r.vec_id: r for r in drawn}.values()), cosine), f"vec_id {kind}, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+        share = F.least("n", F.coalesce("n_links", F.lit(0))) / F.col("n")
+        strata = truth.where("n > 0").join(counted, "vec_id", "left").groupBy(F.floor(F.log2("n")).alias("stratum")).agg(F.avg(share).alias("share"), F.count(F.lit(1)).alias("seen"))
+        found = strata.agg(F.min("share").alias("least"), F.sum("seen").alias("seen")).first()
+        whole = sample // 2 >= rows
+        if whole or sample >= most or (found.seen or 0) >= linked:
+            return found.least if found.seen else 1.0 if whole else None
+        sample = min(4 * sample, most)
+
+
+def _true_links(asked: list, cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the links of each asked vector within a batch."""
     by_key: dict = {}
     for r in asked:
         by_key.setdefault((r.label, len(r.vec)), []).append(r)
@@ -218,20 +236,18 @@ def _audit(vectors: DataFrame, centres: DataFrame, counted: DataFrame, cosine: f
             for m, part in _by_size(batch):
                 label, ids = part.column("label").to_numpy(zero_copy_only=False), part.column("vec_id").to_numpy()
                 for (wanted, size), (q, qm) in ready.items():
-                    rows = np.flatnonzero(label == wanted) if size == m.shape[1] else []
+                    rows = np.flatnonzero(label == wanted) if size == m.shape[1] else np.zeros(0, np.int64)
+                    n = np.zeros(len(q), np.int64)
+                    for at in range(0, len(rows), 1024):
+                        some = rows[at : at + 1024]
+                        n += ((qm @ m[some].T >= cosine) & (q[:, None] != ids[some][None, :])).sum(axis=1)
                     if len(rows):
-                        n = ((qm @ m[rows].T >= cosine) & (q[:, None] != ids[rows][None, :])).sum(axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n)], ["vec_id", "n"])
 
-    kind = dict(vectors.dtypes)["vec_id"]
-    truth = vectors.mapInArrow(run, f"vec_id {kind}, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    share = F.least("n", F.coalesce("n_links", F.lit(0))) / F.col("n")
-    strata = truth.where("n > 0").join(counted, "vec_id", "left").groupBy(F.floor(F.log2("n")).alias("stratum")).agg(F.avg(share).alias("share"))
-    least = strata.agg(F.min("share")).first()[0]
-    return 1.0 if least is None else least
+    return run
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = 0.93, k: int = 8, tables: int = 16, rounds: int = 3, recall: float = 0.99, audit: int = 256, attempts: int = 3) -> DataFrame:
+def near_vectors(embeddings: DataFrame, cosine: float = 0.93, k: int = 8, tables: int = 16, rounds: int = 3, recall: float = 0.99, audit: int = 256, attempts: int = 3, strict: bool = False) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row of ``embeddings`` (``vec_id``, ``embedding``, ``label``)."""
     theta = float(np.arccos(cosine))
     whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -243,37 +259,103 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93, k: int = 8, tables
     while True:
         start = _first_lists(balls, theta, tables, 10 + attempt)
         lists = _descend(balls, start if found is None else found.union(start), theta, k, rounds)
+        for old in (found, counted, linked):
+            if old is not None:
+                drop(old)
         found = lists
         counted, linked = _count(vectors, balls, home, lists.where("link"), theta, cosine)
         attempt, before, reached = attempt + 1, reached, _audit(vectors, centres, counted, cosine, audit)
-        if reached >= recall:
+        if reached is None or reached >= recall:
             break
         if attempt >= attempts and reached <= before:
-            warnings.warn(f"near_vectors: recall {reached:.4f} of the audit after {attempt} attempts, {recall} asked", stacklevel=2)
             break
+    if reached is None or reached < recall:
+        said = f"near_vectors: after {attempt} attempts " + ("no sampled vector has a link, so the recall is not known" if reached is None else f"the audit's recall is {reached:.4f}; {recall} was asked")
+        if strict:
+            raise RuntimeError(said)
+        warnings.warn(said, stacklevel=2)
     group = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")))
     of = home.join(group, "id", "left").select("vec_id", F.coalesce("component", "id").alias("component_id"))
-    known = of.join(counted, "vec_id", "left")
+    known = save(of.join(counted, "vec_id", "left"), "known")
+    for old in (vectors, balls, home, found, counted, linked):
+        drop(old)
     out = embeddings.select("vec_id").join(known, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def _count(vectors: DataFrame, balls: DataFrame, home: DataFrame, near: DataFrame, theta: float, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """Links of each vector, and the pairs of balls that link."""
+    """Links of each vector, and pairs of balls that link and reach all that is linked."""
     pairs = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cos").groupBy("u", "v").agg(F.max("cos").alias("cos"))
     side = lambda c: balls.select(F.col("id").alias(c), F.col("radius").alias(f"r{c}"), F.col("members").alias(f"m{c}"))
     sized = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("apart", F.acos(F.least(F.col("cos"), F.lit(1.0))))
     single = (F.col("ru") == 0) & (F.col("rv") == 0) & (F.col("mu") == 1) & (F.col("mv") == 1)
     kind = F.when(single & (F.col("cos") >= cosine), "all").when(single, "none").when(F.col("apart") + F.col("ru") + F.col("rv") <= theta - EPS, "all").otherwise("some")
     sized = save(sized.withColumn("kind", kind), "pairs")
-    all_of = sized.where("kind = 'all'")
-    some = save(_members_between(balls, home, vectors, sized.where("kind = 'some'").select("u", "v"), cosine), "between")
-    to_ball = all_of.select(F.col("u").alias("id"), F.col("mv").alias("n")).union(all_of.select(F.col("v").alias("id"), F.col("mu").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
+    all_of, open_pairs = sized.where("kind = 'all'"), sized.where("kind = 'some'").select("u", "v")
+    links, listed = all_of.select("u", "v"), all_of
+    to_ball = None
+    full = save(near.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PLACES).select(F.col("u").alias("id")), "saturated")
+    if full.limit(1).count():
+        inside = _dense(sized.select("u", "v"), full, links)
+        made = save(_counted_whole(balls, inside, theta, cosine), "dense")
+        listed = all_of.join(inside.select(F.col("id").alias("u")), "u", "left_anti")
+        open_pairs = open_pairs.join(inside.select(F.col("id").alias("u")), "u", "left_anti").union(made.where("what = 'open'").select("u", "v"))
+        links = links.union(made.where("what = 'link'").select("u", "v"))
+        to_ball = made.where("what = 'count'").select(F.col("u").alias("id"), "n")
+    some = save(_members_between(balls, home, vectors, open_pairs.distinct(), cosine), "between")
+    from_lists = listed.select(F.col("u").alias("id"), F.col("mv").alias("n")).union(listed.select(F.col("v").alias("id"), F.col("mu").alias("n")))
+    to_ball = (from_lists if to_ball is None else from_lists.union(to_ball)).groupBy("id").agg(F.sum("n").alias("n"))
     per_ball = balls.select("id", (F.col("members") - 1).alias("own")).join(to_ball, "id", "left").select("id", (F.col("own") + F.coalesce("n", F.lit(0))).alias("n"))
     per_member = some.groupBy(F.col("x").alias("vec_id")).agg(F.sum("n").alias("more"))
-    counted = home.join(per_ball, "id").join(per_member, "vec_id", "left").select("vec_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links"))
-    linked = save(all_of.select("u", "v").union(some.select("u", "v")).distinct(), "linked")
-    return save(counted, "counted"), linked
-
+    counted = save(home.join(per_ball, "id").join(per_member, "vec_id", "left").select("vec_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links")), "counted")
+    linked = save(links.union(some.select("u", "v")).distinct(), "linked")
+    for old in (sized, full, some):
+        drop(old)
+    return counted, linked
+
+
+def _dense(pairs: DataFrame, full: DataFrame, links: DataFrame) -> DataFrame:
+    """``id``, ``component`` and ``part`` of the centres whose component of pairs that may link holds a saturated list;
+    ``part`` is the component of the links that are known."""
+    ends = lambda df: df.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    wide = components(ends(pairs))
+    chosen = wide.join(full, "id", "left_semi").select("component").distinct()
+    known = components(ends(links)).select("id", F.col("component").alias("part"))
+    return save(wide.join(chosen, "component", "left_semi").join(known, "id", "left").select("id", "component", F.coalesce("part", "id").alias("part")), "inside")
+
+
+def _counted_whole(balls: DataFrame, inside: DataFrame, theta: float, cosine: float) -> DataFrame:
+    """All pairs of centres of a component, block against block: ``what`` is ``count`` (``n`` links of ``u``'s members into
+    other balls), ``open`` (a pair that needs its members) or ``link`` (a link between two parts)."""
+    kind = dict(balls.dtypes)["id"]
 
+    def fn(group: pa.Table) -> pa.RecordBatch | None:
+        ids, radius, members, part = (group.column(c).to_numpy() for c in ("id", "radius", "members", "part"))
+        a, b = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in "ab")
+        m = _matrix(group.column("vec"))
+        cos = np.clip(m[a] @ m[b].T, -1, 1)
+        own = ids[a][:, None] == ids[b][None, :]
+        lone = (radius == 0) & (members == 1)
+        single = lone[a][:, None] & lone[b][None, :]
+        both = radius[a][:, None] + radius[b][None, :]
+        every = np.where(single, cos >= cosine, np.arccos(cos) + both <= theta - EPS) & ~own
+        undecided = ~single & ~every & ~own & (cos >= _limits(theta, radius, a, b))
+        met_twice = len(a) == len(b) and (a == b).all()  # a block with itself: each pair stands twice
+        rows = [(ids[a], None, every @ members[b], "count")] + ([] if met_twice else [(ids[b], None, members[a] @ every, "count")])
+        x, y = np.nonzero(undecided)
+        low, high = np.minimum(ids[a][x], ids[b][y]), np.maximum(ids[a][x], ids[b][y])
+        once = np.unique(np.stack([low, high], axis=1), axis=0)
+        rows.append((once[:, 0], once[:, 1], np.zeros(len(once), np.int64), "open"))
+        x, y = np.nonzero(every & (part[a][:, None] != part[b][None, :]))
+        parts = np.stack([np.minimum(part[a][x], part[b][y]), np.maximum(part[a][x], part[b][y])], axis=1)
+        first = np.unique(parts, axis=0, return_index=True)[1]
+        rows.append((ids[a][x[first]], ids[b][y[first]], np.zeros(len(first), np.int64), "link"))
+        tables = [
+            pa.RecordBatch.from_arrays([pa.array(u), pa.nulls(len(u), pa.array(ids).type) if v is None else pa.array(v), pa.array(n.astype(np.int64)), pa.array([what] * len(u), pa.string())], ["u", "v", "n", "what"])
+            for u, v, n, what in rows
+        ]
+        return pa.Table.from_batches(tables).combine_chunks().to_batches()[0]
+
+    payload = balls.select("id", "vec", "radius", "members")
+    return together(inside, [F.col("component")], fn, f"u {kind}, v {kind}, n long, what string", payload, block=WHOLE_BLOCK)

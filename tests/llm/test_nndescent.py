@@ -54,6 +54,41 @@ def test_equals_brute_force(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
 
 
+def test_dense_region_is_counted_whole(spark, monkeypatch):
+    """Hundreds of vectors, no two within half the threshold's angle, of which nearly all pairs link."""
+    from lodestar.llm import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 64)
+    monkeypatch.setattr(N, "WHOLE_BLOCK", 128)
+    r = np.random.default_rng(8)
+    base, rows = r.normal(size=48), []
+    base /= np.linalg.norm(base)
+    for i in range(420):
+        noise = r.normal(size=48)
+        rows.append((i, (base + noise / np.linalg.norm(noise) * r.uniform(0.2, 0.3)).tolist(), 1))
+    for i in range(420, 440):  # near copies of some of them
+        rows.append((i, (np.array(rows[i - 420][1]) + r.normal(size=48) * 1e-3).tolist(), 1))
+    rows += [(i, r.normal(size=48).tolist(), 1) for i in range(440, 500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows, 0.93)
+    assert sum(n for n, _ in want.values()) > 60_000
+    assert {x.vec_id: (x.n_links, x.component_id) for x in N.near_vectors(df, strict=True).collect()} == want
+
+
+def test_a_recall_without_links_is_told(spark, monkeypatch):
+    import pytest
+
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, r.normal(size=16).tolist(), 0) for i in range(300)], "vec_id long, embedding array<double>, label int")
+    assert N.near_vectors(df, audit=1024, strict=True).where("n_links > 0").count() == 0  # all rows asked: no link is known
+    rows = df.selectExpr("vec_id", "label", "embedding as vec")
+    none = spark.createDataFrame([], "vec_id long, n_links long")
+    assert N._audit(rows, rows, none, 0.93, 16, most=64) is None
+    monkeypatch.setattr(N, "_audit", lambda *_: None)
+    with pytest.raises(RuntimeError):
+        N.near_vectors(df, strict=True)
+
+
 def test_edges(spark):
     assert N.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], 2)]
