@@ -19,8 +19,12 @@ reported if they cover ``least_words`` words of it. The first of a group by docu
 Bands: with one row a band, ``bands`` of them find a pair of similarity s with a chance of 1 - (1 - s) ** bands; three
 give 0.992 at 0.8 and 0.9999 at 0.95, and five-word shingles are rare enough that one row does not bring chance pairs.
 
-Defined results. Null and empty texts, and paragraphs of fewer than five words, repeat nothing. Repeats inside one document alone are no finding. A null ``doc_id`` is left out. Repeated rows
-of one ``doc_id`` count as one document. Only ``doc_id`` and ``text`` are read; :func:`remove_repeats` carries all columns.
+Paragraphs, stretches and bands are known by 64-bit hashes.
+
+Defined results. Null and empty texts, and paragraphs of fewer than five words, repeat nothing. Repeats inside one document
+alone are no finding, and all rows of one ``doc_id`` are one document; each of its texts has places of its own. A null
+``doc_id`` is left out. Only ``doc_id`` and ``text`` are read; :func:`remove_repeats` carries all columns, whatever their
+names, and cuts a text only at places that were found in that very text.
 """
 
 from __future__ import annotations
@@ -122,7 +126,8 @@ class _Units:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    text = F.col("text").cast("string")
+    return documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).where("doc_id is not null and text is not null")
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -142,7 +147,7 @@ def _all_bands(documents: DataFrame, bands: int) -> DataFrame:
 
 def _candidates(documents: DataFrame, bands: int, table: np.ndarray) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(table)
-    fields = ["doc_id", "no", "start", "end", "words", "id", "bands", "shingles"]
+    fields = ["doc_id", "text_hash", "no", "start", "end", "words", "id", "bands", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=2 << 20):
@@ -150,29 +155,28 @@ def _candidates(documents: DataFrame, bands: int, table: np.ndarray) -> DataFram
             band = units.bands(bands)
             keep = np.flatnonzero(may_hold(held.value, band).any(axis=1))
             h, at = units.shingles(keep) if len(keep) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            place = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
             with np.errstate(over="ignore"):
-                c = [np.add.reduceat(mix(h * np.uint64(2 * k + 1) + (np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))).astype(np.uint64)), at) if len(at) else h for k in (1, 2)]
+                ids = mix(np.add.reduceat(mix(h * np.uint64(5) + place.astype(np.uint64)), at)) if len(at) else h
             more = units.stretches
             also = np.flatnonzero(may_hold(held.value, more.hash))
+            own = lambda x, which: [*(batch.column(c).take(pa.array(x.row[which])) for c in ("doc_id", "text_hash")), *(pa.array(getattr(x, c)[which], pa.int64()) for c in ("no", "start", "end", "words"))]
             none = pa.array([[]] * len(also), pa.list_(pa.int64()))
-            places = (pa.array(getattr(more, c)[also], pa.int64()) for c in ("no", "start", "end", "words"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(more.row[also])), *places, pa.array([f"{x:016x}" for x in more.hash[also].tolist()], pa.string()), none, none], fields)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(units.row[keep])), *(pa.array(x[keep], pa.int64()) for x in (units.no, units.start, units.end, units.words)),
-                    pa.array([f"{a:016x}{b:016x}" for a, b in zip(*(x.tolist() for x in c), strict=True)], pa.string()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), _signed(np.ascontiguousarray(band[keep]).ravel())),
-                    pa.ListArray.from_arrays(pa.array(np.append(at, len(h)), pa.int32()), _signed(h)),
-                ],
-                fields,
-            )
+            yield pa.RecordBatch.from_arrays([*own(more, also), _signed(more.hash[also]), none, none], fields)
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(values)) for ends, values in ((np.arange(len(keep) + 1) * bands, np.ascontiguousarray(band[keep]).ravel()), (np.append(at, len(h)), h)))
+            yield pa.RecordBatch.from_arrays([*own(units, keep), _signed(ids), *lists], fields)
 
-    return _texts(documents).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, no long, start long, end long, words long, id string, bands array<long>, shingles array<long>")
+    return _texts(documents).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, no long, start long, end long, words long, id long, bands array<long>, shingles array<long>")
 
 
 def repeats(documents: DataFrame, similarity: int = 80, least_words: int = 20, recall: float = 0.99) -> DataFrame:
     """A row for each repeated paragraph or stretch: ``doc_id``, ``start`` and ``end`` (UTF-8 bytes of the text), ``words``,
     ``component_doc`` and ``component_start`` (the group's first paragraph), ``passage_words`` and ``kept``."""
+    return _repeats(documents, similarity, least_words, recall).drop("text_hash")
+
+
+def _repeats(documents: DataFrame, similarity: int = 80, least_words: int = 20, recall: float = 0.99) -> DataFrame:
+    """:func:`repeats` with ``text_hash``, which tells apart the texts of one ``doc_id``."""
     bands = bands_for(similarity / 100, recall)
     met = _all_bands(documents, bands).groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = save(met.where("low < high").select("band"), "bands")
@@ -183,32 +187,32 @@ def repeats(documents: DataFrame, similarity: int = 80, least_words: int = 20, r
     reps = save(classes, "classes")
     found = linked_sets(reps, buckets, similarity, components)
     grouped = some.drop("bands", "shingles").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
-    placed = save(grouped, "grouped")
+    placed = save(grouped.dropDuplicates(["doc_id", "text_hash", "no", "start", "words", "component"]), "grouped")
     for old in (some, buckets, reps):
         drop(old)
-    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("keeper"), F.max("doc_id").alias("last")).where("keeper.doc_id < last").drop("last")
-    groups = save(first, "groups")
-    repeated = placed.join(groups, "component").dropDuplicates(["doc_id", "no", "start", "words", "component"])
-    in_order = W.partitionBy("doc_id").orderBy("no", "start", "words", "component")
+    first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("keeper"), F.max("doc_id").alias("last"))
+    groups = save(first.where("keeper.doc_id < last").drop("last"), "groups")
+    repeated = placed.join(groups, "component")
+    of = W.partitionBy("doc_id", "text_hash")
+    in_order = of.orderBy("no", "start", "words", "component")
     reached = F.coalesce(F.max(F.col("no") + F.col("words")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.col("no") - GAP - 1)
     placed_in = repeated.withColumn("reached", reached)
     runs = placed_in.withColumn("run", F.sum((F.col("no") - F.col("reached") > GAP).cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
     new = F.greatest(F.lit(0), F.col("no") + F.col("words") - F.greatest("no", "reached"))
+    own = (F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.text_hash") == F.col("text_hash")) & (F.col("keeper.start") == F.col("start"))
     return (
-        runs.withColumn("passage_words", F.sum(new).over(W.partitionBy("doc_id", "run")))
+        runs.withColumn("passage_words", F.sum(new).over(W.partitionBy("doc_id", "text_hash", "run")))
         .where(F.col("passage_words") >= least_words)
-        .select(
-            "doc_id", "start", "end", "words", F.col("keeper.doc_id").alias("component_doc"), F.col("keeper.start").alias("component_start"), "passage_words",
-            ((F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.start") == F.col("start"))).alias("kept"),
-        )
-    )
+        .select("doc_id", "text_hash", "start", "end", "words", F.col("keeper.doc_id").alias("component_doc"), F.col("keeper.start").alias("component_start"), "passage_words", own.alias("kept"))
+    )
 
 
 def remove_repeats(documents: DataFrame, **options) -> DataFrame:
     """``documents`` without the paragraphs and stretches that :func:`repeats` finds and does not keep; all columns and rows."""
-    gone = repeats(documents, **options).where("not kept").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
-    cut = "__gone"
-    joined = documents.join(gone.withColumnRenamed("gone", cut), "doc_id", "left")
+    cut, of, hashed = (f"__{name}{max(map(len, documents.columns)) * '_'}" for name in ("gone", "of", "hash"))  # names that no column has
+    gone = _repeats(documents, **options).where("not kept").groupBy(F.col("doc_id").alias(of), F.col("text_hash").alias(hashed)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cut))
+    same = (documents["doc_id"] == gone[of]) & (F.xxhash64(documents["text"].cast("string")) == gone[hashed])
+    joined = documents.join(gone, same, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +221,7 @@ def remove_repeats(documents: DataFrame, **options) -> DataFrame:
                 if text and spans:
                     raw, at, left = text.encode(), 0, []
                     for s in spans:
-                        left.append(raw[at : s["start"]])
+                        left.append(raw[at : max(at, s["start"])])
                         at = max(at, s["end"])
                     text = b"".join([*left, raw[at:]]).decode()
                 out.append(text)

@@ -59,6 +59,34 @@ def test_passages_inside_text_without_sentence_ends(spark):
     assert all(left[i] == text for i, text in rows if i >= 1000 or i % 2 == 0) and all(len(left[i]) < len(text) for i, text in rows if i < 120 and i % 2)
 
 
+def test_equals_a_search_for_shared_words(spark):
+    """All documents that share 51 words in a row with another one are reported, and none that shares no 12."""
+    r = random.Random(11)
+    plain = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) + r.choice(["", "", "", "", "."]) for _ in range(n)]
+    texts, passages = {}, [plain(n) for n in (51, 60, 75, 30, 11)]
+    for i in range(60):
+        words = plain(r.randrange(0, 300))
+        for p in r.sample(passages, r.choice([0, 0, 1, 2])):
+            at = r.randrange(len(words) + 1)
+            words[at:at] = p
+        texts[i] = " ".join(words) if i % 9 else "\n".join(words)
+    windows = lambda n: {i: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    shared = lambda n: {i for w in [windows(n)] for i in w if any(w[i] & w[j] for j in w if j != i)}
+    found = {x.doc_id for x in G.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert shared(51) and shared(51) <= found <= shared(12)
+
+
+def test_reused_ids_clashing_columns_and_long_texts(spark):
+    r = random.Random(5)
+    passage = " ".join(sentence(r, 15) for _ in range(6))
+    rows = [(1, "é " + passage, "a", 1), (1, "ü ü " * 30 + "own words only", "b", 2), (2, sentence(r, 20) + " " + passage, "c", 3), (2, None, "d", 4), (None, passage, "e", 5)]
+    rows.append((3, "word " * 400_000 + passage + " again" * 300_000, "f", 6))
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__gone` string, start int")
+    left = {x["__gone"]: x.text for x in G.remove_repeats(df).collect()}
+    assert [left[k] for k in "abde"] == [rows[i][1] for i in (0, 1, 3, 4)]
+    assert len(left["c"].split()) == 20 and len(left["f"]) < len(rows[5][1]) - len(passage) + 100
+
+
 def test_edges(spark):
     assert G.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = [(1, "a b c d e f g h i j k l m n o p q r s t u v w. x"), (1, "a b c d e f g h i j k l m n o p q r s t u v w. x"), (None, "x")]
