@@ -119,7 +119,7 @@ def _judged_sql(host: str, path: str, what: str) -> str:
 
 _HOST_SQL = r"coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH_SQL = r"coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-_ADDRESS_SQL = r"CASE WHEN contains({0}, '://') THEN lower(regexp_extract({0}, '(?s)^(.*?)://', 1)) || '://' || " + _HOST_SQL + r" || regexp_extract(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) END"
+_ADDRESS_SQL = r"CASE WHEN contains(regexp_replace({0}, '(?s)#.*$', ''), '://') THEN lower(regexp_extract({0}, '(?s)^(.*?)://', 1)) || '://' || " + _HOST_SQL + r" || regexp_extract(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) END"
 ORACLES["op8_redirect_equivalence"] = rf"""WITH RECURSIVE p AS (SELECT page_id, url, {_ADDRESS_SQL.format('url')} AS node, {_HOST_SQL.format('url')} AS host, {_PATH_SQL.format('url')} AS path FROM pages),
 t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
 h AS (SELECT url, replace(CASE WHEN starts_with(lower(tag), '<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) END, '&amp;', '&') AS target FROM t),

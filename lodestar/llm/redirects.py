@@ -8,7 +8,7 @@ Edges are read from the pages (``<link rel=canonical>`` and ``<meta http-equiv=r
 table of redirects where there is one. Addresses are compared without fragment and with the host in small letters.
 
 Defined results. A null URL, or one without ``://``, has an empty host and path, fits no rule and has no aliases: it is
-allowed. Null or empty HTML has no edges. Equal URLs are aliases of one another. Repeated rows are judged each. A rule
+allowed. One with ``://`` in its fragment only has a host and path, as the rules' definition says, but no aliases. Null or empty HTML has no edges. Equal URLs are aliases of one another. Repeated rows are judged each. A rule
 with a null or empty host fits nothing. Only ``page_id``, ``url`` and ``html`` are read. An empty table gives no rows.
 """
 
@@ -55,10 +55,10 @@ def judge(rules: list[Rule], of_host: Column, of_path: Column) -> tuple[Column,
 
 
 def address(url: Column) -> Column:
-    """A URL as a node: host in small letters, no fragment; null where there is no ``://``."""
+    """A URL as a node: host in small letters, no fragment; null where there is no ``://`` before the fragment."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     scheme, rest = F.regexp_extract(bare, r"(?s)^(.*?)://", 1), F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.when(url.contains("://"), F.concat(F.lower(scheme), F.lit("://"), host(bare), rest))
+    return F.when(bare.contains("://"), F.concat(F.lower(scheme), F.lit("://"), host(bare), rest))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:

@@ -39,5 +39,10 @@ def test_table_of_redirects_and_relative_links(spark):
     assert (got[0][3], got[1][3]) == ("block", "allow")
 
 
+def test_a_scheme_in_the_fragment_is_no_address(spark):
+    got = judged(spark, [("a#b://c.net/x", CANONICAL.format("http://fine.org/fr/")), ("d#b://c.com/x", ""), ("http://q.com/" + "x" * 100_000, "<p>" * 100_000)])
+    assert [got[i][:2] + got[i][3:] for i in (0, 1)] == [("c.net", "/x", "block"), ("c.com", "/x", "allow")] and got[2][3] == "allow"
+
+
 def test_empty(spark):
     assert R.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), RULES).count() == 0
