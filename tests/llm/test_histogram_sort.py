@@ -29,6 +29,12 @@ def test_hot_text_and_hot_row_are_cut(spark):
     check(df, 5, near=100)
 
 
+def test_carries_what_is_asked_after_a_shuffle(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("x").alias("shard"), F.lit(1).alias("a.b")).repartition(7)
+    rows = H.assign(df, 3, carry=["doc_id", "a.b"])
+    assert rows.columns == ["doc_id", "a.b", "size", "shard", "slot"] and rows.count() == rows.select("shard", "slot").distinct().count() == 400
+
+
 def test_edges(spark):
     assert H.assign(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
     rows = check(spark.createDataFrame([(1, None), (None, ""), (None, ""), (2, "x")], "doc_id long, text string"), 4)
