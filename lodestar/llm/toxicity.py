@@ -4,8 +4,9 @@ Terms are the lower-cased words of a text and the beginnings of longer ones, has
 and a short vector; two terms that occur in one text add the product of their vectors, so a pair such as an insult beside
 a group's name counts where neither does alone.
 
-Learning uses a sample of labelled rows; ``positives``, ``negatives`` and ``row_terms`` bound what comes to the driver (a
-row with more distinct terms than that gives those of the smallest hashes); terms are gathered by Spark over whole texts.
+Learning uses a sample of labelled rows, in order of a hash of their ids; ``positives``, ``negatives`` and ``sample_terms``
+bound what comes to the driver: of either label no more rows, nor more distinct terms than half that number in all. Terms
+are gathered by Spark over whole texts, so a text is learned from as a whole, as it is scored, or not at all.
 A term enters the machine in one of two ways: its shares among toxic and clean texts differ by ``strength`` standard
 errors; or it interacts, i.e. what the machine of the former terms leaves unexplained goes along with the term's meeting
 others. For that the leading directions of the sample's co-occurrences, weighted by what is left, are found by subspace
@@ -27,6 +28,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .textkernel import PUNCT, mix, pieces, prefixes, words
@@ -60,7 +62,7 @@ def _distinct(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives: int, row_terms: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives: int, sample_terms: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Terms of each sampled text, its label, and how many labelled rows it stands for."""
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = {r.label: r.n for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -73,14 +75,13 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
         for batch in pieces(batches):
             rows, ids = _distinct(*_terms(batch))
             at = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            own = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            own = [x if len(x) <= row_terms else x[np.argpartition(mix(x.astype(np.uint64)), row_terms)[:row_terms]] for x in own]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).astype(np.int32)))
+            terms = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("label"), terms], ["doc_id", "hash", "label", "terms"])
 
     found = chosen.withColumn("hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {key}, hash long, label int, terms array<int>")
-    table = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "terms"), "hash").alias("x")).select("x.*").toArrow()
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "terms"), "hash").alias("x")).select("doc_id", "x.*")
+    so_far = F.sum(F.size("terms").cast("long")).over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the rows of the sample
+    table = one.withColumn("so_far", so_far).where(F.col("so_far") <= sample_terms // 2).select("label", "terms").toArrow()
     y = table.column("label").to_numpy().astype(np.int64)
     lists = table.column("terms").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -92,10 +93,10 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
     return [flat[at[i] : at[i + 1]] for i in range(len(y))], y, stands
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, row_terms: int = 2048, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 4.0) -> Machine:
+def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, sample_terms: int = 8_000_000, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 4.0) -> Machine:
     """``labels``: ``doc_id``, ``label`` (above 0: toxic), already without the rows that must not be learned from. The
-    driver holds at most ``(positives + negatives) * row_terms`` terms of 4 bytes."""
-    lists, y, stands = _sample(documents, labels, positives, negatives, row_terms)
+    driver holds at most ``sample_terms`` terms of 4 bytes, and some copies of them."""
+    lists, y, stands = _sample(documents, labels, positives, negatives, sample_terms)
     empty = np.zeros(0, np.int64)
     share = float((stands * y).sum() / stands.sum()) if len(y) else 0.0
     bias = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))

@@ -54,8 +54,10 @@ def test_sample_is_bounded(spark):
     long_text = " ".join(f"w{i}" for i in range(30_000))
     docs = spark.range(4000).selectExpr("cast(1 as long) as doc_id", "concat('text ', id) as text").union(spark.createDataFrame([(2, long_text), (3, "x y")], "doc_id long, text string"))
     known = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
-    lists, y, _ = X._sample(docs, known, 3, 3, 2048)
-    assert sorted(y) == [0, 0, 1] and max(map(len, lists)) == 2048
+    lists, y, _ = X._sample(docs, known, 3, 3, 1 << 20)
+    assert sorted(y) == [0, 0, 1] and 30_000 <= max(map(len, lists)) < 200_000
+    lists, y, _ = X._sample(docs, known, 3, 3, 4096)
+    assert 1 in y and sum(map(len, lists)) <= 4096
     machine = X.fit(docs, known)
     assert X.score(docs, machine).where("score between 0 and 1").count() == 4002
 
