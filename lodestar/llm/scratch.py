@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that setting is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="lodestar-"))
-        atexit.register(shutil.rmtree, _local[0], True)
-    return f"file://{_local[0]}"
-
+from lodestar.sources.shared import keep as save
+from lodestar.sources.shared import shared_dir
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it back: cuts the lineage, and later passes read it instead of computing it again."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "own_columns", "save", "shared_dir"]
 
 
 def own_columns(df: DataFrame) -> list[Column]:
