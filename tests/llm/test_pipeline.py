@@ -59,7 +59,7 @@ def test_rows_equal_a_plain_pass(spark, tmp_path):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     left = [x for i, x in enumerate(left) if find(i) == i and item not in (x[1] or "")]
-    assert 300 < len(rows) - len(left) + 200 and {k for k, _ in left} & {304} == set() and sum(310 <= k < 330 for k, _ in left) < 20
+    assert len(toxic) == 80 and 304 not in {k for k, _ in left} and sum(310 <= k < 330 for k, _ in left) < 20
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = sorted((k, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in left if k != 303)
