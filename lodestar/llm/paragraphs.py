@@ -186,24 +186,27 @@ def _repeats(documents: DataFrame, similarity: int = 80, least_words: int = 20,
     classes = some.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("s")).select("id", F.array_distinct("s").alias("shingles"))
     reps = save(classes, "classes")
     found = linked_sets(reps, buckets, similarity, components)
-    grouped = some.drop("bands", "shingles").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("id")
-    placed = save(grouped.dropDuplicates(["doc_id", "text_hash", "no", "start", "words", "component"]), "grouped")
-    for old in (some, buckets, reps):
+    for old in (buckets, reps):
         drop(old)
+    own = ["doc_id", "text_hash", "no", "start", "end", "words"]
+    stretches = some.where(F.size("bands") == 0).select(*own, F.col("id").alias("component"))  # equal ones are one group, no links
+    linked = some.where(F.size("bands") > 0).select(*own, "id").join(found, "id", "left").select(*own, F.coalesce("component", "id").alias("component"))
+    placed = stretches.union(linked)
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("keeper"), F.max("doc_id").alias("last"))
     groups = save(first.where("keeper.doc_id < last").drop("last"), "groups")
-    repeated = placed.join(groups, "component")
+    # rows of one text together, repeated ones once; the windows need no other exchange
+    repeated = placed.join(groups, "component").repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "no", "start", "words", "component"])
     of = W.partitionBy("doc_id", "text_hash")
     in_order = of.orderBy("no", "start", "words", "component")
     reached = F.coalesce(F.max(F.col("no") + F.col("words")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.col("no") - GAP - 1)
     placed_in = repeated.withColumn("reached", reached)
     runs = placed_in.withColumn("run", F.sum((F.col("no") - F.col("reached") > GAP).cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, 0)))
     new = F.greatest(F.lit(0), F.col("no") + F.col("words") - F.greatest("no", "reached"))
-    own = (F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.text_hash") == F.col("text_hash")) & (F.col("keeper.start") == F.col("start"))
+    kept = (F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.text_hash") == F.col("text_hash")) & (F.col("keeper.start") == F.col("start"))
     return (
         runs.withColumn("passage_words", F.sum(new).over(W.partitionBy("doc_id", "text_hash", "run")))
         .where(F.col("passage_words") >= least_words)
-        .select("doc_id", "text_hash", "start", "end", "words", F.col("keeper.doc_id").alias("component_doc"), F.col("keeper.start").alias("component_start"), "passage_words", own.alias("kept"))
+        .select("doc_id", "text_hash", "start", "end", "words", F.col("keeper.doc_id").alias("component_doc"), F.col("keeper.start").alias("component_start"), "passage_words", kept.alias("kept"))
     )
 
 
