@@ -145,13 +145,36 @@ def _judged_sql(host: str, path: str, what: str) -> str:
 
 _HOST_SQL = r"coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH_SQL = r"coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-_ADDRESS_SQL = r"CASE WHEN contains(regexp_replace({0}, '(?s)#.*$', ''), '://') THEN lower(regexp_extract({0}, '(?s)^(.*?)://', 1)) || '://' || " + _HOST_SQL + r" || regexp_extract(regexp_replace({0}, '(?s)#.*$', ''), '(?s)^.*?://[^/?#]*(.*)$', 1) END"
-ORACLES["op8_redirect_equivalence"] = rf"""WITH RECURSIVE p AS (SELECT page_id, url, {_ADDRESS_SQL.format('url')} AS node, {_HOST_SQL.format('url')} AS host, {_PATH_SQL.format('url')} AS path FROM pages),
-t AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
-h AS (SELECT url, replace(CASE WHEN starts_with(lower(tag), '<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1) END, '&amp;', '&') AS target FROM t),
-d AS (SELECT {_ADDRESS_SQL.format('url')} AS a, {_ADDRESS_SQL.format('target')} AS b FROM h WHERE contains(target, '://')), e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
-reach AS (SELECT DISTINCT node AS id, node FROM p WHERE node IS NOT NULL UNION SELECT r.id, e.b FROM reach r JOIN e ON r.node = e.a),
-told AS (SELECT id, max(CASE said WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS told FROM (SELECT id, {_judged_sql(_HOST_SQL.format('node'), _PATH_SQL.format('node'), 'verdict')} AS said FROM reach WHERE id IN (SELECT a FROM e)) GROUP BY id)
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _target_sql(tag: str, pattern: str) -> str:
+    return rf"""replace(trim(regexp_replace(regexp_extract({tag}, '{_quoted(pattern)}', 1), '^["'']|["'']$', '', 'g')), '&amp;', '&')"""
+
+
+def _resolved_sql(name: str, source: str, reference: str, base: str, out: str) -> str:
+    """Tables that add ``out`` to ``source``: the address that a reference means on a base; on an empty base its own address."""
+    parts = ", ".join(f"regexp_extract({of}, '{_quoted(redirects._PARTS)}', {i}) AS {k}{i}" for k, of in (("r", reference), ("b", base)) for i in range(1, 5))
+    dots = """list_reduce(list_transform(string_split(p, '/'), lambda s: [s]), lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, s) END)"""
+    return rf"""{name}_parts AS (SELECT *, {parts} FROM {source}),
+{name}_put AS (SELECT * EXCLUDE (r1, r2, r3, r4, b1, b2, b3, b4), CASE WHEN r1 <> '' THEN r1 ELSE b1 END AS s, CASE WHEN r1 <> '' OR r2 <> '' THEN r2 ELSE b2 END AS h,
+CASE WHEN r1 <> '' OR r2 <> '' OR starts_with(r3, '/') THEN r3 WHEN r3 = '' THEN b3 ELSE regexp_replace(b3, '[^/]*$', '') || r3 END AS p0, CASE WHEN r1 <> '' OR r2 <> '' OR r3 <> '' OR r4 <> '' THEN r4 ELSE b4 END AS q FROM {name}_parts),
+{name}_rooted AS (SELECT *, CASE WHEN starts_with(p0, '/') THEN p0 ELSE '/' || p0 END AS p, regexp_matches(p0, '^/') AS whole FROM {name}_put),
+{name} AS (SELECT * EXCLUDE (s, h, p0, q, p, whole), CASE WHEN s <> '' AND length(h) > 2 THEN lower(s) || translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ||
+CASE WHEN whole AND regexp_matches(p, '/\.\.?(/|$)') THEN array_to_string(list_concat({dots}, CASE WHEN regexp_matches(p, '/\.\.?$') THEN [''] ELSE [] END), '/') ELSE p END || q END AS {out} FROM {name}_rooted)"""
+
+
+_TAGS_SQL = "(?is)" + "|".join(_quoted(p.replace("(?is)", "")) for p in (redirects._CANONICAL, redirects._REFRESH))
+ORACLES["op8_redirect_equivalence"] = rf"""WITH RECURSIVE raw AS (SELECT page_id, url, html, {_HOST_SQL.format('url')} AS host, {_PATH_SQL.format('url')} AS path, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS bare FROM pages),
+{_resolved_sql('p', 'raw', 'url', "''", 'node')},
+t AS (SELECT node, {_target_sql("regexp_extract(bare, '" + _quoted(redirects._BASE) + "')", redirects._HREF)} AS set, unnest(regexp_extract_all(bare, '{_TAGS_SQL}')) AS tag FROM p WHERE node IS NOT NULL),
+r AS (SELECT node, set, CASE WHEN starts_with(lower(tag), '<link') THEN {_target_sql('tag', redirects._HREF)} ELSE {_target_sql('tag', redirects._URL)} END AS target FROM t),
+{_resolved_sql('based', "(SELECT * FROM r WHERE target <> '')", 'set', 'node', 'set_base')},
+{_resolved_sql('ends', "(SELECT node, target, CASE WHEN set <> '' THEN coalesce(set_base, node) ELSE node END AS base FROM based)", 'target', 'base', 'other')},
+d AS (SELECT node AS a, other AS b FROM ends WHERE other IS NOT NULL AND other <> node), e AS (SELECT a, b FROM d UNION SELECT b, a FROM d),
+reach AS (SELECT a AS id, a AS node FROM e UNION SELECT r.id, e.b FROM reach r JOIN e ON r.node = e.a),
+told AS (SELECT id, max(CASE said WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS told FROM (SELECT id, {_judged_sql(_HOST_SQL.format('node'), _PATH_SQL.format('node'), 'verdict')} AS said FROM reach) GROUP BY id)
 SELECT page_id, host, path, {_judged_sql('host', 'path', 'rule')} AS rule, coalesce({_judged_sql('host', 'path', 'verdict')}, CASE WHEN told = 1 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN told ON told.id = p.node"""
 
 

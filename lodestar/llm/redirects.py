@@ -5,11 +5,14 @@ to one another or name one canonical address are aliases: connected components o
 of its own takes its component's: allow if an alias is explicitly allowed, else block if one is blocked, else allow.
 
 Edges are read from the pages (``<link rel=canonical>`` and ``<meta http-equiv=refresh>``, outside comments), and from a
-table of redirects where there is one. Addresses are compared without fragment and with the host in small letters.
+table of redirects where there is one. A page's references are resolved as RFC 3986 says, on its address or its ``<base
+href>``. Addresses are compared without fragment and dot segments, with scheme and host in small letters; an empty path is ``/``.
 
 Defined results. A null URL, or one without ``://``, has an empty host and path, fits no rule and has no aliases: it is
-allowed. One with ``://`` in its fragment only has a host and path, as the rules' definition says, but no aliases. Null or empty HTML has no edges. Equal URLs are aliases of one another. Repeated rows are judged each. A rule
-with a null or empty host fits nothing. Only ``page_id``, ``url`` and ``html`` are read. An empty table gives no rows.
+allowed. One with ``://`` in its path, query or fragment only has a host and path, as the rules' definition says, but no
+aliases. Null or empty HTML has no edges, nor have references without an address (``data:``, ``mailto:``). Equal addresses
+are aliases of one another. Repeated rows are judged each. A rule with an empty host fits nothing; of two rules of equal
+length that fit, the one later in the alphabet wins, and of two of equal text the later in the list. Only ``page_id``, ``url`` and ``html`` are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,35 +57,66 @@ def judge(rules: list[Rule], of_host: Column, of_path: Column) -> tuple[Column,
     return rule, verdict
 
 
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
+
+
+def _parts(reference: Column) -> list[Column]:
+    """Scheme with its colon, authority with its slashes, path and query of a reference; empty where there is none."""
+    return [F.regexp_extract(reference, _PARTS, i) for i in range(1, 5)]
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without the segments ``.`` and ``..``."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    shorter = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+    kept = F.aggregate(segments, F.expr("cast(array() as array<string>)"), lambda kept, s: F.when(s == ".", kept).when(s == "..", shorter(kept)).otherwise(F.array_append(kept, s)))
+    whole = F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """A URL as a node: host in small letters, no fragment; null where there is no ``://`` before the fragment."""
-    bare = F.regexp_replace(url, r"(?s)#.*$", "")
-    scheme, rest = F.regexp_extract(bare, r"(?s)^(.*?)://", 1), F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.when(bare.contains("://"), F.concat(F.lower(scheme), F.lit("://"), host(bare), rest))
+    """A URL as a node: scheme and host in small letters, a path without dot segments (``/`` where it is empty), the query,
+    no fragment; null where the URL does not begin with a scheme, ``://`` and a host."""
+    scheme, authority, path, query = _parts(url)
+    rooted = F.when(path.startswith("/"), _without_dots(path)).otherwise(F.concat(F.lit("/"), path))
+    return F.when((scheme != "") & (F.length(authority) > 2), F.concat(F.lower(scheme), F.translate(authority, _UPPER, _LOWER), rooted, query))
+
+
+def resolve(reference: Column, base: Column) -> Column:
+    """The address that ``reference`` means on a page with the address ``base``, as RFC 3986 (5.2) says; null where it is none."""
+    scheme, authority, path, query = _parts(reference)
+    on_scheme, on_authority, on_path, on_query = _parts(base)
+    absolute, whole = scheme != "", (scheme != "") | (authority != "")
+    merged = F.concat(F.regexp_replace(on_path, "[^/]*$", ""), path)
+    to_path = F.when(whole | path.startswith("/"), path).when(path == "", on_path).otherwise(merged)
+    to_query = F.when(whole | (path != "") | (query != ""), query).otherwise(on_query)
+    return address(F.concat(F.when(absolute, scheme).otherwise(on_scheme), F.when(whole, authority).otherwise(on_authority), to_path, to_query))
+
+
+_CANONICAL = r"""(?is)<link\b[^>]*\srel\s*=\s*(?:"[^"]*\bcanonical\b[^"]*"|'[^']*\bcanonical\b[^']*'|canonical\b)[^>]*>"""
+_REFRESH = r"""(?is)<meta\b[^>]*\shttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_BASE = r"""(?is)<base\b[^>]*>"""
+_HREF = r"""(?is)[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_URL = r"""(?is)\burl\s*=\s*['"]?([^'">\s]+)"""
+
+
+def _target(tag: Column, pattern: str) -> Column:
+    bare = F.regexp_replace(F.regexp_extract(tag, pattern, 1), r"""^["']|["']$""", "")
+    return F.replace(F.trim(bare), F.lit("&amp;"), F.lit("&"))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``a``, ``b``: a page's address and one that it redirects to or calls canonical."""
-    html = F.regexp_replace(F.col("html"), r"(?s)<!--.*?-->", "")
-    tags = F.concat(
-        F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), 0),
-        F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), 0),
-    )
-    tag = F.col("tag")
-    href = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
-    to = F.when(tag.rlike("(?i)^<link"), F.regexp_replace(href, r"""(?is)^href\s*=\s*["']?|["']$""", "")).otherwise(F.regexp_extract(tag, r"""(?is)\burl\s*=\s*['"]?([^'">\s]+)""", 1))
-    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
-    found = some.select("url", F.trim(F.replace(to, F.lit("&amp;"), F.lit("&"))).alias("to")).where("to != ''")
-    base, folder = r"(?s)^(.*?://[^/?#]*)", r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)"
-    placed = found.withColumns({"base": F.regexp_extract("url", base, 1), "folder": F.rtrim(F.regexp_extract("url", folder, 1), F.lit("/"))})
-    whole = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat("base", "to"))
-        .otherwise(F.concat_ws("/", "folder", "to"))
-    )
-    ends = placed.select("url", whole.alias("whole")).select(address(F.col("url")).alias("a"), address(F.col("whole")).alias("b"))
-    return ends.where("a is not null and b is not null and a != b").distinct()
+    """``a``, ``b``: a page's address and one that it redirects to or calls canonical. A page's first ``<base href>`` is what
+    its references are relative to."""
+    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.regexp_replace(F.col("html"), r"(?s)<!--.*?-->", "").alias("html"))
+    own = some.select(address(F.col("url")).alias("a"), "html", _target(F.regexp_extract("html", _BASE, 0), _HREF).alias("set")).where("a is not null")
+    on = own.withColumn("base", F.coalesce(F.when(F.col("set") != "", resolve(F.col("set"), F.col("a"))), F.col("a")))
+    tags = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), 0), F.regexp_extract_all("html", F.lit(_REFRESH), 0))
+    found = on.select("a", "base", F.explode(tags).alias("tag"))
+    to = F.when(F.col("tag").rlike("(?i)^<link"), _target(F.col("tag"), _HREF)).otherwise(_target(F.col("tag"), _URL))
+    ends = found.select("a", "base", to.alias("to")).where("to != ''").select("a", resolve(F.col("to"), F.col("base")).alias("b"))
+    return ends.where("b is not null and a != b").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
