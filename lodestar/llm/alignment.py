@@ -22,6 +22,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .scratch import save
 from .textkernel import pieces
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class Vocabulary(NamedTuple):
@@ -43,6 +44,7 @@ class Vocabulary(NamedTuple):
     encode: Callable[[list[str]], list[np.ndarray]]
 
 
+@lru_cache
 def byte_level(path: str, pattern: str | None = None) -> Vocabulary:
     """A byte-level BPE from a ``.json`` file, or from the ``.tiktoken`` ranks of the same vocabulary with its ``pattern``,
     which give equal ids in a fifth of the time."""
@@ -72,6 +74,7 @@ def byte_level(path: str, pattern: str | None = None) -> Vocabulary:
     return Vocabulary(names, lambda texts: [np.array(x.ids, np.int64) for x in tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)])
 
 
+@lru_cache
 def piece_level(path: str) -> Vocabulary:
     """A SentencePiece model that puts the space in front itself and falls back to bytes."""
     import sentencepiece
@@ -100,24 +103,56 @@ class Aligned(NamedTuple):
     at_link: np.ndarray
 
 
+def _given_back(ids: np.ndarray, at: np.ndarray, names: list[bytes], raw: np.ndarray, at_raw: np.ndarray) -> np.ndarray:
+    """Whether each text's tokens are its bytes, one after another."""
+    sizes = np.array([len(x) for x in names], np.int64)
+    own = sizes[ids]
+    same = np.diff(np.concatenate([[0], np.cumsum(own)])[at]) == np.diff(at_raw)
+    if not same.all():  # texts of another length would shift those after them
+        return np.array([bool(ok) and b"".join([names[k] for k in ids[i:j].tolist()]) == raw[m:n].tobytes() for ok, i, j, m, n in zip(same, at[:-1], at[1:], at_raw[:-1], at_raw[1:], strict=True)])
+    starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(names), np.uint8)
+    differs = np.flatnonzero(flat[np.repeat(starts[ids] - (np.cumsum(own) - own), own) + np.arange(len(raw))] != raw)
+    same[np.searchsorted(at_raw, differs, side="right") - 1] = False
+    return same
+
+
+def _offsets(sizes: list[int] | np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``np.union1d`` of two arrays that are in order: a stable sort merges two runs in linear time."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+
+
 def align_texts(texts: list[str | None], a: Vocabulary, b: Vocabulary) -> Aligned:
     """Groups and links of every text."""
     chosen = [i for i, t in enumerate(texts) if t]
+    raws = [b" " + texts[i].encode() for i in chosen]
+    raw, at_raw = np.frombuffer(b"".join(raws), np.uint8), _offsets([len(r) for r in raws])
     some = [texts[i] for i in chosen]
-    ids, sizes = ([np.zeros(0, np.int64)] * len(texts), [np.zeros(0, np.int64)] * len(texts)), np.zeros(len(texts), np.int64)
-    for i, t, x, y in zip(chosen, some, a.encode(some), b.encode(some), strict=True):
-        raw = b" " + t.encode()
-        if all(b"".join([v.token_bytes[k] for k in z.tolist()]) == raw for v, z in ((a, x), (b, y))):
-            ids[0][i], ids[1][i], sizes[i] = x, y, len(raw)
-    offsets = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    at_a, at_b = (offsets([len(x) for x in side]) for side in ids)
-    (a_ids, b_ids), last = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in ids), np.cumsum(sizes)
-    ends_a, ends_b = (np.cumsum(np.array([len(x) for x in v.token_bytes], np.int64)[i]) for v, i in ((a, a_ids), (b, b_ids)))
-    cuts, both = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+    sides, good = [], np.ones(len(chosen), bool)
+    for v in (a, b):
+        lists = v.encode(some)
+        ids, at = np.concatenate([*lists, np.zeros(0, np.int64)]), _offsets([len(x) for x in lists])
+        good &= _given_back(ids, at, v.token_bytes, raw, at_raw)
+        sides.append((ids, at))
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[np.array(chosen, np.int64)[good]] = np.diff(at_raw)[good]
+    tokens, ats, ends = [], [], []
+    for (ids, at), v in zip(sides, (a, b), strict=True):
+        n = np.zeros(len(texts), np.int64)
+        n[np.array(chosen, np.int64)[good]] = np.diff(at)[good]
+        tokens.append(ids if good.all() else ids[np.repeat(good, np.diff(at))])
+        ats.append(_offsets(n))
+        ends.append(np.cumsum(np.array([len(x) for x in v.token_bytes], np.int64)[tokens[-1]]))
+    last, (ends_a, ends_b) = np.cumsum(sizes), ends
+    cuts, both = _union(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
     # documents without tokens end where the one before them ends; an offset counts the ends up to a document's own
-    within = lambda ends: np.concatenate([[0], np.searchsorted(ends, last, side="right")])
+    within = lambda at_ends: np.concatenate([[0], np.searchsorted(at_ends, last, side="right")])
     return Aligned(
-        a_ids, b_ids, at_a, at_b, np.searchsorted(both, ends_a), np.searchsorted(both, ends_b), within(both),
+        *tokens, *ats, np.searchsorted(both, ends_a), np.searchsorted(both, ends_b), within(both),
         np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts), within(cuts),
     )
 
