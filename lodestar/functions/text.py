@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with a mark and the plain letters that stand for them.
-MARKED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Every small letter that Unicode takes apart into a Latin letter and marks, by that letter, and the marks alone.
+_PLAIN_OF = {c: d[0] for c in map(chr, range(0x80, 0x10000)) if c == c.lower() and len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and d[0].isalpha() and d[0] == d[0].lower()}
+MARKED, PLAIN = "".join(_PLAIN_OF) + "".join(map(chr, range(0x300, 0x370))), "".join(_PLAIN_OF.values())
 #: Fixed value: what a token is.
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 #: Elements of a page that carry no content.
@@ -114,18 +115,32 @@ def drop_boilerplate(text: Column, phrases: tuple[str, ...] | list[str] = BOILER
     return one_gap(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~bad(F.lower(line))), "\n"))
 
 
-#: What a Markdown text loses before its headings, links and tags are looked at: comments, linked images, images.
-_UNSEEN = r"(?s)<!--.*?-->|\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)|!\[[^\]]*\]\([^)]*\)"
+#: A Markdown text as pieces: comments, heading tags with the white space inside, other tags, bracket groups with their
+#: address, words in a row, and what is left, sign by sign.
+_HEAD, _HEAD_END, _GROUP = r"<[hH][1-6]\b[^>]*>\s*", r"\s*</[hH][1-6]\s*>", r"!?\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*){0,5}\]\([^()]*\)"
+PIECE = rf"(?s)<!--.*?-->|{_HEAD}|{_HEAD_END}|<[^<>]+>|{_GROUP}|[^\s<!\[]+(?:\s+[^\s<!\[]+){{0,50}}|."
+
+
+def _shown(piece: Column) -> Column:
+    """What is left of a piece."""
+    label = F.regexp_extract(piece, r"(?s)^\[(.*)\]\([^()]*\)$", 1)
+    heading = F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.substring(piece, 3, 1).cast("int")), F.lit(" "))
+    return (
+        F.when(piece.rlike(rf"^{_HEAD}$"), heading)
+        .when(piece.rlike(rf"^{_HEAD_END}$"), "\n")
+        .when(piece.rlike("(?s)^<.+>$"), "")
+        .when(piece.rlike(rf"^{_GROUP}$"), F.when(piece.startswith("!") | label.startswith("!["), "").otherwise(label))
+        .otherwise(piece)
+    )
 
 
 def clean_markdown(text: Column) -> Column:
     """Heading tags as ``#`` lines, links as their text; comments, images, badges and other tags go. Code, rulers and rows
     of tables stay, but for lines of one lone bar, dash or dot, or of white space only."""
-    seen = F.regexp_replace(text, _UNSEEN, "")
-    headed = reduce(lambda t, n: F.regexp_replace(t, rf"(?is)<h{n}[^>]*>\s*(.*?)\s*</h{n}>", f"\n{'#' * n} $1\n"), range(1, 7), seen)
-    bare = F.regexp_replace(F.regexp_replace(headed, r"\[([^\]]+)\]\([^)]*\)", "$1"), "<[^>]+>", "")
-    lines = F.filter(F.split(bare, "\n"), lambda line: ~line.rlike(r"^\s*[|\-·]\s*$|^\s+$"))
-    return one_gap(F.array_join(F.transform(lines, lambda line: F.regexp_replace(line, r"\s+$", "")), "\n"))
+    shown = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECE), 0), _shown), "")
+    bare = lambda line: F.btrim(line, F.lit(" \t\r\f\v"))
+    lines = F.filter(F.split(shown, "\n"), lambda line: ~bare(line).isin("|", "-", "·") & ((line == "") | (bare(line) != "")))
+    return one_gap(F.array_join(F.transform(lines, lambda line: F.rtrim(line, F.lit(" \t\r\f\v"))), "\n"))
 
 
 def title_of(text: Column, kind: str, default: Column) -> Column:

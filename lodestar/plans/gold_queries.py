@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import evaluate, rules, tables
+from lodestar.sources.shared import fingerprint, shared_dir
 
 from .registry import query, table
 from .rule_queries import (
@@ -217,11 +218,11 @@ def step_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, source, lang FROM documents WHERE lang = 'de'")
 def one_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus of one strategy, of a table that is kept by strategy: only its folder is read."""
-    from lodestar.sources.shared import shared_dir
-
-    path = f"{shared_dir(spark)}/by-strategy-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("strategy")).write.mode("overwrite").partitionBy("strategy").parquet(path)
-    return spark.read.parquet(path).where("strategy = 'de'").select("doc_id", "source", F.col("strategy").alias("lang"))
+    state = fingerprint(spark, f"{sf_dir}/documents.parquet")
+    path = f"{shared_dir(spark)}/by-strategy-{spark.sparkContext.applicationId}-{state}"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("strategy"))
+    rows.write.mode("ignore").partitionBy("strategy").parquet(path)  # of one state of the table there is one path, written once
+    return spark.read.schema("doc_id long, source string, strategy string").parquet(path).where("strategy = 'de'").select("doc_id", "source", F.col("strategy").alias("lang"))
 
 
 @query(f"""WITH {claims_sql(LEXICONS, name="own")} SELECT 'constant' AS arm, count(*) AS entities, count(*) FILTER (toxic) AS agree FROM (SELECT source, bool_or(contains(lower(text), 'license')) AS toxic FROM documents GROUP BY source)

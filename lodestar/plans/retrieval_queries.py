@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import truncate
 from lodestar.operators import evaluate, rules, search
-from lodestar.sources.shared import keep
+from lodestar.sources.shared import fingerprint, keep
 
 from .registry import query, table
 from .text_queries import TOKENS_SQL
@@ -22,8 +22,8 @@ _indexes: dict[tuple[str, str], search.Index] = {}
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The corpus's index, made and stored once an application and folder."""
-    at = (spark.sparkContext.applicationId, sf_dir)
+    """The corpus's index, made and stored once an application and state of the table's files."""
+    at = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
     if at not in _indexes:
         _indexes[at] = search.index(table(spark, sf_dir, "documents"), "doc_id", keep=keep)
     return _indexes[at]

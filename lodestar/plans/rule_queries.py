@@ -324,9 +324,9 @@ def thread_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.last_value(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
 
 
-@query("SELECT source, 0 AS part, array_to_string(list(doc_id || ' ' || lang ORDER BY doc_id), ',') AS documents, count(*) AS n FROM documents GROUP BY source")
+@query("SELECT source, doc_id, lang FROM documents")
 def payload_drop_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents under their source, without the texts, which are dropped before anything is gathered."""
-    payload = tables.nested(tables.without_text(table(spark, sf_dir, "documents")), "source", "doc_id", ["lang"], most=100_000)
-    listed = F.transform("documents", lambda d: F.concat_ws(" ", d["doc_id"].cast("string"), d["lang"]))
-    return payload.select("source", "part", F.array_join(listed, ",").alias("documents"), F.size("documents").cast("long").alias("n"))
+    """Documents under their source, without the texts, which are dropped before anything is gathered; shown as rows, so that
+    it makes no difference in how many parts a source's documents come."""
+    payload = tables.nested(tables.without_text(table(spark, sf_dir, "documents")), "source", "doc_id", ["lang"])
+    return payload.select("source", F.explode("documents").alias("d")).select("source", "d.doc_id", "d.lang")

@@ -13,7 +13,7 @@ from .registry import query, table
 
 TERMS = ["license", "apache", "token", "software"]
 MARKERS = ["license", "apache", "token", "version", "software", "copyright", "public"]
-TOKENS_SQL = rf"regexp_extract_all(translate(lower(text), '{T.MARKED}', '{T.PLAIN}'), '{T.TOKEN}')"
+TOKENS_SQL = rf"regexp_extract_all(strip_accents(lower(text)), '{T.TOKEN}')"
 SENTENCES_SQL = r"list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' '))"
 _list = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
 _SEARCH_SQL = f"""
@@ -143,15 +143,14 @@ def clean_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MARKED = "<h2>Title</h2>\n[![b](u)](v) ![i](u) [link text](http://x)\n| - |\n |\n---\n<!-- c -->"
-_HEADS_SQL = "t"
-for _n in range(1, 7):
-    _HEADS_SQL = rf"regexp_replace({_HEADS_SQL}, '(?is)<h{_n}[^>]*>\s*(.*?)\s*</h{_n}>', chr(10) || '{'#' * _n} \1' || chr(10), 'g')"
-_LINES_SQL = r"[regexp_replace(l, '\s+$', '') for l in string_split(t, chr(10)) if not regexp_matches(l, '^\s*[|\-·]\s*$|^\s+$')]"
+_SHOWN_SQL = rf"""CASE WHEN regexp_full_match(p, '{T._HEAD}') THEN chr(10) || repeat('#', p[3]::INT) || ' ' WHEN regexp_full_match(p, '{T._HEAD_END}') THEN chr(10)
+WHEN regexp_full_match(p, '(?s)<.+>') OR starts_with(p, '![') OR starts_with(p, '[![') THEN '' WHEN regexp_full_match(p, '(?s)\[.*\]\([^()]*\)') THEN regexp_extract(p, '(?s)^\[(.*)\]\([^()]*\)$', 1) ELSE p END"""
+_BARE = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
+_LINES_SQL = rf"[rtrim(l, {_BARE}) for l in string_split(t, chr(10)) if trim(l, {_BARE}) NOT IN ('|', '-', '·') AND (l = '' OR trim(l, {_BARE}) <> '')]"
 
 
 @query(rf"""WITH m AS (SELECT doc_id, replace('{_MARKED}', '\n', chr(10)) || text AS t FROM documents),
-a AS (SELECT doc_id, regexp_replace(t, '(?s)<!--.*?-->|\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)|!\[[^\]]*\]\([^)]*\)', '', 'g') AS t FROM m), b AS (SELECT doc_id, {_HEADS_SQL} AS t FROM a),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', '', 'g') AS t FROM b) SELECT doc_id, md5({_GAP_SQL.format(_LINES_SQL)}) AS digest FROM c""")
+c AS (SELECT doc_id, array_to_string([{_SHOWN_SQL} for p in regexp_extract_all(t, '{T.PIECE}')], '') AS t FROM m) SELECT doc_id, md5({_GAP_SQL.format(_LINES_SQL)}) AS digest FROM c""")
 def clean_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.lit(_MARKED), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_markdown(marked).cast("binary")).alias("digest"))
@@ -165,8 +164,8 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.md5(F.col("c").cast("binary")).alias("digest"), F.length("c").cast("long").alias("n"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), '%s', '%s'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash FROM documents""" % (T.MARKED, T.PLAIN))
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+sha256(regexp_replace(text, '\r\n?', chr(10), 'g')) AS content_hash FROM documents""")
 def slug_and_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), F.sha2(T.normalise_newlines(F.col("text")), 256).alias("content_hash"))
 

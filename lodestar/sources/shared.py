@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -27,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Names, sizes and times of all files under the paths, as a digest: another one as soon as a file is written anew."""
+    conf, told = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for named in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            told.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(told)).encode()).hexdigest()[:32]
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back: cuts the lineage, and later passes read it instead of computing it again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
