@@ -63,10 +63,15 @@ def document_scores(documents: DataFrame, terms: list[str], entity: str, text: s
 def search_entities(entities: DataFrame, documents: DataFrame, terms: list[str], entity: str, limit: int, where: Column | None = None) -> DataFrame:
     """Best entities by their best document: ``entity``, ``score``, ``matched``; by score, then name. Only narrow columns
     are ranked; join the wide ones to the result."""
-    scored = document_scores(documents, terms, entity).groupBy(entity).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("matched"))
     kept = entities if where is None else entities.where(where)
-    joined = kept.join(scored, entity, "inner" if terms else "left")
-    matched = F.coalesce("matched", F.lit(0)) if terms else F.lit(0)
+    return ranked_entities(kept, document_scores(documents, terms, entity), entity, limit, with_terms=bool(terms))
+
+
+def ranked_entities(entities: DataFrame, hits: DataFrame, entity: str, limit: int, with_terms: bool) -> DataFrame:
+    """Entities by the best ``score`` of their rows in ``hits``; without terms, all of them with a score of 0."""
+    scored = hits.groupBy(entity).agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("matched"))
+    joined = entities.join(scored, entity, "inner" if with_terms else "left")
+    matched = F.coalesce("matched", F.lit(0)) if with_terms else F.lit(0)
     ranked = joined.select(entity, F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), matched.cast("long").alias("matched"))
     return ranked.orderBy(F.desc("score"), entity).limit(limit)
 
@@ -80,23 +85,43 @@ class Index(NamedTuple):
     stats: DataFrame
 
 
-def index(documents: DataFrame, key: str, stopwords: tuple[str, ...] = (), keep: Callable[[DataFrame, str], DataFrame] | None = None) -> Index:
+def index(documents: DataFrame, key: str, stopwords: tuple[str, ...] = (), keep: Callable[[DataFrame, str], DataFrame] | None = None, stem: Callable[[DataFrame], DataFrame] | None = None) -> Index:
     """The index of ``documents`` (``key``, ``text``). ``keep(table, name)`` stores a table and reads it back, so that the
-    corpus is tokenized once; postings are stored in order of their terms, so a search reads few row groups."""
+    corpus is tokenized once; postings are stored in order of their terms, so a search reads few row groups. ``stem`` (``term``
+    to ``term``, ``stem``) sees each distinct term once; postings are then those of stems, and so must be a query's terms."""
     store = keep or (lambda df, name: df)
     own = store(documents.select(key, tokens(F.col("text"), stopwords).alias("tokens")), "tokens")
     stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens").cast("long")).alias("avgdl"))
     each = own.select(key, F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = each.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    if stem:
+        plain = store(postings, "plain-postings")
+        of = store(stem(plain.select("term").distinct()), "stems")
+        postings = plain.join(of, "term").groupBy(F.col("stem").alias("term"), key, "dl").agg(F.sum("tf").alias("tf"))
     postings = store(postings.sortWithinPartitions("term") if keep else postings, "postings")
     return Index(postings, store(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), store(stats, "stats"))
 
 
-def bm25(corpus: DataFrame | Index, queries: DataFrame, key: str, query_key: str, k: int, stopwords: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def asked_terms(queries: DataFrame, query_key: str, stopwords: tuple[str, ...] = (), stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``query_key``, ``term`` and ``qtf`` of the tokens of ``text``."""
+    each = queries.select(query_key, F.explode(tokens(F.col("text"), stopwords)).alias("term"))
+    if stem:
+        each = each.join(stem(each.select("term").distinct()), "term").select(query_key, F.col("stem").alias("term"))
+    return each.groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def document_hits(held: Index, terms: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``score``, 0.1 for each occurrence of a term (``term``), of documents with one; from postings alone."""
+    return held.postings.join(terms.select("term").distinct(), "term").groupBy(key).agg(F.round(F.sum("tf") * 0.1, 6).alias("score"))
+
+
+def bm25(
+    corpus: DataFrame | Index, queries: DataFrame, key: str, query_key: str, k: int, stopwords: tuple[str, ...] = (), k1: float = 1.2, b: float = 0.75, stem: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Top ``k`` documents of each query: ``query_key``, ``key``, ``score``, ``rank``. A repeated query token counts again;
     scores of zero are left out; a query without tokens has no rows. Only postings of the queries' terms are shuffled."""
-    held = corpus if isinstance(corpus, Index) else index(corpus, key, stopwords)
-    asked = queries.select(query_key, F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    held = corpus if isinstance(corpus, Index) else index(corpus, key, stopwords, stem=stem)
+    asked = asked_terms(queries, query_key, stopwords, stem)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     weighed = asked.join(held.frequencies, "term").crossJoin(F.broadcast(held.stats)).withColumn("idf", idf)  # one row
