@@ -5,14 +5,15 @@ and a short vector; two terms that occur in one text add the product of their ve
 a group's name counts where neither does alone.
 
 Learning uses a sample of labelled rows, in order of a hash of their ids; ``positives``, ``negatives`` and ``sample_terms``
-bound what comes to the driver: of either label no more rows, nor more distinct terms than half that number in all. Terms
-are gathered by Spark over whole texts, so a text is learned from as a whole, as it is scored, or not at all.
+bound what comes to the driver: of either label no more rows, nor more distinct terms than half that number in all. A text
+that does not fit in what is left of its label's half, or has over an eighth of it, is left out, and those after it are
+not. Terms are gathered by Spark over whole texts, so a text is learned from as a whole, as it is scored, or not at all.
 A term enters the machine in one of two ways: its shares among toxic and clean texts differ by ``strength`` standard
 errors; or it interacts, i.e. what the machine of the former terms leaves unexplained goes along with the term's meeting
 others. For that the leading directions of the sample's co-occurrences, weighted by what is left, are found by subspace
-iteration on one half of the sample and each term is tested against them on the other half; the ``MOST_INTERACTING``
-clearest enter. A term that says nothing by itself is thus kept if its pairs do. Where the first machine leaves less than
-``EXPLAINED`` of the labels' variance, there is nothing to look for. Scores are computed where the texts are.
+iteration on one half of the sample and each term is tested against them on the other half; of those that pass the
+``interacting`` clearest enter, which bounds the machine's size, or all where it is None. A term that says nothing by
+itself is thus kept if its pairs do. Scores are computed where the texts are.
 
 Defined results. A null or empty text has no terms and gets the machine's bias as score. Labels that are null are left
 out; of several labels of one document the highest counts; of several texts of one labelled ``doc_id`` the one with the
@@ -28,15 +29,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import drop, save
 from .textkernel import PUNCT, mix, pieces, prefixes, words
 
 BITS = 24
 PREFIXES = (4, 5, 6)
-EXPLAINED = 0.02  # share of the labels' variance that may be left before interactions are looked for
-MOST_INTERACTING = 512  # terms that enter by their interactions, the clearest first
+LARGEST = 8  # a text takes at most this part of its label's terms
 
 
 class Machine(NamedTuple):
@@ -80,8 +80,16 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
 
     found = chosen.withColumn("hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {key}, hash long, label int, terms array<int>")
     one = found.groupBy("doc_id").agg(F.min_by(F.struct("label", "terms"), "hash").alias("x")).select("doc_id", "x.*")
-    so_far = F.sum(F.size("terms").cast("long")).over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the rows of the sample
-    table = one.withColumn("so_far", so_far).where(F.col("so_far") <= sample_terms // 2).select("label", "terms").toArrow()
+    gathered = save(one.withColumn("place", F.xxhash64("doc_id")), "sample")
+    sizes = gathered.select("doc_id", "place", "label", F.size("terms").alias("n")).collect()  # positives + negatives rows at most
+    left, fits = [sample_terms // 2] * 2, []
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        if r.n <= min(left[r.label], sample_terms // 2 // LARGEST):
+            left[r.label] -= r.n
+            fits.append((r.doc_id,))
+    chosen = documents.sparkSession.createDataFrame(fits, f"doc_id {key}")
+    table = gathered.join(F.broadcast(chosen), "doc_id").orderBy("place", "doc_id").select("label", "terms").toArrow()
+    drop(gathered)
     y = table.column("label").to_numpy().astype(np.int64)
     lists = table.column("terms").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -93,9 +101,9 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
     return [flat[at[i] : at[i + 1]] for i in range(len(y))], y, stands
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, sample_terms: int = 8_000_000, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 4.0) -> Machine:
-    """``labels``: ``doc_id``, ``label`` (above 0: toxic), already without the rows that must not be learned from. The
-    driver holds at most ``sample_terms`` terms of 4 bytes, and some copies of them."""
+def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negatives: int = 6000, sample_terms: int = 8_000_000, factors: int = 8, rounds: int = 300, least: int = 5, strength: float = 4.0, interacting: int | None = 512) -> Machine:
+    """``labels``: ``doc_id``, ``label`` (above 0: toxic), already without the rows that must not be learned from.
+    ``interacting``: how many terms may enter by their interactions, None for all that pass. The driver holds at most ``sample_terms`` terms of 4 bytes, and some copies of them."""
     lists, y, stands = _sample(documents, labels, positives, negatives, sample_terms)
     empty = np.zeros(0, np.int64)
     share = float((stands * y).sum() / stands.sum()) if len(y) else 0.0
@@ -117,20 +125,17 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, negative
     z = (with_label[1] / n1 - with_label[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     chosen = (often >= least) & (np.abs(z) >= strength)
 
-    def trained(chosen: np.ndarray) -> tuple[Machine, np.ndarray]:
+    def trained(chosen: np.ndarray, rounds: int) -> tuple[Machine, np.ndarray]:
         place, mine = np.cumsum(chosen) - 1, chosen[at]
         machine = _train(row[mine], place[at[mine]], y, stands, bias, found[chosen].astype(np.int64), factors, rounds)
         score, _ = _forward(row[mine], place[at[mine]], len(y), machine.bias, machine.weights, machine.vectors)
         return machine, 1 / (1 + np.exp(-np.clip(score, -500, 500)))
 
-    chance = np.full(len(y), n1 / (n1 + n0))
-    if chosen.any():
-        machine, chance = trained(chosen)
-    if np.mean((y - chance) ** 2) < EXPLAINED * n1 * n0 / len(y) ** 2:
-        return machine
+    # what the terms that differ by themselves explain; a third of the rounds tells that well enough
+    chance = trained(chosen, rounds // 3)[1] if chosen.any() else np.full(len(y), n1 / (n1 + n0))
     candidates = ~chosen & (often >= 4 * least) & (p <= 0.8)
-    more = _interacting(row, at, candidates, y - chance, strength)
-    return trained(chosen | more)[0] if more.any() else machine
+    more = _interacting(row, at, candidates, y - chance, strength, interacting)
+    return trained(chosen | more, rounds)[0] if (chosen | more).any() else machine
 
 
 def _parts(n: int) -> list[slice]:
@@ -146,7 +151,7 @@ def _sum_at(keys: np.ndarray, of: np.ndarray, values: np.ndarray, n: int) -> np.
     return out
 
 
-def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left: np.ndarray, strength: float, directions: int = 4, steps: int = 8) -> np.ndarray:
+def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left: np.ndarray, strength: float, most: int | None, directions: int = 4, steps: int = 8) -> np.ndarray:
     """Which of the candidate terms meet others where ``left``, a row's unexplained label, has a sign. One half of the rows
     gives the leading directions of the centred co-occurrences that ``left`` weights, the other half tests each term
     against them."""
@@ -180,7 +185,7 @@ def _interacting(row: np.ndarray, col: np.ndarray, candidates: np.ndarray, left:
         squares = np.stack([_sum_at(test[2], test[1], x * x, d) for x in told.T], axis=1)
         spread = np.sqrt(np.maximum(squares * (1 - 2 * mean[:, None]) + mean[:, None] ** 2 * (told * told).sum(axis=0), 1e-12))
         clear = np.maximum(clear, (np.abs(across(test, told)) / spread).max(axis=1))
-    best = np.argsort(-clear, kind="stable")[:MOST_INTERACTING]
+    best = np.argsort(-clear, kind="stable")[:most]
     out[np.flatnonzero(candidates)[best[clear[best] >= strength]]] = True
     return out
 

@@ -1,5 +1,8 @@
+import math
 import random
 
+import pyarrow as pa
+
 from lodestar.llm import toxicity as X
 
 
@@ -71,3 +74,36 @@ def test_edges(spark):
     one_kind = spark.createDataFrame([(1, 1), (3, 1), (None, 0), (2, None)], "doc_id long, label int")
     assert len(X.score(docs, X.fit(docs, one_kind)).collect()) == 5
     assert X.score(docs.where("false"), machine).count() == 0
+
+
+def test_a_text_that_does_not_fit_ends_nothing(spark):
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(50)]
+    docs = [(i, " ".join([r.choice(words) for _ in range(20)] + ["grumble"] * (i % 2)), i % 2) for i in range(200)]
+    giants = [(1000 + i, " ".join(f"g{i}x{j}" for j in range(20_000)), i % 2) for i in range(40)]
+    fit = lambda rows: X.fit(spark.createDataFrame(rows, "doc_id long, text string, x int"), spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, label int"), sample_terms=60_000)
+    alone, beside = fit(docs), fit(docs + giants)
+    assert len(alone.terms) > 0 and set(alone.terms) == set(beside.terms)
+
+
+def test_scores_equal_the_plain_formula(spark):
+    docs, labels = corpus(200)
+    docs += [(900, None, 0), (901, "", 0), (902, "grumble folk " * 5000, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, x int")
+    machine = X.fit(d, spark.createDataFrame(labels, "doc_id long, label int"), least=2, strength=2.0)
+    assert len(machine.terms) > 5
+    place = {int(t): k for k, t in enumerate(machine.terms)}
+    scores = {r.doc_id: r.score for r in X.score(d, machine).collect()}
+    for doc, text, _ in docs:
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([text], pa.string())})
+        own = sorted({place[int(t)] for t in X._terms(batch)[1] if int(t) in place})
+        total = machine.bias + sum(machine.weights[i] for i in own)
+        total += sum(float(machine.vectors[i] @ machine.vectors[j]) for n, i in enumerate(own) for j in own[n + 1 :])
+        assert abs(scores[doc] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_all_interacting_terms_may_enter(spark):
+    docs, labels = corpus()
+    d, known = spark.createDataFrame(docs, "doc_id long, text string, label int"), spark.createDataFrame(labels, "doc_id long, label int")
+    sizes = [len(X.fit(d, known, strength=1.5, interacting=n).terms) for n in (0, 3, None)]
+    assert sizes[0] < sizes[1] <= sizes[0] + 3 < sizes[2]
