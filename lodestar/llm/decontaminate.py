@@ -21,7 +21,7 @@ document. Empty tables give no pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +160,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, seed_words: int = 5, share
     return _pairs(documents, _blocks(benchmark, block_bytes), dict(benchmark.dtypes)["item_id"], seed_words, share).drop("text_hash")
 
 
-def _pairs(documents: DataFrame, blocks: Iterator[tuple[list, list[str], bool]], item_kind: str, seed_words: int, share: float) -> DataFrame:
+def _pairs(documents: DataFrame, blocks: Iterator[tuple[list, list[str]]], item_kind: str, seed_words: int, share: float) -> DataFrame:
     """:func:`leaks` with ``text_hash``, which tells apart the rows of one ``doc_id``."""
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"doc_id {kind}, text_hash long, item_id {item_kind}, covered long, item_words long, coverage double, spans array<struct<start:long,end:long>>"
@@ -179,52 +179,30 @@ def _pairs(documents: DataFrame, blocks: Iterator[tuple[list, list[str], bool]],
 
         return texts.mapInArrow(run, schema)
 
-    out = None
-    for ids, items, only in blocks:
-        part = search(_Block(ids, items, seed_words))
-        if only:
-            return part
-        part = save(part, "leaks")
-        out = part if out is None else out.union(part)
-    return documents.sparkSession.createDataFrame([], schema) if out is None else out
+    # a block's rows are saved before the next block is read, so the driver holds one block of items at a time
+    parts = [save(search(_Block(ids, items, seed_words)), "leaks") for ids, items in blocks]
+    return reduce(DataFrame.union, parts, documents.sparkSession.createDataFrame([], schema))
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list[str], bool]]:
-    """Items in blocks of bounded bytes, and whether a block is the only one; the driver holds two blocks at most."""
-    ids, texts, held, ready = [], [], 0, None
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[tuple[list, list[str]]]:
+    """Items in blocks of bounded bytes."""
+    ids, texts, held = [], [], 0
     for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         size = len(row.text.encode())
         if ids and held + size > most:
-            if ready:
-                yield *ready, False
-            ready, ids, texts, held = (ids, texts), [], [], 0
+            yield ids, texts
+            ids, texts, held = [], [], 0
         ids.append(row.item_id)
         texts.append(row.text)
         held += size
-    if ready:
-        yield *ready, False
     if ids:
-        yield ids, texts, ready is None
+        yield ids, texts
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, seed_words: int = 5, share: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of ``documents`` that leak no test item; all columns. With one block of items a task filters what it reads;
-    with several the leaking rows are known by id and text and taken out by a join."""
-    blocks = _blocks(benchmark, block_bytes)
-    head = next(blocks, None)
-    if head is None:
-        return documents
-    if not head[2]:
-        gone = _pairs(documents, chain([head], blocks), dict(benchmark.dtypes)["item_id"], seed_words, share)
-        gone = save(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct(), "gone")
-        same = documents["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(documents["text"].cast("string")) == gone["__gone_text"])
-        return documents.join(gone, same, "left_anti").select(*own_columns(documents))
-    block = _Block(*head[:2], seed_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            keep = np.ones(batch.num_rows, bool)
-            keep[_leaked(batch, block, seed_words, share)["row"]] = False
-            yield batch.filter(pa.array(keep))
-
-    return documents.mapInArrow(run, documents.schema)
+    """The rows of ``documents`` that leak no test item; all columns. The leaking rows are saved, known by id and text, and
+    taken out by a join; as a saved table's size is known, the planner sends a small one to every task."""
+    gone = _pairs(documents, _blocks(benchmark, block_bytes), dict(benchmark.dtypes)["item_id"], seed_words, share)
+    gone = save(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct(), "gone")
+    same = documents["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(documents["text"].cast("string")) == gone["__gone_text"])
+    return documents.join(gone, same, "left_anti").select(*own_columns(documents))
