@@ -9,8 +9,8 @@ words is its coverage, which a passage in another order reaches as well. A pair
 the item is left before that.
 
 Items are sent to the tasks in blocks of at most ``block_bytes`` of text, one pass over the documents a block, so nothing
-that is broadcast grows with the benchmark; a small benchmark is one block. Of several blocks each one's pairs are saved
-before the next is made.
+that is broadcast grows with the benchmark. Each block's pairs are saved
+before the next block is read.
 
 Defined results. Null or empty texts, and items with fewer words than a seed, match nothing. Equal items are reported
 each; repeated documents are reported each. Of equally long runs the first of the item, and then the first of the text,
