@@ -135,47 +135,75 @@ def top(scored: DataFrame, partition: str, score: str, tie: str, k: int) -> Data
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _matrix(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of length one in double precision, and where they stand. Left out are nulls, zeros, values that are not finite,
-    and vectors shorter than the longest."""
-    listed = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
-    size = int(sizes.max()) if len(sizes) else 0
-    at = np.flatnonzero((sizes == size) & (size > 0))
-    m = pc.list_flatten(listed.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    good = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
-    return m[good] / norm[good], at[good]
-
-
-def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """Exact top ``k`` by cosine of each query against all rows but the one of its own id. A stated query set is sent out in
-    blocks of about ``block`` rows; a task keeps the ``k`` best of what it reads, so few rows are shuffled."""
-    kinds = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {dict(vectors.dtypes)[key]}, score double"
-    blocks = max(1, -(-queries.count() // block))
-    dealt = queries.select(query_key, vector, F.pmod(F.xxhash64(query_key), F.lit(blocks)).alias("block"))
-
-    def found(asked: pa.Table) -> DataFrame:
-        q, at = _matrix(asked.column(vector))
-        names = asked.column(query_key).to_numpy()[at]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                m, rows = _matrix(batch.column(vector))
-                if not len(rows) or not len(q) or m.shape[1] != q.shape[1]:
-                    continue
-                own = batch.column(key).to_numpy(zero_copy_only=False)[rows]
+def _by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length that occurs, the rows of that length brought to length one in double precision, and where they stand.
+    Left out are nulls, zeros, and vectors with a value that is null or not finite."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        m = pc.list_flatten(vectors.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        good = np.isfinite(norm[:, 0]) & (norm[:, 0] > 0)
+        yield m[good] / norm[good], at[good]
+
+
+def packed(vectors: DataFrame, key: str, vector: str, rows: int, *carried: str) -> DataFrame:
+    """Vectors in blocks of at most ``rows`` of one length: ``size``, ``ids``, ``matrix`` (bytes of doubles, a vector a row) and
+    the columns that are ``carried`` along, which must be equal within a partition's batch: blocks don't mix their values."""
+    kinds = dict(vectors.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(c).to_pylist() for c in carried]
+            groups: dict[tuple, list[int]] = {}
+            for i, own in enumerate(zip(*keys, strict=True) if carried else [()] * batch.num_rows):
+                groups.setdefault(own, []).append(i)
+            for own, places in groups.items():
+                part = batch.take(pa.array(places)) if carried else batch
+                for at in range(0, part.num_rows, rows):
+                    some = part.slice(at, rows)
+                    for m, found in _by_length(some.column(vector)):
+                        if len(found):
+                            ids = some.column(key).take(pa.array(found))
+                            columns = [pa.array([m.shape[1]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([m.tobytes()])]
+                            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(places[:1])) for c in carried)], ["size", "ids", "matrix", *carried])
+
+    schema = f"size int, ids array<{kinds[key]}>, matrix binary" + "".join(f", {c} {kinds[c]}" for c in carried)
+    return vectors.select(key, vector, *carried).mapInArrow(run, schema)
+
+
+def _best_of_pairs(pairs: DataFrame, key: str, query_key: str, key_kind: str, query_kind: str, k: int, not_own: bool) -> DataFrame:
+    """The best ``k`` of each block of vectors for each query of a block: rows of ``ids``, ``matrix``, ``asked``, ``asking``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, ids, names = batch.column("size")[i].as_py(), batch.column("ids")[i].values, batch.column("asked")[i].values
+                own, asked = ids.to_numpy(zero_copy_only=False), names.to_numpy(zero_copy_only=False)
+                m, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, size) for c in ("matrix", "asking"))
                 scores = np.round(q @ m.T, 6)
-                for name, line in zip(names, scores, strict=True):
-                    line[own == name] = -2
-                    best = np.lexsort((own, -line))[:k]
-                    best = best[line[best] > -2]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), name)), pa.array(own[best]), pa.array(line[best])], [query_key, key, "score"])
-
-        return vectors.select(key, vector).mapInArrow(run, kinds)
-
-    parts = [found(dealt.where(F.col("block") == b).select(query_key, vector).toArrow()) for b in range(blocks)]
-    return top(reduce(DataFrame.union, parts), query_key, "score", key, k)
+                if not_own:
+                    scores[asked[:, None] == own[None, :]] = -2
+                found = [np.lexsort((own, -line))[:k] for line in scores]
+                at = np.repeat(np.arange(len(q)), [len(f) for f in found])
+                best = np.concatenate(found) if found else np.zeros(0, np.int64)
+                value = scores[at, best]
+                at, best, value = at[value > -2], best[value > -2], value[value > -2]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), ids.take(pa.array(best)), pa.array(value)], [query_key, key, "score"])
+
+    return pairs.select("size", "ids", "matrix", "asked", "asking").mapInArrow(run, f"{query_key} {query_kind}, {key} {key_kind}, score double")
+
+
+def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, k: int, vector: str = "embedding", block: int = 1024, not_own: bool = True) -> DataFrame:
+    """Exact top ``k`` by cosine of each query against all rows of its length, but the one of its own id if ``not_own``. Both sides are
+    packed into blocks, and every block of a stated query set meets every block of vectors; a pair keeps its ``k`` best, so few
+    rows are shuffled. Nothing passes the driver but what the planner chooses to broadcast by its size; otherwise the blocks
+    of vectors are dealt over as many parts as there are shuffle partitions, and the queries' blocks to each of them."""
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = packed(vectors, key, vector, 4 * block).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    asked = packed(queries, query_key, vector, block).select("size", F.col("ids").alias("asked"), F.col("matrix").alias("asking"), F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
+    kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)[query_key]
+    return top(_best_of_pairs(held.join(asked, ["size", "part"]), key, query_key, *kinds, k, not_own), query_key, "score", key, k)
 
 
 def fuse_rrf(arms: list[tuple[DataFrame, float]], key: str, query_key: str, k: int) -> DataFrame:

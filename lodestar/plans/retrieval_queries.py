@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import truncate
-from lodestar.operators import evaluate, rules, search
+from lodestar.operators import embed, evaluate, rules, search
 from lodestar.sources.shared import fingerprint, keep
 
 from .registry import query, table
@@ -46,6 +46,24 @@ def dense_sql(size: int = 64, name: str = "dense", asked: str = _STATED) -> str:
 (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM {name}_v q, {name}_v d WHERE {asked.format("q.vec_id")} AND d.vec_id <> q.vec_id) QUALIFY rank <= {POOL})"""
 
 
+def text_sql() -> str:
+    """The dense arm over the texts' own vectors, behind :func:`bm25_sql`."""
+
+    def sums(key: str, rows: str) -> str:
+        sign = lambda j: f"CASE WHEN (h{j // embed.LANE} >> {63 - j % embed.LANE}) & 1 = 0 THEN w ELSE -w END"
+        scale = lambda j: f"{embed.TRIGRAMS} * " if j >= embed.LANE * embed.WORD_LANES else ""
+        listed = ", ".join(f"{scale(j)}sum({sign(j)})" for j in range(embed.SIZE))
+        return f"SELECT {key}, [{listed}] AS v FROM ({rows}) GROUP BY {key}"
+
+    digests = " || ".join(f"md5('{i}:' || term)" for i in range(embed.WORD_LANES // 2))
+    lanes = ", ".join(f"('0x' || substr(hex, {16 * i + 1}, 16))::UBIGINT AS h{i}" for i in range(embed.WORD_LANES + 1))
+    return f"""sig AS (SELECT term, {digests} || substr(list_min([md5('~' || substr('#' || term || '#', i, 3)) for i in range(1, length(term) + 1)]), 17, 16) AS hex FROM (SELECT term FROM df UNION SELECT term FROM q)),
+tv AS (SELECT term, ln(1 + n / (1 + coalesce(df, 0))) AS r, {lanes} FROM sig LEFT JOIN df USING (term), stats),
+dv AS ({sums('doc_id', 'SELECT doc_id, (1 + ln(tf)) * r AS w, tv.* FROM tf JOIN tv USING (term)')}), qv AS ({sums('item_id', 'SELECT item_id, (1 + ln(qtf)) * r AS w, tv.* FROM q JOIN tv USING (term)')}),
+dense AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
+(SELECT item_id AS query_id, doc_id, round(list_cosine_similarity(qv.v, dv.v), 6) AS score FROM qv, dv) QUALIFY rank <= {POOL})"""
+
+
 def _asked(spark: SparkSession, sf_dir: str, name: str, key: str, items: bool) -> DataFrame:
     rows = table(spark, sf_dir, name)
     if not items:
@@ -58,8 +76,28 @@ def lexical(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame:
     return search.bm25(corpus_index(spark, sf_dir), asked, "doc_id", "query_id", POOL)
 
 
-def dense(spark: SparkSession, sf_dir: str, size: int | None = None, items: bool = False) -> DataFrame:
-    vectors, asked = table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, "embeddings", "vec_id", items)
+_text_vectors: dict[tuple[str, str], DataFrame] = {}
+
+
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' own vectors, made from the index and stored once an application and state of the table's files."""
+    at = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if at not in _text_vectors:
+        held = corpus_index(spark, sf_dir)
+        _text_vectors[at] = keep(embed.vectors(held.postings, held, "doc_id"), "text-vectors")
+    return _text_vectors[at]
+
+
+def dense(spark: SparkSession, sf_dir: str, items: bool = False) -> DataFrame:
+    """Documents by the cosine of their vectors and the test items'."""
+    asked = _asked(spark, sf_dir, "benchmark", "item_id", items).withColumnRenamed("item_id", "query_id")
+    vectors = embed.asked_vectors(search.asked_terms(asked, "query_id"), corpus_index(spark, sf_dir), "query_id")
+    return search.dense(text_vectors(spark, sf_dir), vectors, "doc_id", "query_id", POOL, not_own=False)
+
+
+def embeddings_dense(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
+    """Rows of ``embeddings`` by their cosine with those of the stated query set."""
+    vectors, asked = table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir, "embeddings", "vec_id", False)
     if size:
         vectors, asked = (x.withColumn("embedding", truncate(F.col("embedding"), size)) for x in (vectors, asked))
     return search.dense(vectors.withColumnRenamed("vec_id", "doc_id"), asked.withColumnRenamed("vec_id", "query_id"), "doc_id", "query_id", POOL)
@@ -69,6 +107,11 @@ def _ranks(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
+@query(f"WITH {bm25_sql()}, {text_sql()} SELECT query_id, doc_id, score, rank FROM dense")
+def text_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranks(dense(spark, sf_dir), "rank")
+
+
 @query(f"WITH {bm25_sql()} SELECT query_id, doc_id, score, rank FROM lexical")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(lexical(spark, sf_dir), "rank")
@@ -76,7 +119,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {dense_sql()} SELECT query_id, doc_id, score, rank FROM dense")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(dense(spark, sf_dir), "rank")
+    return _ranks(embeddings_dense(spark, sf_dir), "rank")
 
 
 _SIZES_SQL = "WITH " + ", ".join(dense_sql(n, f"d{n}") for n in (64, 32, 16))
@@ -87,14 +130,14 @@ _SIZES_SQL += " " + " UNION ALL ".join(f"SELECT {n}::BIGINT AS size, query_id, d
 def matryoshka_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for n in (64, 32, 16):
-        own = dense(spark, sf_dir, n).where("rank <= 5").select(F.lit(n).cast("long").alias("size"), "query_id", "doc_id", "score", "rank")
+        own = embeddings_dense(spark, sf_dir, n).where("rank <= 5").select(F.lit(n).cast("long").alias("size"), "query_id", "doc_id", "score", "rank")
         out = own if out is None else out.union(own)
     return _ranks(out, "rank")
 
 
 _ARMS_SQL = "arms AS (SELECT 0 AS arm, * FROM dense UNION ALL SELECT 1 AS arm, * FROM lexical)"
-_BOTH_SQL = f"WITH {bm25_sql()}, {dense_sql()}, {_ARMS_SQL}"
-ITEMS_SQL = f"WITH {bm25_sql(_ITEMS)}, {dense_sql(asked=_ITEMS)}, {_ARMS_SQL}"
+_BOTH_SQL = f"WITH {bm25_sql()}, {text_sql()}, {_ARMS_SQL}"
+ITEMS_SQL = f"WITH {bm25_sql(_ITEMS)}, {text_sql()}, {_ARMS_SQL}"
 
 
 def _fused_sql(part: str, arms: str = "arms") -> str:
@@ -132,7 +175,7 @@ def fuse_sumnorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(search.fuse_scores([(dense(spark, sf_dir), 1.0), (lexical(spark, sf_dir), 0.3)], "doc_id", "query_id", "sum"), "position")
 
 
-@query(f"WITH {dense_sql()} SELECT query_id, doc_id, round(1.0::DOUBLE / (10 + rank), 6) AS fused, score AS score_0, rank AS position FROM dense")
+@query(f"WITH {bm25_sql()}, {text_sql()} SELECT query_id, doc_id, round(1.0::DOUBLE / (10 + rank), 6) AS fused, score AS score_0, rank AS position FROM dense")
 def hybrid_weight_zero_is_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(hybrid(spark, sf_dir, weight=0), "position")
 
