@@ -8,34 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import raw_tokens
-
-
-SEED = 3  # tokens of an anchor that a document must hold in a row to be looked at
-
-
-def _seeds(tokens: Column) -> Column:
-    """A hash for each ``SEED`` tokens in a row."""
-    at = F.sequence(F.lit(1), F.size(tokens) - SEED + 1)
-    each = F.transform(at, lambda i: F.xxhash64(*(F.get(tokens, i - 1 + k) for k in range(SEED))))
-    return F.when(F.size(tokens) >= SEED, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
-
-
-def anchored(documents: DataFrame, asked: DataFrame, key: str, query_key: str) -> DataFrame:
-    """Documents (``key``, ``text``) that hold a query's ``anchor`` word for word: ``query_key``, ``key``.
-
-    An anchor's inner tokens stand in any text that holds it, so only documents that share a hash of the first ``SEED`` of
-    them are compared; the texts are joined to those pairs. Anchors with fewer inner tokens are compared with all rows, a
-    broadcast side or not as the planner chooses."""
-    inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
-    cut = asked.where("anchor is not null").select(query_key, "anchor", raw_tokens(F.col("anchor")).alias("tokens")).select(query_key, "anchor", inner.alias("inner"))
-    long = cut.where(F.size("inner") >= SEED).select(query_key, F.get(_seeds(F.slice("inner", 1, SEED)), F.lit(0)).alias("seed"))
-    held = documents.select(key, raw_tokens(F.col("text")).alias("tokens")).select(key, F.explode(_seeds(F.col("tokens"))).alias("seed"))
-    pairs = held.join(long, "seed").select(query_key, key).distinct()
-    texts = pairs.join(asked.select(query_key, "anchor"), query_key).join(documents.select(key, "text"), key)
-    found = texts.where(F.col("text").contains(F.col("anchor"))).select(query_key, key)
-    short = cut.where(F.size("inner") < SEED).select(query_key, "anchor")
-    return found.union(documents.select(key, "text").join(short, F.col("text").contains(F.col("anchor"))).select(query_key, key)).distinct()
+from . import substring_index
+from .substring_index import GramIndex
+
+def anchored(documents: DataFrame, asked: DataFrame, key: str, query_key: str, grams: GramIndex | None = None) -> DataFrame:
+    """Documents (``key``, ``text``) that hold a query's ``anchor`` word for word: ``query_key``, ``key``. An empty anchor is in
+    none. ``grams`` is a stored index of the documents' trigrams, which is else made here."""
+    held = grams or substring_index.index(documents.select(key, "text"), key)
+    found = substring_index.holding(held, documents.select(key, "text"), asked.select(query_key, "anchor"), query_key, "anchor", key, F.col("text").contains(F.col("anchor")))
+    return found.select(query_key, key).distinct()
 
 
 def recall_at(ranked: DataFrame, truth: DataFrame, key: str, query_key: str, ks: tuple[int, ...]) -> DataFrame:

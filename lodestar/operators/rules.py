@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import contains_any, long_sentences, starts_word, vetoed_by_third_party
 
+from . import substring_index
+from .substring_index import GramIndex
 from .tables import placed
 
 #: Ordinal scales, low to high.
@@ -199,12 +201,17 @@ def guarded(rows: DataFrame, steps: dict[str, tuple[Column, Column]]) -> DataFra
     return made.withColumn("errors", F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in fine.items()))))
 
 
-def cross_mentions(documents: DataFrame, names: DataFrame, owner: str) -> DataFrame:
-    """Documents that hold the ``name`` of another entity, within bounds that dots and hyphens don't make; two names of which
-    one holds the other are no finding. ``names`` is a list of entities, matched by the planner's choice of join."""
+def cross_mentions(documents: DataFrame, names: DataFrame, owner: str, key: str, grams: GramIndex | None = None) -> DataFrame:
+    """Documents (``key``, ``owner``, ``text``) that hold the ``name`` of another entity, within bounds that dots and hyphens
+    don't make; two names of which one holds the other are no finding. Names meet only the documents that share their rarest
+    trigrams, by a stored index or one that is made here."""
     own, other = F.lower(owner), F.lower("name")
     bounded = F.rlike("text", F.concat(F.lit(r"(^|[^\w.-])\Q"), F.col("name"), F.lit(r"\E($|[^\w-])")))
-    return documents.join(names, ~own.contains(other) & ~other.contains(own) & F.col("text").contains(F.col("name")) & bounded)
+    apart = ~own.contains(other) & ~other.contains(own)
+    listed = names.where(F.length("name") > 0).select("name", F.col("name").alias("__pattern")).distinct()
+    held = grams or substring_index.index(documents.select(key, "text"), key)
+    found = substring_index.holding(held, documents, listed, "__pattern", "name", key, apart & F.col("text").contains(F.col("name")) & bounded)
+    return found.select(*documents.columns, "name")
 
 
 def best_text_per_group(rows: DataFrame, group: str, url: str) -> DataFrame:

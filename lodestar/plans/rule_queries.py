@@ -241,15 +241,22 @@ def rule_coverage_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.rule_coverage(entities, listed, part.select("p_partkey", F.col("p_brand").alias("value")), ["Brand#13", "Brand#12"], "p_partkey")
 
 
-NAMES = ["license", "licensed", "apache", "src1", "is", "de"]
-_NAMES_SQL = "(VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") v(w)"
-
-
-@query(rf"""SELECT w AS name, count(DISTINCT source) AS entities, count(*) AS documents FROM {_NAMES_SQL} JOIN documents ON NOT contains(lower(source), w) AND NOT contains(w, lower(source))
-AND regexp_matches(text, '(^|[^\w.-])' || w || '($|[^\w-])') GROUP BY w""")
+@query(r"""WITH w AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS term FROM documents) GROUP BY ALL),
+e AS (SELECT source, arg_min(term, (-n, term)) AS name FROM w GROUP BY source), d AS (SELECT doc_id, name AS own, text FROM documents JOIN e USING (source))
+SELECT own, name, count(*) AS documents FROM d JOIN (SELECT DISTINCT name FROM e) v ON NOT contains(own, name) AND NOT contains(name, own) AND contains(text, name)
+AND regexp_matches(text, '(^|[^\w.-])' || name || '($|[^\w-])') GROUP BY ALL""")
 def cross_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return rules.cross_mentions(table(spark, sf_dir, "documents"), names, "source").groupBy("name").agg(F.count_distinct("source").alias("entities"), F.count(F.lit(1)).alias("documents"))
+    """Names of entities in the documents of others. The tables name no entity but by a number, so each one's name is the
+    word of eight letters or more that most of its documents hold."""
+    from .retrieval_queries import corpus_grams
+
+    documents = table(spark, sf_dir, "documents")
+    words = documents.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0))).alias("term"))
+    counted = words.groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
+    names = counted.groupBy("source").agg(F.min_by("term", F.struct(-F.col("n"), "term")).alias("own"))
+    named = documents.select("doc_id", "source", "text").join(names, "source").select("doc_id", "own", "text")
+    found = rules.cross_mentions(named, names.select(F.col("own").alias("name")), "own", "doc_id", corpus_grams(spark, sf_dir))
+    return found.groupBy("own", "name").agg(F.count(F.lit(1)).alias("documents"))
 
 
 _SETS_SQL = """e AS (SELECT source, list_distinct(list(CASE WHEN contains(lower(text), 'license') THEN 'license' END) || list(CASE WHEN contains(lower(text), 'password') THEN 'password' END) || list(CASE WHEN contains(lower(text), 'idiot') THEN 'idiot' END)) AS raw FROM documents GROUP BY source),

@@ -110,14 +110,15 @@ def test_places_cover_all_rows(spark):
 
 
 def test_cross_mentions(spark):
-    documents = spark.createDataFrame([("acme", "we met Other-Co. and Other."), ("acme labs", "acme is here"), ("other", "Other"), ("x", "a.Other Other-2")], "name_of string, text string")
-    names = spark.createDataFrame([("Other",), ("acme",)], "name string")
-    assert [(r.name_of, r.name) for r in rules.cross_mentions(documents, names, "name_of").collect()] == [("acme", "Other")]
+    documents = spark.createDataFrame([("acme", "we met Other-Co. and Other."), ("acme labs", "acme is here"), ("other", "Other"), ("x", "a.Other Other-2"), ("x", None)], "name_of string, text string").selectExpr("monotonically_increasing_id() as id", "*")
+    documents = spark.createDataFrame(documents.collect(), documents.schema)
+    names = spark.createDataFrame([("Other",), ("acme",), ("",), (None,)], "name string")
+    assert [(r.name_of, r.name) for r in rules.cross_mentions(documents, names, "name_of", "id").collect()] == [("acme", "Other")]
 
 
 def test_anchors_seeded_or_short(spark):
     docs = spark.createDataFrame([(1, "say: the quick brown fox jumps over it"), (2, "The quick brown fox jumps over"), (3, "quick-brown"), (4, None)], "doc_id long, text string")
-    asked = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "k-b"), (3, None), (4, "he quick brown fox jumps ov")], "query_id long, anchor string")
+    asked = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "k-b"), (3, None), (4, "he quick brown fox jumps ov"), (5, ""), (6, "zzz")], "query_id long, anchor string")
     assert sorted((r.query_id, r.doc_id) for r in evaluate.anchored(docs, asked, "doc_id", "query_id").collect()) == [(1, 1), (2, 3), (4, 1), (4, 2)]
 
 
