@@ -5,11 +5,13 @@ Ranked lists answer the rows whose id is divisible by 100, against all rows; mea
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import truncate
-from lodestar.operators import embed, evaluate, rules, search, substring_index, vector_index
+from lodestar.operators import embed, evaluate, ranker, rules, search, substring_index, vector_index
 from lodestar.sources.shared import fingerprint, keep
 
 from .registry import query, table
@@ -363,6 +365,34 @@ def engine_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_by(engine_rows(spark, sf_dir), truth(spark, sf_dir), "doc_id", "query_id", "engine", ENGINES, (1, 3, 5))
 
 
+def trained_scores(spark: SparkSession, sf_dir: str, fused: DataFrame, right: DataFrame) -> DataFrame:
+    """Scores of a reranker that is fitted on the other folds' items."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = keep(ranker.features(fused, asked, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "query_id"), "features")
+    told = right.select("query_id", "doc_id", F.lit(True).alias("right")).distinct()
+    answerable = found.join(told.select("query_id").distinct(), "query_id", "left_semi")
+    examples = keep(answerable.join(told, ["query_id", "doc_id"], "left").withColumn("right", F.coalesce("right", F.lit(False))), "examples")
+    return ranker.scores(found, ranker.fit(examples, "query_id"), "doc_id", "query_id")
+
+
+@query()
+def rerank_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the hybrid list as it is, by the null provider, by the stand-in and by the trained reranker, each item
+    scored with weights of the other folds."""
+    d, x, right = keep(dense(spark, sf_dir, items=True), "dense"), keep(lexical(spark, sf_dir, items=True), "lexical"), keep(truth(spark, sf_dir), "truth")
+    fused = keep(search.fuse_rrf([(d, 1.0), (x, 0.3)], "doc_id", "query_id", 10), "fused")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    arms = {
+        "hybrid": None,
+        "overlap": search.overlap(fused.select("query_id", "doc_id").join(asked, "query_id").join(texts, "doc_id"), "doc_id", "query_id"),
+        "trained": trained_scores(spark, sf_dir, fused, right),
+    }
+    lists = [search.rerank(fused, "doc_id", "query_id", s, 2 * POOL).select(F.lit(n).alias("engine"), "query_id", "doc_id", F.col("final_position").alias("rank")) for n, s in arms.items()]
+    ranked = keep(reduce(DataFrame.union, lists), "engines")
+    return evaluate.recall_by(ranked, right, "doc_id", "query_id", "engine", list(arms), (1, 3, 5))
+
+
 @query(f"""WITH {TRUTH_SQL}, c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5), f AS (SELECT query_id, min(rank) AS first FROM truth JOIN c USING (doc_id) GROUP BY 1)
 SELECT k::BIGINT AS k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS answerable FROM (SELECT DISTINCT query_id FROM truth) LEFT JOIN f USING (query_id), (VALUES (1), (3), (5)) v(k) GROUP BY k""")
 def trivial_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
