@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from lodestar.llm import paragraphs as G
 
 
@@ -84,7 +86,46 @@ def test_reused_ids_clashing_columns_and_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, `__gone` string, start int")
     left = {x["__gone"]: x.text for x in G.remove_repeats(df).collect()}
     assert [left[k] for k in "abde"] == [rows[i][1] for i in (0, 1, 3, 4)]
-    assert len(left["c"].split()) == 20 and len(left["f"]) < len(rows[5][1]) - len(passage) + 100
+    # no own word goes, and of a passage at most the words before its first anchor stay
+    assert left["c"].split()[:20] == rows[2][1].split()[:20] and len(left["c"].split()) <= 20 + G.ANCHOR
+    assert len(left["f"]) < len(rows[5][1]) - len(passage) + 200
+
+
+def test_groups_equal_exact_jaccard_groups(spark):
+    """Paragraphs of documents with edits at random: MinHash groups against components over all pairs."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    base = [r.choice(vocabulary) for _ in range(400)]
+    texts = []
+    for _ in range(12):
+        words = list(base)
+        for _ in range(r.randrange(0, 25)):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = G._repeats(df, similarity=80, least_words=0, recall=0.999).collect()
+    units = G._Units(pa.array(texts))
+    sets = {(int(d), int(n)): frozenset(units.window[a : a + k].tolist()) for d, n, a, k in zip(units.row, units.no, units.first, units.each, strict=True)}
+    up = {u: u for u in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    keys = list(sets)
+    for i, x in enumerate(keys):
+        for y in keys[:i]:
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                up[top(x)] = top(y)
+    docs_of: dict = {}
+    for d, n in keys:
+        docs_of.setdefault(top((d, n)), set()).add(d)
+    repeated = {u for u in keys if len(docs_of[top(u)]) > 1}
+    got = {(x.doc_id, x.no): (x.component_doc, x.component_start) for x in rows}
+    assert set(got) <= repeated and len(got) > 0.75 * len(repeated)  # similar ones that overlap equal ones are left out
+    for u, v in zip(list(got)[:-1], list(got)[1:], strict=True):
+        assert (got[u] == got[v]) == (top(u) == top(v))
 
 
 def test_edges(spark):
