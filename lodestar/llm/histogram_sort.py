@@ -125,8 +125,10 @@ def assign(documents: DataFrame, shards: int, tolerance: float = 0.001, carry: l
     own = [c for c, name in zip(own_columns(documents), documents.columns, strict=True) if name in kept]
     keys = save(_keys(documents).select(*own, "__k0", "__k1", "__k2", "__size"), "keys")
     cuts = splitters(keys, shards, tolerance)
-    # slots are counted by shard and cell, so that no task sorts a whole shard; a hot text spreads over 16 cells
-    placed = keys.withColumns({"shard": _place(cuts).cast("int"), "__cell": (_digit(0) * 16 + F.shiftrightunsigned("__k1", 60)).cast("int")})
+    # slots are counted by shard and cell, so that no task sorts a whole shard; a text that many rows share spreads over 16
+    # cells by the ids beside it, and rows that share the id as well by their places
+    spread = F.shiftrightunsigned("__k1", 60).bitwiseXOR(F.shiftrightunsigned("__k2", 60))
+    placed = keys.withColumns({"shard": _place(cuts).cast("int"), "__cell": (_digit(0) * 16 + spread).cast("int")})
     filled = placed.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = filled.select(F.col("shard").alias("__shard"), F.col("__cell").alias("__of"), (F.sum("__n").over(W.partitionBy("shard").orderBy("__cell")) - F.col("__n")).alias("__before"))
     # at most 16 * (shards + 4096) rows

@@ -35,6 +35,7 @@ from .textkernel import SPACE, by_row, mix, pieces, shingles, words
 
 REGISTERS, BANDS = 128, 32
 MANTISSA = 8
+PIECE = 2 << 20  # bytes of text that a task hashes at a time
 SLACK = 0.16  # over four standard errors of an estimate from 128 registers
 _PROBES = np.random.default_rng(7).integers(0, REGISTERS, (REGISTERS, 256))
 
@@ -94,7 +95,7 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n`` (size of the set), ``c1`` (equal for equal sets), ``bands`` and ``registers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             sets = _sets(batch, size)
             n = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -229,7 +230,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = may_hold(held.value, batch.column("key").to_numpy().view(np.uint64))
-            for part in pieces(iter([batch.filter(pa.array(keep))])):
+            for part in pieces(iter([batch.filter(pa.array(keep))]), most=PIECE):
                 sets = _sets(part, size)
                 at = np.cumsum([0, *map(len, sets)])
                 ids = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)

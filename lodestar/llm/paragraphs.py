@@ -2,7 +2,7 @@
 
 Where a paragraph begins and ends depends on its own words only. An anchor is the shingle of the smallest hash among
 ``ANCHOR`` neighbouring ones, or a text's first or last one; a paragraph goes from the first word of an anchor to the last word of the first anchor that is
-``REACH`` words or more behind it: 11 to 18 words, overlapping its neighbours. Two texts that share 26 words in a row share a
+``REACH`` words or more behind it: 11 to 18 words, overlapping its neighbours. Two texts that share 32 words in a row share a
 whole paragraph of them, wherever the words stand and whatever surrounds them; sentence ends have no part in it.
 
 The shingles of a paragraph (five words) are MinHashed. The bands of all paragraphs are counted once; those met in two

@@ -9,7 +9,7 @@ checksums stay valid:
 * bank account numbers (IBAN) that pass the test modulo 97: letters and digits of the account are permuted, the check
   digits recomputed, the country stays;
 * telephone numbers of 8 to 15 digits with a country code, and of three, three and four digits without one: all digits
-  but the country code;
+  but the country code, which is known by its first digits, so a number is linked whatever separates its digits;
 * social security numbers of valid area, group and serial: permuted among the valid ones;
 * IPv4 addresses: the 32 bits;
 * dates from 1900 to 2099, in figures (year first or last, one or two digits for day and month; month first only where the
@@ -17,7 +17,8 @@ checksums stay valid:
   forms, so a date is linked however it is written. It keeps days up to the 12th, up to the 28th and later ones among
   themselves, so that a pseudonym is read in the same order as the date. Two-digit years are no dates here, as lists and
   versions look alike;
-* e-mail addresses of at most ten labels: letters and digits of the local part.
+* e-mail addresses of at most ten labels: letters and digits of the local part, as it is written; addresses that differ in
+  capital letters are different ones.
 
 A round adds, to one half, a keyed hash of the other half. Every kind is numbered without gaps and its number permuted
 within two factors of the kind's size, so no result falls outside the valid values and nothing has to be tried again.
@@ -46,6 +47,12 @@ MONTHS = {
 #: of the numbers of dates of the four classes in 200 years.
 LATE = [100 * m + d for m in range(1, 13) for d in (29, 30, 31) if m != 2 and not (d == 31 and m in (4, 6, 9, 11))]
 
+#: Telephone country codes of one and of two digits; all others have three.
+COUNTRY_CODES = {
+    1: ["1", "7"],
+    2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split(),
+}
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _DAY, _MONTH, _YEAR = r"(?:0[1-9]|[12]\d|3[01]|[1-9])", r"(?:0[1-9]|1[0-2]|[1-9])", r"(?:19|20)\d\d"
 _NAME = "(?:" + "|".join(sorted({n for names in MONTHS.values() for m in names for n in (m, m.capitalize())}, key=lambda n: (-len(n), n))) + ")"
@@ -146,10 +153,13 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^\+(?:\d{1,3}(?=[ .\-(])|\d\d)", 0)
-    rest = value.substr(F.length(code) + 1, F.length(value))
-    counted = F.length(_digits(value)).between(8, 15)
-    return F.when(counted, F.concat(code, _with_digits(rest, permute_digits(_digits(rest), key, "phone")))).otherwise(value)
+    def permuted(digits: Column) -> Column:
+        one, two = F.substring(digits, 1, 1).isin(*COUNTRY_CODES[1]), F.substring(digits, 1, 2).isin(*COUNTRY_CODES[2])
+        size = F.when(~value.startswith("+"), 0).when(one, 1).when(two, 2).otherwise(3)
+        code, rest = digits.substr(F.lit(1), size), digits.substr(size + 1, F.length(digits))
+        return F.when(F.length(digits).between(8, 15), _with_digits(value, F.concat(code, permute_digits(rest, key, "phone")))).otherwise(value)
+
+    return _with(_digits(value), permuted)
 
 
 def _mod97(text: Column) -> Column:

@@ -46,3 +46,28 @@ def test_write_shards(spark, tmp_path):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     H.write_shards(H.assign(df, 3), f"file://{tmp_path}/s")
     assert spark.read.parquet(f"file://{tmp_path}/s").count() == 50
+
+
+def test_rows_that_share_text_and_id_and_clashing_names(spark):
+    rows = [(7, "same text")] * 3000 + [(i, f"text {i}") for i in range(500)] + [(9, None), (9, None), (10, "x" * 200_000)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, size int, shard int, slot int").repartition(5)
+    got = H.assign(df, shards=7).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((a, b or "") for a, b in rows)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+        assert r["size"] == len((r.text or "").encode()) + 16
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_splitters_equal_a_sorted_list(spark):
+    """Boundaries against exact prefix sums over all keys in order."""
+    df = spark.createDataFrame([(i % 40, "w" * (i * 37 % 400)) for i in range(700)], "doc_id long, text string").repartition(3)
+    keys = H._keys(df).select("__k0", "__k1", "__k2", "__size")
+    rows = keys.select(F.array(*(H._digit(i).cast("int") for i in range(H.LEVELS))).alias("digits"), "__size").collect()
+    ordered, total = sorted((tuple(r.digits), r["__size"]) for r in rows), sum(r["__size"] for r in rows)
+    cuts, shards = H.splitters(keys, 9, 0.001), 9
+    largest = max(size for _, size in ordered)
+    for target, cut in enumerate(cuts, start=1):
+        below = sum(size for digits, size in ordered if digits < cut)
+        assert abs(below - total * target / shards) <= max(0.001 * total / shards, largest / 2) + 1

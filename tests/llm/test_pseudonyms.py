@@ -119,3 +119,13 @@ def test_columns_and_native_plan(spark):
     assert out.columns == df.columns and out.first()["be tween"] == "y"
     assert "Python" not in out._jdf.queryExecution().toString()
     assert S.pseudonymise(df.where("false"), "k").count() == 0
+
+
+def test_telephone_numbers_are_linked_in_all_forms(spark):
+    forms = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1-555-123-4567", "(555) 123-4567", "+33 1 23 45 67 89", "+33123456789", "+55 11 91234-5678", "+5511912345678", "+351 21 345 6789", "+351213456789"]
+    df = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = [r.text for r in S.pseudonymise(df, key="k").orderBy("doc_id").collect()]
+    digits = ["".join(c for c in t if c.isdigit()) for t in got]
+    assert all(len(a) == len(b) and [c.isdigit() for c in a] == [c.isdigit() for c in b] and a != b for a, b in zip(got, forms, strict=True))
+    assert len(set(digits[:4])) == 1 and digits[0] == "1" + digits[4]
+    assert digits[5] == digits[6] and digits[5][:2] == "33" and digits[7] == digits[8] and digits[7][:2] == "55" and digits[9] == digits[10] and digits[9][:3] == "351"
