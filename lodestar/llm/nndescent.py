@@ -248,7 +248,9 @@ def _true_links(asked: list, cosine: float) -> Callable[[Iterator[pa.RecordBatch
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = 0.93, k: int = 8, tables: int = 16, rounds: int = 3, recall: float = 0.99, audit: int = 256, attempts: int = 3, strict: bool = False) -> DataFrame:
-    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row of ``embeddings`` (``vec_id``, ``embedding``, ``label``)."""
+    """``vec_id``, ``n_links``, ``component_id``, ``kept`` and ``recall`` for every row of ``embeddings`` (``vec_id``, ``embedding``,
+    ``label``). ``recall`` is what the audit found for the whole result, in all rows; null where no sampled vector has a link.
+    If it is below the one that was asked after all attempts, that is a warning, or an error if ``strict``."""
     theta = float(np.arccos(cosine))
     whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = embeddings.select("vec_id", F.col("embedding").alias("vec"), "label")
@@ -281,7 +283,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.93, k: int = 8, tables
         drop(old)
     out = embeddings.select("vec_id").join(known, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(reached).cast("double").alias("recall"))
 
 
 def _count(vectors: DataFrame, balls: DataFrame, home: DataFrame, near: DataFrame, theta: float, cosine: float) -> tuple[DataFrame, DataFrame]:

@@ -132,7 +132,7 @@ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 reach AS (SELECT vec_id AS id, vec_id AS node FROM v UNION SELECT r.id, l.b FROM reach r JOIN l ON r.node = l.a),
 c AS (SELECT id, min(node) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(DISTINCT b) AS n FROM l GROUP BY a)
-SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id"""
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept, 1.0::DOUBLE AS recall FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id"""
 
 
 def _judged_sql(host: str, path: str, what: str) -> str:
