@@ -35,7 +35,7 @@ from .textkernel import SPACE, by_row, mix, pieces, shingles, words
 
 REGISTERS, BANDS = 128, 32
 MANTISSA = 8
-PIECE = 2 << 20  # bytes of text that a task hashes at a time
+PIECE = 2 << 20  # bytes of text that a task hashes at a time; its arrays take some tens of times as much
 SLACK = 0.16  # over four standard errors of an estimate from 128 registers
 _PROBES = np.random.default_rng(7).integers(0, REGISTERS, (REGISTERS, 256))
 
