@@ -40,3 +40,12 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, count(*) AS steps FROM events GROUP BY user_id")
 def event_last_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.threads(table(spark, sf_dir, "events"))
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_id AS place, event_type AS node, props AS payload FROM events), n AS (SELECT run, min(payload) AS name FROM e WHERE node = 'signup' GROUP BY run)
+SELECT run, place, 'node' AS kind, node, name, NULL::BIGINT AS steps, NULL::VARCHAR AS reason FROM e LEFT JOIN n USING (run)
+UNION ALL SELECT run, NULL, 'end', NULL, name, count(*), CASE WHEN bool_or(node = 'purchase') THEN 'finished' ELSE 'silent' END FROM e LEFT JOIN n USING (run) GROUP BY run, name""")
+def run_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a display is told of each user's events, as a table; the stream of the same is ``progress.messages``."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("place"), "ts", F.col("event_type").alias("node"), F.col("props").alias("payload"))
+    return progress.all_messages(events, "signup", "purchase")
