@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestar.sources.shared import keep
+
 _RUN_ID = re.compile(r"^[A-Za-z0-9_-]{1,64}$")
 
 
@@ -47,6 +49,17 @@ def placed(rows: DataFrame, group: Column, order: str, head: Column, by: str | N
     return keyed.withColumn("place", own).join(before, part).withColumn("place", (F.col("place") + F.col("__before")).cast("long")).drop("__group", "__head", "__before")
 
 
+def placed_by_range(rows: DataFrame, group: Column, order: str) -> DataFrame:
+    """:func:`placed` over all rows, for an order of any kind: rows are dealt to parts by ranges of it, whatever their values begin
+    with, and saved; each part is then counted and numbered by itself, and only the counts meet."""
+    dealt = rows.withColumn("__group", group).repartitionByRange("__group", order).withColumn("__part", F.spark_partition_id())
+    kept = keep(dealt, "ranged")
+    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).drop("__n")  # a row a part
+    own = F.row_number().over(W.partitionBy("__part").orderBy("__group", order))
+    return kept.withColumn("place", own).join(before, "__part").withColumn("place", (F.col("place") + F.col("__before")).cast("long")).drop("__group", "__part", "__before")
+
+
 def nested(rows: DataFrame, group: str, key: str, fields: list[str], most: int = 10_000) -> DataFrame:
     """Rows under their group, as ``documents``: one array, or several ``part``s of about ``most`` elements where a group has
     more. Only the fields that are kept are gathered."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import contains_any
 from lodestar.operators import evaluate, rules, tables
 from lodestar.sources.shared import fingerprint, shared_dir
 
@@ -14,12 +15,14 @@ from .rule_queries import (
     _CONF_SQL,
     _DEEP_SQL,
     _NEEDS_SQL,
+    _VETO,
     BEST_SQL,
     CLAIMS_SQL,
     EXCLUDED,
     LEXICONS,
     MARKERS,
     _cited,
+    _eligibility_sql,
     _graded,
     claims,
     claims_sql,
@@ -161,16 +164,17 @@ def rubric_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return native.agg(F.count_if(F.col("deep") >= rules.DEEP_MARKERS).alias("reachable"), F.count(F.lit(1)).alias("total"))
 
 
-_GNU = EXCLUDED["license"][0]
+_TERMS_SQL = ", ".join(f"('{label}', '{t}')" for label, terms in EXCLUDED.items() for t in terms)
 
 
-@query(f"""WITH {CLAIMS_SQL}, now AS (SELECT DISTINCT source FROM claims WHERE contains(lower(span), '{_GNU}')), wide AS (SELECT DISTINCT source FROM documents WHERE contains(lower(text), '{_GNU}'))
-SELECT source, 'new' AS side FROM wide WHERE source NOT IN (SELECT source FROM now) UNION ALL SELECT source, 'gone' FROM now WHERE source NOT IN (SELECT source FROM wide)""")
+@query(f"""WITH {CLAIMS_SQL}, now AS (SELECT DISTINCT source, label FROM claims, (VALUES {_TERMS_SQL}) v(label, term) WHERE contains(lower(span), term)), wide AS (SELECT DISTINCT source, label FROM ({_eligibility_sql()}))
+SELECT source, label, 'new' AS side FROM (SELECT * FROM wide EXCEPT SELECT * FROM now) UNION ALL SELECT source, label, 'gone' FROM (SELECT * FROM now EXCEPT SELECT * FROM wide)""")
 def excluded_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that a scan of whole texts would exclude and the evidence does not, and the other way round."""
-    now = claims(spark, sf_dir).where(F.lower("span").contains(_GNU)).select("source").distinct()
-    wide = table(spark, sf_dir, "documents").where(F.lower("text").contains(_GNU)).select("source").distinct()
-    side = lambda a, b, name: a.join(b, "source", "left_anti").withColumn("side", F.lit(name))
+    """Exclusions that a scan of whole texts finds, vetoes and all, and the evidence alone does not, and the other way round."""
+    held = F.explode(F.array_compact(F.array(*(F.when(contains_any(F.lower("span"), terms), F.lit(label)) for label, terms in EXCLUDED.items()))))
+    now = claims(spark, sf_dir).select("source", held.alias("label")).distinct()
+    wide = rules.exclusions(table(spark, sf_dir, "documents"), EXCLUDED, _VETO, "source").select("source", "label").distinct()
+    side = lambda a, b, name: a.join(b, ["source", "label"], "left_anti").withColumn("side", F.lit(name))
     return side(wide, now, "new").union(side(now, wide, "gone"))
 
 

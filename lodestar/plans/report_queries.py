@@ -37,7 +37,7 @@ def entity_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = c.join(low, "source", "left").select("source", "verified", rules.quadrant(F.col("class"), F.col("level"), F.col("verified")).alias("quadrant"), F.coalesce("confidence", F.lit("baixa")).alias("confidence"))
     p = q.select("source", "quadrant", "confidence", rules.priority(q.quadrant, q.confidence, q.verified).alias("priority"))
     rank = F.when(F.col("priority") == "alta", 0).when(F.col("priority") == "media", 1).otherwise(2)
-    return tables.placed(p, rank, "source", F.substring("source", 1, 2))
+    return tables.placed_by_range(p, rank, "source")
 
 
 _HITS_SQL = f"{ENGINES_SQL}, h AS (SELECT engine, query_id, min(rank) AS rank FROM e JOIN truth USING (query_id, doc_id) GROUP BY 1, 2)"

@@ -74,32 +74,6 @@ def stepped_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("source", "deep", rules.class_stepped(f.autopilot | f.data | f.technical, f.deep, f.autopilot, f.data).alias("class"))
 
 
-_STATES = "SELECT a.b AS autopilot, d.b AS data, t.b AS technical, k.n::BIGINT AS deep FROM (VALUES (true), (false)) a(b), (VALUES (true), (false)) d(b), (VALUES (true), (false)) t(b), (VALUES (0), (1), (3)) k(n)"
-
-
-def _states(spark: SparkSession) -> DataFrame:
-    flag = lambda name: spark.createDataFrame([(True,), (False,)], f"{name} boolean")
-    return flag("autopilot").crossJoin(flag("data")).crossJoin(flag("technical")).crossJoin(spark.createDataFrame([(0,), (1,), (3,)], "deep long"))
-
-
-@query(f"""WITH s AS ({_STATES}), c AS (SELECT *, {_CLASS} AS class, {_LEVEL} AS level, (autopilot OR data OR technical) AS verified FROM s), q AS (SELECT *, {_QUADRANT} AS quadrant FROM c)
-SELECT class, level, quadrant, count(*) AS states FROM q GROUP BY ALL""")
-def classifier_state_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _states(spark)
-    points = rules.class_points(s.autopilot, s.data, s.technical)
-    c = s.select(rules.class_of(points).alias("class"), rules.maturity(s.deep).alias("level"), (s.autopilot | s.data | s.technical).alias("verified"))
-    q = c.withColumn("quadrant", rules.quadrant(F.col("class"), F.col("level"), F.col("verified")))
-    return q.groupBy("class", "level", "quadrant").agg(F.count(F.lit(1)).alias("states"))
-
-
-@query(f"""WITH s AS (SELECT q AS quadrant, c AS confidence, v AS verified FROM (VALUES ('sweet-spot'), ('prospect-de-evolucao'), ('ja-otimizada'), ('fora-do-funil')) a(q), (VALUES ('baixa'), ('media'), ('alta')) b(c), (VALUES (true), (false)) d(v))
-SELECT *, {_PRIORITY} AS priority FROM s""")
-def priority_demotions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = [("sweet-spot",), ("prospect-de-evolucao",), ("ja-otimizada",), ("fora-do-funil",)]
-    s = spark.createDataFrame(cells, "quadrant string").crossJoin(spark.createDataFrame([(c,) for c in rules.CONFIDENCE], "confidence string")).crossJoin(spark.createDataFrame([(True,), (False,)], "verified boolean"))
-    return s.withColumn("priority", rules.priority(s.quadrant, s.confidence, s.verified))
-
-
 _CONF_SQL = f"""{CLAIMS_SQL}, dated AS (SELECT c.source, c.kind, d.lang, o.o_orderdate AS day FROM claims c JOIN documents d USING (doc_id) LEFT JOIN orders o ON o.o_orderkey = c.doc_id),
 conf AS (SELECT source, kind, count(*) AS evidences, count(DISTINCT lang) AS kinds, count(*) FILTER ((1998 - year(day)) * 12 + 8 - month(day) < 24) AS recent FROM dated GROUP BY 1, 2),
 graded AS (SELECT *, CASE WHEN kinds >= 2 AND recent >= 1 THEN 'alta' WHEN kinds >= 2 OR recent >= 1 THEN 'media' ELSE 'baixa' END AS confidence FROM conf)"""

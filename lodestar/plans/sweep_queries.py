@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import rules, sweeps
 from lodestar.sources import buckets
 from lodestar.sources.runs import Run
-from lodestar.sources.shared import shared_dir
+from lodestar.sources.shared import keep, shared_dir
 
 from .registry import query, table
 from .report_queries import _PRIORITY
@@ -35,6 +35,41 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("priority", rules.priority(q.quadrant, q.confidence, q.verified))
 
 
+_STATES = """SELECT a.b AS autopilot, d.b AS data, t.b AS technical, k.n::BIGINT AS deep FROM (VALUES (true), (false)) a(b), (VALUES (true), (false)) d(b), (VALUES (true), (false)) t(b), (VALUES (0), (1), (3)) k(n)"""
+_STEP = "CASE WHEN deep >= 3 THEN 3 WHEN deep >= 1 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {CLAIMS_SQL}, {_DEEP_SQL}, s AS ({_STATES}), n AS (SELECT autopilot, data, technical, {_STEP} AS deep, count(*) AS n FROM facts GROUP BY ALL),
+c AS (SELECT s.*, coalesce(n, 0) AS n, {_CLASS.replace('autopilot', 's.autopilot').replace('data', 's.data').replace('technical', 's.technical')} AS class, {_LEVEL.replace('deep', 's.deep')} AS level, (s.autopilot OR s.data OR s.technical) AS verified
+FROM s LEFT JOIN n ON s.autopilot = n.autopilot AND s.data = n.data AND s.technical = n.technical AND s.deep = n.deep), q AS (SELECT *, {_QUADRANT} AS quadrant FROM c)
+SELECT class, level, quadrant, count(*) AS states, count(*) FILTER (n > 0) AS met, sum(n)::BIGINT AS entities FROM q GROUP BY ALL""")
+def classifier_state_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All states that the classifier can be in, which of them entities are in, and how many entities."""
+    flag = lambda name: spark.createDataFrame([(True,), (False,)], f"{name} boolean")
+    states = flag("autopilot").crossJoin(flag("data")).crossJoin(flag("technical")).crossJoin(spark.createDataFrame([(0,), (1,), (3,)], "deep long"))  # 24 rows
+    step = F.when(F.col("deep") >= rules.DEEP_MARKERS, 3).when(F.col("deep") >= 1, 1).otherwise(0).cast("long")
+    own = ["autopilot", "data", "technical", "deep"]
+    met = keep(facts(spark, sf_dir).withColumn("deep", step).groupBy(*own).agg(F.count(F.lit(1)).alias("n")), "states")  # 24 rows
+    s = states.join(met, own, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    c = s.select("n", rules.class_of(rules.class_points(s.autopilot, s.data, s.technical)).alias("class"), rules.maturity(s.deep).alias("level"), (s.autopilot | s.data | s.technical).alias("verified"))
+    q = c.withColumn("quadrant", rules.quadrant(F.col("class"), F.col("level"), F.col("verified")))
+    return q.groupBy("class", "level", "quadrant").agg(F.count(F.lit(1)).alias("states"), F.count_if(F.col("n") > 0).alias("met"), F.sum("n").alias("entities"))
+
+
+QUADRANTS = ["sweet-spot", "prospect-de-evolucao", "ja-otimizada", "fora-do-funil"]
+
+
+@query(f"""WITH {_PROFILES_SQL}, s AS (SELECT q AS quadrant, c AS confidence, v AS verified FROM (VALUES {', '.join(f"('{q}')" for q in QUADRANTS)}) a(q), (VALUES ('baixa'), ('media'), ('alta')) b(c), (VALUES (true), (false)) d(v)),
+n AS (SELECT quadrant, confidence, verified, count(*) AS n FROM profiles GROUP BY ALL) SELECT s.*, {_PRIORITY} AS priority, coalesce(n, 0) AS entities FROM s LEFT JOIN n USING (quadrant, confidence, verified)""")
+def priority_demotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priority of every possible cell, and how many entities are in it."""
+    listed = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    cells = listed(QUADRANTS, "quadrant").crossJoin(listed(rules.CONFIDENCE, "confidence")).crossJoin(spark.createDataFrame([(True,), (False,)], "verified boolean"))  # 24 rows
+    own = ["quadrant", "confidence", "verified"]
+    met = keep(profiles(spark, sf_dir).groupBy(*own).agg(F.count(F.lit(1)).alias("n")), "cells")  # 24 rows
+    return cells.join(met, own, "left").select(*own, rules.priority(F.col("quadrant"), F.col("confidence"), F.col("verified")).alias("priority"), F.coalesce("n", F.lit(0)).alias("entities"))
+
+
 @query(f"""WITH {_PROFILES_SQL} SELECT class, quadrant, priority, array_to_string([x for x in [CASE WHEN grouping(class) = 0 THEN 'class' END, CASE WHEN grouping(quadrant) = 0 THEN 'quadrant' END, CASE WHEN grouping(priority) = 0 THEN 'priority' END] if x IS NOT NULL], ',') AS looked,
 count(*) AS n FROM profiles GROUP BY GROUPING SETS ((class, quadrant, priority), (class), (quadrant), (priority), ())""")
 def profile_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
