@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ FROM s LEFT JOIN n ON s.autopilot = n.autopilot AND s.data = n.data AND s.techni
 SELECT class, level, quadrant, count(*) AS states, count(*) FILTER (n > 0) AS met, sum(n)::BIGINT AS entities FROM q GROUP BY ALL""")
 def classifier_state_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All states that the classifier can be in, which of them entities are in, and how many entities."""
-    flag = lambda name: spark.createDataFrame([(True,), (False,)], f"{name} boolean")
-    states = flag("autopilot").crossJoin(flag("data")).crossJoin(flag("technical")).crossJoin(spark.createDataFrame([(0,), (1,), (3,)], "deep long"))  # 24 rows
+    flags = (True, False)
+    states = spark.createDataFrame(list(product(flags, flags, flags, (0, 1, 3))), "autopilot boolean, data boolean, technical boolean, deep long")
     step = F.when(F.col("deep") >= rules.DEEP_MARKERS, 3).when(F.col("deep") >= 1, 1).otherwise(0).cast("long")
     own = ["autopilot", "data", "technical", "deep"]
     met = keep(facts(spark, sf_dir).withColumn("deep", step).groupBy(*own).agg(F.count(F.lit(1)).alias("n")), "states")  # 24 rows
@@ -63,8 +64,7 @@ QUADRANTS = ["sweet-spot", "prospect-de-evolucao", "ja-otimizada", "fora-do-funi
 n AS (SELECT quadrant, confidence, verified, count(*) AS n FROM profiles GROUP BY ALL) SELECT s.*, {_PRIORITY} AS priority, coalesce(n, 0) AS entities FROM s LEFT JOIN n USING (quadrant, confidence, verified)""")
 def priority_demotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The priority of every possible cell, and how many entities are in it."""
-    listed = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    cells = listed(QUADRANTS, "quadrant").crossJoin(listed(rules.CONFIDENCE, "confidence")).crossJoin(spark.createDataFrame([(True,), (False,)], "verified boolean"))  # 24 rows
+    cells = spark.createDataFrame(list(product(QUADRANTS, rules.CONFIDENCE, (True, False))), "quadrant string, confidence string, verified boolean")
     own = ["quadrant", "confidence", "verified"]
     met = keep(profiles(spark, sf_dir).groupBy(*own).agg(F.count(F.lit(1)).alias("n")), "cells")  # 24 rows
     return cells.join(met, own, "left").select(*own, rules.priority(F.col("quadrant"), F.col("confidence"), F.col("verified")).alias("priority"), F.coalesce("n", F.lit(0)).alias("entities"))
