@@ -77,7 +77,7 @@ def ranked_entities(entities: DataFrame, hits: DataFrame, entity: str, limit: in
 
 
 class Index(NamedTuple):
-    """What BM25 needs of a corpus: ``postings`` (``term``, key, ``tf``, ``dl``), ``frequencies`` (``term``, ``df``) and
+    """What BM25 needs of a corpus: ``postings`` (``term``, key, ``tf``, ``dl``), ``frequencies`` (``term``, ``df``, ``top``) and
     ``stats`` (one row: ``n``, ``avgdl``)."""
 
     postings: DataFrame
@@ -99,7 +99,10 @@ def index(documents: DataFrame, key: str, stopwords: tuple[str, ...] = (), keep:
         of = store(stem(plain.select("term").distinct()), "stems")
         postings = plain.join(of, "term").groupBy(F.col("stem").alias("term"), key, "dl").agg(F.sum("tf").alias("tf"))
     postings = store(postings.sortWithinPartitions("term") if keep else postings, "postings")
-    return Index(postings, store(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), store(stats, "stats"))
+    stats = store(stats, "stats")
+    share = F.col("tf") / (F.col("tf") + 1.2 * (1 - 0.75 + 0.75 * F.col("dl") / F.col("avgdl")))  # of a score at the usual parameters
+    counted = postings.crossJoin(F.broadcast(stats)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(share).alias("top"))  # one row
+    return Index(postings, store(counted, "frequencies"), stats)
 
 
 def asked_terms(queries: DataFrame, query_key: str, stopwords: tuple[str, ...] = (), stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

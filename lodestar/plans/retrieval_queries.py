@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import truncate
-from lodestar.operators import embed, evaluate, ranker, rules, search, substring_index, vector_index
+from lodestar.operators import bounded, embed, evaluate, ranker, rules, search, substring_index, vector_index
 from lodestar.sources.shared import fingerprint, keep
 
 from .registry import query, table
@@ -130,6 +130,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(lexical(spark, sf_dir), "rank")
 
 
+@query(f"WITH {bm25_sql(_ITEMS)} SELECT query_id, doc_id, score, rank FROM lexical")
+def bm25_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of all test items at once, with score bounds: only the postings that can matter are scored."""
+    asked = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    found, _ = bounded.bm25(corpus_index(spark, sf_dir), search.asked_terms(asked, "query_id"), "doc_id", "query_id", POOL, keep)
+    return _ranks(found, "rank")
+
+
 @query(f"WITH {dense_sql()} SELECT query_id, doc_id, score, rank FROM dense")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranks(embeddings_dense(spark, sf_dir), "rank")
