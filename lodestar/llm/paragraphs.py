@@ -48,6 +48,7 @@ SHINGLE = 5
 LONG, TOO_LONG = 8, 64
 ANCHOR = 8
 GAP = 2 * ANCHOR - 1
+PIECE = 1 << 20  # bytes of text that a task cuts into units at a time; their arrays take some tens of times as much
 
 
 def bands_for(similarity: float, recall: float) -> int:
@@ -136,7 +137,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _all_bands(documents: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, most=2 << 20):
+        for batch in pieces(batches, most=PIECE):
             units = _Units(batch.column("text"))
             row = np.concatenate([np.repeat(units.row, bands), units.stretches.row])
             band = np.concatenate([units.bands(bands).ravel(), units.stretches.hash])
@@ -150,7 +151,7 @@ def _candidates(documents: DataFrame, bands: int, table: np.ndarray) -> DataFram
     fields = ["doc_id", "text_hash", "no", "start", "end", "words", "id", "bands", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, most=2 << 20):
+        for batch in pieces(batches, most=PIECE):
             units = _Units(batch.column("text"))
             band = units.bands(bands)
             keep = np.flatnonzero(may_hold(held.value, band).any(axis=1))
