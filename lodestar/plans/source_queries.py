@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.sources import files, outline, structure
+from lodestar.sources import chunks, files, outline
 from lodestar.streaming import progress
 
 from .registry import query, table
@@ -37,22 +37,28 @@ FROM t WHERE title <> '' OR body <> ''""")
 def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of the pages with their breadcrumbs, by windows over lines."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", outline.page_markdown(F.col("html")).alias("text"))
-    return outline.outline(pages, "page_id", "text", "url").withColumn("body", F.md5(F.col("body").cast("binary")))
+    return outline.outline(pages, "page_id", "text", "url").drop("parts").withColumn("body", F.md5(F.col("body").cast("binary")))
+
+
+def _page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", outline.page_lines(F.col("html")).alias("text"))
+    return outline.outline(pages, "page_id", "text", "url", kind="page")
 
 
 @query()
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.sections(table(spark, sf_dir, "pages"), "page_id", "html", "html")
+    return _page_sections(spark, sf_dir).select("page_id", "ordinal", "level", "title", "body")
 
 
 @query()
 def chunk_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.chunk(table(spark, sf_dir, "pages"), "page_id", "html", "html", "url")
+    return chunks.chunk(_page_sections(spark, sf_dir), "page_id")
 
 
 @query()
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.chunk(table(spark, sf_dir, "documents"), "doc_id", "text", "markdown", "source")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", T.clean_markdown(F.col("text")).alias("text"))
+    return chunks.chunk(outline.outline(documents, "doc_id", "text", "source"), "doc_id")
 
 
 @query("SELECT conv_id, 'role is none of confianca' AS reason FROM conversations WHERE role IS NOT NULL UNION ALL SELECT conv_id, 'empty text' FROM conversations WHERE length(text) = 0 OR text IS NULL")

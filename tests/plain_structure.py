@@ -1,17 +1,13 @@
-"""Sections and structural chunks of HTML and Markdown: a document is walked once, in one Arrow-backed function."""
+"""Sections and structural chunks of HTML and Markdown by plain loops, to hold the library's against."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lodestar.functions.text import BOILERPLATE, NOISE_TAGS, clean_markdown
+from lodestar.functions.text import BOILERPLATE, NOISE_TAGS
 
 #: Elements that begin a line.
 BLOCK_TAGS = {
@@ -187,38 +183,3 @@ def structural_chunks(name: str, sections: list[Section], count: Callable[[str],
         room = max(1, ceiling - count(" > ".join(piece.path)) - 2)
         out += [Piece(piece.path, part) for part in split(piece.text, count, room)]
     return out
-
-
-def _cleaned(documents: DataFrame, text: str, kind: str) -> DataFrame:
-    return documents.withColumn(text, clean_markdown(F.col(text))) if kind == "markdown" else documents
-
-
-def chunk(documents: DataFrame, key: str, text: str, kind: str, name: str, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """``key``, ``ordinal`` (no gaps), ``path``, ``text`` (to be cited), ``indexed`` (breadcrumb and text) and ``n_tokens`` of
-    what is indexed. ``kind``: ``html`` or ``markdown``, which is cleaned first. Null and empty documents have no chunks."""
-    parse = {"html": html_sections, "markdown": markdown_sections}[kind]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, title, body in zip(frame[key], frame[name], frame[text], strict=True):
-                for i, p in enumerate(structural_chunks(title or "", parse(body), count) if body else []):
-                    path = " > ".join(p.path)
-                    indexed = f"{path}\n\n{p.text}"
-                    rows.append((k, i, path, p.text, indexed, count(indexed)))
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "path", "text", "indexed", "n_tokens"])
-
-    columns = list(dict.fromkeys([key, name, text]))
-    return _cleaned(documents.select(*columns), text, kind).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, path string, text string, indexed string, n_tokens long")
-
-
-def sections(documents: DataFrame, key: str, text: str, kind: str) -> DataFrame:
-    """``key``, ``ordinal``, ``level``, ``title``, ``body``."""
-    parse = {"html": html_sections, "markdown": markdown_sections}[kind]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, s.level, s.title, s.body) for k, body in zip(frame[key], frame[text], strict=True) for i, s in enumerate(parse(body) if body else [])]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "level", "title", "body"])
-
-    return _cleaned(documents.select(key, text), text, kind).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, ordinal long, level long, title string, body string")

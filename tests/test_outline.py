@@ -1,7 +1,8 @@
 import random
 
+import plain_structure as S
+
 from lodestar.sources import outline as O
-from lodestar.sources import structure as S
 
 LINES = [
     "# One", "## Two ##", "### Three", "#### Four #", "###### Six", "#no", "Title", "other words", "---", "===", "-----", "", "   ", "```", "~~~ x", "- item", "| a |", "# ", "#  spaced  ", "* * *", "----- x", "  indented",

@@ -1,5 +1,7 @@
+import plain_structure as structure
+
 from lodestar.operators import report
-from lodestar.sources import files, structure
+from lodestar.sources import files
 from lodestar.streaming import progress
 
 HTML = "<html><body><nav>menu</nav><main><h1>Title</h1><p>First words of a body.</p><h2>Part</h2><ul><li>One item that is long enough</li></ul><h3>Deep</h3><p>More text in here now.</p></main><footer>f</footer></body></html>"
@@ -48,12 +50,6 @@ def test_a_descendant_or_sister_changes_no_parent():
     assert structure.with_paths("d", [structure.Section(1, "A", ""), structure.Section(2, "B", "x")]) == [structure.Piece(("d", "A", "B"), "x")]
 
 
-def test_chunks_have_ordinals(spark):
-    df = spark.createDataFrame([(1, HTML, "t"), (2, None, "t"), (3, "", "t")], "page_id long, html string, url string")
-    rows = structure.chunk(df, "page_id", "html", "html", "url").collect()
-    assert [r.ordinal for r in rows] == list(range(len(rows))) and {r.page_id for r in rows} == {1} and rows[0].indexed.startswith(rows[0].path)
-
-
 def test_seeds_and_violations(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("nome: A\nano_fundacao: 2020\ncoletado_em: 2024-01-02\ngabarito: {classe: x}\ndocumentos:\n" + "".join(f"- {{tipo: {t}, titulo: t, url_fonte: 'https://x/{i}', conteudo_texto: '{'w' * 200}'}}\n" for i, t in enumerate(("site", "blog", "site"))))
     (tmp_path / "b.yaml").write_text("nome: B\ndocumentos: [{tipo: odd, titulo: t, url_fonte: ftp, conteudo_texto: short}]\n")

@@ -3,11 +3,11 @@
 import html as entities
 import re
 
+import plain_structure as S
 import pytest
 
 import __spark_entry__ as entry
 from lodestar.functions.text import BOILERPLATE, NOISE_TAGS
-from lodestar.sources import structure as S
 
 SF = "/root/testdata/sf0.001"
 
