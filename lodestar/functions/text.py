@@ -97,6 +97,23 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\r\f\v"))
 
 
+#: Elements inside a line.
+INLINE_TAGS = ("a", "strong", "b", "em", "i", "span", "abbr", "mark", "sup", "sub", "code")
+_INLINE = rf"(?i)</?(?:{'|'.join(INLINE_TAGS)})\b[^>]*>"
+
+
+def longest_block(html: Column) -> Column:
+    """The longest text among a page's ``<main>`` and ``<article>`` elements and its body, noise elements left out: elements inside a
+    line leave it whole, all others begin a line; lines are trimmed and empty ones go. Of equally long ones the first."""
+    bare = strip_noise_tags(html)
+    inside = lambda tag: F.regexp_extract_all(bare, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), 1)
+    body = F.coalesce(F.nullif(F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1), F.lit("")), bare)
+    lines = lambda block: F.split(strip_tags(F.regexp_replace(block, _INLINE, "")), "\n")
+    text = lambda block: F.array_join(F.filter(F.transform(lines(block), strip), lambda x: x != ""), "\n")
+    texts = F.transform(F.concat(inside("main"), inside("article"), F.array(body)), text)
+    return F.array_max(F.transform(texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("first"), t.alias("t"))))["t"]
+
+
 def one_gap(text: Column) -> Column:
     """Three line ends or more become two; no white space at either end."""
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))

@@ -81,9 +81,9 @@ def confusion(rows: DataFrame, expected: Column, found: Column) -> DataFrame:
 
 def rule_coverage(entities: DataFrame, rules: DataFrame, emitted: DataFrame, constant: list[str], entity: str) -> DataFrame:
     """Pairs of an entity and a rule that covers it (part of its sector's name, or one of its needs), and whether what was
-    emitted, or a constant answer, holds an expected value. ``rules`` is a small table that is sent to every task."""
+    emitted, or a constant answer, holds an expected value. ``rules`` is a list of a few rows."""
     covers = F.exists("sector_parts", lambda s: F.lower("sector").contains(s)) | F.array_contains("needs", F.col("need"))
-    pairs = entities.join(F.broadcast(rules), covers)
+    pairs = entities.join(rules, covers)
     answers = emitted.groupBy(entity).agg(F.collect_set("value").alias("values"))
     joined = pairs.join(answers, entity, "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
     trivial = F.array(*(F.lit(c) for c in constant))

@@ -290,7 +290,7 @@ def with_fallback(citations: DataFrame, needs: DataFrame, entity: str) -> DataFr
 def lookup(rows: DataFrame, exact: DataFrame, template: DataFrame, fallback: str) -> DataFrame:
     """Text of (technology, need), else the need's template with the technology filled in, else a fixed one. The two
     tables are lexicons of a few rows."""
-    joined = rows.join(F.broadcast(exact), ["technology", "need"], "left").join(F.broadcast(template), "need", "left")
+    joined = rows.join(exact, ["technology", "need"], "left").join(template, "need", "left")
     filled = F.replace("template", F.lit("{technology}"), F.col("technology"))
     return joined.withColumn("business", F.coalesce("exact_text", filled, F.lit(fallback))).drop("exact_text", "template")
 

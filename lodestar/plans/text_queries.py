@@ -122,6 +122,22 @@ def html_strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(bare.cast("binary")).alias("digest"), F.length(bare).cast("long").alias("n"))
 
 
+def _inside_sql(tag: str) -> str:
+    return rf"regexp_extract_all(h, '(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>', 1)"
+
+
+_LINE_TEXTS_SQL = rf"""list_transform(blocks, lambda b: array_to_string([y for y in [trim(z, {_WS}) for z in string_split(regexp_replace(regexp_replace(b, '{T._INLINE}', '', 'g'), '(?s)<[^>]+>', chr(10), 'g'), chr(10))] if y <> ''], chr(10)))"""
+
+
+@query(rf"""WITH n AS (SELECT page_id, {_NOISE_SQL} AS h FROM pages), c AS (SELECT page_id, list_concat({_inside_sql('main')}, {_inside_sql('article')}, [coalesce(nullif(regexp_extract(h, '(?is)<body\b[^>]*>(.*)</body\s*>', 1), ''), h)]) AS blocks FROM n WHERE h IS NOT NULL),
+t AS (SELECT page_id, {_LINE_TEXTS_SQL} AS texts FROM c), m AS (SELECT page_id, texts[list_position(list_transform(texts, lambda x: length(x)), list_max(list_transform(texts, lambda x: length(x))))] AS t FROM t)
+SELECT page_id, md5({_GAP_SQL.format(_KEPT_SQL.format('t'))}) AS digest, length(t)::BIGINT AS n FROM m""")
+def page_longest_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of a page's main parts, cleaned line by line."""
+    longest = table(spark, sf_dir, "pages").where("html is not null").select("page_id", T.longest_block(F.col("html")).alias("t"))
+    return longest.select("page_id", F.md5(T.clean_lines(F.col("t")).cast("binary")).alias("digest"), F.length("t").cast("long").alias("n"))
+
+
 def page_text() -> Column:
     return T.strip_tags(T.strip_noise_tags(F.col("html")))
 

@@ -57,3 +57,11 @@ def test_shorten(spark):
 def test_slug_and_newlines(spark):
     assert one(spark, " ACME é Nº 1!", T.slug(F.col("text"))) == "acme-e-n-1"
     assert one(spark, "a\r\nb\rc", T.normalise_newlines(F.col("text"))) == "a\nb\nc"
+
+
+def test_longest_block(spark):
+    t = F.col("text")
+    page = "<body><main>teaser</main><article><p>CEO of <a>Acme</a>.</p><p>More  words here</p></article><nav>menu that is much longer than all of the text here</nav></body>"
+    assert one(spark, page, T.longest_block(t)) == "teaser\nCEO of Acme.\nMore  words here"
+    assert one(spark, "<main>a</main><article>b</article>", T.longest_block(t)) == "a\nb" and one(spark, "", T.longest_block(t)) == ""
+    assert one(spark, "<html><body>x</body><article>much longer <b>than</b> it</article></html>", T.longest_block(t)) == "much longer than it"
