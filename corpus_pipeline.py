@@ -3,8 +3,8 @@
 Every stage works on all that its predecessor kept. Toxic documents, all but one of each group of near duplicates, and
 documents that leak a test item go; personal numbers become pseudonyms; what is left is packed.
 
-Defined results. A null or empty text is clean, has no near duplicates, leaks nothing, stays as it is, and is packed as its
-end token alone. Rows that repeat id and text stay or go together; of near duplicates the one with the smallest id, and of
+Defined results. A null or empty text has the machine's bias as its score, which is below the threshold unless toxic labels
+are the rule; it has no near duplicates, leaks nothing, stays as it is, and is packed as its end token alone. Rows that repeat id and text stay or go together; of near duplicates the one with the smallest id, and of
 equal ids the one with the smallest set's hash, stays; rows with a null id are no duplicates of one another. Texts are
 taken whole in every stage, however long. All columns of the documents are carried up to the last stage, whatever their
 names, which packs ``doc_id`` and ``text`` alone. No documents give no rows; no labels, no toxic documents; no test items, no

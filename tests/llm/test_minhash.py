@@ -88,3 +88,14 @@ def test_estimate_is_near():
     regs = minhash.registers(np.repeat([0, 1], [len(s) for s in sets]), np.concatenate(sets), 2)
     j = minhash.estimate(regs[:1], regs[1:], np.array([4500]), np.array([4500]))[0]
     assert abs(j - 0.8) < minhash.SLACK
+
+
+def test_very_long_texts(spark):
+    r = random.Random(17)
+    long = [f"w{r.randrange(30_000)}" for _ in range(300_000)]
+    near = list(long)
+    for i in range(0, len(near), 300):
+        near[i] = "edited"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long)), (4, "w1 " * 400_000), (5, "w1 " * 300_000 + "w2"), (6, " ".join(reversed(long)))]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5).collect()}
+    assert got == brute(dict(rows), 5)

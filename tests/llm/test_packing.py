@@ -53,3 +53,10 @@ def test_write_buckets(spark, tmp_path):
     packing.write_buckets(packed, f"file://{tmp_path}/b")
     back = spark.read.parquet(f"file://{tmp_path}/b")
     assert back.count() == packed.count()
+
+
+def test_a_very_long_text_is_packed_whole(spark):
+    text = "some words, and more of them. " * 60_000
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=False).where("doc_id = 1").collect()
+    n = len(packing.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)([text])[0]) + 1
+    assert sum(r.length for r in rows) == n == rows[0].doc_tokens and sorted(r.start for r in rows)[-1] < n and all(r.length <= 2048 for r in rows)
