@@ -8,14 +8,15 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import rules, sweeps
+from lodestar.functions.text import contains_any
+from lodestar.operators import evaluate, rules, sweeps
 from lodestar.sources import buckets
 from lodestar.sources.runs import Run
 from lodestar.sources.shared import keep, shared_dir
 
 from .registry import query, table
 from .report_queries import _PRIORITY
-from .rule_queries import _CLASS, _CONF_SQL, _DEEP_SQL, _LEVEL, _QUADRANT, _VETO, CLAIMS_SQL, EXCLUDED, _eligibility_sql, _graded, facts
+from .rule_queries import _CLASS, _CONF_SQL, _DEEP_SQL, _LEVEL, _QUADRANT, _VETO, CLAIMS_SQL, EXCLUDED, LEXICONS, _eligibility_sql, _graded, facts
 
 _PROFILES_SQL = f"""{_CONF_SQL}, {_DEEP_SQL}, low AS (SELECT source, ['baixa', 'media', 'alta'][min(list_position(['baixa', 'media', 'alta'], confidence))] AS confidence FROM graded GROUP BY source),
 out AS (SELECT DISTINCT source FROM ({_eligibility_sql()})),
@@ -77,6 +78,34 @@ def profile_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweeps.distributions(profiles(spark, sf_dir), ["class", "quadrant", "priority"])
 
 
+_TERM_ROWS = "(VALUES " + ", ".join(f"('{kind}', '{t}')" for kind, terms in LEXICONS.items() for t in terms) + ") l(kind, term)"
+
+
+@query(f"""WITH {_CONF_SQL}, gold AS (SELECT source, kind FROM documents JOIN {_TERM_ROWS} ON contains(lower(text), term) GROUP BY source, kind HAVING count(DISTINCT doc_id) >= 2),
+said AS (SELECT 'emitted' AS arm, source, kind FROM graded UNION ALL SELECT 'validated', source, kind FROM graded WHERE confidence <> 'baixa' UNION ALL SELECT DISTINCT 'constant', source, 'data' FROM documents),
+e AS (SELECT arm, source, (SELECT list_sort(list(DISTINCT kind)) FROM said WHERE said.arm = a.arm AND said.source = d.source) AS emitted, (SELECT list(DISTINCT kind) FROM gold WHERE gold.source = d.source) AS expected FROM (VALUES ('emitted'), ('validated'), ('constant')) a(arm), (SELECT DISTINCT source FROM documents) d),
+f AS (SELECT arm, coalesce(emitted, []::VARCHAR[]) AS emitted, coalesce(expected, []::VARCHAR[]) AS expected, len(list_intersect(coalesce(emitted, []::VARCHAR[]), coalesce(expected, []::VARCHAR[]))) AS hit FROM e)
+SELECT arm, round(avg(CASE WHEN len(emitted) > 0 THEN hit / len(emitted) WHEN len(expected) = 0 THEN 1.0 END), 6) AS precision, round(avg(CASE WHEN len(expected) > 0 THEN hit / len(expected) END), 6) AS recall,
+count(DISTINCT emitted) AS distinct_sets, count(*) AS entities FROM f GROUP BY arm""")
+def emitted_against_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and discrimination of the kinds of claims that are emitted, of those that are corroborated, and of a
+    constant answer; expected is what two documents of an entity or more speak of."""
+    documents, graded = table(spark, sf_dir, "documents"), keep(_graded(spark, sf_dir).select("source", "kind", "confidence"), "graded")
+    spoken = F.array_compact(F.array(*(F.when(contains_any(F.lower("text"), terms), F.lit(kind)) for kind, terms in LEXICONS.items())))
+    counted = documents.select("source", F.explode(spoken).alias("kind")).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
+    gold = counted.where("n >= 2").groupBy("source").agg(F.collect_set("kind").alias("expected"))
+    names = keep(documents.select("source").distinct().join(gold, "source", "left"), "gold")
+    listed = lambda rows: rows.groupBy("source").agg(F.collect_set("kind").alias("emitted"))
+    arms = {"emitted": listed(graded), "validated": listed(graded.where("confidence != 'baixa'")), "constant": names.select("source", F.array(F.lit("data")).alias("emitted"))}
+    none = F.array().cast("array<string>")
+    out = None
+    for arm, said in arms.items():
+        sets = names.join(said, "source", "left").select(F.coalesce("emitted", none).alias("emitted"), F.coalesce("expected", none).alias("expected"), none.alias("ambiguous"))
+        own = evaluate.precision_recall(sets, "emitted", "expected", "ambiguous").withColumn("arm", F.lit(arm))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 DESIGNS = {"none": (False, False), "both": (True, True), "verification": (True, False), "eligibility": (False, True)}
 _DESIGNS_SQL = "(VALUES " + ", ".join(f"('{n}', {v}, {e})" for n, (v, e) in DESIGNS.items()) + ") d(design, by_sign, by_eligibility)"
 
