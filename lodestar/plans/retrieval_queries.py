@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import fixed_windows
 from lodestar.functions.vectors import truncate
 from lodestar.operators import bounded, embed, evaluate, ranker, rules, search, substring_index, vector_index
 from lodestar.sources.shared import fingerprint, keep
@@ -373,6 +374,40 @@ def engine_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_by(engine_rows(spark, sf_dir), truth(spark, sf_dir), "doc_id", "query_id", "engine", ENGINES, (1, 3, 5))
 
 
+#: A chunk's id is its document's, this many times over, and its place.
+CHUNKS = 1_000_000
+_chunk_indexes: dict[tuple[str, str], tuple[search.Index, DataFrame]] = {}
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
+    """Index and vectors of the documents cut into fixed windows, made and stored once an application and state of the files."""
+    at = (spark.sparkContext.applicationId, fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if at not in _chunk_indexes:
+        cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fixed_windows(F.col("text"))).alias("at", "text"))
+        held = search.index(cut.select((F.col("doc_id") * CHUNKS + F.col("at")).alias("doc_id"), "text"), "doc_id", keep=keep)
+        _chunk_indexes[at] = held, keep(embed.vectors(held.postings, held, "doc_id"), "chunk-vectors")
+    return _chunk_indexes[at]
+
+
+_CUT_SQL = f"""documents AS (SELECT doc_id * {CHUNKS} + a // 680 AS doc_id, substr(text, a + 1, 800) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 800) / 680.0)::INT) * 680, 680)) AS a FROM documents) WHERE trim(substr(text, a + 1, 800), ' ') <> '')"""
+
+
+@query(f"""WITH {TRUTH_SQL}, {_CUT_SQL}, {bm25_sql(_ITEMS)}, {text_sql()}, e AS (SELECT 'lexical' AS engine, query_id, doc_id // {CHUNKS} AS doc_id, rank FROM lexical UNION ALL SELECT 'dense', query_id, doc_id // {CHUNKS}, rank FROM dense),
+f AS (SELECT engine, query_id, min(rank) AS first FROM e JOIN truth USING (query_id, doc_id) GROUP BY 1, 2)
+SELECT g.engine, k::BIGINT AS k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS recall, count(*) AS answerable
+FROM (SELECT DISTINCT query_id FROM truth) t CROSS JOIN (VALUES ('lexical'), ('dense')) g(engine) CROSS JOIN (VALUES (1), (3), (5)) v(k) LEFT JOIN f ON f.query_id = t.query_id AND f.engine = g.engine GROUP BY 1, 2""")
+def chunk_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engines over the other strategy, documents cut into fixed windows: a window stands for its document."""
+    held, vectors = chunk_index(spark, sf_dir)
+    asked = _asked(spark, sf_dir, "benchmark", "item_id", True).withColumnRenamed("item_id", "query_id")
+    lists = {
+        "lexical": search.bm25(held, asked, "doc_id", "query_id", POOL),
+        "dense": search.dense(vectors, embed.asked_vectors(search.asked_terms(asked, "query_id"), held, "query_id"), "doc_id", "query_id", POOL, not_own=False),
+    }
+    rows = [x.select(F.lit(n).alias("engine"), "query_id", F.floor(F.col("doc_id") / CHUNKS).cast("long").alias("doc_id"), "rank") for n, x in lists.items()]
+    return evaluate.recall_by(keep(reduce(DataFrame.union, rows), "engines"), truth(spark, sf_dir), "doc_id", "query_id", "engine", list(lists), (1, 3, 5))
+
+
 def trained_scores(spark: SparkSession, sf_dir: str, fused: DataFrame, right: DataFrame) -> DataFrame:
     """Scores of a reranker that is fitted on the other folds' items."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
