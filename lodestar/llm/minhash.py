@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .banding import exact_links, exact_pairs, open_rows, shared_buckets, sized, star_pairs
 from .blocks import BLOCK, together
@@ -247,5 +248,23 @@ def keep_one(documents: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     placed = _grouped(documents, shingle_words, percent)
     other = (F.col("keeper.doc_id") != F.col("doc_id")) | (F.col("keeper.class") != F.col("class"))
     gone = save(placed.where(other).select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text")).distinct(), "gone")
-    same = (documents["doc_id"] == gone["__gone_id"]) & (F.xxhash64(documents["text"].cast("string")) == gone["__gone_text"])
-    return documents.join(gone, same, "left_anti").select(*own_columns(documents))
+    drop(placed)  # the tables that it reads are of this module alone
+    # rows that the filter clears stay as they are read; only the others' texts are shuffled, where the planner does so
+    key = F.xxhash64("doc_id", F.xxhash64(F.col("text").cast("string")))
+    held = documents.sparkSession.sparkContext.broadcast(build(gone.select(F.xxhash64("__gone_id", "__gone_text").alias("key")), "key"))
+    # in Arrow the columns have plain names, whatever they are called
+    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(documents.schema.fields)]
+    keyed = documents.select(*(c.alias(f.name) for c, f in zip(own_columns(documents), fields, strict=True)), key.alias("key"))
+    plain, names = [f.name for f in fields], documents.columns
+
+    def that(may: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = may_hold(held.value, batch.column("key").to_numpy().view(np.uint64)) == may
+                yield batch.filter(pa.array(rows)).select(plain)
+
+        return keyed.mapInArrow(run, StructType(fields)).toDF(*names)
+
+    maybe = that(True)
+    same = (maybe["doc_id"] == gone["__gone_id"]) & (F.xxhash64(maybe["text"].cast("string")) == gone["__gone_text"])
+    return that(False).union(maybe.join(gone, same, "left_anti").select(*own_columns(documents)))
