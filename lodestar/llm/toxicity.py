@@ -36,6 +36,7 @@ from .textkernel import PUNCT, mix, pieces, prefixes, words
 
 BITS = 24
 PREFIXES = (4, 5, 6)
+PIECE = 2 << 20  # bytes of text that a task hashes at a time
 LARGEST = 8  # a text takes at most this part of its label's terms
 
 
@@ -72,7 +73,7 @@ def _sample(documents: DataFrame, labels: DataFrame, positives: int, negatives:
     key = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             rows, ids = _distinct(*_terms(batch))
             at = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             terms = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
@@ -227,27 +228,23 @@ def _forward(row: np.ndarray, col: np.ndarray, n: int, bias: float, w: np.ndarra
     return bias + _sum_by(row, w[col], n) + 0.5 * (sums**2 - _sum_by(row, v[col] ** 2, n)).sum(axis=1), sums
 
 
-def _scores(batch: pa.RecordBatch, machine: Machine, place: np.ndarray) -> np.ndarray:
+def _scores(batch: pa.RecordBatch, machine: Machine) -> np.ndarray:
     rows, ids = _terms(batch)
-    col = place[ids]
-    rows, col = _distinct(rows[col >= 0], col[col >= 0].astype(np.int64))
+    if not len(machine.terms):
+        return np.full(batch.num_rows, 1 / (1 + np.exp(-machine.bias)))
+    col = np.minimum(np.searchsorted(machine.terms, ids), len(machine.terms) - 1)
+    known = machine.terms[col] == ids
+    rows, col = _distinct(rows[known], col[known])
     s, _ = _forward(rows, col, batch.num_rows, machine.bias, machine.weights, machine.vectors)
     return 1 / (1 + np.exp(-np.clip(s, -500, 500)))
 
 
-def _places(machine: Machine) -> np.ndarray:
-    place = np.full(1 << BITS, -1, np.int32)
-    place[machine.terms] = np.arange(len(machine.terms))
-    return place
-
-
 def score(documents: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
     """``doc_id`` and the chance that label 1 holds, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = _places(machine)
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch, machine, place))], ["doc_id", column])
+        for batch in pieces(batches, most=PIECE):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch, machine))], ["doc_id", column])
 
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, {column} double")
@@ -257,8 +254,7 @@ def not_toxic(documents: DataFrame, machine: Machine, threshold: float = 0.3) ->
     """The rows of ``documents`` that score below ``threshold``; all columns, whole rows, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = _places(machine)
-        for batch in pieces(batches):
-            yield batch.filter(pa.array(_scores(batch, machine, place) < threshold))
+        for batch in pieces(batches, most=PIECE):
+            yield batch.filter(pa.array(_scores(batch, machine) < threshold))
 
     return documents.mapInArrow(run, documents.schema)
