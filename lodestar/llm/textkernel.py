@@ -40,7 +40,7 @@ class Words(NamedTuple):
     offsets: np.ndarray
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` text bytes, one row at least, so memory follows that and not the batch."""
     for batch in batches:
         sizes = np.diff(_flat(batch.column(column))[1])
