@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import contains_any, long_sentences, starts_word, vetoed_by_third_party
 
-from . import substring_index
-from .substring_index import GramIndex
+from . import occurrences
 from .tables import placed
 
 #: Ordinal scales, low to high.
@@ -201,17 +200,24 @@ def guarded(rows: DataFrame, steps: dict[str, tuple[Column, Column]]) -> DataFra
     return made.withColumn("errors", F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in fine.items()))))
 
 
-def cross_mentions(documents: DataFrame, names: DataFrame, owner: str, key: str, grams: GramIndex | None = None) -> DataFrame:
-    """Documents (``key``, ``owner``, ``text``) that hold the ``name`` of another entity, within bounds that dots and hyphens
-    don't make; two names of which one holds the other are no finding. Names meet only the documents that share their rarest
-    trigrams, by a stored index or one that is made here."""
-    own, other = F.lower(owner), F.lower("name")
+def mentions(documents: DataFrame, names: DataFrame, *carried: str) -> DataFrame:
+    """The ``carried`` columns of documents (``text``) beside each ``name`` that they hold within bounds that dots and hyphens
+    don't make. One pass over the texts, which go no further."""
     bounded = F.rlike("text", F.concat(F.lit(r"(^|[^\w.-])\Q"), F.col("name"), F.lit(r"\E($|[^\w-])")))
-    apart = ~own.contains(other) & ~other.contains(own)
-    listed = names.where(F.length("name") > 0).select("name", F.col("name").alias("__pattern")).distinct()
-    held = grams or substring_index.index(documents.select(key, "text"), key)
-    found = substring_index.holding(held, documents, listed, "__pattern", "name", key, apart & F.col("text").contains(F.col("name")) & bounded)
-    return found.select(*documents.columns, "name")
+    listed = names.where(F.length("name") > 0).select("name").distinct()
+    return occurrences.holding(documents, listed, "name", "text", *dict.fromkeys((*carried, "text"))).where(bounded).select(*carried, "name")
+
+
+def apart(owner: str, name: str = "name") -> Column:
+    """Neither of two names holds the other."""
+    own, other = F.lower(owner), F.lower(name)
+    return ~own.contains(other) & ~other.contains(own)
+
+
+def cross_mentions(documents: DataFrame, names: DataFrame, owner: str, key: str) -> DataFrame:
+    """:func:`mentions` of another entity's name in documents (``key``, ``owner``, ``text``); two names of which one holds the other
+    are no finding."""
+    return mentions(documents, names, *documents.columns).where(apart(owner))
 
 
 def best_text_per_group(rows: DataFrame, group: str, url: str) -> DataFrame:
