@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestar.sources.shared import keep, shared_dir
 
-from .search import _best_of_pairs, _by_length, packed, top
+from .search import _best_of_pairs, _by_length, dense, packed, top
 
 OTHERS = -1  # the cell of vectors of another length
 SPREAD = 8  # tasks that write a cell, so that a hot one is no single task's
@@ -100,13 +100,17 @@ def build(vectors: DataFrame, key: str, vector: str = "embedding", cells: int =
 
 
 def search(held: VectorIndex, queries: DataFrame, query_key: str, k: int, probes: int | None, vector: str = "embedding", block: int = 1024, not_own: bool = True) -> DataFrame:
-    """Top ``k`` by cosine of each query among the vectors of its ``probes`` nearest cells, all cells if None."""
+    """Top ``k`` by cosine of each query among the vectors of its ``probes`` nearest cells, all cells if None. With all cells a query
+    is sent once, not once a cell; otherwise a cell's vectors are dealt over its share of the shuffle partitions, and a query
+    goes to these alone, so that what is sent does not grow with cells times partitions."""
     spark, kind = queries.sparkSession, dict(queries.dtypes)[query_key]
-    probes = len(held.centres) if probes is None else min(probes, len(held.centres))
+    if probes is None or probes >= len(held.centres):
+        asked = queries.select(query_key, F.col(vector).cast("array<double>").alias("embedding"))
+        return dense(held.table(spark).select(held.key, "embedding"), asked, held.key, query_key, k, block=block, not_own=not_own)
     asked = _assigned(queries.select(query_key, F.col(vector).cast("array<double>").alias("v")), query_key, "v", held.size, held.centres, max(1, probes), kind)
     wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # cells + 1 rows at most
     rows = held.table(spark).where(F.col("cell").isin(wanted)) if wanted else held.table(spark).where("false")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(held.centres)))
     own = packed(rows, held.key, "embedding", 4 * block, "cell").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
     near = packed(asked.repartition("cell"), query_key, "v", block, "cell").select("size", "cell", F.col("ids").alias("asked"), F.col("matrix").alias("asking"), F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part"))
     kinds = dict(rows.dtypes)[held.key], kind

@@ -63,3 +63,22 @@ def test_empty(spark):
     assert vector_index.search(held, asks, "q", 3, 2).count() == 0
     few = vector_index.build(spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], SCHEMA), "id", cells=64)
     assert lists(vector_index.search(few, asks, "q", 3, None)) == {1: [(2, 0.8)]}
+
+
+def test_what_is_sent_does_not_grow_with_cells_times_partitions(spark, rows, monkeypatch):
+    """With all cells a query block is sent once a partition, with some once a cell and share of the partitions."""
+    vectors, queries = spark.createDataFrame(rows, SCHEMA), asked(spark, rows).coalesce(1)
+    held = vector_index.build(vectors, "id", cells=8)
+    sent = []
+    pairs = search._best_of_pairs
+
+    def counted(met, *args):
+        sent.append(met.select("asked", "part", *(c for c in met.columns if c == "cell")).distinct().count())
+        return pairs(met, *args)
+
+    monkeypatch.setattr(search, "_best_of_pairs", counted)
+    monkeypatch.setattr(vector_index, "_best_of_pairs", counted)
+    vector_index.search(held, queries, "q", 7, None)
+    vector_index.search(held, queries, "q", 7, 4)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sent[0] <= 2 * parts and sent[1] <= 2 * 9 * -(-parts // 8)
