@@ -170,3 +170,12 @@ def test_tables(spark, tmp_path):
         tables.run_path("/x", "../etc")
     tables.save_run(old, f"file://{tmp_path}", "run-1")
     assert spark.read.json(f"file://{tmp_path}/run-1").count() == 2
+
+
+def test_payload_is_nested_by_source(spark, tmp_path):
+    from lodestar.plans import rule_queries
+
+    rows = [(1, "a", "s", "en"), (0, "b", "s", "fr"), (3, None, "s", None), (200_000, "c", "s", "de"), (2, "d", "t", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rule_queries.payload_drop_nested(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("s", 0, "0 fr,1 en", 3), ("s", 2, "200000 de", 1), ("t", 0, "2 en", 1)]
