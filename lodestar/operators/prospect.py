@@ -39,25 +39,27 @@ def _scored(held: Index, asked: DataFrame, keys: list[str], key: str) -> DataFra
     return asked.join(rarity, "term").join(held.postings, "term").groupBy(*keys, key).agg(F.sum(F.col("idf") * F.col("tf") / (1 + F.col("tf"))).alias("score"))
 
 
-def answered(plans: DataFrame, held: Index, documents: DataFrame, needs: dict[str, list[str]], key: str, doc: str, entity: str, sector: str, entities: int = 3, cited: int = 1) -> DataFrame:
+def answered(plans: DataFrame, held: Index, documents: DataFrame, needs: dict[str, list[str]], key: str, doc: str, entity: str, sector: str, entities: int = 3, cited: int = 1, best: DataFrame | None = None) -> DataFrame:
     """``key``, ``entity``, ``entity_place``, ``need``, ``need_place``, ``doc`` and ``score``: of each request the best ``entities`` and,
     for each of its needs in their order (all needs, where it names none), the ``cited`` best of the entity's documents.
 
     ``documents``: ``doc``, ``entity``, ``sector``, without texts. A request without keywords ranks the entities of its sectors by
-    name; one that names nothing at all has no answer. An entity without a document for a need has no row for it."""
+    name; one that names nothing at all has no answer. An entity without a document for a need has no row for it. ``best`` (``key``,
+    ``entity``, ``best``) may give the best entities of the requests with keywords (:func:`heaviest.best`); ``held`` then needs only the
+    terms of ``needs``. Otherwise every pair of a request and a document that share a term is scored from postings."""
     small = documents.select(doc, entity, sector)
     wanted = plans.where(F.size("keywords") + F.size("sectors") + F.size("needs") > 0)
-    asked = wanted.select(key, F.explode("keywords").alias("term"))
-    hits = _scored(held, asked, [key], doc).join(small, doc)
     bare = small.select(entity, sector).distinct()
     allowed = wanted.select(key, F.explode_outer("sectors").alias("wanted"), (F.size("keywords") > 0).alias("spoken"))
     # a request's entities: of its sectors, if it names any, and with a hit, if it has keywords
-    by_hit = hits.groupBy(key, entity, sector).agg(F.max("score").alias("best")).join(allowed, key).where("wanted is null or wanted = " + sector)
+    if best is None:
+        hits = _scored(held, wanted.select(key, F.explode("keywords").alias("term")), [key], doc).join(small, doc)
+        best = hits.groupBy(key, entity, sector).agg(F.max("score").alias("best")).join(allowed, key).where("wanted is null or wanted = " + sector)
     by_name = allowed.where("not spoken and wanted is not null").join(bare, F.col("wanted") == F.col(sector)).select(key, entity, F.lit(0.0).alias("best"))
     free = allowed.where("not spoken and wanted is null").select(key)
     first = bare.select(entity).distinct().orderBy(entity).limit(entities)
     by_need = free.crossJoin(F.broadcast(first)).select(key, entity, F.lit(0.0).alias("best"))  # ``entities`` rows
-    ranked = by_hit.select(key, entity, "best").union(by_name).union(by_need).groupBy(key, entity).agg(F.round(F.max("best"), 6).alias("best"))
+    ranked = best.select(key, entity, "best").union(by_name).union(by_need).groupBy(key, entity).agg(F.round(F.max("best"), 6).alias("best"))
     chosen = top(ranked, key, "best", entity, entities).select(key, entity, F.col("rank").alias("entity_place"))
     every = F.array(*map(F.lit, needs))
     of_needs = plans.select(key, F.posexplode(F.when(F.size("needs") > 0, F.col("needs")).otherwise(every)).alias("need_place", "need"))
@@ -65,8 +67,8 @@ def answered(plans: DataFrame, held: Index, documents: DataFrame, needs: dict[st
     # a need's documents are scored once, whatever the number of requests that ask for it
     lexicon = documents.sparkSession.createDataFrame([(n,) for n in needs], "need string").select("need", F.explode(terms).alias("term"))
     of_need = _scored(held, lexicon, ["need"], doc).join(small.select(doc, entity), doc)
-    best = of_need.withColumn("p", F.row_number().over(W.partitionBy("need", entity).orderBy(F.desc(F.round("score", 6)), doc))).where(F.col("p") <= cited)
-    out = chosen.join(of_needs, key).join(best, ["need", entity])
+    of_entity = of_need.withColumn("p", F.row_number().over(W.partitionBy("need", entity).orderBy(F.desc(F.round("score", 6)), doc))).where(F.col("p") <= cited)
+    out = chosen.join(of_needs, key).join(of_entity, ["need", entity])
     return out.select(key, entity, F.col("entity_place").cast("long").alias("entity_place"), "need", (F.col("need_place") + 1).cast("long").alias("need_place"), doc, F.round("score", 6).alias("score"))
 
 
