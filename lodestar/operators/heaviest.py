@@ -1,11 +1,13 @@
 """The best entities of many requests by their best document, without the pairs of a request and a document that cannot matter.
 
-Requests are handled in blocks of at most ``BLOCK_TERMS`` rows of a request and a term. One pass over the texts stores a short row a text,
-with the asked terms that it holds. The texts with most asked terms, ``SEEDS`` an entity and ``SECTOR_SEEDS`` a sector at most, give a
-score that the last entity of a request's list reaches at least. The rows are then read in slices of like length and one sector:
-of each slice the greatest part of every term is known, so a request's commonest terms, as long as all their parts together stay
-below its score, bring no text of the slice into the list. Only postings of its other terms are added up, and what the common
-ones add is looked up from the rarest on, as long as the text can still reach the score. The lists are those of all pairs.
+One pass over the texts stores a short row a text, with the terms that any request asks; only if these are more than ``VOCABULARY``
+are there more passes. Equal rows of one entity, and requests of equal terms and sectors, are scored once. Requests are then handled
+in blocks of at most ``BLOCK_TERMS`` rows of a request and a term, which read the short rows alone. The texts with most asked terms,
+``SEEDS`` an entity and ``SECTOR_SEEDS`` a sector at most, give a score that the last entity of a request's list reaches at least. The
+rows are read in slices of like length and one sector: of each slice the greatest part of every term is known, so a request's
+commonest terms, as long as all their parts together stay below its score, bring no text of the slice into the list. Only postings
+of its other terms are added up, and what the common ones add is looked up from the rarest on, as long as the text can still reach
+the score. The lists are those of all pairs.
 """
 
 from __future__ import annotations
@@ -20,33 +22,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .search import Index
+from .search import Index, top
 from .stated import Keep, counted
 
-BLOCK_TERMS = 4_000_000  # of a request and a term
+VOCABULARY = 4_000_000  # terms that are looked up in one pass over the texts
+BLOCK_TERMS = 8_000_000  # of a request and a term
 SEEDS, SECTOR_SEEDS = 8, 256
-TEXTS, POSTINGS = 256, 100_000  # of a slice, at most; of one text any number
+TEXTS, POSTINGS = 256, 6_000  # of a slice, at most; of one text any number
+SLICES, REQUESTS = 32, 2_048  # that are bounded at a time
+FOUND = 100_000  # scores that are given back at a time
 PAIRS = 1_000_000  # of a request and a text that are added up at a time
 SLACK = 2e-6  # scores are compared as they are rounded
 
 
 class Block(NamedTuple):
-    """The short ``rows`` of the texts (key, entity, sector, ``dl``, ``term``, ``tf``) over ``terms``, with each one's number of texts and
-    greatest number in a text."""
+    """The short ``rows`` of the texts (key, ``dl``, ``term``, ``tf``) over ``terms``, with each one's number of texts, the number of all texts, and
+    ``texts``, the rows that differ (entity, sector, ``dl``, ``term``, ``tf`` and ``first``, the least key of equal ones)."""
 
     rows: DataFrame
+    texts: DataFrame
     terms: pa.Array
     df: np.ndarray
     n: int
 
 
 class _Requests(NamedTuple):
-    """Requests by number: the terms of request i, from the commonest to the rarest, are ``term[start[i]:start[i + 1]]``."""
+    """Requests by number: the terms of request i, from the commonest to the rarest, are ``term[start[i]:start[i + 1]]``. ``alike`` has requests of
+    like length: the first and last of them, and a line for each of their terms, filled up with the number that is no term's."""
 
     number: np.ndarray
     term: np.ndarray
     start: np.ndarray
     floor: np.ndarray
+    alike: list[tuple[int, int, np.ndarray]]
+
+
+class _Scratch(NamedTuple):
+    """Arrays that the slices of a task share, all zero between them but for ``column`` and ``last``. By term: greatest part, column, whether
+    it is looked up, and its line in the table. By pair of a request and a text: the sum, and the last posting."""
+
+    most: np.ndarray
+    column: np.ndarray
+    asked: np.ndarray
+    line: np.ndarray
+    total: np.ndarray
+    last: np.ndarray
+
+
+def _scratch(terms: int, pairs: int) -> _Scratch:
+    return _Scratch(np.zeros(terms), np.zeros(terms, np.int64), np.zeros(terms, bool), np.zeros(terms, np.int64), np.zeros(pairs), np.zeros(pairs, np.int64))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -62,40 +86,58 @@ def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def block(documents: DataFrame, asked: DataFrame, key: str, entity: str, sector: str, keep: Keep) -> Block:
-    """The part of the corpus that the ``asked`` terms (``term``) need. Each text's row is dealt by its key, and a part's rows are in order
-    of sector and length."""
-    terms = asked.select("term").distinct().toArrow().column("term").combine_chunks()
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    short = counted(documents, key, terms, carried=(entity, sector)).repartition(parts, key).sortWithinPartitions(sector, "dl")
-    rows = keep(short, "asked-rows")
-    found = rows.select(F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a row a term
-    df = np.zeros(len(terms), np.int64)
+    """The part of the corpus that the ``asked`` terms (``term``, distinct) need. Parts of the rows that differ are in order of sector and
+    length."""
+    terms = asked.toArrow().column("term").combine_chunks()
+    rows = keep(counted(documents, key, terms, carried=(entity, sector)), "asked-rows")
+    same = rows.groupBy(entity, sector, "dl", "term", "tf").agg(F.min(key).alias("first"))
+    texts = keep(same.sortWithinPartitions(sector, "dl"), "asked-texts")
+    many = len(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(many, np.int64)
+        for batch in batches:
+            df += np.bincount(pc.list_flatten(batch.column("term")).to_numpy(), minlength=many)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(df[held])], ["term", "df"])
+
+    found = rows.select("term").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
+    df = np.zeros(many, np.int64)
     df[found.column("term").to_numpy()] = found.column("df").to_numpy()
-    return Block(rows, terms, df, rows.count())
+    return Block(rows, texts, terms, df, rows.count())
 
 
 def index(held: Block, key: str, terms: list[str]) -> Index:
     """The index of a few of the block's terms, from its rows alone."""
     spark, place = held.rows.sparkSession, pc.index_in(pa.array(terms, pa.string()), value_set=held.terms).to_pylist()
     named = spark.createDataFrame([(p, t, int(held.df[p])) for p, t in zip(place, terms, strict=True)], "place int, term string, df long")
-    wanted = F.array(*(F.lit(p) for p in place)).cast("array<int>")
-    own = F.filter(F.arrays_zip("term", "tf"), lambda x: F.array_contains(wanted, x["term"]))
-    each = held.rows.select(key, "dl", F.explode(own).alias("x")).select(F.col("x.term").alias("place"), key, "dl", F.col("x.tf").cast("long").alias("tf"))
+    wanted = pa.array(place, pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, flat = _lists(batch.column("term"))
+            there = np.flatnonzero(pc.is_in(flat, value_set=wanted).to_numpy(zero_copy_only=False))
+            row = pa.array(np.searchsorted(at, there, "right") - 1)
+            own = [flat.take(pa.array(there)), *(batch.column(c).take(row) for c in (key, "dl")), pc.list_flatten(batch.column("tf")).take(pa.array(there)).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, ["place", key, "dl", "tf"])
+
+    each = held.rows.select(key, "dl", "term", "tf").mapInArrow(run, f"place int, {key} {dict(held.rows.dtypes)[key]}, dl long, tf long")
     postings = each.join(F.broadcast(named.select("place", "term")), "place").drop("place")  # the given terms
     return Index(postings, named.where("df > 0").select("term", "df"), spark.createDataFrame([(held.n,)], "n long"))
 
 
-def _seeds(held: Block, key: str, entity: str, sector: str) -> pa.Table:
-    size = held.rows.select(key, entity, sector, F.size("term").alias("size")).where("size > 0")
-    first = size.withColumn("p", F.row_number().over(W.partitionBy(sector, entity).orderBy(F.desc("size"), key))).where(F.col("p") <= SEEDS)
-    few = first.withColumn("p", F.row_number().over(W.partitionBy(sector).orderBy(F.desc("size"), key))).where(F.col("p") <= SECTOR_SEEDS)
-    return held.rows.join(F.broadcast(few.select(key)), key, "left_semi").select(entity, sector, "term", "tf").toArrow()  # some of a sector
+def _seeds(held: Block, entity: str, sector: str) -> pa.Table:
+    size = held.texts.select("first", entity, sector, F.size("term").alias("size")).where("size > 0")
+    by = F.desc("size"), "first"
+    some = size.withColumn("p", F.row_number().over(W.partitionBy(sector, entity).orderBy(*by))).where(F.col("p") <= SEEDS)
+    few = some.withColumn("p", F.row_number().over(W.partitionBy(sector).orderBy(*by))).where(F.col("p") <= SECTOR_SEEDS)
+    return held.texts.join(F.broadcast(few.select("first")), "first", "left_semi").select(entity, sector, "term", "tf").toArrow()  # some of a sector
 
 
-def _floors(held: Block, requests: DataFrame, key: str, entity: str, sector: str, doc: str, entities: int) -> DataFrame:
+def _floors(held: Block, requests: DataFrame, key: str, entity: str, sector: str, entities: int) -> DataFrame:
     """``key``, ``sectors``, ``places`` of the terms that occur, from the commonest to the rarest, and ``floor``: what the last of the best
     ``entities`` among the seeds has, 0 where there are fewer."""
-    told = _seeds(held, doc, entity, sector).combine_chunks()
+    told = _seeds(held, entity, sector).combine_chunks()
     # seeds in order of their entities
     owner = told.column(entity).combine_chunks().dictionary_encode().indices if told.num_rows else pa.array([], pa.int32())
     by = np.argsort(pc.fill_null(owner, -1).to_numpy(zero_copy_only=False), kind="stable")
@@ -146,131 +188,236 @@ def _floors(held: Block, requests: DataFrame, key: str, entity: str, sector: str
     return requests.select(key, "sectors", "keywords").mapInArrow(run, f"{key} {dict(requests.dtypes)[key]}, sectors array<string>, places array<int>, floor double")
 
 
-def _slices(batch: pa.RecordBatch, sector: str) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of one sector, of ``TEXTS`` rows and ``POSTINGS`` terms at most, or of one row."""
+def _requests(number: np.ndarray, term: np.ndarray, start: np.ndarray, floor: np.ndarray, none: int) -> _Requests:
+    """The requests ``number`` of all, by length."""
+    lengths = start[number + 1] - start[number]
+    by = np.argsort(lengths, kind="stable")
+    number, lengths = number[by], lengths[by]
+    # rounded up by an eighth at most
+    step = 2 ** np.maximum(0, np.frexp(lengths)[1] - 4)
+    rounded = -(-lengths // step) * step
+    ends = np.append(np.flatnonzero(rounded[1:] != rounded[:-1]) + 1, len(number)) if len(number) else np.zeros(0, np.int64)
+    alike = []
+    for a, b in zip(np.append(0, ends), ends, strict=False):
+        place = np.arange(int(rounded[a]))[:, None]
+        at = np.minimum(start[number[a:b]] + place, start[number[a:b] + 1] - 1)
+        alike.append((int(a), int(b), np.where(place < lengths[a:b], term[at], none)))
+    return _Requests(number, term[_spread(start[number], lengths)], np.append(0, np.cumsum(lengths)), floor[number], alike)
+
+
+def _slices(batch: pa.RecordBatch, sector: str, texts: int, postings: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of one sector, and where they are cut into at most ``SLICES`` runs of ``texts`` rows and ``postings`` terms at most, or of one row."""
     code = pc.fill_null(batch.column(sector).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
     ends, _ = _lists(batch.column("term"))
     change = np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, batch.num_rows)
-    a = 0
-    while a < batch.num_rows:
-        b = min(a + TEXTS, int(change[np.searchsorted(change, a, "right")]), int(np.searchsorted(ends, ends[a] + POSTINGS, "right")) - 1)
-        b = max(a + 1, b)
-        yield batch.slice(a, b - a)
-        a = b
-
-
-def _of_slice(asks: _Requests, idf: np.ndarray, many: int, row: np.ndarray, term: np.ndarray, tf: np.ndarray, texts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Requests, texts and scores of the pairs that reach the requests' floors."""
-    by = np.argsort(term, kind="stable")
-    row, term, share = row[by], term[by], (tf / (1 + tf))[by]
+    cuts = [0]
+    while cuts[0] < batch.num_rows:
+        a, end = cuts[-1], int(change[np.searchsorted(change, cuts[0], "right")])
+        if a == end or len(cuts) > SLICES:
+            yield batch.slice(cuts[0], a - cuts[0]), np.array(cuts) - cuts[0]
+            cuts = [a]
+        else:
+            cuts.append(max(a + 1, min(a + texts, end, int(np.searchsorted(ends, ends[a] + postings, "right")) - 1)))
+
+
+def _live(asks: _Requests, parts: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Requests and slices of which the greatest ``parts`` together (a line a term, which ``line`` tells by the term's number, and a column a
+    slice) reach the floor."""
+    slices, out = parts.shape[1], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for first, end, terms in asks.alike:
+        for a in range(first, end, REQUESTS):
+            b = min(end, a + REQUESTS)
+            bound, part = np.zeros((b - a, slices), np.float32), np.empty((b - a, slices), np.float32)
+            for own in terms[:, a - first : b - first]:
+                parts.take(line[own], axis=0, out=part, mode="clip")
+                bound += part
+            low = (asks.floor[a:b] - SLACK) * (1 - 1.2e-7 * (len(terms) + 8))  # by as much as single precision may lose
+            at = np.flatnonzero((bound >= low.astype(np.float32)[:, None]) & (bound > 0))
+            out.append((at // slices + a, at % slices))
+    request, of = map(np.concatenate, zip(*out, strict=True))
+    by = np.argsort(of, kind="stable")
+    return request[by], of[by]
+
+
+def _of_slices(asks: _Requests, idf: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, cuts: np.ndarray, pairs: int, scratch: _Scratch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Requests, texts and scores of the pairs that reach the requests' floors. The texts are cut into slices of like length."""
+    of = np.searchsorted(cuts, row, "right") - 1
+    pair = of * len(idf) + term
+    by = np.argsort(pair, kind="stable")
+    row, term, tf, pair = row[by], term[by], tf[by], pair[by]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    most, own, slices = np.maximum.reduceat(tf, first), term[first], len(cuts) - 1
+    held = np.unique(own)
+    line = np.zeros(len(idf) + 1, np.int64)  # the first line is that of terms which no text has
+    line[held] = 1 + np.arange(len(held))
+    parts = np.zeros((len(held) + 1, slices), np.float32)
+    parts[line[own], pair[first] // len(idf)] = most / (1 + most) * idf[own]
+    live, of = _live(asks, parts, line)
+    some, posted = np.searchsorted(of, np.arange(slices + 1)), np.searchsorted(pair, np.arange(slices + 1) * len(idf))
+    for i in np.flatnonzero(some[1:] > some[:-1]):
+        a, b = posted[i], posted[i + 1]
+        for request, text, score in _of_slice(asks, live[some[i] : some[i + 1]], idf, row[a:b] - cuts[i], term[a:b], tf[a:b], int(cuts[i + 1] - cuts[i]), pairs, scratch):
+            yield request, text + cuts[i], score
+
+
+def _of_slice(asks: _Requests, live: np.ndarray, idf: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, texts: int, pairs: int, scratch: _Scratch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of one slice, whose postings are in order of their terms, and the requests ``live``."""
+    most, column, asked, line, total, last = scratch
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
     own, sizes = term[first], np.diff(np.append(first, len(term)))
-    most, column = np.zeros(many), np.full(many, -1)
-    most[own], column[own] = np.maximum.reduceat(share, first) * idf[own], np.arange(len(own))
-    table = np.zeros(len(own) * texts)
-    table[np.repeat(np.arange(len(own)), sizes) * texts + row] = share
-    part = most[asks.term]
-    upto = np.append(0.0, np.cumsum(part))  # of all requests' terms before this one
-    low = asks.floor - SLACK
-    live = np.flatnonzero((upto[asks.start[1:]] - upto[asks.start[:-1]] >= low) & (upto[asks.start[1:]] > upto[asks.start[:-1]]))
-    lengths = asks.start[live + 1] - asks.start[live]
-    entry, ask = _spread(asks.start[live], lengths), np.repeat(live, lengths)
+    shares = np.arange(tf.max() + 1.0)
+    shares /= 1 + shares
+    most[own], column[own] = shares[np.maximum.reduceat(tf, first)] * idf[own], np.arange(len(own))
+    lengths, low = asks.start[live + 1] - asks.start[live], asks.floor[live] - SLACK
+    entry, ends = asks.term[_spread(asks.start[live], lengths)], np.cumsum(lengths)
+    begins, part = ends - lengths, most[entry]
+    most[own] = 0
+    # what a pair must have before this term and all commoner ones are looked up
+    upto = np.cumsum(part)
+    due = np.repeat(low + upto[begins] - part[begins], lengths) - upto
     # the common terms that cannot reach the floor together, and so bring no text into the list
-    needed = upto[entry + 1] - upto[asks.start[ask]] >= low[ask]
-    split = asks.start[live + 1] - np.add.reduceat(needed.astype(np.int64), np.cumsum(lengths) - lengths) if len(live) else live
-    ended = np.zeros(len(asks.floor), np.int64)
-    ended[live] = split
-    used = needed & (part[entry] > 0)
-    entry, ask = entry[used], ask[used]
-    times = sizes[column[asks.term[entry]]]
-    whole = np.cumsum(times)
-    a = 0
-    while a < len(entry):
-        before = whole[a] - times[a]
-        b = int(np.searchsorted(whole, before + PAIRS, "right"))
-        if b < len(entry):  # a request's terms stay together
-            b = int(np.searchsorted(ask, ask[max(a, b - 1)], "left"))
-            b = b if b > a else int(np.searchsorted(ask, ask[a], "right"))
-        terms = asks.term[entry[a:b]]
-        found = _spread(first[column[terms]], times[a:b])
-        cell, at = np.unique(np.repeat(ask[a:b], times[a:b]) * texts + row[found], return_inverse=True)
-        score = np.bincount(at, weights=share[found] * np.repeat(idf[terms], times[a:b]), minlength=len(cell))
-        request, text = cell // texts, cell % texts
-        place = ended[request] - 1  # the next term to look up
-        while len(request):
-            start = asks.start[request]
-            can = score + (upto[place + 1] - upto[start]) >= low[request]
-            request, text, score, place, start = (x[can] for x in (request, text, score, place, start))
-            done = place < start
+    needed = due <= 0
+    common = lengths - np.add.reduceat(needed, begins, dtype=np.int64)
+    next_place, is_first = begins + common - 1, np.zeros(len(entry), bool)
+    is_first[begins] = True
+    enough = np.where(common > 0, due[next_place], low)
+    # a table of the terms that are looked up; its first line is that of terms which no text has
+    asked[entry[~needed]] = True
+    there = asked[own]
+    asked[entry[~needed]] = False
+    lines = (1 + np.arange(int(there.sum()))) * texts
+    line[own[there]] = lines
+    table = np.zeros((len(lines) + 1) * texts, np.min_scalar_type(int(tf.max())))
+    posted = np.repeat(there, sizes)
+    table[np.repeat(lines, sizes[there]) + row[posted]] = tf[posted]
+    share, used = shares[tf], np.flatnonzero(needed & (part > 0))
+    of = column[entry[used]]
+    times, ask = sizes[of], np.searchsorted(ends, used, "right")
+    before, request_at = np.append(0, np.cumsum(times)), np.searchsorted(ask, np.arange(len(live) + 1))
+    wide = max(1, pairs // texts)
+    x = 0
+    while x < len(live):
+        # a request's terms stay together
+        y = int(np.searchsorted(before[request_at], before[request_at[x]] + pairs, "right")) - 1
+        y = min(max(x + 1, y), x + wide, len(live))
+        a, b = request_at[x], request_at[y]
+        found = _spread(first[of[a:b]], times[a:b])
+        cell = np.repeat((ask[a:b] - x) * texts, times[a:b]) + row[found]
+        np.add.at(total, cell, share[found] * np.repeat(idf[entry[used[a:b]]], times[a:b]))
+        score = total[cell]
+        can = score >= np.repeat(enough[ask[a:b]], times[a:b])
+        total[cell] = 0
+        cell, score = cell[can], score[can]
+        number = np.arange(len(cell))
+        last[cell] = number
+        once = last[cell] == number
+        cell, score = cell[once], score[once]
+        request, text = cell // texts + x, cell % texts
+        done = common[request] == 0
+        if done.any():
+            yield live[request[done]], text[done], score[done]
+            request, text, score = request[~done], text[~done], score[~done]
+        place = next_place[request]
+        while len(place):
+            next_term = entry[place]
+            score += shares[table[line[next_term] + text]] * idf[next_term]
+            done = is_first[place]
             if done.any():
-                yield request[done], text[done], score[done]
-                request, text, score, place = (x[~done] for x in (request, text, score, place))
-            next_term = asks.term[place]
-            there = column[next_term]
-            score = score + np.where(there >= 0, table[there * texts + text], 0.0) * idf[next_term]
+                request = np.searchsorted(begins, place[done])
+                held = score[done] >= low[request]
+                yield live[request[held]], text[done][held], score[done][held]
+                place, text, score = place[~done], text[~done], score[~done]
             place = place - 1
-        a = b
+            can = np.flatnonzero(score >= due[place])
+            place, text, score = place[can], text[can], score[can]
+        x = y
+    line[own] = 0
 
 
-def _best(held: Block, requests: DataFrame, key: str, doc: str, entity: str, sector: str, entities: int) -> DataFrame:
-    told = _floors(held, requests, key, entity, sector, doc, entities).toArrow().combine_chunks()
-    kinds, many = (dict(requests.dtypes)[key], dict(held.rows.dtypes)[entity]), max(1, len(held.terms))
+def _best(held: Block, requests: DataFrame, key: str, entity: str, sector: str, entities: int) -> DataFrame:
+    told = _floors(held, requests, key, entity, sector, entities).toArrow().combine_chunks()
+    kinds = dict(requests.dtypes)[key], dict(held.texts.dtypes)[entity]
     column = lambda c: told.column(c).combine_chunks() if told.num_rows else pa.array([], told.schema.field(c).type)
     keys, floor = column(key), column("floor").to_numpy()
     start, terms = _lists(column("places"))
-    term = terms.to_numpy().astype(np.int64)
+    term = terms.to_numpy()
     wanted, named = _lists(column("sectors"))
     names = pc.unique(named)
     of, code = np.repeat(np.arange(len(keys)), np.diff(wanted)), pc.index_in(named, value_set=names).to_numpy(zero_copy_only=False)
     anywhere = np.diff(wanted) == 0
     idf = np.log(1 + held.n / np.maximum(held.df, 1))
+    texts, postings, pairs = TEXTS, POSTINGS, PAIRS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_sector: dict[int, _Requests] = {}
+        some = np.zeros(len(idf), bool)
+        some[term] = True  # other terms are of other blocks
+        scratch = _scratch(len(idf), max(pairs, texts))
 
         def asking(at: int) -> _Requests:
             if at not in of_sector:
                 may = anywhere.copy()
                 may[of[code == at]] = True
-                number = np.flatnonzero(may)
-                lengths = start[number + 1] - start[number]
-                of_sector[at] = _Requests(number, term[_spread(start[number], lengths)], np.append(0, np.cumsum(lengths)), floor[number])
+                of_sector[at] = _requests(np.flatnonzero(may & (np.diff(start) > 0)), term, start, floor, len(idf))
             return of_sector[at]
 
+        def scored(batch: pa.RecordBatch, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            at, flat = _lists(batch.column("term"))
+            held_terms = flat.to_numpy()
+            own = np.flatnonzero(some[held_terms])
+            value = batch.column(sector)[0]
+            number = pc.index_in(pa.array([value.as_py()], pa.string()), value_set=names)[0].as_py() if value.is_valid else None
+            asks = asking(-1 if number is None else number)
+            if len(own) and len(asks.number):
+                row, tf = np.repeat(np.arange(batch.num_rows), np.diff(at))[own], pc.list_flatten(batch.column("tf")).to_numpy()[own]
+                for request, text, score in _of_slices(asks, idf, row, held_terms[own], tf, cuts, pairs, scratch):
+                    yield asks.number[request], text, score
+
+        def told_of(batch: pa.RecordBatch, out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            request, text, score = map(np.concatenate, zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(request)), batch.column(entity).take(pa.array(text)), pa.array(score)], [key, entity, "best"])
+
         for whole in batches:
-            for batch in _slices(whole, sector):
-                at, held_terms = _lists(batch.column("term"))
-                if not len(held_terms):
-                    continue
-                value = batch.column(sector)[0]
-                number = pc.index_in(pa.array([value.as_py()], pa.string()), value_set=names)[0].as_py() if value.is_valid else None
-                asks = asking(-1 if number is None else number)
-                tf = pc.list_flatten(batch.column("tf")).to_numpy().astype(np.float64)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                for request, text, score in _of_slice(asks, idf, many, row, held_terms.to_numpy(), tf, batch.num_rows):
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(asks.number[request])), batch.column(entity).take(pa.array(text)), pa.array(score)], [key, entity, "best"])
-
-    found = held.rows.select(entity, sector, "term", "tf").mapInArrow(run, f"{key} {kinds[0]}, {entity} {kinds[1]}, best double")
-    return found.groupBy(key, entity).agg(F.max("best").alias("best"))
+            for batch, cuts in _slices(whole, sector, texts, postings):
+                out, size = [], 0
+                for x in scored(batch, cuts):
+                    out.append(x)
+                    size += len(x[0])
+                    if size >= FOUND:
+                        yield told_of(batch, out)
+                        out, size = [], 0
+                if out:
+                    yield told_of(batch, out)
+
+    found = held.texts.select(entity, sector, "term", "tf").mapInArrow(run, f"{key} {kinds[0]}, {entity} {kinds[1]}, best double")
+    return top(found.groupBy(key, entity).agg(F.round(F.max("best"), 6).alias("best")), key, "best", entity, entities).drop("rank")
 
 
 def best(documents: DataFrame, plans: DataFrame, lexicon: list[str], key: str, doc: str, entity: str, sector: str, entities: int, keep: Keep) -> tuple[DataFrame, Index]:
-    """``key``, ``entity`` and ``best`` of the ``entities`` best of each request of ``plans`` (``key``, ``sectors``, ``keywords``) that has keywords,
-    of its sectors if it names any, and of some other entities; and the index of the ``lexicon``'s terms. ``documents``: ``doc``, ``entity``,
-    ``sector`` (a string), ``text``. ``keep(table, name)`` stores a table and reads it back."""
+    """``key``, ``entity`` and ``best`` (rounded) of the ``entities`` best of each request of ``plans`` (``key``, ``sectors``, ``keywords``) that has
+    keywords, of its sectors if it names any; and the index of the ``lexicon``'s terms. ``documents``: ``doc``, ``entity``, ``sector`` (a string),
+    ``text``. ``keep(table, name)`` stores a table and reads it back."""
     said = plans.where((F.size("keywords") > 0) & F.col(key).isNotNull())
     # rows of one key are one request: of any sector, if one of them is
     listed = F.collect_list(F.struct("sectors", "keywords"))
     joined = said.groupBy(key).agg(listed.alias("x"))
     sectors = F.when(F.exists("x", lambda e: F.size(e["sectors"]) == 0), F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform("x", lambda e: e["sectors"]))))
-    requests = keep(joined.select(key, sectors.alias("sectors"), F.flatten(F.transform("x", lambda e: e["keywords"])).alias("keywords")), "requests")
-    n = max(1, -(-(requests.agg(F.sum(F.size("keywords"))).first()[0] or 0) // BLOCK_TERMS))
+    named = joined.select(key, F.array_sort(sectors).alias("sectors"), F.array_sort(F.flatten(F.transform("x", lambda e: e["keywords"]))).alias("keywords"))
+    own = keep(named.withColumn("ask", F.md5(F.to_json(F.struct("sectors", "keywords")).cast("binary"))), "requests")
+    requests = keep(own.groupBy("ask").agg(F.first("sectors").alias("sectors"), F.first("keywords").alias("keywords")), "asked")
     always = documents.sparkSession.createDataFrame([(t,) for t in lexicon], "term string")
-    out, named = None, None
-    for i in range(n):
-        own = requests.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
-        held = block(documents, own.select(F.explode("keywords").alias("term")).union(always), doc, entity, sector, keep)
-        named = named or index(held, doc, lexicon)
-        found = keep(_best(held, own, key, doc, entity, sector, entities), "best-entities")
-        out = found if out is None else out.union(found)
-    return out, named
+    vocabulary = keep(requests.select(F.explode("keywords").alias("term")).union(always).distinct(), "asked-terms")
+    entries = requests.agg(F.sum(F.size("keywords"))).first()[0] or 0
+    passes = 1 if vocabulary.count() <= VOCABULARY else -(-entries // VOCABULARY)
+    out, of_lexicon = None, None
+    for i in range(passes):
+        part = requests.where(F.pmod(F.xxhash64("ask"), F.lit(passes)) == i)
+        terms = vocabulary if passes == 1 else part.select(F.explode("keywords").alias("term")).union(always).distinct()
+        held = block(documents, terms, doc, entity, sector, keep)
+        of_lexicon = of_lexicon or index(held, doc, lexicon)
+        blocks = max(1, -(-entries // (passes * BLOCK_TERMS)))
+        for j in range(blocks):
+            some = part.where(F.pmod(F.xxhash64(F.lit("block"), "ask"), F.lit(blocks)) == j)
+            found = keep(_best(held, some, "ask", entity, sector, entities), "best-entities")
+            out = found if out is None else out.union(found)
+    return own.select(key, "ask").join(out, "ask").drop("ask"), of_lexicon

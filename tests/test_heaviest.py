@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import heaviest, prospect, search
 from lodestar.plans import prospect_queries as pq
@@ -60,3 +62,47 @@ def test_query_scores_no_pair_from_postings(spark, monkeypatch):
 
     monkeypatch.setattr(search, "index", refused)
     assert pq.prospect_run(spark, "/root/testdata/sf0.001").count() == 4
+
+
+@pytest.mark.parametrize(("limits", "passes"), [({"BLOCK_TERMS": 200}, 1), ({"VOCABULARY": 50, "BLOCK_TERMS": 40}, None)])
+def test_blocks_of_requests_share_a_pass_over_the_texts(spark, corpus, monkeypatch, limits, passes):
+    documents, asks = corpus
+    plans, held = prospect.planned(asks.where("q < 205"), "q", SECTORS, NEEDS), search.index(documents, "doc_id")
+    for name, value in limits.items():
+        monkeypatch.setattr(heaviest, name, value)
+    calls, counted = [], heaviest.counted
+    monkeypatch.setattr(heaviest, "counted", lambda *a, **k: calls.append(a) or counted(*a, **k))
+    best, few = heaviest.best(documents, plans, [t for n in NEEDS.values() for t in n], "q", "doc_id", "name", "sector", 3, keep)
+    assert len(calls) == passes if passes else len(calls) > 1
+    args = documents, NEEDS, "q", "doc_id", "name", "sector", 3
+    assert rows(prospect.answered(plans, few, *args, best=best)) == rows(prospect.answered(plans, held, *args))
+
+
+def test_copies_are_scored_once(spark, corpus):
+    documents, asks = corpus
+    copies = [documents.withColumn("doc_id", F.col("doc_id") + 10_000 * i) for i in range(3)]
+    many = copies[0].unionAll(copies[1]).unionAll(copies[2])
+    plans = prospect.planned(asks.where("q < 205").unionAll(asks.where("q < 205").withColumn("q", F.col("q") + 1000)), "q", SECTORS, NEEDS)
+    best, few = heaviest.best(many, plans, [t for n in NEEDS.values() for t in n], "q", "doc_id", "name", "sector", 3, keep)
+    words = plans.select(F.explode("keywords").alias("term")).distinct()
+    one, three = (heaviest.block(d, words, "doc_id", "name", "sector", keep) for d in (documents, many))
+    assert three.texts.count() == one.texts.count() and three.n == 3 * one.n and (three.df.sum() == 3 * one.df.sum())
+    args = many, NEEDS, "q", "doc_id", "name", "sector", 3
+    assert rows(prospect.answered(plans, few, *args, best=best)) == rows(prospect.answered(plans, search.index(many, "doc_id"), *args))
+
+
+def test_bounds_leave_out_no_request(monkeypatch):
+    monkeypatch.setattr(heaviest, "REQUESTS", 7)
+    rng = np.random.default_rng(3)
+    lengths = np.append(rng.integers(0, 40, 300), [300, 77, 1])
+    start = np.append(0, np.cumsum(lengths))
+    term, floor = rng.integers(0, 50, start[-1]).astype(np.int32), rng.random(len(lengths)) * lengths / 2
+    number = np.flatnonzero(lengths > 0)[::2]
+    asks = heaviest._requests(number, term, start, floor, 50)
+    parts, line = rng.random((31, 5)).astype(np.float32), np.append(rng.integers(0, 31, 50), 0)
+    parts[0] = 0
+    request, of = heaviest._live(asks, parts, line)
+    exact = [[parts[line[term[start[i] : start[i + 1]]], s].astype(float).sum() >= floor[i] for s in range(5)] for i in asks.number]
+    assert sorted(asks.number) == sorted(number) and (asks.floor == floor[asks.number]).all()
+    assert {*zip(request.tolist(), of.tolist(), strict=True)} == {tuple(x) for x in np.argwhere(exact).tolist()}
+    assert 100 < len(request) < 5 * len(number) and (np.diff(of) >= 0).all()
